@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from tidebook.llm import language, mixing, quality, warc
+from tidebook.llm import language, mixing, neighbours, quality, secret_scan, warc
 
 QUERIES = {
+    "op1_neighbours": neighbours.op1_neighbours,
+    "op4_secrets": secret_scan.op4_secrets,
     "op5_mixing": mixing.op5_mixing,
     "op6_warc": warc.op6_warc,
     "op7_quality": quality.op7_quality,
