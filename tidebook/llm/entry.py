@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidebook.llm import language, mixing, neighbours, quality, secret_scan, warc
+from tidebook.llm import fingerprints, language, mixing, neighbours, quality, secret_scan, warc
 
 QUERIES = {
     "op1_neighbours": neighbours.op1_neighbours,
@@ -11,6 +11,7 @@ QUERIES = {
     "op6_warc": warc.op6_warc,
     "op7_quality": quality.op7_quality,
     "op8_language": language.op8_language,
+    "op10_fingerprints": fingerprints.op10_fingerprints,
 }
 
 ORACLES = {**mixing.ORACLE, **warc.ORACLE}
