@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from tidebook.llm import fingerprints, language, mixing, neighbours, pieces, quality, secret_scan, warc
+from tidebook.llm import fingerprints, jaccard, language, mixing, neighbours, pieces, quality, secret_scan, warc
 
 QUERIES = {
     "op1_neighbours": neighbours.op1_neighbours,
     "op2_pieces": pieces.op2_pieces,
+    "op3_jaccard": jaccard.op3_jaccard,
     "op4_secrets": secret_scan.op4_secrets,
     "op5_mixing": mixing.op5_mixing,
     "op6_warc": warc.op6_warc,
