@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidebook.llm import fingerprints, jaccard, language, mixing, neighbours, pieces, quality, secret_scan, warc
+from tidebook.llm import fingerprints, jaccard, language, lines, mixing, neighbours, pieces, quality, secret_scan, warc
 
 QUERIES = {
     "op1_neighbours": neighbours.op1_neighbours,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_warc": warc.op6_warc,
     "op7_quality": quality.op7_quality,
     "op8_language": language.op8_language,
+    "op9_lines": lines.op9_lines,
     "op10_fingerprints": fingerprints.op10_fingerprints,
 }
 
