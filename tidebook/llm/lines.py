@@ -4,7 +4,8 @@ A line is its words; two lines are near if one word inserted, deleted or
 replaced turns one into the other (edit distance 1 over words), for lines of at
 least ``MIN_WORDS`` words, and if they have the same words in the same order
 otherwise. A line goes if any line before it is equal or near; the earliest
-stays. Order is doc_id, then line number.
+stays. Order is doc_id, then line number. Lines of fewer than ``MIN_LINE`` words
+always stay: two texts share them by chance.
 
 1. Equal lines collapse to their earliest place, by two hashes of their words.
 2. Near lines share their first or their last half, whichever the edit is not
@@ -21,7 +22,7 @@ stays. Order is doc_id, then line number.
 
 Word keys are 40-bit, sums stay inside a long for lines of up to 2**22 words.
 
-Defined cases: a null text stays null; blank lines always stay; a document
+Defined cases: a null text stays null; blank lines stay; a document
 whose lines all go becomes an empty text; equal lines at one place (rows that
 repeat a doc_id) don't drop each other; rows with a null doc_id pass unchanged;
 an empty table gives an empty result; other columns pass, except that n_chars
@@ -36,6 +37,7 @@ from pyspark.sql import functions as F
 from tidebook.functions.storage import materialize
 from tidebook.llm.tables import read, small_side
 
+MIN_LINE = 4
 MIN_WORDS = 8
 BROADCAST_ROWS = 400_000
 _SPACES = r"[\x20\x09-\x0D]+"
@@ -46,9 +48,9 @@ def _words(line: Column) -> Column:
 
 
 def numbered(docs: DataFrame) -> DataFrame:
-    """doc_id, line number and words of each line that isn't blank."""
+    """doc_id, line number and words of each line that can go."""
     rows = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "said"))
-    return rows.select("doc_id", "line", _words(F.col("said")).alias("words")).where(F.size("words") > 0)
+    return rows.select("doc_id", "line", _words(F.col("said")).alias("words")).where(F.size("words") >= MIN_LINE)
 
 
 def _key(*parts: Column) -> Column:
