@@ -40,7 +40,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each row with its piece ids and what they decode to."""
-    return pieces.decode(pieces.encode(docs))
+    return pieces.encode(docs, decoded=True)
 
 
 STAGES = [

@@ -112,25 +112,6 @@ def book_snapshot(levels: DataFrame) -> DataFrame:
     return rows.withColumn("spread_bps", F.round((F.col("best_ask") - F.col("best_bid")) / mid * 10000))
 
 
-def _fold(pdf):
-    bids, asks, out, started = {}, {}, [], False
-    for r in pdf.sort_values(["source_us", "event_id"]).itertuples(index=False):
-        if r.kind == "book":
-            started = True
-            bids, asks = dict(zip(r.bid_prices, r.bid_sizes, strict=True)), dict(zip(r.ask_prices, r.ask_sizes, strict=True))
-        elif started:
-            book = bids if r.side == "BUY" else asks
-            if r.new_size > 0:
-                book[r.price] = r.new_size
-            else:
-                book.pop(r.price, None)
-        else:
-            continue
-        b, a = max(bids, default=None), min(asks, default=None)
-        out.append((r.asset_id, r.source_us, r.event_id, b, a, bids.get(b), asks.get(a)))
-    return out
-
-
 SERIES = "asset_id string, source_us long, event_id long, best_bid double, best_ask double, bid_size double, ask_size double"
 
 
@@ -138,20 +119,34 @@ def reconstruct_bbo_series(snaps: DataFrame, changes: DataFrame) -> DataFrame:
     """Best levels after every change: a book kept per asset, in order.
 
     A snapshot replaces the whole book, so an asset's history splits at its
-    snapshots: each part starts from its own one and is folded alone.
+    snapshots: each part starts from its own one and is folded alone. Tasks read
+    sorted parts as a stream and hold one book, however long a part is.
     """
     import pandas as pd
 
-    books = snaps.select("asset_id", "source_us", "event_id", F.lit("book").alias("kind"), "bid_prices", "bid_sizes", "ask_prices", "ask_sizes")
-    deltas = changes.select("asset_id", "source_us", "event_id", F.lit("delta").alias("kind"), "side", "price", "new_size")
+    books = snaps.select("asset_id", "source_us", "event_id", F.lit(None).cast("string").alias("side"), F.lit(None).cast("double").alias("price"), F.lit(None).cast("double").alias("new_size"), "bid_prices", "bid_sizes", "ask_prices", "ask_sizes")
+    deltas = changes.select("asset_id", "source_us", "event_id", "side", "price", "new_size")
     both = books.unionByName(deltas, allowMissingColumns=True)
     w = Window.partitionBy("asset_id").orderBy("source_us", "event_id")
-    parts = both.withColumn("part", F.count_if(F.col("kind") == "book").over(w)).where("part > 0")
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(_fold(pdf), columns=[c.split()[0] for c in SERIES.split(", ")])
-
-    return parts.groupBy("asset_id", "part").applyInPandas(fold, SERIES)
+    parts = both.withColumn("part", F.count_if(F.col("side").isNull()).over(w)).where("part > 0")
+
+    def fold(batches):
+        book: dict[str, dict] = {"BUY": {}, "SELL": {}}
+        for pdf in batches:
+            out = []
+            for asset, at, event, side, price, size, bp, bs, ap, as_, _ in pdf.itertuples(index=False, name=None):
+                if side is None:
+                    book = {"BUY": dict(zip(bp, bs, strict=True)), "SELL": dict(zip(ap, as_, strict=True))}
+                elif size > 0:
+                    book[side][price] = size
+                else:
+                    book[side].pop(price, None)
+                bid, ask = max(book["BUY"], default=None), min(book["SELL"], default=None)
+                out.append((asset, at, event, bid, ask, book["BUY"].get(bid), book["SELL"].get(ask)))
+            yield pd.DataFrame(out, columns=[c.split()[0] for c in SERIES.split(", ")])
+
+    dealt = parts.repartition("asset_id", "part").sortWithinPartitions("asset_id", "part", "source_us", "event_id")
+    return dealt.mapInPandas(fold, SERIES)
 
 
 def missing_initial_book(snaps: DataFrame, changes: DataFrame, wait_us: int = 30_000_000) -> DataFrame:

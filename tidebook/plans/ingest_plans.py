@@ -145,15 +145,15 @@ def derive_l2_columns(spark, d):
     return rounded(ingest.derive_l2_columns(tables.snapshots(spark, d)).select("event_id", "asset_id", "bid_depth", "ask_depth", "bid_levels", "ask_levels", "book_imbalance"))
 
 
-@query("""SELECT p_partkey, CASE WHEN p_mfgr IN ('Manufacturer#1', 'Manufacturer#2') THEN p_mfgr ELSE 'exchange' END AS market_source, CASE WHEN p_brand IN ('Brand#11', 'Brand#22', 'Brand#33') THEN p_brand ELSE 'prediction' END AS market_type FROM part""")
+@query("""SELECT p_partkey, CASE WHEN p_type IN ('PROMO', 'SMALL') THEN p_type ELSE 'exchange' END AS market_source, CASE WHEN p_brand IN ('Brand#11', 'Brand#22', 'Brand#33') THEN p_brand ELSE 'prediction' END AS market_type FROM part""")
 def normalize_market_info(spark, d):
-    rows = tables.read(spark, d, "part").selectExpr("p_partkey", "p_mfgr AS market_source", "p_brand AS market_type")
-    return ingest.normalize_market_info(rows, ["Manufacturer#1", "Manufacturer#2"], ["Brand#11", "Brand#22", "Brand#33"], "exchange", "prediction")
+    rows = tables.read(spark, d, "part").selectExpr("p_partkey", "p_type AS market_source", "p_brand AS market_type")
+    return ingest.normalize_market_info(rows, ["PROMO", "SMALL"], ["Brand#11", "Brand#22", "Brand#33"], "exchange", "prediction")
 
 
 @query(sql("SELECT id, ('0x' || lpad(to_hex(k * 1000003), 12, '0')) AS condition_hex, (k * 1000003)::VARCHAR AS condition_dec FROM meta0", "meta0"))
 def normalize_condition_id(spark, d):
-    rows = tables.metadata_versions(spark, d).where("question not like 'old %'").selectExpr("id", "concat('0x', lpad(hex(k * 1000003), 12, '0')) AS condition_hex")
+    rows = tables.metadata_versions(spark, d).where(f"inserted_us = {tables.START_US}").selectExpr("id", "concat('0x', lpad(hex(k * 1000003), 12, '0')) AS condition_hex")
     return rows.withColumn("condition_dec", ingest.normalize_condition_id(F.col("condition_hex")))
 
 
