@@ -79,9 +79,10 @@ def word_hashes(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.nd
 
 def shingles(h: np.ndarray, bounds: np.ndarray, width: int) -> list[np.ndarray]:
     """Each text's distinct word shingles as sorted 64-bit values."""
-    whole = np.zeros(max(0, len(h) - width + 1), _U)
+    size = max(0, len(h) - width + 1)
+    whole = np.zeros(size, _U)
     for j in range(width):
-        whole = (whole + h[j : len(h) - width + 1 + j]) * _U(0xD6E8FEB86659FD93)
+        whole = (whole + h[j : j + size]) * _U(0xD6E8FEB86659FD93)
     whole = mixed(whole)
     out = []
     for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
