@@ -109,12 +109,12 @@ def rule_prefilter(spark, d):
     return signals.rule_prefilter(tables.quotes(spark, d), own.unionByName(every)).groupBy("rule_id").agg(F.count(F.lit(1)).alias("n"))
 
 
-_PAIRS = """x AS (SELECT *, CASE WHEN asset_id::INT % 2 = 0 THEN last_value(CASE WHEN asset_id::INT % 2 = 1 THEN {u: source_us, b: best_bid, a: best_ask, bs: bid_size, s: ask_size} END IGNORE NULLS) OVER w ELSE last_value(CASE WHEN asset_id::INT % 2 = 0 THEN {u: source_us, b: best_bid, a: best_ask, bs: bid_size, s: ask_size} END IGNORE NULLS) OVER w END AS o
+PAIRS = """x AS (SELECT *, CASE WHEN asset_id::INT % 2 = 0 THEN last_value(CASE WHEN asset_id::INT % 2 = 1 THEN {u: source_us, b: best_bid, a: best_ask, bs: bid_size, s: ask_size} END IGNORE NULLS) OVER w ELSE last_value(CASE WHEN asset_id::INT % 2 = 0 THEN {u: source_us, b: best_bid, a: best_ask, bs: bid_size, s: ask_size} END IGNORE NULLS) OVER w END AS o
  FROM bbo WINDOW w AS (PARTITION BY condition_id ORDER BY source_us, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)), y AS (SELECT * FROM x WHERE source_us - o.u <= 5000000)"""
 
 
 def _arb_sql(price, size, o_price, o_size, test, gain):
-    return sql(f"WITH {_PAIRS}, z AS (SELECT *, {price} + o.{o_price} AS total, least(coalesce({size}, 0), coalesce(o.{o_size}, 0)) AS lot FROM y) SELECT event_id, asset_id, condition_id, source_us, round(total, 6) AS total, round(({gain}) * 10000, 6) AS profit_bps, lot AS size, round(lot * total, 6) AS notional, round(lot * ({gain}), 6) AS profit FROM z WHERE total {test}", "bbo")
+    return sql(f"WITH {PAIRS}, z AS (SELECT *, {price} + o.{o_price} AS total, least(coalesce({size}, 0), coalesce(o.{o_size}, 0)) AS lot FROM y) SELECT event_id, asset_id, condition_id, source_us, round(total, 6) AS total, round(({gain}) * 10000, 6) AS profit_bps, lot AS size, round(lot * total, 6) AS notional, round(lot * ({gain}), 6) AS profit FROM z WHERE total {test}", "bbo")
 
 
 @query(_arb_sql("best_ask", "ask_size", "a", "s", "< 0.99", "1 - total"))
