@@ -187,3 +187,52 @@ def perf_interval_join(spark, d):
     t = tables.trades(spark, d).select("asset_id", F.col("source_us").alias("t_us"))
     b = tables.quotes(spark, d).select("asset_id", "source_us")
     return interval_join(t, b, ["asset_id"], "source_us", F.col("t_us") - 60_000_000, F.col("t_us") + 60_000_000, 120_000_000).groupBy("l.asset_id").agg(F.count(F.lit(1)).alias("pairs"))
+
+
+# --- single checks of full snapshots, and value domains
+
+
+def _shape(*columns):
+    return lambda spark, d: qc.l2_shape(tables.snapshots(spark, d)).select("n", *columns)
+
+
+for _name, _cols, _exprs in (
+    ("dq_l2_crossed", ("crossed",), "count_if(ask_prices[-1] < bid_prices[-1]) AS crossed"),
+    ("dq_l2_array_lengths", ("length", "one_sided"), "count_if(len(bid_prices) <> len(bid_sizes)) AS length, count_if(len(ask_prices) = 0) AS one_sided"),
+    ("dq_l2_ordering", ("bid_order", "ask_order", "repeats"), "count_if(bid_prices <> list_sort(list_distinct(bid_prices))) AS bid_order, count_if(ask_prices <> list_reverse_sort(list_distinct(ask_prices))) AS ask_order, count_if(len(list_distinct(bid_prices)) < len(bid_prices)) AS repeats"),
+):
+    query(sql(f"SELECT count(*) AS n, {_exprs} FROM snaps", "snaps"), _name)(_shape(*_cols))
+
+
+@query(sql("SELECT count(*) AS n, count_if(list_min(bid_sizes) < 0 OR list_min(ask_sizes) < 0) AS negative, count_if(abs((list_sum(bid_sizes) - list_sum(ask_sizes)) / (list_sum(bid_sizes) + list_sum(ask_sizes))) > 1) AS bad_imbalance, max(list_sum(bid_sizes) + list_sum(ask_sizes)) AS max_depth FROM snaps", "snaps"))
+def dq_l2_depth(spark, d):
+    rows = ingest.derive_l2_columns(tables.snapshots(spark, d))
+    negative = F.exists(F.concat("bid_sizes", "ask_sizes"), lambda x: x < 0)
+    return rows.agg(F.count(F.lit(1)).alias("n"), F.count_if(negative).alias("negative"), F.count_if(F.abs("book_imbalance") > 1).alias("bad_imbalance"), F.max(F.col("bid_depth") + F.col("ask_depth")).alias("max_depth"))
+
+
+#: Allowed values of each domain (fixed values).
+DOMAINS = {"side": ("BUY", "SELL"), "change_type": ("ADD", "REMOVE", "UPDATE"), "resolution": ("PENDING", "RESOLVED", "FAILED")}
+_DOMAIN_SQL = " UNION ALL ".join(f"SELECT '{c}' AS domain, {c} AS v, count(*) AS n, {c} IN {v} AS allowed FROM {t} GROUP BY {c}" for (c, v), t in zip(DOMAINS.items(), ("trades", "levels", "gaps"), strict=True))
+
+
+@query(sql(_DOMAIN_SQL, "trades", "levels", "gaps"))
+def dq_domains(spark, d):
+    parts = [t(spark, d).groupBy(F.col(c).alias("v")).agg(F.count(F.lit(1)).alias("n")).select(F.lit(c).alias("domain"), "v", "n", F.col("v").isin(list(v)).alias("allowed")) for (c, v), t in zip(DOMAINS.items(), (tables.trades, _levels, _gaps), strict=True)]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+#: Columns and types that the quote and trade tables must have (fixed values).
+CONTRACT = {
+    "bbo": {"asset_id": "string", "condition_id": "string", "source_us": "bigint", "ingestion_us": "bigint", "book_hash": "string", "best_bid": "double", "best_ask": "double", "bid_size": "double", "ask_size": "double", "spread_bps": "double", "is_resync": "boolean", "sequence_number": "bigint"},
+    "trades": {"asset_id": "string", "trade_id": "string", "price": "double", "size": "double", "side": "string", "source_us": "bigint"},
+}
+
+
+@query()
+def dq_schema_contract(spark, d):
+    """Rows of each contracted table, and how many of its columns differ."""
+    found = {"bbo": tables.quotes(spark, d), "trades": tables.trades(spark, d)}
+    bad = qc.schema_contract(found, CONTRACT)
+    one = lambda n: found[n].agg(F.lit(n).alias("t"), F.count(F.lit(1)).alias("n"), F.lit(len(CONTRACT[n])).alias("columns"), F.lit(sum(b[0] == n for b in bad)).alias("differ"))
+    return one("bbo").unionByName(one("trades"))
