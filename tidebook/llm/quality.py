@@ -2,7 +2,8 @@
 
 A text becomes hashed byte trigrams, weighted by log count and inverse document
 frequency and projected to a few latent dimensions (a truncated SVD of labelled
-texts). Every document is compared, exactly and in blocks, with all labelled
+texts); one more coordinate is the share of words that repeat the word before,
+which counts of trigrams can't tell. Every document is compared, exactly and in blocks, with all labelled
 vectors; the nearest ones vote with their label, weighted by similarity.
 
 The model is fitted on at most ``SAMPLE`` labelled rows, those with the
@@ -24,20 +25,39 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidebook.functions.storage import worker_imports
-from tidebook.llm.grams import blocks, byte_grams, joined
+from tidebook.llm.grams import blocks, byte_grams, joined, word_hashes
 from tidebook.llm.tables import held_out, read
 
 SAMPLE = 4000
 DIMS = 4096
 LATENT = 48
 NEIGHBOURS = 15
+REPEATS = 3.0
 THRESHOLD = 0.3
 
 
 def _counts(texts):
-    """Blocks of trigram counts with the rows they belong to."""
+    """Blocks of trigram counts, and in the last column the share of repeated
+    words, with the rows they belong to."""
     for a, b, part in blocks(texts):
-        yield a, b, byte_grams(*joined(part), 3, DIMS)
+        data, starts = joined(part)
+        words, bounds = word_hashes(data, starts)
+        same = np.append(0, np.cumsum(np.append(False, words[1:] == words[:-1])[: len(words)]))
+        n = np.diff(bounds)
+        x = np.zeros((b - a, DIMS + 1), np.float32)
+        x[:, :DIMS] = byte_grams(data, starts, 3, DIMS)
+        # the first word of a text has none before it
+        x[:, DIMS] = (same[bounds[1:]] - same[np.minimum(bounds[:-1] + 1, bounds[1:])]) / np.maximum(n, 1)
+        yield a, b, x
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
+    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
+
+
+def _embed(x: np.ndarray, idf: np.ndarray, base: np.ndarray) -> np.ndarray:
+    y = _unit((np.log1p(x[:, :DIMS]) * idf) @ base)
+    return _unit(np.hstack((y, REPEATS * x[:, DIMS:])))
 
 
 def _sparse(batches):
@@ -57,28 +77,26 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, seed: int = 7)
     if rows.empty:
         return None
     rows = rows.sort_values("doc_id", kind="stable").drop_duplicates("doc_id")
-    x = np.zeros((len(rows), DIMS), np.float32)
+    full = np.zeros((len(rows), DIMS + 1), np.float32)
     for i, (s, c) in enumerate(zip(rows["slots"], rows["counts"], strict=True)):
-        x[i, np.asarray(s, np.int64)] = c
+        full[i, np.asarray(s, np.int64)] = c
+    x = full[:, :DIMS]
     idf = np.log((1 + len(x)) / (1 + (x > 0).sum(0))).astype(np.float32) + 1
-    x = np.log1p(x) * idf
-    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
+    x = _unit(np.log1p(x) * idf)
     k = min(LATENT, len(x))
     probe = x @ np.random.default_rng(seed).standard_normal((DIMS, k + 16), np.float32)
     for _ in range(4):
         probe = x @ (x.T @ np.linalg.qr(probe)[0])
     q = np.linalg.qr(probe)[0]
     base = np.linalg.svd(q.T @ x, full_matrices=False)[2][:k].T.copy()
-    y = x @ base
-    y /= np.maximum(np.linalg.norm(y, axis=1, keepdims=True), 1e-9)
+    y = _embed(full, idf, base)
     label = rows["quality"].to_numpy(np.float32)
     return {"idf": idf, "base": base, "vectors": y.T.copy(), "labels": label, "prior": float(label.mean())}
 
 
 def _votes(x: np.ndarray, model: dict, neighbours: int) -> np.ndarray:
     filled = x.any(1)
-    y = (np.log1p(x) * model["idf"]) @ model["base"]
-    y /= np.maximum(np.linalg.norm(y, axis=1, keepdims=True), 1e-9)
+    y = _embed(x, model["idf"], model["base"])
     near = y @ model["vectors"]
     k = min(neighbours, near.shape[1])
     best = np.argpartition(-near, k - 1, axis=1)[:, :k]
