@@ -17,11 +17,12 @@ than 3/4 of its elements in any other set is alone. Elements are counted in
 packed blocks (``LOW`` bytes of each hash, dealt by its leading bits); a chance
 collision there only keeps a set in, it never drops one.
 
-Documents with equal sets are one class with one representative. Linking needs
-no pair list: each round compares a representative with one leader of the
-segments it shares, in another component; in the end every pair that shares a
-segment and isn't yet in one component has been verified. Pairs inside a
-component are never made.
+Documents with equal sets are one class with one representative. Chains of
+shared signatures tie representatives to families; linked ones are always in one
+family. A family of up to ``FAMILY`` members is compared in one task. In a
+larger one every member is compared with one hub, the least edited member, and
+those that don't link with it with all members, block by block. No list of pairs
+is made, and pairs that are already in one component aren't compared.
 
 Defined cases: null, empty and blank texts have no shingles and link with
 nothing; fewer than five words are one shingle, which only an equal sequence
@@ -35,7 +36,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidebook.functions.graphs import components
@@ -46,7 +47,8 @@ from tidebook.llm.tables import partitions, read, small_side
 WIDTH = 5
 LOW = 5
 GATHER = 1 << 20
-ROUNDS = 4
+FAMILY = 200
+HUBS = 2000
 BROADCAST_ROWS = 400_000
 _U = np.uint64
 _BLOCK = "uid long, bucket int, kind int, a binary, b binary, c binary"
@@ -151,10 +153,10 @@ def shared_counts(rows: DataFrame, deal: int) -> DataFrame:
     return marked.groupBy("uid").applyInPandas(_total, "doc_id long, n long, shared long, h1 long, h2 long")
 
 
-#: Lower ends of the size bands; each is about 3/2 of the one before.
+#: Lower ends of the size bands; each is twice the one before.
 BANDS = [1]
 while BANDS[-1] < 1 << 40:
-    BANDS.append(max(BANDS[-1] + 1, BANDS[-1] * 3 // 2))
+    BANDS.append(2 * BANDS[-1])
 
 
 def band(n: int) -> int:
@@ -190,74 +192,157 @@ def signatures(elements: np.ndarray) -> np.ndarray:
     return np.unique(np.concatenate(out)).view(np.int64)
 
 
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sets have similarity 3/4 or more."""
-    left = sets.select(F.col("doc_id").alias("a"), F.col("elements").alias("x"))
-    right = sets.select(F.col("doc_id").alias("b"), F.col("elements").alias("y"))
+def _similar(x: np.ndarray, y: np.ndarray) -> bool:
+    both = np.concatenate((x, y))
+    both.sort()
+    inter = int((both[1:] == both[:-1]).sum())
+    return 100 * inter >= 75 * (len(x) + len(y) - inter)
+
+
+def _families(sets: DataFrame) -> DataFrame:
+    """(id, family): documents joined by chains of shared signatures.
+
+    Linked documents are always in one family. Tasks tie the documents they read
+    together to the first one with a signature and pass on that one only, so a
+    very common signature sends a row for each block of documents, not for each
+    document; the rest is a minimum over what was passed on.
+    """
+
+    def tied(sets_: list[np.ndarray], ids: list[int]) -> pd.DataFrame:
+        sigs = [signatures(x) for x in sets_]
+        sig = np.concatenate(sigs)
+        doc = np.repeat(np.array(ids, np.int64), [len(x) for x in sigs])
+        order = np.lexsort((doc, sig))
+        sig, doc = sig[order], doc[order]
+        first = np.append(True, sig[1:] != sig[:-1])
+        lead = doc[first][np.cumsum(first) - 1]
+        pairs = np.unique(np.stack((lead[~first], doc[~first]), 1), axis=0)
+        # a tie needs no signature: it travels under a key of its own
+        own = mixed(pairs[:, 1].astype(_U) * _U(3) + pairs[:, 0].astype(_U)).view(np.int64)
+        return pd.DataFrame({"sig": np.append(sig[first], own), "a": np.append(doc[first], pairs[:, 0]), "b": np.append(doc[first], pairs[:, 1])})
+
+    def emit(batches):
+        sets_, ids, held = [], [], 0
+        for pdf in batches:
+            for one, e in zip(pdf["doc_id"].tolist(), pdf["elements"], strict=True):
+                sets_.append(np.frombuffer(e, _U))
+                ids.append(one)
+                held += len(e) // 8
+                if held >= GATHER:
+                    yield tied(sets_, ids)
+                    sets_, ids, held = [], [], 0
+        if ids:
+            yield tied(sets_, ids)
+
+    rows = sets.select("doc_id", "elements").mapInPandas(emit, "sig long, a long, b long")
+    near = rows.withColumn("m", F.min("a").over(Window.partitionBy("sig")))
+    edges = near.select(F.when(F.col("a") == F.col("b"), F.col("m")).otherwise(F.col("a")).alias("a"), "b").where("a <> b").distinct()
+    return components(edges).withColumnRenamed("component", "family")
+
+
+def _small_family(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Components of a family of bounded size, every open pair compared."""
+    ids = pdf["doc_id"].to_numpy()
+    order = np.argsort([len(e) for e in pdf["elements"]], kind="stable")
+    sets = [np.frombuffer(pdf["elements"].iloc[i], _U) for i in order]
+    label = list(range(len(sets)))
+
+    def root(i: int) -> int:
+        while label[i] != i:
+            label[i] = label[label[i]]
+            i = label[i]
+        return i
+
+    for i in range(len(sets)):
+        for j in range(i + 1, len(sets)):
+            if 3 * len(sets[j]) > 4 * len(sets[i]):
+                break
+            a, b = root(i), root(j)
+            if a != b and _similar(sets[i], sets[j]):
+                label[b] = a
+    roots = np.array([root(i) for i in range(len(sets))])
+    named = pd.DataFrame({"id": ids[order], "r": roots})
+    named["component"] = named.groupby("r")["id"].transform("min")
+    return named[["id", "component"]]
+
+
+def _hub_links(large: DataFrame) -> DataFrame:
+    """(a, b, linked) of every member with its family's hub, the member with the
+    largest share of elements that others have as well: the least edited one."""
+    hub = large.groupBy("family").agg(F.max_by("doc_id", F.struct("share", -F.col("doc_id"))).alias("hub"))
+    with_set = small_side(materialize(large.select(F.col("doc_id").alias("hub"), F.col("elements").alias("y")).join(small_side(materialize(hub, "hub-ids"), BROADCAST_ROWS), "hub"), "hubs"), HUBS)
 
     def check(batches):
         for pdf in batches:
-            keep = np.zeros(len(pdf), bool)
-            for i, (x, y) in enumerate(zip(pdf["x"], pdf["y"], strict=True)):
-                p, q = np.frombuffer(x, _U), np.frombuffer(y, _U)
-                both = np.concatenate((p, q))
-                both.sort()
-                inter = int((both[1:] == both[:-1]).sum())
-                keep[i] = 100 * inter >= 75 * (len(p) + len(q) - inter)
-            yield pdf.loc[keep, ["a", "b"]]
+            near = [_similar(np.frombuffer(x, _U), np.frombuffer(y, _U)) for x, y in zip(pdf["elements"], pdf["y"], strict=True)]
+            yield pd.DataFrame({"a": pdf["hub"], "b": pdf["doc_id"], "linked": near})
 
-    near = left.where(F.octet_length("x") > 0).join(pairs, "a").join(right, "b")
-    near = near.where((4 * F.octet_length("x") >= 3 * F.octet_length("y")) & (4 * F.octet_length("y") >= 3 * F.octet_length("x")))
-    return near.select("a", "b", "x", "y").mapInPandas(check, "a long, b long")
+    return large.join(with_set, "family").select("hub", "doc_id", "elements", "y").mapInPandas(check, "a long, b long, linked boolean")
 
 
-def _link(sets: DataFrame) -> DataFrame | None:
-    """(id, component) of the sets that link with another one."""
+def _block_links(rest: DataFrame, large: DataFrame) -> DataFrame:
+    """Links of the members that aren't linked with their hub to any member.
 
-    def emit(batches):
+    Both sides are packed: a row is a block of sets, and a task compares blocks
+    through an inverted index. A link of each member to each component found in
+    a block is enough, so no pair list leaves a task.
+    """
+
+    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"family": pdf["family"].iloc[:1], "block": pdf["block"].iloc[:1], "ids": [pdf["doc_id"].to_numpy(np.int64).tobytes()], "comps": [pdf["comp"].to_numpy(np.int64).tobytes()], "sizes": [np.array([len(e) // 8 for e in pdf["elements"]], np.int64).tobytes()], "flat": [b"".join(pdf["elements"])]})
+
+    kind = "family long, block long, ids binary, comps binary, sizes binary, flat binary"
+    places = lambda n: F.greatest(F.lit(1), F.ceil(F.col("members") / n)).cast("long")
+    dealt = lambda t, n: t.withColumn("block", F.pmod(F.xxhash64("doc_id"), places(n))).groupBy("family", "block").applyInPandas(pack, kind)
+    counts = materialize(rest.groupBy("family").agg(F.count(F.lit(1)).alias("left"), F.max("members").alias("members")), "open-families")
+    open_ = small_side(counts, BROADCAST_ROWS)
+    right = dealt(large.join(open_.select("family"), "family"), 1024)
+    # the members still open are fewer: their blocks go to every block of the family
+    left = dealt(rest.drop("members").join(open_.select("family", F.col("left").alias("members")), "family"), 256).drop("block")
+    left = left.join(open_.select("family", places(1024).alias("n")), "family").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
+    left = left.select("family", "block", *[F.col(c).alias(f"x_{c}") for c in ("ids", "comps", "sizes", "flat")])
+
+    def compare(batches):
         for pdf in batches:
-            for at in range(0, len(pdf), 200):
-                part = pdf.iloc[at : at + 200]
-                sigs = [signatures(np.frombuffer(e, _U)) for e in part["elements"]]
-                yield pd.DataFrame({"sig": np.concatenate(sigs), "doc_id": np.repeat(part["doc_id"].to_numpy(), [len(s) for s in sigs])})
-
-    index = materialize(sets.select("doc_id", "elements").mapInPandas(emit, "sig long, doc_id long"), "signatures")
-    ends = index.groupBy("sig").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("sig")
-    live = materialize(index.join(ends, "sig"), "live")
-    tested = links = labels = None
-    for turn in range(ROUNDS + 1):
-        if labels is None:
-            open_ = live.withColumn("comp", F.col("doc_id"))
-        else:
-            named = live.join(labels.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("comp", F.coalesce("component", "doc_id")).drop("component")
-            mixed_ = named.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("sig")
-            open_ = named.join(mixed_, "sig")
-        if turn < ROUNDS:
-            lead = open_.groupBy("sig").agg(F.min(F.struct(F.xxhash64("doc_id", F.lit(turn)).alias("h"), "doc_id", "comp")).alias("l")).select("sig", F.col("l.doc_id").alias("other"), F.col("l.comp").alias("other_comp"))
-            met = open_.join(lead, "sig").where("comp <> other_comp").groupBy("doc_id", "other").agg(F.count(F.lit(1)).alias("w"))
-            if tested is not None:
-                done = tested.select(F.col("a").alias("doc_id"), F.col("b").alias("other"))
-                met = met.join(done.union(done.select("other", "doc_id")), ["doc_id", "other"], "left_anti")
-            chosen = met.groupBy("doc_id").agg(F.max_by("other", F.struct("w", -F.col("other"))).alias("other"))
-            pairs = chosen.select(F.least("doc_id", "other").alias("a"), F.greatest("doc_id", "other").alias("b")).distinct()
-        else:
-            open_ = materialize(open_, "open")
-            left, right = (open_.select("sig", F.col("doc_id").alias(d), F.col("comp").alias(c)) for d, c in (("a", "ca"), ("b", "cb")))
-            pairs = left.join(right, "sig").where("ca < cb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = materialize(pairs, "pairs")
-        if not pairs.limit(1).count():
-            if turn < ROUNDS and tested is not None:
-                continue
-            if tested is None:
-                return None
-            break
-        tested = pairs if tested is None else tested.union(pairs)
-        found = materialize(_verified(pairs, sets), "links")
-        links = found if links is None else links.union(found)
-        if found.limit(1).count():
-            labels = components(links)
-    return labels
+            for r in pdf.itertuples(index=False):
+                ids, comps, n, flat = np.frombuffer(r.ids, np.int64), np.frombuffer(r.comps, np.int64), np.frombuffer(r.sizes, np.int64), np.frombuffer(r.flat, _U)
+                order = np.argsort(flat)
+                ranked, owner = flat[order], np.repeat(np.arange(len(ids)), n)[order]
+                at, found = 0, []
+                xs = np.frombuffer(r.x_flat, _U)
+                for one, comp, m in zip(np.frombuffer(r.x_ids, np.int64), np.frombuffer(r.x_comps, np.int64), np.frombuffer(r.x_sizes, np.int64), strict=True):
+                    x = xs[at : at + m]
+                    at += m
+                    lo, hi = np.searchsorted(ranked, x), np.searchsorted(ranked, x, side="right")
+                    inter = np.zeros(len(ids), np.int64)
+                    for a, b in zip(lo[hi > lo].tolist(), hi[hi > lo].tolist(), strict=True):
+                        inter[owner[a:b]] += 1  # a set holds an element once
+                    near = np.flatnonzero((100 * inter >= 75 * (n + m - inter)) & (comps != comp))
+                    _, first = np.unique(comps[near], return_index=True)
+                    found += [(int(one), int(ids[near[f]])) for f in first]
+                yield pd.DataFrame(found, columns=["a", "b"]).astype({"a": "int64", "b": "int64"})
+
+    return left.join(right, ["family", "block"]).select("x_ids", "x_comps", "x_sizes", "x_flat", "ids", "comps", "sizes", "flat").mapInPandas(compare, "a long, b long")
+
+
+def _link(sets: DataFrame) -> DataFrame:
+    """(id, component) of the sets that share a signature with another one."""
+    families = materialize(_families(sets), "families")
+    sizes = materialize(families.groupBy("family").agg(F.count(F.lit(1)).alias("members")), "family-sizes")
+    joined = sets.join(small_side(families, BROADCAST_ROWS).withColumnRenamed("id", "doc_id"), "doc_id")
+    big = sizes.where(F.col("members") > FAMILY)
+    small = sizes.where(F.col("members") <= FAMILY).select("family")
+    labels = joined.join(small_side(small, BROADCAST_ROWS), "family").select("family", "doc_id", "elements").groupBy("family").applyInPandas(_small_family, "id long, component long")
+    if big.isEmpty():
+        return labels
+    large = joined.join(small_side(big, BROADCAST_ROWS), "family")
+    tried = materialize(_hub_links(large), "hub-links")
+    rest = large.join(small_side(tried.where("not linked").select(F.col("b").alias("doc_id")), BROADCAST_ROWS), "doc_id", "left_semi").withColumn("comp", F.col("doc_id"))
+    hubs = tried.where("linked").select(F.col("b").alias("doc_id"), F.col("a").alias("comp"))
+    known = large.join(small_side(hubs, BROADCAST_ROWS), "doc_id", "left").withColumn("comp", F.coalesce("comp", "doc_id"))
+    more = materialize(_block_links(rest, known), "block-links")
+    found = components(tried.where("linked").select("a", "b").unionByName(more))
+    return labels.unionByName(found)
 
 
 def classes(docs: DataFrame) -> DataFrame:
@@ -278,15 +363,12 @@ def classes(docs: DataFrame) -> DataFrame:
 
     sets = named.join(small_side(reps, BROADCAST_ROWS), "doc_id").mapInPandas(read_sets, "doc_id long, elements binary").where(F.octet_length("elements") > 0)
     sets = materialize(sets, "sets")
-    again = shared_counts(sets, deal).where("100 * shared >= 75 * n").select("doc_id").distinct()
+    again = shared_counts(sets, deal).where("100 * shared >= 75 * n").groupBy("doc_id").agg(F.max(F.col("shared") / F.col("n")).alias("share"))
     again = materialize(again, "partners")
-    sets = materialize(sets.join(small_side(again, BROADCAST_ROWS), "doc_id"), "sets")
-    labels = _link(sets)
+    labels = _link(sets.join(small_side(again, BROADCAST_ROWS), "doc_id"))
     final = alike.select("h1", "h2", "n", "rep")
-    if labels is None:
-        final = final.withColumn("component", F.col("rep"))
-    else:
-        final = final.join(labels.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    labels = materialize(labels.groupBy(F.col("id").alias("rep")).agg(F.min("component").alias("component")), "components")
+    final = final.join(labels, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     final = final.select(F.col("h1").alias("g1"), F.col("h2").alias("g2"), F.col("n").alias("g"), "component")
     same = (F.col("h1") == F.col("g1")) & (F.col("h2") == F.col("g2")) & (F.col("n") == F.col("g"))
     return meta.join(final, same, "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
