@@ -30,6 +30,7 @@ from __future__ import annotations
 
 import math
 import re
+import struct
 from functools import lru_cache
 
 import numpy as np
@@ -46,7 +47,10 @@ CHUNK = 1 << 15
 FAN = 256
 RANK_SHIFT = 100.0
 UNKNOWN = 10.0
-REMEMBERED = 400_000
+REMEMBERED = 250_000
+LONGEST = 48
+BATCH = 512
+_SPREAD = 0x9E3779B97F4A7C15
 _WORD = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 
 
@@ -63,8 +67,7 @@ class Vocabulary:
         self.ids = {p.piece: i for i, p in enumerate(proto.pieces) if p.type in (kinds.NORMAL, kinds.USER_DEFINED)}
         self.byte = {int(p.piece[3:5], 16): i for i, p in enumerate(proto.pieces) if p.type == kinds.BYTE}
         self.text = [p.piece for p in proto.pieces]
-        self.kind = [p.type for p in proto.pieces]
-        self.byte_kind = kinds.BYTE
+        self.parts = [bytes([int(p.piece[3:5], 16)]) if p.type == kinds.BYTE else p.piece.encode() for p in proto.pieces]
         first = min(self.ids.values())
         if scores == "rank":
             self.score = {s: -math.log(i - first + RANK_SHIFT) for s, i in self.ids.items()}
@@ -72,64 +75,177 @@ class Vocabulary:
             self.score = {s: proto.pieces[i].score for s, i in self.ids.items()}
         self.unknown = min(self.score.values()) - UNKNOWN
         self.reach = max(map(len, self.ids))
-        self.by_first: dict[str, list[int]] = {}
-        for s in self.ids:
-            self.by_first.setdefault(s[0], []).append(len(s))
-        self.by_first = {c: sorted(set(n)) for c, n in self.by_first.items()}
-        self.words: dict[str, tuple[float, list[int]]] = {}
-
-    def forward(self, text: str, start: int, stop: int) -> tuple[list[float], list[int]]:
-        """Best score to each position from ``start`` and the piece length there;
-        pieces may start before ``stop`` and end up to ``reach`` after it."""
+        # a tree of characters; the empty key holds the piece that ends there
+        self.tree: dict = {}
+        for s, i in self.ids.items():
+            node = self.tree
+            for c in s:
+                node = node.setdefault(c, {})
+            node[""] = (self.score[s], i)
+        self._lay_out()
+        self.words: dict[str, tuple[float, bytes]] = {}
+
+    def _lay_out(self) -> None:
+        """The tree as arrays: an open hash table of (node, character), and
+        each node's piece and score."""
+        edges, ends, todo = [], [(-1, -math.inf)], [(0, self.tree)]
+        while todo:
+            n, node = todo.pop()
+            for c, child in node.items():
+                if c:
+                    edges.append((n << 21 | ord(c), len(ends)))
+                    ends.append((child[""][1], child[""][0]) if "" in child else (-1, -math.inf))
+                    todo.append((len(ends) - 1, child))
+        self.bits = (4 * len(edges)).bit_length()
+        self.keys = np.full(1 << self.bits, -1, np.int64)
+        self.children = np.zeros(1 << self.bits, np.int32)
+        for key, child in edges:
+            at = (key * _SPREAD % (1 << 64)) >> (64 - self.bits)
+            while self.keys[at] >= 0:
+                at = (at + 1) % (1 << self.bits)
+            self.keys[at], self.children[at] = key, child
+        self.node_piece = np.array([e[0] for e in ends], np.int32)
+        self.node_score = np.array([e[1] for e in ends])
+
+    def _step(self, nodes: np.ndarray, chars: np.ndarray) -> np.ndarray:
+        """Child nodes by character, -1 where there is none."""
+        key = nodes.astype(np.int64) << 21 | chars
+        at = ((key.view(np.uint64) * np.uint64(_SPREAD)) >> np.uint64(64 - self.bits)).astype(np.int64)
+        seen = self.keys[at]
+        out = np.where(seen == key, self.children[at], -1)
+        on = np.flatnonzero((seen != key) & (seen >= 0))
+        while len(on):
+            at[on] = (at[on] + 1) % (1 << self.bits)
+            seen = self.keys[at[on]]
+            hit = seen == key[on]
+            out[on[hit]] = self.children[at[on[hit]]]
+            on = on[~hit & (seen >= 0)]
+        return out
+
+    def learn(self, words: list[str]) -> None:
+        """Solve many words at once: the same recursion, a column at a time."""
+        words.sort(key=len)
+        lengths = np.fromiter(map(len, words), np.int64, len(words))
+        width = int(lengths[-1])
+        text = np.zeros((len(words), width), np.int64)
+        flat = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)
+        text[np.arange(width) < lengths[:, None]] = flat
+        best = np.full((width + 1, len(words)), -np.inf)
+        since = np.zeros((width + 1, len(words)), np.int32)
+        piece = np.full((width + 1, len(words)), -1, np.int32)
+        best[0] = 0.0
+        for i in range(width):
+            live = np.arange(np.searchsorted(lengths, i, side="right"), len(words))
+            nodes = np.zeros(len(live), np.int64)
+            single = np.zeros(len(words), bool)
+            for j in range(i + 1, min(width, i + self.reach) + 1):
+                far = lengths[live] >= j
+                live, nodes = live[far], nodes[far]
+                nodes = self._step(nodes, text[live, j - 1])
+                live, nodes = live[nodes >= 0], nodes[nodes >= 0]
+                if not len(live):
+                    break
+                score = best[i, live] + self.node_score[nodes]
+                if j == i + 1:
+                    single[live[self.node_piece[nodes] >= 0]] = True
+                won = score > best[j, live]
+                w = live[won]
+                best[j, w], since[j, w], piece[j, w] = score[won], i, self.node_piece[nodes[won]]
+            none = np.flatnonzero(~single & (lengths > i))
+            none = none[best[i, none] + self.unknown > best[i + 1, none]]
+            best[i + 1, none], since[i + 1, none], piece[i + 1, none] = best[i, none] + self.unknown, i, -1
+        at, every = lengths.copy(), np.arange(len(words))
+        total = best[at, every]
+        taken = []
+        odd = np.zeros(len(words), bool)
+        while (at > 0).any():
+            p = np.where(at > 0, piece[at, every], -2)
+            odd |= p == -1
+            taken.append(p)
+            at = np.where(at > 0, since[at, every], 0)
+        ids = np.array(taken[::-1], np.int32).T
+        n = (ids >= 0).sum(1)
+        ends = np.cumsum(n) * 4
+        packed = ids[ids >= 0].tobytes()
+        known = self.words
+        for w, score, a, b, bytewise in zip(words, total.tolist(), (ends - n * 4).tolist(), ends.tolist(), odd.tolist(), strict=True):
+            if bytewise:
+                self.solve(w)
+            else:
+                known[w] = score, packed[a:b]
+
+    def meet(self, split: list[list[str]]) -> None:
+        """Learn the words of some texts that aren't known yet, together."""
+        met = set().union(*split)
+        new = met - self.words.keys()
+        if len(self.words) + len(new) > REMEMBERED:
+            self.words.clear()
+            new = met
+        short = [w for w in new if len(w) <= LONGEST] if len(new) > 500 else []
+        for at in range(0, len(short), 20_000):
+            self.learn(short[at : at + 20_000])
+
+    def encode_all(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of marked texts; words not met before are learned together."""
+        split = [_WORD.findall(t) for t in texts]
+        self.meet(split)
+        get, solve = self.words.get, self.solve
+        return [np.frombuffer(b"".join([(get(w) or solve(w))[1] for w in words]), np.int32) for words in split]
+
+    def forward(self, text: str, start: int, stop: int) -> tuple[list[float], list[int], list[int]]:
+        """Best score to each position from ``start``, where the last piece
+        began and its id (-1: bytes). Pieces may start before ``stop`` and end
+        up to ``reach`` - 1 after it."""
         size = len(text) + 1
-        best, back = [-math.inf] * size, [0] * size
+        best, since, piece = [-math.inf] * size, [0] * size, [-1] * size
         best[start] = 0.0
-        score, lengths = self.score, self.by_first
+        tree, reach = self.tree, self.reach
         for i in range(start, stop):
             here = best[i]
             if here == -math.inf:
                 continue
-            single = False
-            for n in lengths.get(text[i], ()):
-                if i + n >= size:
+            node, j, single = tree, i, False
+            for c in text[i : i + reach]:
+                node = node.get(c)
+                if node is None:
                     break
-                s = score.get(text[i : i + n])
-                if s is not None:
-                    single = single or n == 1
-                    if here + s > best[i + n]:
-                        best[i + n], back[i + n] = here + s, n
+                j += 1
+                ends = node.get("")
+                if ends is not None:
+                    single = single or j == i + 1
+                    s = here + ends[0]
+                    if s > best[j]:
+                        best[j], since[j], piece[j] = s, i, ends[1]
             if not single and here + self.unknown > best[i + 1]:
-                best[i + 1], back[i + 1] = here + self.unknown, 1
-        return best, back
+                best[i + 1], since[i + 1], piece[i + 1] = here + self.unknown, i, -1
+        return best, since, piece
 
-    def trace(self, text: str, back: list[int], start: int, end: int) -> list[int]:
+    def trace(self, text: str, found: tuple, start: int, end: int) -> list[int]:
+        _, since, piece = found
         out: list[int] = []
         while end > start:
-            piece = text[end - back[end] : end]
-            known = self.ids.get(piece)
-            out.extend([known] if known is not None else [self.byte[b] for b in reversed(piece.encode("utf-8", "replace"))])
-            end -= len(piece)
+            if piece[end] >= 0:
+                out.append(piece[end])
+            else:
+                out.extend([self.byte[b] for b in reversed(text[since[end] : end].encode("utf-8", "replace"))])
+            end = since[end]
         return out[::-1]
 
-    def solve(self, word: str) -> tuple[float, list[int]]:
-        """Best score and ids of a string that stands between two meeting places."""
+    def solve(self, word: str) -> tuple[float, bytes]:
+        """Best score and packed ids of a string between two meeting places."""
         known = self.words.get(word)
         if known is None:
-            best, back = self.forward(word, 0, len(word))
-            known = best[-1], self.trace(word, back, 0, len(word))
-            if len(self.words) >= REMEMBERED:
+            found = self.forward(word, 0, len(word))
+            ids = self.trace(word, found, 0, len(word))
+            known = found[0][-1], struct.pack(f"={len(ids)}i", *ids)
+            if len(self.words) >= 2 * REMEMBERED:
                 self.words.clear()
-            if len(word) <= 64:
+            if len(word) <= LONGEST:
                 self.words[word] = known
         return known
 
-    def encode(self, marked: str) -> list[int]:
-        out: list[int] = []
-        get = self.words.get
-        for w in _WORD.findall(marked):
-            known = get(w)
-            out += (known or self.solve(w))[1]
-        return out
+    def encode(self, marked: str) -> np.ndarray:
+        return self.encode_all([marked])[0]
 
     def split(self, text: str, stop: int) -> tuple[int, int]:
         """First and last meeting place in text[:stop]; equal to stop if none."""
@@ -152,8 +268,7 @@ class Vocabulary:
         first, last = self.split(text, stop)
         if first >= stop:
             for s in range(min(k, stop + 1)):
-                best, _ = self.forward(text, s, stop)
-                row = best[stop : stop + k]
+                row = self.forward(text, s, stop)[0][stop : stop + k]
                 out[s, : len(row)] = row
             return self._skipped(out, stop)
         head = np.full(k, -np.inf)
@@ -177,21 +292,15 @@ class Vocabulary:
             return []
         first, last = self.split(text, stop)
         if first >= stop or entry > first:
-            best, back = self.forward(text, entry, stop)
-            return self.trace(text, back, entry, stop + leave)
-        _, back = self.forward(text[:first], entry, first)
-        out = self.trace(text[:first], back, entry, first)
-        out += self.encode(text[first:last])
+            return self.trace(text, self.forward(text, entry, stop), entry, stop + leave)
+        out = self.trace(text[:first], self.forward(text[:first], entry, first), entry, first)
+        out += self.encode(text[first:last]).tolist()
         end = text[last:]
-        _, back = self.forward(end, 0, stop - last)
-        return out + self.trace(end, back, 0, stop - last + leave)
+        return out + self.trace(end, self.forward(end, 0, stop - last), 0, stop - last + leave)
 
     def decode(self, ids) -> str:
         """The text of a sequence of ids: byte pieces join to characters."""
-        out = bytearray()
-        for i in ids:
-            out += bytes([int(self.text[i][3:5], 16)]) if self.kind[i] == self.byte_kind else self.text[i].encode()
-        return bytes(out).decode("utf-8", "replace").replace(MARK, " ")[1:]
+        return b"".join([self.parts[i] for i in ids]).decode("utf-8", "replace").replace(MARK, " ")[1:]
 
 
 @lru_cache(maxsize=4)
@@ -213,15 +322,20 @@ def _load(blob: bytes, k: int) -> np.ndarray:
     return np.frombuffer(blob, np.float64).reshape(k, k)
 
 
-def _encode_short(docs: DataFrame, path: str, scores: str) -> DataFrame:
+def _slices(batches, rows: int):
+    for pdf in batches:
+        for at in range(0, len(pdf), rows):
+            yield pdf.iloc[at : at + rows]
+
+
+def _encode_short(docs: DataFrame, path: str, scores: str, decoded: bool) -> DataFrame:
     def run(batches):
         v = vocabulary(path, scores)
-        for pdf in batches:
-            for at in range(0, len(pdf), 256):
-                part = pdf.iloc[at : at + 256]
-                yield part.assign(ids=[np.array(v.encode(marked(t)) if isinstance(t, str) else [], np.int32) for t in part["text"]])
+        for part in _slices(batches, BATCH):
+            out = part.assign(ids=v.encode_all([marked(t) if isinstance(t, str) else "" for t in part["text"]]))
+            yield out.assign(decoded=[v.decode(i.tolist()) for i in out["ids"]]) if decoded else out
 
-    return docs.mapInPandas(run, f"{_fields(docs)}, ids array<int>")
+    return docs.mapInPandas(run, f"{_fields(docs)}, ids array<int>" + ", decoded string" * decoded)
 
 
 def _fields(docs: DataFrame) -> str:
@@ -243,7 +357,8 @@ def _encode_long(docs: DataFrame, path: str, scores: str, chunk: int, fan: int)
 
     def matrices(batches):
         v = vocabulary(path, scores)
-        for pdf in batches:
+        for pdf in _slices(batches, 64):
+            v.meet([_WORD.findall(t) for t in pdf["piece"]])
             yield pdf[["_row", "part"]].assign(m=[v.matrix(t, n).tobytes() for t, n in zip(pdf["piece"], pdf["size"], strict=True)])
 
     single = materialize(pieces.mapInPandas(matrices, "_row long, part int, m binary").withColumn("team", F.floor(F.col("part") / fan).cast("int")), "matrices")
@@ -284,7 +399,8 @@ def _encode_long(docs: DataFrame, path: str, scores: str, chunk: int, fan: int)
 
     def back(batches):
         v = vocabulary(path, scores)
-        for pdf in batches:
+        for pdf in _slices(batches, 64):
+            v.meet([_WORD.findall(t) for t in pdf["piece"]])
             yield pdf[["_row", "part"]].assign(ids=[np.array(v.backtrace(t, n, e, x), np.int32) for t, n, e, x in zip(pdf["piece"], pdf["size"], pdf["enter"], pdf["leave"], strict=True)])
 
     traced = pieces.join(fixed, ["_row", "part"]).mapInPandas(back, "_row long, part int, ids array<int>")
@@ -292,18 +408,19 @@ def _encode_long(docs: DataFrame, path: str, scores: str, chunk: int, fan: int)
     return docs.join(whole, "_row").drop("_row")
 
 
-def encode(docs: DataFrame, path: str = MODEL, scores: str = "rank", chunk: int = CHUNK, fan: int = FAN) -> DataFrame:
-    """``docs`` with the column ``ids`` added.
+def encode(docs: DataFrame, path: str = MODEL, scores: str = "rank", chunk: int = CHUNK, fan: int = FAN, decoded: bool = False) -> DataFrame:
+    """``docs`` with the column ``ids`` added, and ``decoded`` if asked for.
 
     A text that fits one chunk has no states to combine and is solved at once.
     """
     spark = docs.sparkSession
     worker_imports(spark)
-    docs = docs.drop("ids")
+    docs = docs.drop("ids", "decoded")
     long = F.coalesce(F.char_length("text"), F.lit(0)) >= chunk
     giant = docs.where(long)
     wide = materialize(giant.withColumn("_row", F.monotonically_increasing_id()), "giants")
-    return _encode_short(docs.where(~long), path, scores).unionByName(_encode_long(wide, path, scores, chunk, fan))
+    scanned = _encode_long(wide, path, scores, chunk, fan)
+    return _encode_short(docs.where(~long), path, scores, decoded).unionByName(decode(scanned, path) if decoded else scanned)
 
 
 def decode(encoded: DataFrame, path: str = MODEL) -> DataFrame:
@@ -313,9 +430,8 @@ def decode(encoded: DataFrame, path: str = MODEL) -> DataFrame:
 
     def run(batches):
         v = vocabulary(path)
-        parts = [bytes([int(t[3:5], 16)]) if kind == v.byte_kind else t.encode() for t, kind in zip(v.text, v.kind, strict=True)]
         for pdf in batches:
-            yield pdf.assign(decoded=[b"".join([parts[i] for i in ids.tolist()]).decode("utf-8", "replace").replace(MARK, " ")[1:] if ids is not None else "" for ids in pdf["ids"]])
+            yield pdf.assign(decoded=[v.decode(ids.tolist()) if ids is not None else "" for ids in pdf["ids"]])
 
     return kept.mapInPandas(run, f"{_fields(kept)}, decoded string")
 
@@ -323,6 +439,6 @@ def decode(encoded: DataFrame, path: str = MODEL) -> DataFrame:
 def op2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document's ids by digest, and whether they decode to its text."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    found = decode(encode(docs))
+    found = encode(docs, decoded=True)
     same = F.col("decoded") == F.replace(F.coalesce(F.col("text"), F.lit("")), F.lit(MARK), F.lit(" "))
     return found.select("doc_id", F.size("ids").alias("n_ids"), F.sha2(F.array_join("ids", ",").cast("binary"), 256).alias("ids_sha256"), same.alias("round_trip"))
