@@ -49,6 +49,8 @@ LOW = 5
 GATHER = 1 << 20
 FAMILY = 200
 HUBS = 2000
+#: Elements in a block of a family's members, and of those still open.
+MANY, FEW = 2_000_000, 300_000
 BROADCAST_ROWS = 400_000
 _U = np.uint64
 _BLOCK = "uid long, bucket int, kind int, a binary, b binary, c binary"
@@ -292,14 +294,14 @@ def _block_links(rest: DataFrame, large: DataFrame) -> DataFrame:
         return pd.DataFrame({"family": pdf["family"].iloc[:1], "block": pdf["block"].iloc[:1], "ids": [pdf["doc_id"].to_numpy(np.int64).tobytes()], "comps": [pdf["comp"].to_numpy(np.int64).tobytes()], "sizes": [np.array([len(e) // 8 for e in pdf["elements"]], np.int64).tobytes()], "flat": [b"".join(pdf["elements"])]})
 
     kind = "family long, block long, ids binary, comps binary, sizes binary, flat binary"
-    places = lambda n: F.greatest(F.lit(1), F.ceil(F.col("members") / n)).cast("long")
-    dealt = lambda t, n: t.withColumn("block", F.pmod(F.xxhash64("doc_id"), places(n))).groupBy("family", "block").applyInPandas(pack, kind)
-    counts = materialize(rest.groupBy("family").agg(F.count(F.lit(1)).alias("left"), F.max("members").alias("members")), "open-families")
-    open_ = small_side(counts, BROADCAST_ROWS)
-    right = dealt(large.join(open_.select("family"), "family"), 1024)
+    size = F.octet_length("elements") / 8
+    known = materialize(large.groupBy("family").agg(F.sum(size).alias("every")).join(rest.groupBy("family").agg(F.sum(size).alias("open")), "family"), "open-families")
+    parts = lambda c, n: F.ceil(F.col(c) / n).cast("long")
+    plan = small_side(known.select("family", parts("every", MANY).alias("blocks"), parts("open", FEW).alias("open_blocks")), BROADCAST_ROWS)
+    dealt = lambda t, n: t.join(plan, "family").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col(n))).groupBy("family", "block").applyInPandas(pack, kind)
+    right = dealt(large, "blocks")
     # the members still open are fewer: their blocks go to every block of the family
-    left = dealt(rest.drop("members").join(open_.select("family", F.col("left").alias("members")), "family"), 256).drop("block")
-    left = left.join(open_.select("family", places(1024).alias("n")), "family").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
+    left = dealt(rest, "open_blocks").drop("block").join(plan, "family").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     left = left.select("family", "block", *[F.col(c).alias(f"x_{c}") for c in ("ids", "comps", "sizes", "flat")])
 
     def compare(batches):
@@ -340,7 +342,14 @@ def _link(sets: DataFrame) -> DataFrame:
     rest = large.join(small_side(tried.where("not linked").select(F.col("b").alias("doc_id")), BROADCAST_ROWS), "doc_id", "left_semi").withColumn("comp", F.col("doc_id"))
     hubs = tried.where("linked").select(F.col("b").alias("doc_id"), F.col("a").alias("comp"))
     known = large.join(small_side(hubs, BROADCAST_ROWS), "doc_id", "left").withColumn("comp", F.coalesce("comp", "doc_id"))
-    more = materialize(_block_links(rest, known), "block-links")
+    # a row here is a block of megabytes: hand them to Python one at a time
+    conf, key = sets.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    usual = conf.get(key)
+    conf.set(key, "1")
+    try:
+        more = materialize(_block_links(rest, known), "block-links")
+    finally:
+        conf.set(key, usual)
     found = components(tried.where("linked").select("a", "b").unionByName(more))
     return labels.unionByName(found)
 
