@@ -2,7 +2,7 @@
 
 import corpus_pipeline
 import pytest
-from test_operators import brute_components, brute_lines, split
+from test_llm_operators import brute_components, brute_lines, split
 
 from tidebook.llm import mixing, quality
 
