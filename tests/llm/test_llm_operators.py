@@ -65,6 +65,25 @@ def test_neighbours_recall_and_order(spark):
     assert got[got["query_id"] == 50].sort_values("rank")["vec_id"].tolist() == [700, 701, 702, 703, 704]
 
 
+def test_neighbours_of_a_table_of_many_slices(spark):
+    n = 80_000
+    x = np.random.default_rng(4).standard_normal((n, 32))
+    table = neighbours.pd.DataFrame({"vec_id": np.arange(n), "embedding": list(x)})
+    spark.conf.set("spark.sql.execution.arrow.pyspark.enabled", "true")
+    try:
+        rows = spark.createDataFrame(table, "vec_id long, embedding array<double>")
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.pyspark.enabled")
+    got = neighbours.search(rows, neighbours.F.col("vec_id") % 2000 == 0).toPandas()
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    hits = 0
+    for q in range(0, n, 2000):
+        near = unit @ unit[q]
+        near[q] = -9
+        hits += len(set(np.argsort(-near)[:5].tolist()) & set(got.loc[got["query_id"] == q, "vec_id"]))
+    assert hits >= 0.97 * 200
+
+
 def test_neighbours_leave_out_unusable_vectors(spark):
     rows = [(0, [1.0, 0.0]), (50, [0.0, 0.0]), (1, None), (2, [float("nan"), 1.0]), (3, [1.0, None]), (4, [float("inf"), 1.0]), (5, [1.0, 1.0]), (6, [1.0, 0.0])]
     got = neighbours.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), neighbours.F.col("vec_id") % 50 == 0).collect()

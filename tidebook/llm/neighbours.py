@@ -6,15 +6,16 @@ residual that is parallel to the vector ``eta`` times as much as the rest
 (anisotropic loss): that part moves the inner products that matter. Each
 subspace has 16 codewords, two codes to a byte.
 
-Coarse centres split all rows into lists, and lists into slices of about
-``SLICE`` rows, so no list is one task however many equal vectors it holds. A
-query probes its nearest lists. Inside a slice a table of the query's inner
-products with the codewords is summed over the codes; each slice keeps its best
-``KEEP`` rows, each query its best ``RERANK``, and these are ranked again by the
-cosine of the original vectors in double precision.
+The codes are dealt by hash into slices of about ``SLICE`` rows, and every query
+scans all of them at every size: vectors without clusters lose neighbours when
+only the lists near a query are scanned. Inside a slice a table of the query's
+inner products with the codewords is summed over the codes; each slice keeps its
+best ``KEEP`` rows, each query its best ``RERANK``, and these are ranked again by
+the cosine of the original vectors in double precision. The scan costs rows times
+queries.
 
-Codebooks and centres are fitted on at most ``SAMPLE`` rows (smallest hash of
-vec_id); every row is indexed. Lists grow with the table up to ``MAX_LISTS``.
+Codebooks are fitted on at most ``SAMPLE`` rows (smallest hash of vec_id); every
+row is indexed.
 
 Defined cases: vectors that are null, zero, of another length than the most of
 the sample or hold null or non-finite components take no part, as query or
@@ -37,12 +38,10 @@ from tidebook.llm.tables import read
 SAMPLE = 8192
 SUBSPACE = 2
 WORDS = 16
-LIST_ROWS = 4096
-MAX_LISTS = 4096
 SLICE = 8192
 QUERY_BLOCK = 1024
 KEEP = 100
-RERANK = 200
+RERANK = 600
 THRESHOLD = 0.2
 
 
@@ -86,14 +85,12 @@ def assign(x: np.ndarray, books: np.ndarray, eta: float, rounds: int = 2) -> np.
     return codes.astype(np.uint8)
 
 
-def fit(sample: np.ndarray, lists: int, seed: int = 11, rounds: int = 4) -> dict:
-    """Centres and codebooks from the sampled rows (any length, not zero)."""
+def fit(sample: np.ndarray, seed: int = 11, rounds: int = 4) -> dict:
+    """Codebooks from the sampled rows (any length, not zero)."""
     rng = np.random.default_rng(seed)
     x = (sample / np.linalg.norm(sample, axis=1, keepdims=True)).astype(np.float32)
     d = x.shape[1]
     pad = -d % (2 * SUBSPACE)
-    centres = _kmeans(x, min(lists, len(x)), rng)
-    centres /= np.maximum(np.linalg.norm(centres, axis=1, keepdims=True), 1e-9)
     x = np.pad(x, ((0, 0), (0, pad)))
     m = x.shape[1] // SUBSPACE
     eta = max(1.0, (d - 1) * THRESHOLD**2 / (1 - THRESHOLD**2))
@@ -111,7 +108,7 @@ def fit(sample: np.ndarray, lists: int, seed: int = 11, rounds: int = 4) -> dict
                 left = len(p) * np.eye(SUBSPACE) + (eta - 1) * p.T @ p
                 right = p.sum(0) + (eta - 1) * (p * (s + (p**2).sum(1))[:, None]).sum(0)
                 books[j, c] = np.linalg.solve(left, right)
-    return {"dims": d, "pad": pad, "centres": centres, "books": books.astype(np.float32), "eta": eta}
+    return {"dims": d, "pad": pad, "books": books.astype(np.float32), "eta": eta}
 
 
 def _unit(column: pd.Series, model: dict) -> np.ndarray:
@@ -136,9 +133,8 @@ def search(vectors: DataFrame, queries: Column, k: int = 5, keep: int = KEEP, re
     sample = valid.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).toPandas()
     dims = int(sample["embedding"].map(len).mode().iloc[0])
     valid = valid.where(F.size("embedding") == dims)
-    lists = int(min(MAX_LISTS, max(1, n // LIST_ROWS)))
-    probes = min(lists, max(8, lists // 4))
-    model = fit(np.array([v for v in sample["embedding"] if len(v) == dims], np.float64), lists)
+    slices = -(-n // SLICE)
+    model = fit(np.array([v for v in sample["embedding"] if len(v) == dims], np.float64))
     sent = spark.sparkContext.broadcast(model)
 
     def encode(batches):
@@ -148,25 +144,15 @@ def search(vectors: DataFrame, queries: Column, k: int = 5, keep: int = KEEP, re
                 x = _unit(pdf["embedding"], m)
                 codes = np.concatenate([assign(np.pad(y, ((0, 0), (0, m["pad"]))), m["books"], m["eta"]) for y in np.array_split(x, max(1, len(x) // 2048))])
                 packed = codes[:, 0::2] << 4 | codes[:, 1::2]
-                yield pd.DataFrame({"vec_id": pdf["vec_id"], "list": (x @ m["centres"].T).argmax(1).astype(np.int32), "codes": [r.tobytes() for r in packed]})
+                yield pd.DataFrame({"vec_id": pdf["vec_id"], "codes": [r.tobytes() for r in packed]})
 
-    coded = materialize(valid.mapInPandas(encode, "vec_id long, list int, codes binary"), "codes")
-    slices = coded.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / SLICE).cast("int").alias("slices"))
-    asked = valid.where(queries)
+    coded = materialize(valid.mapInPandas(encode, "vec_id long, codes binary"), "codes")
+    asked = valid.where(queries).select(F.col("vec_id").alias("query_id"), "embedding")
     blocks = max(1, -(-asked.count() // QUERY_BLOCK))
-
-    def probe(batches):
-        m = sent.value
-        for pdf in batches:
-            if len(pdf):
-                near = np.argpartition(-(_unit(pdf["embedding"], m) @ m["centres"].T), probes - 1, axis=1)[:, :probes]
-                yield pd.DataFrame({"query_id": pdf["vec_id"], "embedding": pdf["embedding"], "lists": list(near.astype(np.int32))})
-
-    probing = asked.mapInPandas(probe, "query_id long, embedding array<double>, lists array<int>")
-    block = (F.pmod(F.xxhash64("query_id"), F.lit(blocks))).cast("int").alias("block")
-    probing = probing.select("query_id", "embedding", block, F.explode("lists").alias("list"))
-    probing = probing.join(slices, "list").withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
-    candidates = coded.join(slices, "list").select("vec_id", "codes", "list", F.pmod(F.xxhash64("vec_id"), F.col("slices")).cast("int").alias("slice"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+    block = F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int").alias("block")
+    asking = asked.select("query_id", "embedding", block, F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("slice"))
+    slice_ = F.pmod(F.xxhash64("vec_id"), F.lit(slices)).cast("int").alias("slice")
+    candidates = coded.select("vec_id", "codes", slice_, F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
 
     def scan(rows: pd.DataFrame, asks: pd.DataFrame) -> pd.DataFrame:
         m = sent.value
@@ -194,8 +180,8 @@ def search(vectors: DataFrame, queries: Column, k: int = 5, keep: int = KEEP, re
         found = pd.DataFrame({"query_id": np.concatenate(asked_by), "vec_id": np.concatenate(kept), "near": np.concatenate(scores)})
         return found[found["query_id"] != found["vec_id"]]
 
-    keys = ["list", "slice", "block"]
-    found = candidates.groupBy(*keys).cogroup(probing.groupBy(*keys)).applyInPandas(scan, "query_id long, vec_id long, near float")
+    keys = ["slice", "block"]
+    found = candidates.groupBy(*keys).cogroup(asking.groupBy(*keys)).applyInPandas(scan, "query_id long, vec_id long, near float")
     order = Window.partitionBy("query_id").orderBy(F.desc("near"), "vec_id")
     short = found.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= rerank).select("query_id", "vec_id")
     other = valid.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("_q"))
