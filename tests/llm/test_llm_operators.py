@@ -84,6 +84,22 @@ def test_neighbours_of_a_table_of_many_slices(spark):
     assert hits >= 0.97 * 200
 
 
+def test_copies_take_one_candidate_place(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "assign", lambda x, books, eta, rounds=2: np.zeros((len(x), len(books)), np.uint8))  # all codes equal
+    rng = np.random.default_rng(6)
+    x = np.vstack([np.tile(rng.standard_normal(16), (3000, 1)), rng.standard_normal((60, 16))])
+    x[3001] = x[3000] + 0.01
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = neighbours.search(rows, neighbours.F.col("vec_id").isin(2, 5, 2999, 3000)).orderBy("query_id", "rank").toPandas()
+    by = got.groupby("query_id")["vec_id"].agg(list)
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = np.round(unit @ unit[3000], 12)
+    near[3000] = -9
+    assert by[3000] == np.lexsort((np.arange(len(x)), -near))[:5].tolist()
+    assert by[2] == [0, 1, 3, 4, 5] and by[5] == by[2999] == [0, 1, 2, 3, 4]
+    assert np.allclose(got["score"], (unit[got["query_id"]] * unit[got["vec_id"]]).sum(1))
+
+
 def test_neighbours_leave_out_unusable_vectors(spark):
     rows = [(0, [1.0, 0.0]), (50, [0.0, 0.0]), (1, None), (2, [float("nan"), 1.0]), (3, [1.0, None]), (4, [float("inf"), 1.0]), (5, [1.0, 1.0]), (6, [1.0, 0.0])]
     got = neighbours.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), neighbours.F.col("vec_id") % 50 == 0).collect()

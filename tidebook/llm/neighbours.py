@@ -6,6 +6,10 @@ residual that is parallel to the vector ``eta`` times as much as the rest
 (anisotropic loss): that part moves the inner products that matter. Each
 subspace has 16 codewords, two codes to a byte.
 
+Rows of one vector are one kind: the row of the smallest vec_id stands for
+all, is coded, asked and ranked once, and each kind that wins gives its ``k`` + 1
+smallest vec_ids, so copies take one candidate place however many there are.
+
 The codes are dealt by hash into slices of about ``SLICE`` rows, and every query
 scans all of them at every size: vectors without clusters lose neighbours when
 only the lists near a query are scanned. Inside a slice a table of the query's
@@ -20,9 +24,8 @@ row is indexed.
 Defined cases: vectors that are null, zero, of another length than the most of
 the sample or hold null or non-finite components take no part, as query or
 candidate; fewer candidates than asked for are all returned; equal scores go to
-the smaller vec_id, also before reranking, so copies of one vector come in
-order; a vec_id that repeats counts once, with its smallest vector; an empty
-table gives an empty result.
+the smaller vec_id, so copies of one vector come in order; a vec_id that repeats
+counts once, with its smallest vector; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -33,12 +36,14 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidebook.functions.storage import materialize, worker_imports
-from tidebook.llm.tables import read
+from tidebook.llm.tables import read, small_side
 
 SAMPLE = 8192
 SUBSPACE = 2
 WORDS = 16
 SLICE = 8192
+PARTS = 32
+BROADCAST_ROWS = 400_000
 QUERY_BLOCK = 1024
 KEEP = 100
 RERANK = 600
@@ -116,6 +121,15 @@ def _unit(column: pd.Series, model: dict) -> np.ndarray:
     return (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
 
 
+def _kinds(valid: DataFrame, members: int) -> DataFrame:
+    """One row for each vector: its smallest vec_id, its ``members`` smallest."""
+    first = lambda df, *by: df.withColumn("_r", F.row_number().over(Window.partitionBy(*by).orderBy("vec_id"))).where(F.col("_r") <= members).drop("_r")
+    # in two steps, so that a vector that many rows have isn't one task
+    some = first(valid.withColumn("_part", F.pmod(F.xxhash64("vec_id"), F.lit(PARTS))), "h1", "h2", "_part")
+    some = first(some, "h1", "h2")
+    return some.groupBy("h1", "h2").agg(F.min("vec_id").alias("vec_id"), F.array_sort(F.collect_list("vec_id")).alias("members"), F.min_by("embedding", "vec_id").alias("embedding"))
+
+
 def search(vectors: DataFrame, queries: Column, k: int = 5, keep: int = KEEP, rerank: int = RERANK) -> DataFrame:
     """The ``k`` nearest other rows of each row for which ``queries`` holds.
 
@@ -133,7 +147,9 @@ def search(vectors: DataFrame, queries: Column, k: int = 5, keep: int = KEEP, re
     sample = valid.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).toPandas()
     dims = int(sample["embedding"].map(len).mode().iloc[0])
     valid = valid.where(F.size("embedding") == dims)
-    slices = -(-n // SLICE)
+    valid = valid.withColumn("h1", F.xxhash64("embedding")).withColumn("h2", F.xxhash64(F.lit(1), "embedding"))
+    kinds = materialize(_kinds(valid, k + 1), "kinds")
+    slices = -(-kinds.count() // SLICE)
     model = fit(np.array([v for v in sample["embedding"] if len(v) == dims], np.float64))
     sent = spark.sparkContext.broadcast(model)
 
@@ -146,8 +162,10 @@ def search(vectors: DataFrame, queries: Column, k: int = 5, keep: int = KEEP, re
                 packed = codes[:, 0::2] << 4 | codes[:, 1::2]
                 yield pd.DataFrame({"vec_id": pdf["vec_id"], "codes": [r.tobytes() for r in packed]})
 
-    coded = materialize(valid.mapInPandas(encode, "vec_id long, codes binary"), "codes")
-    asked = valid.where(queries).select(F.col("vec_id").alias("query_id"), "embedding")
+    coded = materialize(kinds.select("vec_id", "embedding").mapInPandas(encode, "vec_id long, codes binary"), "codes")
+    seekers = valid.where(queries).select(F.col("vec_id").alias("query_id"), "h1", "h2")
+    asked = kinds.join(seekers.select("h1", "h2").distinct(), ["h1", "h2"]).select(F.col("vec_id").alias("query_id"), "h1", "h2", "members", "embedding")
+    asked = materialize(asked, "asked")
     blocks = max(1, -(-asked.count() // QUERY_BLOCK))
     block = F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int").alias("block")
     asking = asked.select("query_id", "embedding", block, F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("slice"))
@@ -184,13 +202,21 @@ def search(vectors: DataFrame, queries: Column, k: int = 5, keep: int = KEEP, re
     found = candidates.groupBy(*keys).cogroup(asking.groupBy(*keys)).applyInPandas(scan, "query_id long, vec_id long, near float")
     order = Window.partitionBy("query_id").orderBy(F.desc("near"), "vec_id")
     short = found.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= rerank).select("query_id", "vec_id")
-    other = valid.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("_q"))
-    both = short.join(valid, "vec_id").join(other, "query_id")
+    own = asked.select("query_id", F.col("query_id").alias("vec_id"))
+    other = asked.select("query_id", "h1", "h2", F.col("embedding").alias("_q"))
+    both = short.union(own).join(kinds.select("vec_id", "members", "embedding"), "vec_id").join(other, "query_id")
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
     score = dot("_q", "embedding") / (F.sqrt(dot("_q", "_q")) * F.sqrt(dot("embedding", "embedding")))
-    scored = both.select("query_id", "vec_id", score.alias("score"))
+    scored = both.select("query_id", "h1", "h2", "vec_id", "members", score.alias("score"))
+    # the first k + 1 rows are of the first k + 1 kinds, as each kind has a row
     last = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return scored.withColumn("rank", F.row_number().over(last)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    best = scored.withColumn("_r", F.row_number().over(last)).where(F.col("_r") <= k + 1)
+    rows = F.transform("members", lambda v: F.struct((-F.col("score")).alias("away"), v.alias("vec_id")))
+    best = best.groupBy("query_id", "h1", "h2").agg(F.array_sort(F.flatten(F.collect_list(rows))).alias("rows"))
+    best = materialize(best.select("h1", "h2", F.slice("rows", 1, k + 1).alias("rows")), "nearest")
+    out = seekers.join(small_side(best, BROADCAST_ROWS), ["h1", "h2"])
+    out = out.select("query_id", F.posexplode(F.slice(F.filter("rows", lambda x: x["vec_id"] != F.col("query_id")), 1, k)).alias("at", "row"))
+    return out.select("query_id", (F.col("at") + 1).alias("rank"), F.col("row.vec_id").alias("vec_id"), (-F.col("row.away")).alias("score"))
 
 
 def op1_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
