@@ -416,6 +416,32 @@ def test_lines_equal_brute_force(spark, docs):
     assert got == brute_lines(rows)
 
 
+def within_one_edit(a, b):
+    if abs(len(a) - len(b)) > 1:
+        return False
+    if len(a) == len(b):
+        return sum(x != y for x, y in zip(a, b, strict=True)) <= 1
+    long, short = (a, b) if len(a) > len(b) else (b, a)
+    return any(long[:j] + long[j + 1 :] == short for j in range(len(long)))
+
+
+def test_short_lines_go_too(spark):
+    said = ["All rights reserved.", "Menu", "to the top", "  ", "see page one now", "see page two now", "see page two now please", "read the whole very long story", "by me", "read the whole long story", "one two three", "one two four"]
+    rows = [(i, "\n".join(said[(i * 5 + j * 7) % len(said)] for j in range(6))) for i in range(6)]
+    seen, want = [], {}
+    for i, text in rows:
+        keep = []
+        for line in text.split("\n"):
+            w = tuple(split(line))
+            if not w or not any(w == x or min(len(w), len(x)) >= 4 and within_one_edit(w, x) for x in seen):
+                keep.append(line)
+            if w:
+                seen.append(w)
+        want[i] = "\n".join(keep)
+    got = {r.doc_id: r.text for r in lines.without_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want
+
+
 def test_lines_odd_inputs(odd, empty):
     got = lines.without_duplicates(odd)
     assert got.count() == len(ODD) and got.columns == [*odd.columns, "dropped"]

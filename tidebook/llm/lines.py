@@ -4,8 +4,9 @@ A line is its words; two lines are near if one word inserted, deleted or
 replaced turns one into the other (edit distance 1 over words), for lines of at
 least ``MIN_WORDS`` words, and if they have the same words in the same order
 otherwise. A line goes if any line before it is equal or near; the earliest
-stays. Order is doc_id, then line number. Lines of fewer than ``MIN_LINE`` words
-always stay: two texts share them by chance.
+stays. Order is doc_id, then line number. Every line that isn't blank takes part;
+one of ``MIN_WORDS`` has three words in four left after an edit, and shorter ones
+go only if equal, as an edit there is a third of the line or more.
 
 1. Equal lines collapse to their earliest place, by two hashes of their words.
 2. Near lines share their first or their last half, whichever the edit is not
@@ -37,8 +38,8 @@ from pyspark.sql import functions as F
 from tidebook.functions.storage import materialize
 from tidebook.llm.tables import read, small_side
 
-MIN_LINE = 4
-MIN_WORDS = 8
+MIN_LINE = 1
+MIN_WORDS = 4
 BROADCAST_ROWS = 400_000
 _SPACES = r"[\x20\x09-\x0D]+"
 
@@ -65,6 +66,7 @@ def _halves() -> Column:
     first = lambda h: at(0, h, F.slice("words", F.lit(1), h))
     last = lambda h: at(1, h, F.slice("words", n - h + 1, h))
     a, b = F.floor(n / 2).cast("int"), F.floor((n - 1) / 2).cast("int")
+    b = F.when(n > MIN_WORDS, b).otherwise(a)  # the shortest have no shorter partner
     return F.when(n >= MIN_WORDS, F.array_distinct(F.array(first(a), last(a), first(b), last(b)))).otherwise(F.array().cast("array<long>"))
 
 
