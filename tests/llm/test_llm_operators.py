@@ -274,6 +274,24 @@ def test_secret_spans(spark):
     assert got[5] == [] and got[6] == [] and got[7] == []
 
 
+def test_letters_only_and_late_secrets(spark):
+    key = "qZkTwBnXvRmJpLcHyGsD"
+    late = "Zk8Qw3Rt9Yp2Lm5Xc7Vb1Nh4Jd6"
+    near, far = "bearer" + " w" * 31 + " ", "bearer" + " w" * 32 + " "
+    rows = [
+        (1, f"bearer auth header {key} done"),
+        (2, f"the credential is {key.lower()}"),
+        (3, "credential for internationalization, UsernamePasswordAuthenticationFilter and responsibilities"),
+        (4, near + late),
+        (5, far + late),
+    ]
+    got = {r.doc_id: [(s.kind, s.start, s.end) for s in r.spans] for r in secret_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1] == [("novel", 19, 19 + len(key))]
+    assert got[2] == [("novel", 18, 18 + len(key))]
+    assert got[3] == [] and got[5] == []
+    assert got[4] == [("novel", len(near), len(near) + len(late))]
+
+
 def test_secret_digest_of_nothing(spark, sf_dir):
     got = secret_scan.op4_secrets(spark, sf_dir).where("spans = ''").first()
     assert got.base_sha256 == hashlib.sha256(b"").hexdigest() and got.n_assign == got.n_access == got.n_hex == 0

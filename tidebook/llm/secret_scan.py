@@ -1,8 +1,8 @@
 """Secret scans: fixed patterns, and strings that resist compression.
 
 Three patterns give the base spans. The novelty pass then looks at strings of
-``MIN_NOVEL`` or more value characters that follow a sensitive word within
-``CONTEXT`` characters. It compresses the surrounding text with and without the
+``MIN_NOVEL`` or more value characters that start within ``CONTEXT`` characters
+after a sensitive word, letters only or not. It compresses the surrounding text with and without the
 candidate, by a Zstandard compressor primed with a dictionary of identifiers:
 the marginal compressed bytes for each character tell how new the string is.
 Names and paths made of known parts cost little; random keys cost nearly what
@@ -36,6 +36,8 @@ MIN_BYTES = 0.62
 SENSITIVE = "password passwd secret token api_key apikey credential private_key auth bearer access_key signature session".split()
 #: What code and configuration say often; the compressor knows these strings.
 IDENTIFIERS = " ".join(SENSITIVE) + " username client_id client_secret authorization content_type application/json https://www. http://localhost .com/ .org/ index.html function return string integer boolean default config settings environment production development example placeholder your_ changeme undefined null true false public static class import export const let var self this value key name user admin root database connection timeout version request response header data file path url uri id uuid abcdefghijklmnopqrstuvwxyz ABCDEFGHIJKLMNOPQRSTUVWXYZ 0123456789 "
+#: Parts of long words and names, so that those made of letters only cost little too.
+PARTS = "Authentication Authorization Administration Organization Application Configuration Implementation Initialization Serialization Synchronization Transformation Communication Representation Specification Notification Verification Identification Management Manager Provider Filter Factory Abstract Bean Service Controller Repository Handler Listener Exception Interface Context Component Builder Adapter Processor Generator Validator Resource Credentials Username Password Token Session Access Secret Private Public Refresh Signature Encryption Certificate Internal External Invalid Missing Required Expired Available Allowed Denied Permission Security Connection Transaction Database Environment Development Production international nationalization nationality constitutionally constitutionnellement characteristically responsibilities telecommunications counterrevolutionary revolutionary misunderstanding understanding straightforwardness extraordinarily disproportionately proportionate administratively interdisciplinary electromagnetic environmental industrialization institutionalization experimentation differentiation recommendations circumstances unprecedented nevertheless notwithstanding incomprehensible indistinguishable unconditionally philosophical psychological technological geographical pharmaceutical manufacturing entrepreneurship acknowledgement accomplishment establishment entertainment correspondence superintendent transcontinental Datenschutz grundverordnung schutz verordnung Geschwindigkeit Gesellschaft wissenschaftlich Sicherheit Verantwortung Veranstaltung responsabilidad administrativo internacional extraordinario particularmente anti inter trans over under counter micro multi ability ization isation ational ically fulness lessness iveness ousness ement mente keit heit ungen lichkeit "
 
 _ASSIGN = re.compile(r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -59,7 +61,7 @@ def base_spans(text: str, lower: str, hexes: bool) -> list[tuple[int, int, int]]
 
 
 def packer() -> zstandard.ZstdCompressor:
-    primed = zstandard.ZstdCompressionDict(IDENTIFIERS.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    primed = zstandard.ZstdCompressionDict((PARTS + IDENTIFIERS).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
     return zstandard.ZstdCompressor(level=19, dict_data=primed, write_checksum=False, write_content_size=False)
 
 
@@ -74,12 +76,12 @@ def novel_spans(text: str, lower: str, base: list[tuple[int, int, int]], zip_) -
         return []
     found, done = [], 0
     for hint in _HINT.finditer(text):
-        for m in _NOVEL.finditer(text, max(hint.end(), done), min(len(text), hint.end() + CONTEXT)):
+        for m in _NOVEL.finditer(text, max(hint.end(), done), min(len(text), hint.end() + CONTEXT + MIN_NOVEL - 1)):
             a, b = _NOVEL.match(text, m.start()).span()
             if a < done:
                 continue
             done = b
-            if any(s < b and a < e for s, _, e in base) or text[a:b].isalpha():
+            if any(s < b and a < e for s, _, e in base):
                 continue
             around = text[max(0, a - 4 * CONTEXT) : a] + text[b : b + 4 * CONTEXT]
             if novelty(text[a:b], around, zip_) >= MIN_BYTES:
