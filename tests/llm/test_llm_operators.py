@@ -144,33 +144,45 @@ def total(v, ids):
     return sum(v.score.get(v.text[i], 0.0) for i in ids)
 
 
-def test_pieces_reach_the_librarys_best_score(docs, library):
+def test_pieces_are_the_librarys_unigram_ids(docs, library):
+    """Equal ids, but where two segmentations have the same score."""
     v = pieces.vocabulary()
-    for r in docs.limit(40).collect():
-        mine, theirs = v.encode(pieces.marked(r.text)).tolist(), library.encode(r.text)
-        assert abs(total(v, mine) - total(v, theirs)) < 1e-2
+    same = 0
+    rows = docs.limit(100).collect()
+    for r in rows:
+        mine, theirs = v.encode(r.text).tolist(), library.encode(r.text)
+        assert abs(total(v, mine) - total(v, theirs)) < 1e-3
         assert v.decode(mine) == r.text
+        same += mine == theirs
+    assert same >= 90
 
 
 @pytest.mark.parametrize(("chunk", "fan"), [(40, 3), (500, 2)])
 def test_chunked_scan_equals_one_pass(spark, chunk, fan):
-    texts = ["x" * 700, "ab cd " * 200, "  lead and trail  ", "日本語テスト🙂 " * 30, "no-space" * 60, "one two three"]
+    texts = ["x" * 700, "ab cd " * 200, "  lead and trail  ", "日本語テスト🙂 " * 30, "no-space" * 60, "one two three", "²." * 300, "🙂" * 90, "line\n\nline\t" * 50]
     rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     v = pieces.vocabulary()
     got = pieces.encode(rows, chunk=chunk, fan=fan, decoded=True).collect()
     assert len(got) == len(texts)
     for r in got:
         assert r.decoded == texts[r.doc_id]
-        whole = v.encode(pieces.marked(r.text)).tolist()
-        assert abs(total(v, r.ids) - total(v, whole)) < 1e-6
+        whole = pieces.marked(r.text)
+        best = v.forward(whole, 0, len(whole))[0][-1]
+        odd = v.unknown * sum(c not in v.chars for c in whole)
+        assert abs(total(v, r.ids) + odd - best) < 1e-6
+        assert abs(total(v, v.encode(r.text).tolist()) + odd - best) < 1e-6
 
 
-def test_batched_words_equal_single_ones():
-    a, b = pieces.Vocabulary(), pieces.Vocabulary()
-    words = [f"▁{x}{y}" for x in ("un", "re", "é", "$$", "日") for y in ("lock", "ing", "", "%%a", "ß")]
-    a.learn(list(words))
-    for w in words:
-        assert abs(a.words[w][0] - b.solve(w)[0]) < 1e-9
+def test_a_very_long_text_is_encoded_whole(spark):
+    text = ("some words 日本 " * 1000 + "y" * 50_000) * 30  # 2 MB
+    got = pieces.encode(spark.createDataFrame([(1, text), (2, None)], "doc_id long, text string"), decoded=True)
+    assert {r.doc_id: r.decoded for r in got.collect()} == {1: text, 2: ""}
+
+
+def test_pieces_keep_other_columns(spark):
+    rows = spark.createDataFrame([(1, "a b", [1], {"k": 2}), (1, "a b", None, None)], "ids long, text string, part array<int>, piece map<string,int>")
+    got = pieces.encode(rows, decoded=True)
+    assert sorted(got.columns) == ["decoded", "ids", "part", "piece", "text"] and got.where("decoded = 'a b'").count() == 2
 
 
 def test_pieces_odd_inputs(odd, empty):

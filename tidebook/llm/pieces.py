@@ -10,15 +10,20 @@ max-plus product, which is associative: first inside groups of ``FAN`` chunks,
 then over the groups of a document, then back down, which fixes every chunk's
 entry and exit state. Each chunk is then traced back on its own.
 
-White space becomes U+2581 and one is put in front, as the model file says. No
-piece holds that mark behind another character, so a word start is a place where
-all paths meet: chunks are cut anywhere, but inside a chunk the words between
-its first and last such place are solved once and remembered.
+White space becomes U+2581 and one is put in front, as the model file says.
+Where no piece of the vocabulary has the two characters on either side of a
+place inside it, all paths meet there: ``_TOKEN`` splits at such places (checked
+against every piece when a vocabulary is loaded; a vocabulary that doesn't fit
+is split at word starts only). What lies between two of them is solved alone and
+remembered. A chunk's matrix needs only what comes before its first and after
+its last such place; the score of the middle is the same for all states, so it
+is left out, which shifts a matrix by a constant and changes no best path.
 
 Piece scores: the vocabulary file ranks its pieces (it was made by merging), so
 a piece of rank r scores ``-log(r + RANK_SHIFT)``, a Zipf estimate of its log
 probability; characters without a piece become byte pieces at the score of the
-worst piece less ``UNKNOWN``. ``scores="file"`` takes the file's numbers.
+worst piece less ``UNKNOWN``. ``scores="file"`` takes the file's numbers. Scores
+are rounded to single precision, as model files hold them.
 
 Defined cases: a null text is empty and has no ids; U+2581 in a text can't be
 told from a space and decodes as one; lone surrogates become question marks;
@@ -29,12 +34,14 @@ whole, in one row; an empty table gives an empty result; other columns pass.
 from __future__ import annotations
 
 import math
-import re
 import struct
 from functools import lru_cache
 
+import ahocorasick
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,15 +54,16 @@ CHUNK = 1 << 15
 FAN = 256
 RANK_SHIFT = 100.0
 UNKNOWN = 10.0
-REMEMBERED = 250_000
+#: Strings in each of two generations of the memo, and the longest one kept.
+REMEMBERED = 150_000
 LONGEST = 48
-BATCH = 512
-_SPREAD = 0x9E3779B97F4A7C15
-_WORD = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
+BATCH = 128
+_TOKEN = regex.compile(rf"{MARK}*[\p{{L}}\p{{M}}]+|{MARK}*[^\p{{L}}\p{{M}}{MARK}\n]+|{MARK}+|\n")
+_WORD = regex.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 
 
 class Vocabulary:
-    """Pieces with scores, byte pieces, and the solver for short strings."""
+    """Pieces with scores, byte pieces, and the solver for strings."""
 
     def __init__(self, path: str = MODEL, scores: str = "rank"):
         from sentencepiece import sentencepiece_model_pb2 as pb
@@ -69,157 +77,67 @@ class Vocabulary:
         self.text = [p.piece for p in proto.pieces]
         self.parts = [bytes([int(p.piece[3:5], 16)]) if p.type == kinds.BYTE else p.piece.encode() for p in proto.pieces]
         first = min(self.ids.values())
-        if scores == "rank":
-            self.score = {s: -math.log(i - first + RANK_SHIFT) for s, i in self.ids.items()}
-        else:
-            self.score = {s: proto.pieces[i].score for s, i in self.ids.items()}
+        score = (lambda i: -math.log(i - first + RANK_SHIFT)) if scores == "rank" else (lambda i: proto.pieces[i].score)
+        self.score = {s: float(np.float32(score(i))) for s, i in self.ids.items()}
         self.unknown = min(self.score.values()) - UNKNOWN
         self.reach = max(map(len, self.ids))
-        # a tree of characters; the empty key holds the piece that ends there
-        self.tree: dict = {}
+        self.chars = {s for s in self.ids if len(s) == 1}
+        finder = ahocorasick.Automaton()
         for s, i in self.ids.items():
-            node = self.tree
-            for c in s:
-                node = node.setdefault(c, {})
-            node[""] = (self.score[s], i)
-        self._lay_out()
-        self.words: dict[str, tuple[float, bytes]] = {}
-
-    def _lay_out(self) -> None:
-        """The tree as arrays: an open hash table of (node, character), and
-        each node's piece and score."""
-        edges, ends, todo = [], [(-1, -math.inf)], [(0, self.tree)]
-        while todo:
-            n, node = todo.pop()
-            for c, child in node.items():
-                if c:
-                    edges.append((n << 21 | ord(c), len(ends)))
-                    ends.append((child[""][1], child[""][0]) if "" in child else (-1, -math.inf))
-                    todo.append((len(ends) - 1, child))
-        self.bits = (4 * len(edges)).bit_length()
-        self.keys = np.full(1 << self.bits, -1, np.int64)
-        self.children = np.zeros(1 << self.bits, np.int32)
-        for key, child in edges:
-            at = (key * _SPREAD % (1 << 64)) >> (64 - self.bits)
-            while self.keys[at] >= 0:
-                at = (at + 1) % (1 << self.bits)
-            self.keys[at], self.children[at] = key, child
-        self.node_piece = np.array([e[0] for e in ends], np.int32)
-        self.node_score = np.array([e[1] for e in ends])
-
-    def _step(self, nodes: np.ndarray, chars: np.ndarray) -> np.ndarray:
-        """Child nodes by character, -1 where there is none."""
-        key = nodes.astype(np.int64) << 21 | chars
-        at = ((key.view(np.uint64) * np.uint64(_SPREAD)) >> np.uint64(64 - self.bits)).astype(np.int64)
-        seen = self.keys[at]
-        out = np.where(seen == key, self.children[at], -1)
-        on = np.flatnonzero((seen != key) & (seen >= 0))
-        while len(on):
-            at[on] = (at[on] + 1) % (1 << self.bits)
-            seen = self.keys[at[on]]
-            hit = seen == key[on]
-            out[on[hit]] = self.children[at[on[hit]]]
-            on = on[~hit & (seen >= 0)]
-        return out
-
-    def learn(self, words: list[str]) -> None:
-        """Solve many words at once: the same recursion, a column at a time."""
-        words.sort(key=len)
-        lengths = np.fromiter(map(len, words), np.int64, len(words))
-        width = int(lengths[-1])
-        text = np.zeros((len(words), width), np.int64)
-        flat = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)
-        text[np.arange(width) < lengths[:, None]] = flat
-        best = np.full((width + 1, len(words)), -np.inf)
-        since = np.zeros((width + 1, len(words)), np.int32)
-        piece = np.full((width + 1, len(words)), -1, np.int32)
-        best[0] = 0.0
-        for i in range(width):
-            live = np.arange(np.searchsorted(lengths, i, side="right"), len(words))
-            nodes = np.zeros(len(live), np.int64)
-            single = np.zeros(len(words), bool)
-            for j in range(i + 1, min(width, i + self.reach) + 1):
-                far = lengths[live] >= j
-                live, nodes = live[far], nodes[far]
-                nodes = self._step(nodes, text[live, j - 1])
-                live, nodes = live[nodes >= 0], nodes[nodes >= 0]
-                if not len(live):
-                    break
-                score = best[i, live] + self.node_score[nodes]
-                if j == i + 1:
-                    single[live[self.node_piece[nodes] >= 0]] = True
-                won = score > best[j, live]
-                w = live[won]
-                best[j, w], since[j, w], piece[j, w] = score[won], i, self.node_piece[nodes[won]]
-            none = np.flatnonzero(~single & (lengths > i))
-            none = none[best[i, none] + self.unknown > best[i + 1, none]]
-            best[i + 1, none], since[i + 1, none], piece[i + 1, none] = best[i, none] + self.unknown, i, -1
-        at, every = lengths.copy(), np.arange(len(words))
-        total = best[at, every]
-        taken = []
-        odd = np.zeros(len(words), bool)
-        while (at > 0).any():
-            p = np.where(at > 0, piece[at, every], -2)
-            odd |= p == -1
-            taken.append(p)
-            at = np.where(at > 0, since[at, every], 0)
-        ids = np.array(taken[::-1], np.int32).T
-        n = (ids >= 0).sum(1)
-        ends = np.cumsum(n) * 4
-        packed = ids[ids >= 0].tobytes()
-        known = self.words
-        for w, score, a, b, bytewise in zip(words, total.tolist(), (ends - n * 4).tolist(), ends.tolist(), odd.tolist(), strict=True):
-            if bytewise:
-                self.solve(w)
-            else:
-                known[w] = score, packed[a:b]
-
-    def meet(self, split: list[list[str]]) -> None:
-        """Learn the words of some texts that aren't known yet, together."""
-        met = set().union(*split)
-        new = met - self.words.keys()
-        if len(self.words) + len(new) > REMEMBERED:
-            self.words.clear()
-            new = met
-        short = [w for w in new if len(w) <= LONGEST] if len(new) > 500 else []
-        for at in range(0, len(short), 20_000):
-            self.learn(short[at : at + 20_000])
-
-    def encode_all(self, texts: list[str]) -> list[np.ndarray]:
-        """Ids of marked texts; words not met before are learned together."""
-        split = [_WORD.findall(t) for t in texts]
-        self.meet(split)
-        get, solve = self.words.get, self.solve
-        return [np.frombuffer(b"".join([(get(w) or solve(w))[1] for w in words]), np.int32) for words in split]
+            finder.add_word(s, (len(s), self.score[s], i))
+        finder.make_automaton()
+        #: (last position, (length, score, id)) of every piece in a string, by end
+        self.matches = finder.iter
+        self.token = _TOKEN if all(len(_TOKEN.findall(s)) == 1 for s in self.ids) else _WORD
+        self.sizes = [len(s) for s in self.text]
+        # when the young half of the memo is full it becomes the old half
+        self.young, self.old = {}, {}
 
     def forward(self, text: str, start: int, stop: int) -> tuple[list[float], list[int], list[int]]:
         """Best score to each position from ``start``, where the last piece
-        began and its id (-1: bytes). Pieces may start before ``stop`` and end
+        began and its id (-1: bytes). Pieces start before ``stop`` and may end
         up to ``reach`` - 1 after it."""
         size = len(text) + 1
         best, since, piece = [-math.inf] * size, [0] * size, [-1] * size
         best[start] = 0.0
-        tree, reach = self.tree, self.reach
-        for i in range(start, stop):
-            here = best[i]
-            if here == -math.inf:
-                continue
-            node, j, single = tree, i, False
-            for c in text[i : i + reach]:
-                node = node.get(c)
-                if node is None:
-                    break
-                j += 1
-                ends = node.get("")
-                if ends is not None:
-                    single = single or j == i + 1
-                    s = here + ends[0]
-                    if s > best[j]:
-                        best[j], since[j], piece[j] = s, i, ends[1]
-            if not single and here + self.unknown > best[i + 1]:
-                best[i + 1], since[i + 1], piece[i + 1] = here + self.unknown, i, -1
+        odd = [] if self.chars.issuperset(text) else [i for i in range(start, stop) if text[i] not in self.chars]
+        at = 0
+        for end, (n, score, one) in self.matches(text, start):
+            while at < len(odd) and odd[at] <= end:
+                self._by_bytes(best, since, odd[at])
+                at += 1
+            end += 1
+            begin = end - n
+            if begin < stop:
+                total = best[begin] + score
+                if total > best[end]:
+                    best[end], since[end], piece[end] = total, begin, one
+        for i in odd[at:]:
+            self._by_bytes(best, since, i)
         return best, since, piece
 
+    def _by_bytes(self, best: list[float], since: list[int], i: int) -> None:
+        best[i + 1], since[i + 1] = best[i] + self.unknown, i
+
+    def forward_all(self, text: str, stop: int) -> np.ndarray:
+        """Best scores to each position from every entry state: positions x states."""
+        k = self.reach
+        best = np.full((len(text) + 1, k), -np.inf)
+        for s in range(min(k, stop + 1)):
+            best[s, s] = 0.0
+        odd = [i for i in range(stop) if text[i] not in self.chars]
+        at = 0
+        for end, (n, score, _) in self.matches(text):
+            while at < len(odd) and odd[at] <= end:
+                np.maximum(best[odd[at] + 1], best[odd[at]] + self.unknown, out=best[odd[at] + 1])
+                at += 1
+            begin = end + 1 - n
+            if begin < stop:
+                np.maximum(best[end + 1], best[begin] + score, out=best[end + 1])
+        for i in odd[at:]:
+            np.maximum(best[i + 1], best[i] + self.unknown, out=best[i + 1])
+        return best
+
     def trace(self, text: str, found: tuple, start: int, end: int) -> list[int]:
         _, since, piece = found
         out: list[int] = []
@@ -231,79 +149,101 @@ class Vocabulary:
             end = since[end]
         return out[::-1]
 
-    def solve(self, word: str) -> tuple[float, bytes]:
-        """Best score and packed ids of a string between two meeting places."""
-        known = self.words.get(word)
+    def solve(self, token: str) -> bytes:
+        """Packed ids of a string between two meeting places."""
+        known = self.old.get(token)
         if known is None:
-            found = self.forward(word, 0, len(word))
-            ids = self.trace(word, found, 0, len(word))
-            known = found[0][-1], struct.pack(f"={len(ids)}i", *ids)
-            if len(self.words) >= 2 * REMEMBERED:
-                self.words.clear()
-            if len(word) <= LONGEST:
-                self.words[word] = known
+            ids = self._path(token) if self.chars.issuperset(token) else self.trace(token, self.forward(token, 0, len(token)), 0, len(token))
+            known = struct.pack(f"={len(ids)}i", *ids)
+        if len(token) <= LONGEST:
+            if len(self.young) >= REMEMBERED:
+                self.old, self.young = self.young, {}
+            self.young[token] = known
         return known
 
-    def encode(self, marked: str) -> np.ndarray:
-        return self.encode_all([marked])[0]
+    def _path(self, token: str) -> list[int]:
+        """The best ids of a string whose characters are all pieces."""
+        size = len(token)
+        best, piece = [-math.inf] * (size + 1), [0] * (size + 1)
+        best[0] = 0.0
+        for end, (n, score, one) in self.matches(token):
+            total = best[end + 1 - n] + score
+            if total > best[end + 1]:
+                best[end + 1], piece[end + 1] = total, one
+        out = []
+        while size:
+            out.append(piece[size])
+            size -= self.sizes[piece[size]]
+        out.reverse()
+        return out
+
+    def pack(self, text: str) -> bytes:
+        """Packed ids of a text whose spaces are made visible."""
+        tokens = self.token.findall(text)
+        found = list(map(self.young.get, tokens))
+        if None in found:
+            found = [self.solve(t) if x is None else x for t, x in zip(tokens, found, strict=True)]
+        return b"".join(found)
+
+    def encode(self, text: str) -> np.ndarray:
+        return np.frombuffer(self.pack(marked(text)), np.int32)
 
-    def split(self, text: str, stop: int) -> tuple[int, int]:
+    def meeting(self, text: str, stop: int) -> tuple[int, int]:
         """First and last meeting place in text[:stop]; equal to stop if none."""
-        first = next((m.start() + 1 for m in re.finditer(f"[^{MARK}]{MARK}", text[:stop])), stop)
-        last = first
-        for i in range(stop - 1, first, -1):
-            if text[i] == MARK and text[i - 1] != MARK:
-                last = i
-                break
-        return first, last
+        first = self.token.match(text).end()
+        if first >= stop:
+            return stop, stop
+        width = LONGEST
+        while True:
+            since = max(0, stop - width)
+            # the first token of a window may begin anywhere, the others at meeting places
+            starts = [m.start() for m in self.token.finditer(text, since, stop)][1:]
+            if starts:
+                return first, max(first, starts[-1])
+            width *= 2
 
     def matrix(self, text: str, stop: int) -> np.ndarray:
-        """Best scores from each entry state to each exit state of a chunk.
+        """Best scores from each entry state to each exit state of a chunk, but
+        for the part between its first and last meeting place.
 
         ``text`` holds the chunk's ``stop`` characters and what follows, up to
         ``reach`` - 1 more; states are numbers of characters past the edge.
         """
         k = self.reach
         out = np.full((k, k), -np.inf)
-        first, last = self.split(text, stop)
+        first, last = self.meeting(text, stop)
         if first >= stop:
-            for s in range(min(k, stop + 1)):
-                row = self.forward(text, s, stop)[0][stop : stop + k]
-                out[s, : len(row)] = row
-            return self._skipped(out, stop)
-        head = np.full(k, -np.inf)
-        for s in range(min(k, first + 1)):
-            head[s] = self.forward(text[:first], s, first)[0][first]
-        middle = sum(self.solve(w)[0] for w in _WORD.findall(text[first:last]))
-        tail = self.forward(text[last:], 0, stop - last)[0][stop - last :][:k]
-        out[:, : len(tail)] = head[:, None] + middle + np.array(tail)[None, :]
-        return self._skipped(out, stop)
-
-    def _skipped(self, out: np.ndarray, stop: int) -> np.ndarray:
-        """A piece from before may pass over a whole chunk that is very short."""
-        for s in range(stop, self.reach):
+            rows = self.forward_all(text, stop)[stop : stop + k]
+            out[:, : len(rows)] = rows.T
+        else:
+            head = self.forward_all(text[:first], first)[first]
+            tail = self.forward(text[last:], 0, stop - last)[0][stop - last :][:k]
+            out[:, : len(tail)] = head[:, None] + np.array(tail)[None, :]
+        # a piece from before may pass over a whole chunk that is very short
+        for s in range(stop, k):
             out[s, :] = -np.inf
             out[s, s - stop] = 0.0
         return out
 
-    def backtrace(self, text: str, stop: int, entry: int, leave: int) -> list[int]:
-        """The ids of the pieces that start in a chunk, for known states."""
+    def backtrace(self, text: str, stop: int, entry: int, leave: int) -> bytes:
+        """Packed ids of the pieces that start in a chunk, for known states."""
         if entry >= stop:
-            return []
-        first, last = self.split(text, stop)
-        if first >= stop or entry > first:
-            return self.trace(text, self.forward(text, entry, stop), entry, stop + leave)
-        out = self.trace(text[:first], self.forward(text[:first], entry, first), entry, first)
-        out += self.encode(text[first:last]).tolist()
-        end = text[last:]
-        return out + self.trace(end, self.forward(end, 0, stop - last), 0, stop - last + leave)
+            return b""
+        first, last = self.meeting(text, stop)
+        if first >= stop:
+            ids = self.trace(text, self.forward(text, entry, stop), entry, stop + leave)
+            return struct.pack(f"={len(ids)}i", *ids)
+        head, end = text[:first], text[last:]
+        before = self.trace(head, self.forward(head, entry, first), entry, first)
+        after = self.trace(end, self.forward(end, 0, stop - last), 0, stop - last + leave)
+        return struct.pack(f"={len(before)}i", *before) + self.pack(text[first:last]) + struct.pack(f"={len(after)}i", *after)
 
     def decode(self, ids) -> str:
         """The text of a sequence of ids: byte pieces join to characters."""
         return b"".join([self.parts[i] for i in ids]).decode("utf-8", "replace").replace(MARK, " ")[1:]
 
 
-@lru_cache(maxsize=4)
+@lru_cache(maxsize=2)
 def vocabulary(path: str = MODEL, scores: str = "rank") -> Vocabulary:
     return Vocabulary(path, scores)
 
@@ -328,14 +268,30 @@ def _slices(batches, rows: int):
             yield pdf.iloc[at : at + rows]
 
 
+def _lists(packed: list[bytes]) -> pa.Array:
+    """Packed ids as an array of lists."""
+    ends = np.cumsum([0, *(len(x) // 4 for x in packed)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(packed), np.int32)))
+
+
 def _encode_short(docs: DataFrame, path: str, scores: str, decoded: bool) -> DataFrame:
+    """Texts of at most a chunk. Arrow batches are taken ``BATCH`` rows at a
+    time, so a task holds few texts, ids and decoded texts as Python objects."""
+    at = docs.columns.index("text")
+    names = [*docs.columns, "ids", *["decoded"] * decoded]
+
     def run(batches):
         v = vocabulary(path, scores)
-        for part in _slices(batches, BATCH):
-            out = part.assign(ids=v.encode_all([marked(t) if isinstance(t, str) else "" for t in part["text"]]))
-            yield out.assign(decoded=[v.decode(i.tolist()) for i in out["ids"]]) if decoded else out
+        for batch in batches:
+            for start in range(0, batch.num_rows, BATCH):
+                part = batch.slice(start, BATCH)
+                packed = [v.pack(marked(t)) if t else b"" for t in part.column(at).to_pylist()]
+                more = [_lists(packed)]
+                if decoded:
+                    more.append(pa.array([v.decode(np.frombuffer(x, np.int32).tolist()) for x in packed], pa.string()))
+                yield pa.RecordBatch.from_arrays([*part.columns, *more], names=names)
 
-    return docs.mapInPandas(run, f"{_fields(docs)}, ids array<int>" + ", decoded string" * decoded)
+    return docs.mapInArrow(run, f"{_fields(docs)}, ids array<int>" + ", decoded string" * decoded)
 
 
 def _fields(docs: DataFrame) -> str:
@@ -350,15 +306,15 @@ def _encode_long(docs: DataFrame, path: str, scores: str, chunk: int, fan: int)
         for pdf in batches:
             for row, text in zip(pdf["_row"], pdf["text"], strict=True):
                 text = marked(text)
-                starts = range(0, len(text), chunk)
-                yield pd.DataFrame({"_row": row, "part": range(len(starts)), "size": [min(chunk, len(text) - s) for s in starts], "piece": [text[s : s + chunk + k - 1] for s in starts]})
+                for base in range(0, len(text), 64 * chunk):
+                    starts = range(base, min(len(text), base + 64 * chunk), chunk)
+                    yield pd.DataFrame({"_row": row, "part": [s // chunk for s in starts], "size": [min(chunk, len(text) - s) for s in starts], "piece": [text[s : s + chunk + k - 1] for s in starts]})
 
     pieces = materialize(docs.select("_row", "text").mapInPandas(cut, "_row long, part int, size int, piece string").repartition("_row", "part"), "chunks")
 
     def matrices(batches):
         v = vocabulary(path, scores)
         for pdf in _slices(batches, 64):
-            v.meet([_WORD.findall(t) for t in pdf["piece"]])
             yield pdf[["_row", "part"]].assign(m=[v.matrix(t, n).tobytes() for t, n in zip(pdf["piece"], pdf["size"], strict=True)])
 
     single = materialize(pieces.mapInPandas(matrices, "_row long, part int, m binary").withColumn("team", F.floor(F.col("part") / fan).cast("int")), "matrices")
@@ -400,8 +356,7 @@ def _encode_long(docs: DataFrame, path: str, scores: str, chunk: int, fan: int)
     def back(batches):
         v = vocabulary(path, scores)
         for pdf in _slices(batches, 64):
-            v.meet([_WORD.findall(t) for t in pdf["piece"]])
-            yield pdf[["_row", "part"]].assign(ids=[np.array(v.backtrace(t, n, e, x), np.int32) for t, n, e, x in zip(pdf["piece"], pdf["size"], pdf["enter"], pdf["leave"], strict=True)])
+            yield pdf[["_row", "part"]].assign(ids=[np.frombuffer(v.backtrace(t, n, e, x), np.int32) for t, n, e, x in zip(pdf["piece"], pdf["size"], pdf["enter"], pdf["leave"], strict=True)])
 
     traced = pieces.join(fixed, ["_row", "part"]).mapInPandas(back, "_row long, part int, ids array<int>")
     whole = traced.groupBy("_row").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("part", "ids"))), lambda x: x["ids"])).alias("ids"))
