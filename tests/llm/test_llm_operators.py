@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 
 from tidebook.llm import fingerprints, jaccard, language, lines, mixing, neighbours, pieces, quality, secret_scan, warc
+from tidebook.llm.tables import small_side
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, score double, size string"
 ODD = [
@@ -416,12 +417,14 @@ def test_language_odd_inputs(spark, odd, empty, docs):
 
 
 def brute_lines(rows):
-    seen, at, variants, out = set(), set(), set(), {}
+    """Texts in order, each without the lines that an earlier line equals or,
+    from MIN_WORDS words on, is one word away from."""
+    seen, at, variants, out = set(), set(), set(), []
     for i, text in rows:
         keep = []
         for line in text.split("\n"):
             w = tuple(split(line))
-            if len(w) < lines.MIN_LINE:
+            if not w:
                 keep.append(line)
                 continue
             gone = w in seen
@@ -433,7 +436,7 @@ def brute_lines(rows):
             seen.add(w)
             if not gone:
                 keep.append(line)
-        out[i] = "\n".join(keep)
+        out.append((i, "\n".join(keep)))
     return out
 
 
@@ -442,10 +445,31 @@ def test_lines_equal_brute_force(spark, docs):
     base = [f"the quick brown fox number {i} jumps over lazy dog" for i in range(4)]
     extra = ["\n".join(base), "\n".join(x.replace("quick ", "") for x in base), "\n".join(x + " twice" for x in base), "short line\nshort line", "a b c d e f g h\nb c d e f g h a\n\na b c d e f g h"]
     rows += [(10_000 + i, t) for i, t in enumerate(extra)]
-    got = {r.doc_id: r.text for r in lines.without_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    got = sorted((r.doc_id, r.text) for r in lines.without_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect())
     assert got == brute_lines(rows)
 
 
+@pytest.mark.parametrize("most", [lines.small_side.__defaults__[0], 0])
+def test_texts_of_one_id_lose_no_line(spark, monkeypatch, most):
+    monkeypatch.setattr(lines, "small_side", lambda df: small_side(df, most))
+    texts = ["all rights reserved\nsecond line only here", "all rights reserved\nnobody else has this one", "all\trights  reserved \n \nsome more words follow here now", "some more words follow right now\nx"]
+    rows = [(7, texts[0]), (7, texts[1]), (7, texts[1]), (8, texts[2]), (9, texts[3]), (None, texts[0])]
+    got = sorted((r.doc_id or 0, r.text, r.dropped) for r in lines.without_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    first = [t for i, t, _ in got if i == 7 and t.startswith("all rights")]
+    # one of the two texts comes first and keeps the shared line, in each of its copies
+    assert len(set(first)) == 1 and {t.split("\n")[-1] for i, t, _ in got if i == 7} == {"second line only here", "nobody else has this one"}
+    assert got[0] == (0, texts[0], 0)
+    assert [t for i, t, _ in got if i == 8] == [" \nsome more words follow here now"] and [t for i, t, _ in got if i == 9] == ["x"]
+
+
+def test_lines_of_a_very_long_text(spark):
+    long = "\n".join(f"line {i % 9000} of {i % 9000 * 7} and more" for i in range(60_000))
+    rows = [(1, long), (2, long[:100_000]), (3, "alone")]
+    got = {r.doc_id: (r.text, r.dropped) for r in lines.without_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = dict(brute_lines(rows))
+    assert {i: t for i, (t, _) in got.items()} == want and got[1][1] > 50_000
+
+
 def within_one_edit(a, b):
     if abs(len(a) - len(b)) > 1:
         return False

@@ -36,7 +36,7 @@ def test_quality_drops_low_scores_only(spark, sf_dir, stages):
 def test_lines(stages):
     expected = brute_lines(texts(stages[1]))
     before = dict(texts(stages[1]))
-    assert texts(stages[2]) == sorted((i, t) for i, t in expected.items() if split(t) or not split(before[i]) or t == before[i])
+    assert texts(stages[2]) == sorted((i, t) for i, t in expected if split(t) or not split(before[i]) or t == before[i])
 
 
 def test_near_duplicates(stages):

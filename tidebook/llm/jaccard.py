@@ -48,10 +48,8 @@ WIDTH = 5
 LOW = 5
 GATHER = 1 << 20
 FAMILY = 200
-HUBS = 2000
 #: Elements in a block of a family's members, and of those still open.
 MANY, FEW = 2_000_000, 300_000
-BROADCAST_ROWS = 400_000
 _U = np.uint64
 _BLOCK = "uid long, bucket int, kind int, a binary, b binary, c binary"
 
@@ -272,7 +270,7 @@ def _hub_links(large: DataFrame) -> DataFrame:
     """(a, b, linked) of every member with its family's hub, the member with the
     largest share of elements that others have as well: the least edited one."""
     hub = large.groupBy("family").agg(F.max_by("doc_id", F.struct("share", -F.col("doc_id"))).alias("hub"))
-    with_set = small_side(materialize(large.select(F.col("doc_id").alias("hub"), F.col("elements").alias("y")).join(small_side(materialize(hub, "hub-ids"), BROADCAST_ROWS), "hub"), "hubs"), HUBS)
+    with_set = small_side(materialize(large.select(F.col("doc_id").alias("hub"), F.col("elements").alias("y")).join(small_side(materialize(hub, "hub-ids")), "hub"), "hubs"))
 
     def check(batches):
         for pdf in batches:
@@ -297,7 +295,7 @@ def _block_links(rest: DataFrame, large: DataFrame) -> DataFrame:
     size = F.octet_length("elements") / 8
     known = materialize(large.groupBy("family").agg(F.sum(size).alias("every")).join(rest.groupBy("family").agg(F.sum(size).alias("open")), "family"), "open-families")
     parts = lambda c, n: F.ceil(F.col(c) / n).cast("long")
-    plan = small_side(known.select("family", parts("every", MANY).alias("blocks"), parts("open", FEW).alias("open_blocks")), BROADCAST_ROWS)
+    plan = small_side(known.select("family", parts("every", MANY).alias("blocks"), parts("open", FEW).alias("open_blocks")))
     dealt = lambda t, n: t.join(plan, "family").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col(n))).groupBy("family", "block").applyInPandas(pack, kind)
     right = dealt(large, "blocks")
     # the members still open are fewer: their blocks go to every block of the family
@@ -331,17 +329,17 @@ def _link(sets: DataFrame) -> DataFrame:
     """(id, component) of the sets that share a signature with another one."""
     families = materialize(_families(sets), "families")
     sizes = materialize(families.groupBy("family").agg(F.count(F.lit(1)).alias("members")), "family-sizes")
-    joined = sets.join(small_side(families, BROADCAST_ROWS).withColumnRenamed("id", "doc_id"), "doc_id")
+    joined = sets.join(small_side(families).withColumnRenamed("id", "doc_id"), "doc_id")
     big = sizes.where(F.col("members") > FAMILY)
     small = sizes.where(F.col("members") <= FAMILY).select("family")
-    labels = joined.join(small_side(small, BROADCAST_ROWS), "family").select("family", "doc_id", "elements").groupBy("family").applyInPandas(_small_family, "id long, component long")
+    labels = joined.join(small_side(small), "family").select("family", "doc_id", "elements").groupBy("family").applyInPandas(_small_family, "id long, component long")
     if big.isEmpty():
         return labels
-    large = joined.join(small_side(big, BROADCAST_ROWS), "family")
+    large = joined.join(small_side(big), "family")
     tried = materialize(_hub_links(large), "hub-links")
-    rest = large.join(small_side(tried.where("not linked").select(F.col("b").alias("doc_id")), BROADCAST_ROWS), "doc_id", "left_semi").withColumn("comp", F.col("doc_id"))
+    rest = large.join(small_side(tried.where("not linked").select(F.col("b").alias("doc_id"))), "doc_id", "left_semi").withColumn("comp", F.col("doc_id"))
     hubs = tried.where("linked").select(F.col("b").alias("doc_id"), F.col("a").alias("comp"))
-    known = large.join(small_side(hubs, BROADCAST_ROWS), "doc_id", "left").withColumn("comp", F.coalesce("comp", "doc_id"))
+    known = large.join(small_side(hubs), "doc_id", "left").withColumn("comp", F.coalesce("comp", "doc_id"))
     # a row here is a block of megabytes: hand them to Python one at a time
     conf, key = sets.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
     usual = conf.get(key)
@@ -370,11 +368,11 @@ def classes(docs: DataFrame) -> DataFrame:
             for a, b, some in sets_of(pdf["text"]):
                 yield pd.DataFrame({"doc_id": pdf["doc_id"].iloc[a:b], "elements": [s.tobytes() for s in some]})
 
-    sets = named.join(small_side(reps, BROADCAST_ROWS), "doc_id").mapInPandas(read_sets, "doc_id long, elements binary").where(F.octet_length("elements") > 0)
+    sets = named.join(small_side(reps), "doc_id").mapInPandas(read_sets, "doc_id long, elements binary").where(F.octet_length("elements") > 0)
     sets = materialize(sets, "sets")
     again = shared_counts(sets, deal).where("100 * shared >= 75 * n").groupBy("doc_id").agg(F.max(F.col("shared") / F.col("n")).alias("share"))
     again = materialize(again, "partners")
-    labels = _link(sets.join(small_side(again, BROADCAST_ROWS), "doc_id"))
+    labels = _link(sets.join(small_side(again), "doc_id"))
     final = alike.select("h1", "h2", "n", "rep")
     labels = materialize(labels.groupBy(F.col("id").alias("rep")).agg(F.min("component").alias("component")), "components")
     final = final.join(labels, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
@@ -401,7 +399,7 @@ def join_documents(docs: DataFrame) -> DataFrame:
 def one_of_each(docs: DataFrame) -> DataFrame:
     """``docs`` without those that link to one of a smaller id."""
     found = join_documents(docs).where("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("_rows"))
-    kept = docs.join(small_side(materialize(found, "kept"), BROADCAST_ROWS), "doc_id").select(*docs.columns, "_rows")
+    kept = docs.join(small_side(materialize(found, "kept")), "doc_id").select(*docs.columns, "_rows")
     once = kept.where("_rows = 1").unionByName(kept.where("_rows > 1").dropDuplicates(["doc_id"])).drop("_rows")
     return once.unionByName(docs.where("doc_id is null"))
 

@@ -43,7 +43,6 @@ SUBSPACE = 2
 WORDS = 16
 SLICE = 8192
 PARTS = 32
-BROADCAST_ROWS = 400_000
 QUERY_BLOCK = 1024
 KEEP = 100
 RERANK = 600
@@ -214,7 +213,7 @@ def search(vectors: DataFrame, queries: Column, k: int = 5, keep: int = KEEP, re
     rows = F.transform("members", lambda v: F.struct((-F.col("score")).alias("away"), v.alias("vec_id")))
     best = best.groupBy("query_id", "h1", "h2").agg(F.array_sort(F.flatten(F.collect_list(rows))).alias("rows"))
     best = materialize(best.select("h1", "h2", F.slice("rows", 1, k + 1).alias("rows")), "nearest")
-    out = seekers.join(small_side(best, BROADCAST_ROWS), ["h1", "h2"])
+    out = seekers.join(small_side(best), ["h1", "h2"])
     out = out.select("query_id", F.posexplode(F.slice(F.filter("rows", lambda x: x["vec_id"] != F.col("query_id")), 1, k)).alias("at", "row"))
     return out.select("query_id", (F.col("at") + 1).alias("rank"), F.col("row.vec_id").alias("vec_id"), (-F.col("row.away")).alias("score"))
 

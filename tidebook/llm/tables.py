@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: A word is a run of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
+#: The most bytes of values that are sent to every executor.
+BROADCAST_BYTES = 16 << 20
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,10 +25,27 @@ def held_out(key: str = "doc_id") -> Column:
     return F.crc32(F.col(key).cast("string")) % 5 == 0
 
 
-def small_side(df: DataFrame, limit: int) -> DataFrame:
-    """``df`` marked for broadcast if it has at most ``limit`` rows.
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
 
-    ``df`` must be cheap to count (a scan of a written table). Past the limit
-    Spark joins by shuffle, which has no bound on either side.
+
+def _width(name: str, kind: T.DataType) -> Column:
+    """Bytes of a column's value, at least."""
+    value = F.col(name)
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        return F.coalesce(F.octet_length(value), F.lit(0)) + 16
+    if isinstance(kind, T.ArrayType):
+        return 8 * F.coalesce(F.size(value), F.lit(0)) + 16
+    return F.lit(8 * len(kind) if isinstance(kind, T.StructType) else 8)
+
+
+def small_side(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
+    """``df`` marked for broadcast if its values take at most ``most`` bytes.
+
+    ``df`` must be cheap to read (a scan of a written table of plain values and
+    of arrays of numbers). Past the limit Spark joins by shuffle, which has no
+    bound on either side.
     """
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+    held = sum((_width(f"`{f.name}`", f.dataType) for f in df.schema), F.lit(8))
+    return F.broadcast(df) if (df.agg(F.sum(held)).first()[0] or 0) <= most else df

@@ -126,7 +126,7 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
     keyed = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", html.alias("payload")).withColumn("digest", F.sha2("payload", 256))
     groups = keyed.where(F.octet_length("payload") >= MIN_REVISIT).groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n"))
     copies = materialize(groups.where("n > 1").select("digest", "first"), "copies")
-    planned = keyed.join(small_side(copies, 100_000), "digest", "left").withColumn("first", F.when(F.col("first").eqNullSafe(F.col("page_id")), None).otherwise(F.col("first")))
+    planned = keyed.join(small_side(copies), "digest", "left").withColumn("first", F.when(F.col("first").eqNullSafe(F.col("page_id")), None).otherwise(F.col("first")))
 
     def write(batches):
         store, root = _location(folder)
