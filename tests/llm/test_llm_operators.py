@@ -66,23 +66,48 @@ def test_neighbours_recall_and_order(spark):
     assert got[got["query_id"] == 50].sort_values("rank")["vec_id"].tolist() == [700, 701, 702, 703, 704]
 
 
-def test_neighbours_of_a_table_of_many_slices(spark):
-    n = 80_000
-    x = np.random.default_rng(4).standard_normal((n, 32))
+@pytest.mark.parametrize("clusters", [0, 400])
+def test_neighbours_of_a_table_of_many_lists(spark, monkeypatch, clusters):
+    """Hundreds of lists; vectors with clusters need few of them, others nearly all."""
+    monkeypatch.setattr(neighbours, "LIST_ROWS", 100)
+    monkeypatch.setattr(neighbours, "CELL", 9000)
+    n, rng = 60_000, np.random.default_rng(4)
+    x = rng.standard_normal((n, 32))
+    if clusters:
+        x = 0.3 * x + rng.standard_normal((clusters, 32))[rng.integers(0, clusters, n)]
+    needed, real = [], neighbours.probes_needed
+    monkeypatch.setattr(neighbours, "probes_needed", lambda *a: needed.append(real(*a)) or needed[-1])
     table = neighbours.pd.DataFrame({"vec_id": np.arange(n), "embedding": list(x)})
     spark.conf.set("spark.sql.execution.arrow.pyspark.enabled", "true")
     try:
         rows = spark.createDataFrame(table, "vec_id long, embedding array<double>")
     finally:
         spark.conf.unset("spark.sql.execution.arrow.pyspark.enabled")
-    got = neighbours.search(rows, neighbours.F.col("vec_id") % 2000 == 0).toPandas()
+    got = neighbours.search(rows, neighbours.F.col("vec_id") % 500 == 0).toPandas()
     unit = x / np.linalg.norm(x, axis=1, keepdims=True)
     hits = 0
-    for q in range(0, n, 2000):
+    for q in range(0, n, 500):
         near = unit @ unit[q]
         near[q] = -9
-        hits += len(set(np.argsort(-near)[:5].tolist()) & set(got.loc[got["query_id"] == q, "vec_id"]))
-    assert hits >= 0.97 * 200
+        mine = got[got["query_id"] == q].sort_values("rank")
+        assert np.allclose(mine["score"], near[mine["vec_id"]], rtol=0, atol=1e-12)
+        hits += len(set(np.argsort(-near)[:5].tolist()) & set(mine["vec_id"]))
+    assert hits >= 0.93 * 5 * 120
+    assert needed[0] < 60 if clusters else needed[0] > 100
+
+
+def test_neighbours_of_extreme_lengths(spark):
+    rows = [(0, [1e-200, 0.0]), (50, [1e200, 1e200]), (1, [0.0, 5e-324]), (2, [3.0, 4.0]), (3, [-1e308, 1e308])]
+    got = neighbours.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), neighbours.F.col("vec_id") % 50 == 0).orderBy("query_id", "rank").collect()
+    assert [r.vec_id for r in got if r.query_id == 0] == [50, 2, 1, 3]
+    assert np.allclose([r.score for r in got if r.query_id == 50], [1.4 / 2**0.5, 0.5**0.5, 0.5**0.5, 0.0])
+
+
+def test_neighbours_ignore_other_columns(spark):
+    rows = [(i, [float(i % 7), 1.0], i, "x", 0.5) for i in range(60)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, query_id int, list string, score double")
+    got = neighbours.search(df.union(df), neighbours.F.col("vec_id") % 50 == 0)
+    assert got.columns == ["query_id", "rank", "vec_id", "score"] and got.count() == 10
 
 
 def test_copies_take_one_candidate_place(spark, monkeypatch):

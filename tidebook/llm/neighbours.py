@@ -10,22 +10,29 @@ Rows of one vector are one kind: the row of the smallest vec_id stands for
 all, is coded, asked and ranked once, and each kind that wins gives its ``k`` + 1
 smallest vec_ids, so copies take one candidate place however many there are.
 
-The codes are dealt by hash into slices of about ``SLICE`` rows, and every query
-scans all of them at every size: vectors without clusters lose neighbours when
-only the lists near a query are scanned. Inside a slice a table of the query's
-inner products with the codewords is summed over the codes; each slice keeps its
-best ``KEEP`` rows, each query its best ``RERANK``, and these are ranked again by
-the cosine of the original vectors in double precision. The scan costs rows times
-queries.
+Kinds are put in lists by their nearest centre, about as many lists as the root
+of their number, and a query scans the lists nearest to it. How many is measured
+at the table's own size: the true neighbours of ``PROBES_FROM`` sampled queries
+are found by one exact pass, and enough lists are taken to hold ``COVER`` of
+them. Clustered tables need few lists; vectors without clusters need nearly all,
+and get them.
 
-Codebooks are fitted on at most ``SAMPLE`` rows (smallest hash of vec_id); every
-row is indexed.
+Small lists share a cell and large ones are cut into cells, of about ``CELL``
+rows; queries are sent to cells in blocks. In a cell a table of the query's inner
+products with the codewords is summed over the codes of the lists it asked for;
+each cell keeps its best ``KEEP`` rows, each query its best ``RERANK``, and these
+are ranked again by the cosine of the original vectors in double precision.
+
+Centres and codebooks are fitted on a sample (smallest hash of vec_id) of at most
+``SAMPLE`` rows and ``SAMPLE_VALUES`` components; every row is indexed.
 
 Defined cases: vectors that are null, zero, of another length than the most of
 the sample or hold null or non-finite components take no part, as query or
-candidate; fewer candidates than asked for are all returned; equal scores go to
-the smaller vec_id, so copies of one vector come in order; a vec_id that repeats
-counts once, with its smallest vector; an empty table gives an empty result.
+candidate; very large and very small components neither overflow nor vanish;
+fewer candidates than asked for are all returned; equal scores go to the smaller
+vec_id, so copies of one vector come in order; a vec_id that repeats counts once,
+with its smallest vector; an empty table gives an empty result; other columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -38,17 +45,25 @@ from pyspark.sql import functions as F
 from tidebook.functions.storage import materialize, worker_imports
 from tidebook.llm.tables import read, small_side
 
-SAMPLE = 8192
+SAMPLE, SAMPLE_VALUES = 65_536, 1 << 22
 SUBSPACE = 2
 WORDS = 16
-SLICE = 8192
 PARTS = 32
-QUERY_BLOCK = 1024
-KEEP = 100
+LIST_ROWS, MOST_LISTS = 2048, 4096
+PROBES_FROM, COVER = 100, 0.99
+CELL = 65_536
+QUERY_BLOCK = 4096
+KEEP = 300
 RERANK = 600
 THRESHOLD = 0.2
 
 
+def scaled(vector: Column) -> Column:
+    """A vector of the same direction whose squares stay in range."""
+    most = F.array_max(F.transform(vector, F.abs))
+    return F.when(most.between(1e-100, 1e100), vector).otherwise(F.transform(vector, lambda x: x / most))
+
+
 def usable(vector: Column) -> Column:
     """True for a vector that can take part."""
     fine = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
@@ -58,7 +73,7 @@ def usable(vector: Column) -> Column:
 def _kmeans(x: np.ndarray, k: int, rng, rounds: int = 8) -> np.ndarray:
     centres = x[rng.choice(len(x), k, replace=len(x) < k)].copy()
     for _ in range(rounds):
-        near = (x @ centres.T - 0.5 * (centres**2).sum(1)).argmax(1)
+        near = _nearest(x, centres)
         sums = np.zeros_like(centres)
         np.add.at(sums, near, x)
         n = np.bincount(near, minlength=k)
@@ -66,6 +81,11 @@ def _kmeans(x: np.ndarray, k: int, rng, rounds: int = 8) -> np.ndarray:
     return centres
 
 
+def _nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    half = 0.5 * (centres**2).sum(1)
+    return np.concatenate([(y @ centres.T - half).argmax(1) for y in np.array_split(x, max(1, len(x) * len(centres) >> 22))])
+
+
 def assign(x: np.ndarray, books: np.ndarray, eta: float, rounds: int = 2) -> np.ndarray:
     """Codes of unit vectors: nearest codewords first, then coordinate descent
     on |r|^2 + (eta - 1) (r . x)^2 with r the residual."""
@@ -89,10 +109,12 @@ def assign(x: np.ndarray, books: np.ndarray, eta: float, rounds: int = 2) -> np.
     return codes.astype(np.uint8)
 
 
-def fit(sample: np.ndarray, seed: int = 11, rounds: int = 4) -> dict:
-    """Codebooks from the sampled rows (any length, not zero)."""
+def fit(sample: np.ndarray, lists: int = 1, seed: int = 11, rounds: int = 4) -> dict:
+    """List centres and codebooks from the sampled rows (not zero)."""
     rng = np.random.default_rng(seed)
     x = (sample / np.linalg.norm(sample, axis=1, keepdims=True)).astype(np.float32)
+    centres = _kmeans(x, lists, rng) if lists > 1 else x[:1].copy()
+    x = x[rng.permutation(len(x))[:8192]]
     d = x.shape[1]
     pad = -d % (2 * SUBSPACE)
     x = np.pad(x, ((0, 0), (0, pad)))
@@ -111,15 +133,68 @@ def fit(sample: np.ndarray, seed: int = 11, rounds: int = 4) -> dict:
                 p, s = own[codes[:, j] == c], rest[codes[:, j] == c]
                 left = len(p) * np.eye(SUBSPACE) + (eta - 1) * p.T @ p
                 right = p.sum(0) + (eta - 1) * (p * (s + (p**2).sum(1))[:, None]).sum(0)
-                books[j, c] = np.linalg.solve(left, right)
-    return {"dims": d, "pad": pad, "books": books.astype(np.float32), "eta": eta}
+                books[j, c] = np.linalg.lstsq(left, right)[0]
+    return {"dims": d, "pad": pad, "books": books.astype(np.float32), "eta": eta, "centres": centres}
 
 
 def _unit(column: pd.Series, model: dict) -> np.ndarray:
+    """Rows of length one from scaled vectors."""
     x = np.array(column.tolist(), np.float64).reshape(len(column), model["dims"])
     return (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
 
 
+def _sampled(kinds: DataFrame, rows: int, dims: int) -> np.ndarray:
+    """The vectors of ``rows`` kinds with the smallest hash."""
+
+    def pack(batches):
+        for pdf in batches:
+            yield pd.DataFrame({"v": [np.asarray(v, np.float64).tobytes() for v in pdf["embedding"]]})
+
+    got = kinds.orderBy(F.xxhash64("vec_id"), "vec_id").limit(rows).select("embedding").mapInPandas(pack, "v binary").toPandas()
+    return np.frombuffer(b"".join(got["v"]), np.float64).reshape(-1, dims)
+
+
+def probes_needed(kinds: DataFrame, model: dict, sent, k: int) -> int:
+    """How many nearest lists hold ``COVER`` of the true neighbours of
+    ``PROBES_FROM`` sampled kinds. One pass over all kinds."""
+    asked = _sampled(kinds, PROBES_FROM, model["dims"])
+    q = (asked / np.linalg.norm(asked, axis=1, keepdims=True)).astype(np.float32)
+
+    def best(batches):
+        held_s, held_l = np.full((len(q), 0), -np.inf, np.float32), np.zeros((len(q), 0), np.int32)
+        for pdf in batches:
+            if len(pdf):
+                x = _unit(pdf["embedding"], sent.value)
+                near, own = q @ x.T, np.broadcast_to(_nearest(x, sent.value["centres"]).astype(np.int32), (len(q), len(x)))
+                held_s, held_l = np.hstack((held_s, near)), np.hstack((held_l, own))
+                top = np.argsort(-held_s, axis=1, kind="stable")[:, : k + 1]
+                held_s, held_l = np.take_along_axis(held_s, top, 1), np.take_along_axis(held_l, top, 1)
+        rows, take = held_s.shape
+        yield pd.DataFrame({"q": np.repeat(np.arange(rows, dtype=np.int32), take), "near": held_s.ravel(), "list": held_l.ravel()})
+
+    order = Window.partitionBy("q").orderBy(F.desc("near"))
+    found = kinds.select("embedding").mapInPandas(best, "q int, near float, list int").withColumn("_r", F.row_number().over(order))
+    # the first is the query itself
+    found = found.where((F.col("_r") > 1) & (F.col("_r") <= k + 1)).select("q", "list").toPandas()
+    if found.empty:
+        return len(model["centres"])
+    rank = np.argsort(np.argsort(-_to_lists(q, model), axis=1), axis=1)
+    places = np.sort(rank[found["q"], found["list"]])
+    return int(places[min(len(places) - 1, int(np.ceil(COVER * len(places))))]) + 1
+
+
+def _to_lists(q: np.ndarray, model: dict) -> np.ndarray:
+    """Nearness of queries to lists, as lists are assigned."""
+    return q @ model["centres"].T - 0.5 * (model["centres"] ** 2).sum(1)
+
+
+def _runs(lists: np.ndarray, own: np.ndarray) -> list[tuple[int, int]]:
+    """Row ranges of some lists in rows sorted by list, neighbours joined."""
+    lo, hi = np.searchsorted(own, lists), np.searchsorted(own, lists, side="right")
+    new = np.flatnonzero(np.append(True, lo[1:] != hi[:-1]))
+    return list(zip(lo[new].tolist(), hi[np.append(new[1:] - 1, len(lists) - 1)].tolist(), strict=True))
+
+
 def _kinds(valid: DataFrame, members: int) -> DataFrame:
     """One row for each vector: its smallest vec_id, its ``members`` smallest."""
     first = lambda df, *by: df.withColumn("_r", F.row_number().over(Window.partitionBy(*by).orderBy("vec_id"))).where(F.col("_r") <= members).drop("_r")
@@ -138,19 +213,20 @@ def search(vectors: DataFrame, queries: Column, k: int = 5, keep: int = KEEP, re
     worker_imports(spark)
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     typed = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
-    valid = typed.where(F.col("vec_id").isNotNull() & usable(F.col("embedding"))).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
-    valid = materialize(valid, "vectors")
-    n = valid.count()
-    if not n:
+    typed = typed.where(F.col("vec_id").isNotNull() & usable(F.col("embedding"))).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
+    valid = materialize(typed.select("vec_id", scaled(F.col("embedding")).alias("embedding")), "vectors")
+    lengths = valid.groupBy(F.size("embedding").alias("n")).count().orderBy(F.desc("count"), "n").first()
+    if lengths is None:
         return empty
-    sample = valid.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).toPandas()
-    dims = int(sample["embedding"].map(len).mode().iloc[0])
+    dims = lengths["n"]
     valid = valid.where(F.size("embedding") == dims)
     valid = valid.withColumn("h1", F.xxhash64("embedding")).withColumn("h2", F.xxhash64(F.lit(1), "embedding"))
     kinds = materialize(_kinds(valid, k + 1), "kinds")
-    slices = -(-kinds.count() // SLICE)
-    model = fit(np.array([v for v in sample["embedding"] if len(v) == dims], np.float64))
+    n = kinds.count()
+    lists = max(1, min(MOST_LISTS, n // LIST_ROWS, int(n**0.5)))
+    model = fit(_sampled(kinds, max(1024, min(SAMPLE, SAMPLE_VALUES // dims)), dims), lists)
     sent = spark.sparkContext.broadcast(model)
+    probes = probes_needed(kinds, model, sent, k) if lists > 1 else 1
 
     def encode(batches):
         m = sent.value
@@ -159,45 +235,82 @@ def search(vectors: DataFrame, queries: Column, k: int = 5, keep: int = KEEP, re
                 x = _unit(pdf["embedding"], m)
                 codes = np.concatenate([assign(np.pad(y, ((0, 0), (0, m["pad"]))), m["books"], m["eta"]) for y in np.array_split(x, max(1, len(x) // 2048))])
                 packed = codes[:, 0::2] << 4 | codes[:, 1::2]
-                yield pd.DataFrame({"vec_id": pdf["vec_id"], "codes": [r.tobytes() for r in packed]})
+                yield pd.DataFrame({"vec_id": pdf["vec_id"], "list": _nearest(x, m["centres"]).astype(np.int32), "codes": [r.tobytes() for r in packed]})
 
-    coded = materialize(kinds.select("vec_id", "embedding").mapInPandas(encode, "vec_id long, codes binary"), "codes")
+    coded = materialize(kinds.select("vec_id", "embedding").mapInPandas(encode, "vec_id long, list int, codes binary"), "codes")
+    held = dict(coded.groupBy("list").count().collect())  # at most MOST_LISTS rows
+    # list -> its first cell and how many; small lists share one
+    first, cells, filled, at = [0] * lists, [1] * lists, 0, 0
+    for one in range(lists):
+        size = held.get(one, 0)
+        if filled and filled + size > CELL:
+            at, filled = at + 1, 0
+        first[one], cells[one] = at, max(1, -(-size // CELL))
+        filled += size
+        if cells[one] > 1:
+            at, filled = at + cells[one], 0
+    plan = F.broadcast(spark.createDataFrame(list(zip(range(lists), first, cells, strict=True)), "list int, first int, cells int"))
     seekers = valid.where(queries).select(F.col("vec_id").alias("query_id"), "h1", "h2")
     asked = kinds.join(seekers.select("h1", "h2").distinct(), ["h1", "h2"]).select(F.col("vec_id").alias("query_id"), "h1", "h2", "members", "embedding")
     asked = materialize(asked, "asked")
-    blocks = max(1, -(-asked.count() // QUERY_BLOCK))
-    block = F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int").alias("block")
-    asking = asked.select("query_id", "embedding", block, F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("slice"))
-    slice_ = F.pmod(F.xxhash64("vec_id"), F.lit(slices)).cast("int").alias("slice")
-    candidates = coded.select("vec_id", "codes", slice_, F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+
+    def probe(batches):
+        m = sent.value
+        for pdf in batches:
+            q = _unit(pdf["embedding"], m)
+            near = np.argsort(-_to_lists(q, m), axis=1, kind="stable")[:, :probes]
+            rows = []
+            for one, vector, some in zip(pdf["query_id"], q, near, strict=True):
+                by_cell: dict = {}
+                for x in some.tolist():
+                    for c in range(first[x], first[x] + cells[x]):
+                        by_cell.setdefault(c, []).append(x)
+                blob = vector.tobytes()
+                rows += [(one, blob, c, xs) for c, xs in by_cell.items()]
+            yield pd.DataFrame(rows, columns=["query_id", "vector", "cell", "lists"])
+
+    asking = materialize(asked.select("query_id", "embedding").mapInPandas(probe, "query_id long, vector binary, cell int, lists array<int>"), "asking")
+    blocks = small_side(materialize(asking.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / QUERY_BLOCK).cast("int").alias("blocks")), "blocks"))
+    asking = asking.join(blocks, "cell").withColumn("block", F.pmod(F.xxhash64("query_id"), "blocks").cast("int")).drop("blocks")
+    cell = (F.col("first") + F.pmod(F.xxhash64("vec_id"), "cells")).cast("int").alias("cell")
+    candidates = coded.join(plan, "list").select("vec_id", "list", "codes", cell).join(blocks, "cell")
+    candidates = candidates.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
 
     def scan(rows: pd.DataFrame, asks: pd.DataFrame) -> pd.DataFrame:
         m = sent.value
         if rows.empty or asks.empty:
             return pd.DataFrame({"query_id": np.empty(0, np.int64), "vec_id": np.empty(0, np.int64), "near": np.empty(0, np.float32)})
-        rows = rows.sort_values("vec_id")
-        ids = rows["vec_id"].to_numpy()
-        codes = np.frombuffer(b"".join(rows["codes"]), np.uint8).reshape(len(rows), -1)
-        q = np.pad(_unit(asks["embedding"], m), ((0, 0), (0, m["pad"])))
+        rows = rows.sort_values(["list", "vec_id"])
+        ids, own = rows["vec_id"].to_numpy(), rows["list"].to_numpy()
+        codes = np.ascontiguousarray(np.frombuffer(b"".join(rows["codes"]), np.uint8).reshape(len(rows), -1).T)
+        q = np.frombuffer(b"".join(asks["vector"]), np.float32).reshape(len(asks), -1)
+        q = np.pad(q, ((0, 0), (0, m["pad"])))
         books = m["books"]
-        inner = np.einsum("qmw,mcw->qmc", q.reshape(len(q), len(books), SUBSPACE), books)
-        pairs = (inner[:, 0::2, :, None] + inner[:, 1::2, None, :]).reshape(len(q), len(books) // 2, WORDS * WORDS)
         kept, scores, asked_by = [], [], []
-        take = min(keep + 1, len(ids))
-        for i, one in enumerate(asks["query_id"].to_numpy()):
-            near = np.zeros(len(ids), np.float32)
-            for j in range(pairs.shape[1]):
-                near += pairs[i, j][codes[:, j]]
-            edge = np.partition(near, len(near) - take)[len(near) - take]
-            best = np.flatnonzero(near >= edge)
-            best = best[np.argsort(-near[best], kind="stable")][:take]
-            kept.append(ids[best])
-            scores.append(near[best])
-            asked_by.append(np.full(len(best), one))
-        found = pd.DataFrame({"query_id": np.concatenate(asked_by), "vec_id": np.concatenate(kept), "near": np.concatenate(scores)})
+        for one, vector, some in zip(asks["query_id"].to_numpy(), q, asks["lists"], strict=True):
+            inner = np.einsum("mw,mcw->mc", vector.reshape(len(books), SUBSPACE), books)
+            pairs = (inner[0::2, :, None] + inner[1::2, None, :]).reshape(len(books) // 2, WORDS * WORDS)
+            near, place = [], []
+            for a, b in _runs(np.sort(np.asarray(some)), own):
+                part = np.zeros(b - a, np.float32)
+                for j in range(len(pairs)):
+                    part += pairs[j][codes[j, a:b]]
+                near.append(part)
+                place.append(np.arange(a, b))
+            near, place = np.concatenate(near), np.concatenate(place)
+            take = min(keep + 1, len(near))
+            if take:
+                edge = np.partition(near, len(near) - take)[len(near) - take]
+                best = np.flatnonzero(near >= edge)
+                best = best[np.lexsort((ids[place[best]], -near[best]))][:take]
+                kept.append(ids[place[best]])
+                scores.append(near[best])
+                asked_by.append(np.full(take, one))
+        none = [np.empty(0, np.int64)]
+        found = pd.DataFrame({"query_id": np.concatenate(asked_by or none), "vec_id": np.concatenate(kept or none), "near": np.concatenate(scores or none).astype(np.float32)})
         return found[found["query_id"] != found["vec_id"]]
 
-    keys = ["slice", "block"]
+    keys = ["cell", "block"]
     found = candidates.groupBy(*keys).cogroup(asking.groupBy(*keys)).applyInPandas(scan, "query_id long, vec_id long, near float")
     order = Window.partitionBy("query_id").orderBy(F.desc("near"), "vec_id")
     short = found.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= rerank).select("query_id", "vec_id")
