@@ -556,3 +556,91 @@ def test_fingerprints_odd_inputs(odd, empty):
     assert got.count() == len(ODD)
     assert got.where("doc_id = 1").first().marks == []
     assert fingerprints.edits(empty).count() == 0
+
+
+# --- models against plain versions
+
+
+def plain_posteriors(rows, wanted):
+    """Naive Bayes over character n-grams, counted in dictionaries of slots."""
+
+    def slot(gram):
+        x = 0
+        for i, c in enumerate(gram):
+            x = (x * 0x01000193 + ord(c)) % 2**32 if i else ord(c)
+        x = (x ^ x >> 15) * 0x85EBCA6B % 2**32
+        return (x ^ x >> 13) % language.DIMS
+
+    def slots(text):
+        text = text.lower()
+        return [slot(text[i : i + n]) for n in (1, 2, 3) for i in range(len(text) - n + 1)]
+
+    counts, texts = {}, {}
+    for text, lang in rows:
+        texts[lang] = texts.get(lang, 0) + 1
+        for s in slots(text):
+            counts.setdefault(lang, {}).setdefault(s, 0)
+            counts[lang][s] += 1
+    names = sorted(texts)
+    out = []
+    for text in wanted:
+        logs = []
+        for n in names:
+            total = sum(counts[n].values()) + 0.5 * language.DIMS
+            logs.append(np.log(texts[n] / sum(texts.values())) + sum(np.log((counts[n].get(s, 0) + 0.5) / total) for s in slots(text)))
+        share = np.exp(np.array(logs) - max(logs))
+        out.append((names[int(share.argmax())], float(share.max() / share.sum())))
+    return out
+
+
+def test_language_equals_a_plain_model(spark, docs, monkeypatch):
+    monkeypatch.setattr(language, "BLOCK", 50)  # texts are cut into pieces
+    rows = docs.where("lang is not null and length(text) < 600").limit(40).collect()
+    train = [(i + 1, r.text, r.lang) for i, r in enumerate(rows[:30])]
+    model = language.train(spark.createDataFrame(train, "doc_id long, text string, lang string"))
+    from zlib import crc32
+
+    known = [(t, x) for i, t, x in train if crc32(str(i).encode()) % 5]
+    wanted = [r.text[:90] for r in rows[30:]] + ["Ünïcode ½ 日本語", "a", "bb"]
+    got = {r.doc_id: (r.lang_pred, r.score) for r in language.predict(spark.createDataFrame(list(enumerate(wanted)), "doc_id long, text string"), model).collect()}
+    for i, (lang, score) in enumerate(plain_posteriors(known, wanted)):
+        assert got[i][0] == lang and abs(got[i][1] - score) < 1e-9
+
+
+def test_language_knows_letters(spark, docs):
+    model = language.train(docs)
+    rows = [(1, "½ ² Ⅷ _"), (2, "٣ 12"), (3, "½é"), (4, "日")]
+    got = {r.doc_id: r.lang_pred for r in language.predict(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()}
+    assert got[1] == got[2] == "und" and got[3] != "und" and got[4] != "und"
+
+
+def test_language_and_quality_of_a_very_long_text(spark, docs):
+    text = docs.where("lang = 'en'").first().text
+    long = (text + " ") * (20_000_000 // len(text))
+    rows = spark.createDataFrame([(1, long, "x", 1), (2, text, "y", 2), (2, text, "y", 2)], "doc_id long, text string, lang_pred string, score int")
+    got = language.predict(rows, language.train(docs)).collect()
+    assert [r.lang_pred for r in got] == ["en"] * 3
+    labels = spark.createDataFrame([(r.doc_id, i % 2) for i, r in enumerate(docs.select("doc_id").collect())], "doc_id long, quality int")
+    scored = {r.doc_id: r.score for r in quality.score(rows, quality.fit(docs, labels)).collect()}
+    assert 0 <= scored[1] <= 1 and 0 <= scored[2] <= 1
+
+
+def test_quality_equals_plain_votes(spark, sf_dir, docs):
+    model = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    for r in quality.score(docs, model).limit(60).collect():
+        data = (r.text or "").encode() + b"\n"
+        x = np.zeros(quality.DIMS)
+        for i in range(len(data) - 3):
+            code = 0
+            for c in data[i : i + 3]:
+                code = (code * 0x01000193 + c) % 2**32
+            code = (code ^ code >> 15) * 0x85EBCA6B % 2**32
+            x[(code ^ code >> 13) % quality.DIMS] += 1
+        w = [y.translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")) for y in split(r.text)]
+        again = sum(a == b for a, b in zip(w, w[1:], strict=False)) / max(1, len(w))
+        y = (np.log1p(x) * model["idf"]) @ model["base"]
+        y = np.append(y / np.linalg.norm(y), quality.REPEATS * again)
+        near = (y / np.linalg.norm(y)) @ model["vectors"]
+        best = np.argsort(-near)[: quality.NEIGHBOURS]
+        weight = np.maximum(near[best], 0) ** 4
+        assert abs(r.score - (weight * model["labels"][best]).sum() / weight.sum()) < 1e-3

@@ -6,6 +6,7 @@ depend on how many rows an Arrow batch holds.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,6 +19,7 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _LOWER = np.arange(256, dtype=np.uint64)
 _LOWER[65:91] += 32
+_NEXT_SPACE = re.compile(rb"[\x20\x09-\x0D]")
 _powers: dict[int, np.ndarray] = {}
 
 
@@ -35,6 +37,34 @@ def blocks(texts, size: int = BLOCK) -> Iterator[tuple[int, int, list[bytes]]]:
         yield start, start + len(part), part
 
 
+def cut(text: bytes, size: int = BLOCK) -> Iterator[bytes]:
+    """A text in pieces of about ``size`` bytes that end before white space, so
+    no word is cut (a longer word is, at ``size``)."""
+    at = 0
+    while len(text) - at > size:
+        end = max(text.rfind(c, at + 1, at + size) for c in (b" ", b"\n", b"\t", b"\r"))
+        end = end if end > at else at + size
+        yield text[at:end]
+        at = end
+    yield text[at:]
+
+
+def cut_blocks(texts, size: int = BLOCK) -> Iterator[tuple[np.ndarray, list[bytes]]]:
+    """Like ``blocks``, but long texts are cut: (row of each piece, pieces).
+    What a task holds is bounded by ``size``, however long a text is."""
+    rows, part, held = [], [], 0
+    for i, text in enumerate(texts):
+        for piece in cut(text.encode("utf-8", "surrogatepass") if isinstance(text, str) else b"", size):
+            rows.append(i)
+            part.append(piece)
+            held += len(piece) + 1
+            if held >= size:
+                yield np.array(rows), part
+                rows, part, held = [], [], 0
+    if part:
+        yield np.array(rows), part
+
+
 def joined(part: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """All bytes with a line end after each text, and where each text starts."""
     data = np.frombuffer(b"\n".join(part) + b"\n", np.uint8)
@@ -77,6 +107,29 @@ def word_hashes(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.nd
     return h, np.append(np.searchsorted(first, starts), len(first))
 
 
+def hashed_words(part: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """``word_hashes`` of some texts; one that is much longer than a block is
+    hashed piece by piece, which gives the same words unless one alone is longer."""
+    if len(part[-1]) <= 4 * BLOCK:
+        return word_hashes(*joined(part))
+    some = [word_hashes(*joined(part[:-1]))] if len(part) > 1 else [(np.empty(0, _U), np.zeros(1, np.int64))]
+    long = _whole_words(part[-1])
+    return np.concatenate((some[0][0], long)), np.append(some[0][1], len(some[0][0]) + len(long))
+
+
+def _whole_words(text: bytes) -> np.ndarray:
+    """Word hashes of a long text, in pieces that end at white space."""
+    out, at = [], 0
+    while at < len(text):
+        end = at + BLOCK
+        if end < len(text):
+            found = _NEXT_SPACE.search(text, end)
+            end = found.start() if found else len(text)
+        out.append(word_hashes(*joined([text[at:end]]))[0])
+        at = end
+    return np.concatenate(out)
+
+
 def shingles(h: np.ndarray, bounds: np.ndarray, width: int) -> list[np.ndarray]:
     """Each text's distinct word shingles as sorted 64-bit values."""
     size = max(0, len(h) - width + 1)

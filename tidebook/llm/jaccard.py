@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 
 from tidebook.functions.graphs import components
 from tidebook.functions.storage import materialize, worker_imports
-from tidebook.llm.grams import blocks, joined, mixed, shingles, word_hashes
+from tidebook.llm.grams import blocks, hashed_words, mixed, shingles
 from tidebook.llm.tables import partitions, read, small_side
 
 WIDTH = 5
@@ -57,8 +57,7 @@ _BLOCK = "uid long, bucket int, kind int, a binary, b binary, c binary"
 def sets_of(texts):
     """(first row, end row, sorted distinct shingle hashes of each text)."""
     for a, b, part in blocks(texts):
-        h, bounds = word_hashes(*joined(part))
-        yield a, b, shingles(h, bounds, WIDTH)
+        yield a, b, shingles(*hashed_words(part), WIDTH)
 
 
 def _narrow(x: np.ndarray) -> bytes:

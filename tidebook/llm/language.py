@@ -1,20 +1,23 @@
-"""Language identification: multinomial naive Bayes over hashed byte n-grams.
-
-Training counts every 2- and 3-byte window of every text whose language is
-known and which isn't in the held-out fifth: tasks count what they read, Spark
-sums by language and slot. The smoothed log-probability matrix (``DIMS`` slots
-x languages, so bounded by the label set) is broadcast; tasks look the windows
-of a block of texts up in it and sum by text.
-
-Defined cases: a null text, or one without a letter, is ``und`` with score 0;
-an equal posterior goes to the language first by code point; a text too short
-for a window gets the prior; without training rows everything is ``und``; an
-empty table gives an empty result.
+"""Language identification: multinomial naive Bayes over hashed character n-grams.
+
+Training counts every window of one, two and three characters of every text
+whose language is known and which isn't in the held-out fifth: tasks count what
+they read, Spark sums by language and slot. The smoothed log-probability matrix
+(``DIMS`` slots x languages, so bounded by the label set) is broadcast; tasks look
+the windows of a block of texts up in it, one language at a time, and sum by text.
+Texts are lower-cased and taken in pieces of at most ``BLOCK`` characters, with
+the characters that the last windows need, so memory doesn't follow a text's length.
+
+Defined cases: a null text, or one without a letter (Unicode categories L*), is
+``und`` with score 0; an equal posterior goes to the language first by code
+point; without training rows everything is ``und``; rows that repeat are each
+predicted and each teach; an empty table gives an empty result; other columns
+pass.
 """
 
 from __future__ import annotations
 
-import re
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -22,33 +25,56 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidebook.functions.storage import worker_imports
-from tidebook.llm.grams import blocks, joined
 from tidebook.llm.tables import held_out, read
 
-DIMS = 1 << 13
-_LETTER = re.compile(r"[^\W\d_]")
-
-
-def _slots(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """Two slots for each byte: its 2-byte and its 3-byte window. Windows that
-    would leave their text get slot DIMS, which counts for nothing."""
-    low = data.astype(np.uint32)
-    low[(data >= 65) & (data <= 90)] += 32
-    out = np.full((2, len(data)), DIMS, np.int64)
-    end = np.zeros(len(data) + 3, bool)
-    end[np.append(starts[1:] - 1, len(data) - 1)] = True
-    end[len(data) :] = True
-    code = low
-    closed = end[: len(data)].copy()
-    for i in range(2):
-        nxt = np.zeros_like(low)
-        nxt[: len(low) - i - 1] = low[i + 1 :]
-        code = code * np.uint32(0x01000193) + nxt
-        closed |= end[i + 1 : len(data) + i + 1]
-        mixed = (code ^ (code >> np.uint32(15))) * np.uint32(0x85EBCA6B)
-        slot = ((mixed ^ (mixed >> np.uint32(13))) & np.uint32(DIMS - 1)).astype(np.int64)
-        out[i] = np.where(closed, DIMS, slot)
-    return out
+DIMS = 1 << 14
+LONGEST = 3
+BLOCK = 1 << 19
+_STEP, _MIX = np.uint32(0x01000193), np.uint32(0x85EBCA6B)
+
+
+def _pieces(texts) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Blocks of texts as code points: (row, end, code) arrays, the first two by
+    piece. A piece is followed by ``LONGEST`` - 1 more code points of its text or
+    zeros, which start no window of their own."""
+    more = LONGEST - 1
+    rows, ends, codes, held = [], [], [], 0
+    for i, text in enumerate(texts):
+        if not isinstance(text, str) or not text:
+            continue
+        code = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
+        for at in range(0, len(code), BLOCK):
+            own = code[at : at + BLOCK]
+            after = code[at + BLOCK : at + BLOCK + more]
+            codes += [own, after, np.zeros(more - len(after), np.uint32)]
+            held += len(own) + more
+            rows.append(i)
+            ends.append(held)
+            if held >= BLOCK:
+                yield np.array(rows), np.array(ends), np.concatenate(codes)
+                rows, ends, codes, held = [], [], [], 0
+    if rows:
+        yield np.array(rows), np.array(ends), np.concatenate(codes)
+
+
+def _slots(ends: np.ndarray, codes: np.ndarray) -> Iterator[np.ndarray]:
+    """For each window length a slot for each place; places that start no window
+    (the zeros, and what follows a piece) get slot DIMS, which counts for nothing."""
+    starts = np.append(0, ends[:-1])
+    own = np.zeros(len(codes) + 1, np.int8)
+    np.add.at(own, starts, 1)
+    np.add.at(own, ends - (LONGEST - 1), -1)
+    own = np.cumsum(own[:-1]) > 0
+    whole = codes.astype(np.uint32)
+    for n in range(LONGEST):
+        if n:
+            after = np.zeros_like(codes)
+            after[:-n] = codes[n:]
+            whole = whole * _STEP + after
+            own = own & (after > 0)
+        mixed = (whole ^ (whole >> np.uint32(15))) * _MIX
+        slot = (mixed ^ (mixed >> np.uint32(13))) & np.uint32(DIMS - 1)
+        yield np.where(own, slot, DIMS).astype(np.int32)
 
 
 def train(docs: DataFrame) -> dict | None:
@@ -60,17 +86,17 @@ def train(docs: DataFrame) -> dict | None:
         sums: dict[str, np.ndarray] = {}
         texts: dict[str, int] = {}
         for pdf in batches:
-            lang = pdf["lang"].to_numpy()
-            for a, b, part in blocks(pdf["text"]):
-                data, starts = joined(part)
-                slots = _slots(data, starts)
-                names, which = np.unique(lang[a:b].astype(str), return_inverse=True)
-                at = np.repeat(which, np.diff(np.append(starts, len(data))))
-                both = np.bincount((slots + at * (DIMS + 1)).ravel(), minlength=len(names) * (DIMS + 1)).reshape(len(names), -1)
-                for name, row, n in zip(names, both, np.bincount(which, minlength=len(names)), strict=True):
-                    sums[name] = sums.get(name, 0) + row[:DIMS]
-                    texts[name] = texts.get(name, 0) + int(n)
-        for name, row in sums.items():
+            names, which = np.unique(pdf["lang"].to_numpy().astype(str), return_inverse=True)
+            for name, n in zip(names, np.bincount(which, minlength=len(names)), strict=True):
+                texts[name] = texts.get(name, 0) + int(n)
+            for rows, ends, codes in _pieces(pdf["text"]):
+                at = np.repeat(which[rows], np.diff(ends, prepend=0)) * (DIMS + 1)
+                for slots in _slots(ends, codes):
+                    both = np.bincount(slots + at, minlength=len(names) * (DIMS + 1)).reshape(len(names), -1)
+                    for i in np.unique(which[rows]):
+                        sums[names[i]] = sums.get(names[i], 0) + both[i, :DIMS]
+        for name in texts:
+            row = sums.get(name, np.zeros(DIMS, np.int64))
             slot = np.flatnonzero(row)
             yield pd.DataFrame({"lang": name, "slot": np.append(slot, -1), "n": np.append(row[slot], texts[name])})
 
@@ -82,8 +108,8 @@ def train(docs: DataFrame) -> dict | None:
     table[got["lang"].map({x: i for i, x in enumerate(names)}), got["slot"]] = got["n"]  # slot -1 is the last column
     prior = np.log(table[:, DIMS] / table[:, DIMS].sum())
     grams = table[:, :DIMS] + 0.5
-    logs = np.zeros((DIMS + 1, len(names)))
-    logs[:DIMS] = np.log(grams / grams.sum(1, keepdims=True)).T
+    logs = np.zeros((len(names), DIMS + 1))
+    logs[:, :DIMS] = np.log(grams / grams.sum(1, keepdims=True))
     return {"names": names, "logs": logs, "prior": prior}
 
 
@@ -100,18 +126,19 @@ def predict(docs: DataFrame, model: dict | None) -> DataFrame:
         m = sent.value
         names = np.array(m["names"], object)
         for pdf in batches:
-            lang, score = np.full(len(pdf), "und", object), np.zeros(len(pdf))
-            for a, b, part in blocks(pdf["text"]):
-                data, starts = joined(part)
-                slots = _slots(data, starts)
-                total = np.add.reduceat(m["logs"][slots[0]] + m["logs"][slots[1]], starts, axis=0) + m["prior"]
-                total -= total.max(1, keepdims=True)
-                share = np.exp(total)
-                share /= share.sum(1, keepdims=True)
-                best = share.argmax(1)
-                has = np.array([isinstance(t, str) and bool(_LETTER.search(t)) for t in pdf["text"].iloc[a:b]])
-                lang[a:b] = np.where(has, names[best], "und")
-                score[a:b] = np.where(has, share[np.arange(len(best)), best], 0.0)
+            total = np.tile(m["prior"], (len(pdf), 1))
+            for rows, ends, codes in _pieces(pdf["text"]):
+                starts = np.append(0, ends[:-1])
+                for slots in _slots(ends, codes):
+                    for i, logs in enumerate(m["logs"]):
+                        np.add.at(total[:, i], rows, np.add.reduceat(logs[slots], starts))
+            total -= total.max(1, keepdims=True, initial=-np.inf)
+            share = np.exp(total)
+            share /= share.sum(1, keepdims=True)
+            best = share.argmax(1)
+            has = np.array([isinstance(t, str) and any(map(str.isalpha, t)) for t in pdf["text"]], bool)
+            lang = np.where(has, names[best], "und")
+            score = np.where(has, share[np.arange(len(best)), best], 0.0)
             yield pdf.assign(lang_pred=lang, score=score)
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
