@@ -330,6 +330,55 @@ def test_letters_only_and_late_secrets(spark):
     assert got[4] == [("novel", len(near), len(near) + len(late))]
 
 
+def plain_base(text):
+    found = []
+    for m in re.finditer(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text, re.I | re.A):
+        if len(m[2]) >= 6:
+            found.append((m.start(), 0, m.end()))
+    found += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 20]
+    found += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 24]
+    return sorted(found)
+
+
+def test_base_spans_equal_plain_patterns(spark):
+    sf = "/root/testdata/sf0.01"
+    got = {r.doc_id: r for r in secret_scan.op4_secrets(spark, sf).collect()}
+    some = 0
+    for r in spark.read.parquet(f"{sf}/documents.parquet").collect():
+        base = plain_base(r.text or "")
+        said = ",".join(f"{('assign', 'access', 'hex')[k]}:{a}:{b}" for a, k, b in base)
+        assert got[r.doc_id].base_sha256 == hashlib.sha256(said.encode()).hexdigest()
+        assert [got[r.doc_id][f"n_{k}"] for k in ("assign", "access", "hex")] == [sum(x[1] == i for x in base) for i in range(3)]
+        assert [x for x in got[r.doc_id].spans.split(",") if x and not x.startswith("novel")] == said.split(",") * bool(said)
+        some += bool(base)
+    assert some
+
+
+def test_a_dictionary_is_learned_from_all_rows(spark):
+    rows = [(i, f"the token goes through QuotationLedger and quotationLedgers, row {i}") for i in range(8)] + [(9, None), (10, "QuotationLedger elsewhere")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    words = secret_scan.learn(df).split()
+    assert {"Quotation", "Ledger", "quotation", "Ledgers", "through"} <= set(words) and "elsewhere" not in words
+    key = "kqzvxjwpfyhbmgtdrnlc"
+    copies = spark.createDataFrame([(i, f"bearer {key} end", i, "x") for i in range(300)], "doc_id long, text string, spans int, kind string")
+    assert {tuple((s.kind, s.start, s.end) for s in r.spans) for r in secret_scan.scan(copies).collect()} == {(("novel", 7, 27),)}
+
+
+def test_random_keys_are_found(spark, docs):
+    rng = np.random.default_rng(8)
+    mixed = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"), 16)) for _ in range(300)]
+    small = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 16)) for _ in range(300)]
+    rows = spark.createDataFrame([(i, f"the bearer header is {k} here") for i, k in enumerate(mixed + small)], "doc_id long, text string")
+    found = secret_scan.scan(rows, secret_scan.learn(docs)).where("size(spans) > 0")
+    assert found.where("doc_id < 300").count() >= 298 and found.where("doc_id >= 300").count() >= 290
+
+
+def test_secrets_of_a_very_long_text(spark):
+    text = "plain words here " * 1_200_000 + "password = hunter2x"
+    got = secret_scan.scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert [(s.kind, s.end) for s in got.spans] == [("assign", len(text))]
+
+
 def test_secret_digest_of_nothing(spark, sf_dir):
     got = secret_scan.op4_secrets(spark, sf_dir).where("spans = ''").first()
     assert got.base_sha256 == hashlib.sha256(b"").hexdigest() and got.n_assign == got.n_access == got.n_hex == 0
@@ -399,6 +448,27 @@ def test_archives_round_trip(spark):
     assert got == [(3, 160, "response", None), (3, 160, "response", None), (5, 160, "revisit", 3), (7, 5, "response", None), (8, 5, "response", None), (9, 0, "response", None)]
 
 
+def test_records_are_whole_and_their_own(spark):
+    big = "x" * 5_000_000 + "é"
+    urls = ["http://a/b c?d=%20e", "http://a/\r\nX-Page: 9", None, "", "http://ü/"]
+    rows = [(i % 3, u, big if i == 4 else "<p>hello</p>" * 20, "extra", i) for i, u in enumerate(urls)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, digest string, frame int")
+    folder = warc.new_path(spark, "warc")
+    index = warc.write_archives(df, folder)
+    got = warc.read_archives(index, folder).collect()
+    assert sorted(r.url or "" for r in got) == sorted(u or "" for u in urls)
+    assert max(r.payload_bytes for r in got) == len(big.encode())
+    store, root = warc._location(folder)
+    seen = []
+    for r in index.collect():
+        reader = warc.BundleReader(store.open_input_file(f"{root}/{r.bundle}"))
+        head, _ = warc.parse_record(reader.record(r.frame, r.offset, r.length))
+        assert re.fullmatch(r"\d{4}-\d\d-\d\dT\d\d:\d\d:\d\dZ", head["WARC-Date"])
+        assert head["WARC-Type"] == "response" or "WARC-Refers-To-Date" in head
+        seen.append(head["WARC-Record-ID"])
+    assert len(set(seen)) == len(rows)
+
+
 def test_archives_of_nothing(spark):
     folder = warc.new_path(spark, "warc")
     index = warc.write_archives(spark.createDataFrame([], "page_id long, url string, html string"), folder)

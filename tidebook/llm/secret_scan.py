@@ -2,27 +2,34 @@
 
 Three patterns give the base spans. The novelty pass then looks at strings of
 ``MIN_NOVEL`` or more value characters that start within ``CONTEXT`` characters
-after a sensitive word, letters only or not. It compresses the surrounding text with and without the
-candidate, by a Zstandard compressor primed with a dictionary of identifiers:
-the marginal compressed bytes for each character tell how new the string is.
+after a sensitive word, letters only or not. It compresses the surrounding text
+with and without the candidate, by a Zstandard compressor primed with a
+dictionary: the marginal compressed bytes for each character tell how new the
+string is. The dictionary holds a short list of identifiers and what the corpus
+itself says near sensitive words: the parts of identifiers and words, of
+``PART_LETTERS`` letters, that stand near one in at least ``MIN_ROWS`` rows,
+counted over all rows; the ``LEARNED`` most frequent are kept. A key has no such
+parts, however many copies of its document there are, unless letters in a row
+make them up; strings of letters alone are longer than a part.
 Names and paths made of known parts cost little; random keys cost nearly what
 random characters must. Those above ``MIN_BYTES`` are reported as ``novel``.
 Base spans stay as they are; a novel span that meets one is left out.
 
-Defined cases: a null text is empty and has no spans; spans are counted in code
+Defined cases: other columns are ignored; a null text is empty and has no spans; spans are counted in code
 points with the end exclusive; rows that repeat are each scanned; a text of any
 length is scanned whole; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-import hashlib
 import re
+from collections import Counter
 
 import numpy as np
 import pandas as pd
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tidebook.functions.storage import worker_imports
 from tidebook.llm.grams import blocks, joined
@@ -32,6 +39,9 @@ KINDS = ("assign", "access", "hex", "novel")
 MIN_VALUE, MIN_ACCESS, MIN_HEX, MIN_NOVEL = 6, 20, 24, 16
 CONTEXT = 64
 MIN_BYTES = 0.62
+PART_LETTERS = (5, 14)
+MIN_ROWS = 5
+LEARNED = 1000
 #: Words that make what follows them sensitive.
 SENSITIVE = "password passwd secret token api_key apikey credential private_key auth bearer access_key signature session".split()
 #: What code and configuration say often; the compressor knows these strings.
@@ -44,6 +54,8 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(rf"[0-9a-f]{{{MIN_HEX},}}")
 _NOVEL = re.compile(rf"[A-Za-z0-9+/_.=-]{{{MIN_NOVEL},}}")
 _HINT = re.compile("(?ai:" + "|".join(SENSITIVE) + ")")
+#: Runs of letters, cut where a capital follows a small letter.
+_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _IS_HEX = np.zeros(256, bool)
 _IS_HEX[list(b"0123456789abcdef")] = True
 
@@ -60,8 +72,34 @@ def base_spans(text: str, lower: str, hexes: bool) -> list[tuple[int, int, int]]
     return sorted(found)
 
 
-def packer() -> zstandard.ZstdCompressor:
-    primed = zstandard.ZstdCompressionDict((PARTS + IDENTIFIERS).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+def learn(docs: DataFrame) -> str:
+    """The parts of words that stand near sensitive words in most rows, rarer
+    ones first. Tasks count what they read, so at most their words are shuffled;
+    the driver gets ``LEARNED`` of them."""
+    worker_imports(docs.sparkSession)
+    low, high = PART_LETTERS
+
+    def count(batches):
+        found = Counter()
+        for pdf in batches:
+            for text in pdf["text"]:
+                if isinstance(text, str) and any(w in text.lower() for w in SENSITIVE):
+                    said, done = set(), 0
+                    for hint in _HINT.finditer(text):
+                        if hint.end() + CONTEXT > done:
+                            a = max(0, done, hint.start() - 4 * CONTEXT)
+                            done = hint.end() + 5 * CONTEXT
+                            said.update(p for p in _PART.findall(text[a:done]) if low <= len(p) <= high)
+                    found.update(said)
+        yield pd.DataFrame({"part": list(found), "n": list(found.values())}).astype({"part": "object", "n": "int64"})
+
+    counted = docs.select("text").mapInPandas(count, "part string, n long").groupBy("part").agg(F.sum("n").alias("n"))
+    kept = counted.where(F.col("n") >= MIN_ROWS).orderBy(F.desc("n"), "part").limit(LEARNED)
+    return " ".join(r.part for r in kept.collect()[::-1])
+
+
+def packer(learned: str = "") -> zstandard.ZstdCompressor:
+    primed = zstandard.ZstdCompressionDict((learned + " " + PARTS + IDENTIFIERS).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
     return zstandard.ZstdCompressor(level=19, dict_data=primed, write_checksum=False, write_content_size=False)
 
 
@@ -100,12 +138,14 @@ def _with_long_hex(texts) -> np.ndarray:
     return out
 
 
-def scan(docs: DataFrame) -> DataFrame:
-    """doc_id and the list of (kind, start, end) of each text, by start."""
+def scan(docs: DataFrame, learned: str | None = None) -> DataFrame:
+    """doc_id and the list of (kind, start, end) of each text, by start.
+    ``learned`` is the corpus's dictionary (None: it is counted from ``docs``)."""
     worker_imports(docs.sparkSession)
+    words = learn(docs) if learned is None else learned
 
     def run(batches):
-        zip_ = packer()
+        zip_ = packer(words)
         for pdf in batches:
             rows = []
             for text, hexes in zip(pdf["text"], _with_long_hex(pdf["text"]), strict=True):
@@ -122,11 +162,7 @@ def scan(docs: DataFrame) -> DataFrame:
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = scan(read(spark, sf_dir, "documents"))
 
-    def digest(batches):
-        for pdf in batches:
-            said = [[f"{s['kind']}:{s['start']}:{s['end']}" for s in spans] for spans in pdf["spans"]]
-            base = [[x for x in one if not x.startswith("novel:")] for one in said]
-            counts = {f"n_{k}": [sum(x.startswith(k) for x in one) for one in base] for k in KINDS[:3]}
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], **counts, "base_sha256": [hashlib.sha256(",".join(x).encode()).hexdigest() for x in base], "spans": [",".join(x) for x in said]})
-
-    return found.mapInPandas(digest, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
+    said = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    base = F.filter("spans", lambda s: s["kind"] != "novel")
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
+    return found.select("doc_id", *[count(k).alias(f"n_{k}") for k in KINDS[:3]], F.sha2(said(base).cast("binary"), 256).alias("base_sha256"), said(F.col("spans")).alias("spans"))

@@ -10,18 +10,28 @@ Each task writes its own bundles into a new folder below the shared folder; a
 task that runs again writes under new names, and only the index, written once,
 says which bundles count. Bundles close at ``BUNDLE_BYTES``.
 
-Defined cases: a null html is an empty payload; records with equal payloads of
-at least ``MIN_REVISIT`` bytes revisit the smallest page_id (null ids come
-last), and a row that repeats that page_id is a response too; an empty table
-writes nothing and reads back as an empty result; other columns are ignored.
+Records follow WARC 1.1: each has an id of its own (a random UUID), the time of
+writing, and a payload digest; a revisit names the URI and time of the record it
+revisits. ``X-`` fields carry the page ids, the length of a payload that isn't
+stored, and a URI that has characters which a field can't hold.
+
+Defined cases: a null html is an empty payload, of any size whole in one record;
+records with equal payloads of at least ``MIN_REVISIT`` bytes revisit the
+smallest page_id (null ids come last), and a row that repeats that page_id is a
+response too; a null or empty url gives no URI; an empty table writes nothing and
+reads back as an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
 import io
+import json
+import re
 import struct
 import uuid
+from datetime import UTC, datetime
+from urllib.parse import quote
 
 import pandas as pd
 import zstandard
@@ -35,6 +45,8 @@ from tidebook.llm.tables import read, small_side
 MIN_REVISIT = 100
 FRAME_BYTES = 1 << 18
 BUNDLE_BYTES = 1 << 26
+#: Neighbouring frames that one task reads.
+FRAMES = 64
 _SKIPPABLE, _SEEKABLE = 0x184D2A5E, 0x8F92EAB1
 INDEX = "page_id long, bundle string, frame int, offset long, length long"
 
@@ -99,19 +111,28 @@ class BundleReader:
         return self.data[offset : offset + length]
 
 
-def record_bytes(page_id, url, payload: bytes, digest: str, first) -> bytes:
+def record_bytes(page_id, url, payload: bytes, digest: str, at: str, first=None, first_url=None) -> bytes:
     """One WARC record; ``first`` is the page that a revisit refers to."""
-    head = ["WARC/1.1", f"WARC-Type: {'response' if first is None else 'revisit'}", f"WARC-Record-ID: <urn:page:{page_id}>"]
+    head = ["WARC/1.1", f"WARC-Type: {'response' if first is None else 'revisit'}", f"WARC-Record-ID: <urn:uuid:{uuid.uuid4()}>", f"WARC-Date: {at}"]
     if url:
-        head.append("WARC-Target-URI: " + "".join(url.split()))
-    head += [f"WARC-Payload-Digest: sha256:{digest}", f"X-Payload-Length: {len(payload)}"]
+        head.append(f"WARC-Target-URI: {_field(url)}")
+        if _field(url) != url:
+            head.append(f"X-URI: {json.dumps(url)}")
+    head += ["Content-Type: text/html", f"WARC-Payload-Digest: sha256:{digest}", f"X-Payload-Length: {len(payload)}"]
+    head += [] if page_id is None else [f"X-Page: {page_id}"]
     if first is not None:
-        head += [f"WARC-Refers-To: <urn:page:{first}>", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
+        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To-Date: {at}", f"X-Refers-To-Page: {first}"]
+        head += [f"WARC-Refers-To-Target-URI: {_field(first_url)}"] if first_url else []
         payload = b""
     head.append(f"Content-Length: {len(payload)}")
     return "\r\n".join(head).encode() + b"\r\n\r\n" + payload + b"\r\n\r\n"
 
 
+def _field(url: str) -> str:
+    """A URL whose spaces and control characters are percent-encoded."""
+    return re.sub(r"[\x00-\x20\x7f-\x9f\u2028\u2029]", lambda m: quote(m[0]), url)
+
+
 def parse_record(data: bytes) -> tuple[dict[str, str], bytes]:
     head, _, body = data.partition(b"\r\n\r\n")
     fields = dict(line.split(": ", 1) for line in head.decode().split("\r\n")[1:])
@@ -124,8 +145,9 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
     worker_imports(spark)
     html = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     keyed = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", html.alias("payload")).withColumn("digest", F.sha2("payload", 256))
-    groups = keyed.where(F.octet_length("payload") >= MIN_REVISIT).groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n"))
-    copies = materialize(groups.where("n > 1").select("digest", "first"), "copies")
+    groups = keyed.where(F.octet_length("payload") >= MIN_REVISIT).groupBy("digest").agg(F.min("page_id").alias("first"), F.min_by("url", "page_id").alias("first_url"), F.count(F.lit(1)).alias("n"))
+    copies = materialize(groups.where("n > 1").select("digest", "first", "first_url"), "copies")
+    at = datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
     planned = keyed.join(small_side(copies), "digest", "left").withColumn("first", F.when(F.col("first").eqNullSafe(F.col("page_id")), None).otherwise(F.col("first")))
 
     def write(batches):
@@ -133,12 +155,12 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
         store.create_dir(root, recursive=True)
         bundle, name, rows = None, "", []
         for pdf in batches:
-            for page, url, payload, digest, first in pdf[["page_id", "url", "payload", "digest", "first"]].itertuples(index=False, name=None):
+            for page, url, payload, digest, first, first_url in pdf[["page_id", "url", "payload", "digest", "first", "first_url"]].itertuples(index=False, name=None):
                 if bundle is None:
                     name = f"pages-{uuid.uuid4().hex}.warc.zst"
                     bundle = BundleWriter(store.open_output_stream(f"{root}/{name}", compression=None))
                 page, first = None if pd.isna(page) else int(page), None if pd.isna(first) else int(first)
-                data = record_bytes(page, url, bytes(payload), digest, first)
+                data = record_bytes(page, url, bytes(payload), digest, at, first, first_url)
                 rows.append((page, name, *bundle.add(data), len(data)))
                 if bundle.bytes >= BUNDLE_BYTES:
                     bundle.close()
@@ -169,11 +191,14 @@ def read_archives(index: DataFrame, folder: str) -> DataFrame:
                 kind, digest = head["WARC-Type"], head["WARC-Payload-Digest"].removeprefix("sha256:")
                 if kind == "response" and hashlib.sha256(body).hexdigest() != digest:
                     raise ValueError(f"damaged record in {bundle}")
-                ids = [None if x in (None, "None") else int(x) for x in (head[k][10:-1] if k in head else None for k in ("WARC-Record-ID", "WARC-Refers-To"))]
-                rows.append((ids[0], int(head["X-Payload-Length"]), digest, kind, ids[1], head.get("WARC-Target-URI")))
+                ids = [int(head[k]) if k in head else None for k in ("X-Page", "X-Refers-To-Page")]
+                url = json.loads(head["X-URI"]) if "X-URI" in head else head.get("WARC-Target-URI")
+                rows.append((ids[0], int(head["X-Payload-Length"]), digest, kind, ids[1], url))
             yield pd.DataFrame(rows, columns=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url"]).astype({"page_id": "Int64", "refers_to": "Int64"})
 
-    ordered = index.repartition("bundle").sortWithinPartitions("bundle", "frame", "offset")
+    # a number of its own, so that the small index isn't folded into one task that reads all archives
+    bundles = max(1, index.select("bundle").distinct().count())
+    ordered = index.repartition(4 * bundles, "bundle", F.floor(F.col("frame") / FRAMES)).sortWithinPartitions("bundle", "frame", "offset")
     return ordered.mapInPandas(fetch, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string")
 
 
