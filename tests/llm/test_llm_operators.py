@@ -621,6 +621,62 @@ def test_winnowing_guarantee_and_rightmost_ties(spark):
     assert places == list(range(fingerprints.WINDOW - 1, 56)) and len(got[3].h) == 1
 
 
+def plain_marks(text):
+    """(position, 40-bit hash) of the k-grams that winnowing selects."""
+    import xxhash
+
+    def hashed(some):
+        h = 42
+        for w in some:
+            h = xxhash.xxh64_intdigest(w.encode(), h)
+        return h - (1 << 64) if h >= 1 << 63 else h
+
+    w = split(re.sub(f"({fingerprints.SPACELESS})", r" \1 ", text or ""))
+    k, n = fingerprints.K, fingerprints.WINDOW
+    grams = [hashed(w[i : i + k]) >> 24 for i in range(len(w) - k + 1)] or ([hashed(w) >> 24] if w else [])
+    picked = {}
+    for i in range(max(1, len(grams) - n + 1)):
+        window = grams[i : i + n]
+        if window:
+            at = max(j for j, g in enumerate(window) if g == min(window))
+            picked[i + at] = window[at]
+    return sorted(picked.items())
+
+
+def test_fingerprints_equal_plain_winnowing(spark, sf_dir, docs):
+    rows = [(r.doc_id, r.text) for r in docs.orderBy("doc_id").limit(80).collect()] + [(10_000, "日本語のテキストは空白なしで書かれる。" * 4), (10_001, "ไทย ไม่มี"), (10_002, ""), (10_003, None), (10_004, "a b a b " * 30)]
+    got = {r.doc_id: r for r in fingerprints.edits(spark.createDataFrame(rows, "doc_id long, text string"), 7).withColumn("r", fingerprints.rendered(fingerprints.F.col("marks"))).withColumn("e", fingerprints.rendered(fingerprints.F.col("edited_marks"))).withColumn("near", fingerprints.likeness(fingerprints.hashes(fingerprints.F.col("marks")), fingerprints.hashes(fingerprints.F.col("edited_marks")))).collect()}
+    said = lambda marks: " ".join(f"{i}:{h % 2**40:x}" for i, h in marks)
+    for i, (one, text) in enumerate(rows):
+        text, after = text or "", rows[(i + 1) % len(rows)][1] or ""
+        half = len(text) // 2
+        edited = text[: len(text) - half] + after[:half]
+        mine, other = plain_marks(text), plain_marks(edited)
+        assert got[one].edited == edited and got[one].r == said(mine) and got[one].e == said(other)
+        x, y = {h for _, h in mine}, {h for _, h in other}
+        assert abs(got[one].near - (len(x & y) / len(x | y) if x | y else 1.0)) < 1e-12
+
+
+@pytest.mark.parametrize("ranges", [1, 2, 5, 50, 400])
+def test_next_text_over_any_number_of_ranges(spark, ranges):
+    rows = [(i * 7 % 101, f"text {i}") for i in range(101)] + [(5, "again"), (5, "again"), (None, "no id")]
+    got = fingerprints.edits(spark.createDataFrame(rows, "doc_id long, text string"), ranges).select("doc_id", "text", "edited").collect()
+    once = {r.doc_id: r for r in got if r.doc_id != 5}
+    assert len(got) == len(rows)
+    texts = {i: t for i, t in rows if i != 5}
+    for i in range(6, 100):
+        half = len(texts[i]) // 2
+        assert once[i].edited == texts[i][: len(texts[i]) - half] + texts[i + 1][:half]
+    half = len(texts[100]) // 2
+    assert once[100].edited == texts[100][: len(texts[100]) - half] + "no id"[:half]
+
+
+def test_fingerprint_of_a_very_long_text(spark):
+    rows = [(1, " ".join(f"w{i * i % 9973}" for i in range(1_500_000))), (2, "short")]
+    got = {r.doc_id: r for r in fingerprints.edits(spark.createDataFrame(rows, "doc_id long, text string")).selectExpr("doc_id", "size(marks) AS n", "n_chars").collect()}
+    assert got[1].n > 1_500_000 / 16 and got[2].n == 1
+
+
 def test_fingerprints_odd_inputs(odd, empty):
     got = fingerprints.edits(odd)
     assert got.count() == len(ODD)
