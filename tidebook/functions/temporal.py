@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -54,15 +55,26 @@ def interval_join(left: DataFrame, right: DataFrame, keys: list[str], at: str, l
 def cooldown(df: DataFrame, keys: list[str], at: str, tie: str, wait: str) -> DataFrame:
     """Rows kept greedily: each at least ``wait`` after the last kept of its key.
 
-    A greedy choice depends on all earlier ones, so it isn't a window function;
-    it folds over a key's sorted times. Only time and tie travel, so a key's
-    array is small next to its rows.
+    A greedy choice depends on all earlier ones, so it isn't a window function.
+    But a row that comes ``wait`` or more after the one before it is always kept
+    and starts the choice anew: a key's rows are cut there, the pieces are dealt
+    out, and each is read as a sorted stream that holds the last kept time only.
     """
-    order = F.array_sort(F.collect_list(F.struct(F.col(at).alias("t"), F.col(tie).alias("i"))))
-    kind = "struct<last:bigint,kept:array<struct<t:bigint,i:bigint>>>"
-    start = F.struct(F.lit(None).cast("bigint").alias("last"), F.array().cast("array<struct<t:bigint,i:bigint>>").alias("kept")).cast(kind)
-    step = lambda s, x: F.when(s["last"].isNull() | (x["t"] - s["last"] >= F.col("_wait")), F.struct(x["t"].alias("last"), F.concat(s["kept"], F.array(x)).alias("kept"))).otherwise(s)
-    typed = df.withColumn(at, F.col(at).cast("bigint")).withColumn(tie, F.col(tie).cast("bigint"))
-    grouped = typed.groupBy(*keys).agg(order.alias("_times"), F.max(wait).cast("bigint").alias("_wait"))
-    kept = grouped.select(*keys, F.explode(F.aggregate("_times", start, step)["kept"]).alias("_k")).select(*keys, F.col("_k.t").alias(at), F.col("_k.i").alias(tie))
-    return typed.join(kept, [*keys, at, tie], "left_semi")
+    order = Window.partitionBy(*keys).orderBy(at, tie)
+    before = F.col(at).cast("bigint") - F.lag(F.col(at).cast("bigint")).over(order)
+    rows = df.withColumn("_head", F.coalesce(before >= F.col(wait), F.lit(True)))
+    rows = rows.withColumn("_piece", F.sum(F.col("_head").cast("int")).over(order))
+    rows = rows.withColumns({"_at": F.col(at).cast("bigint"), "_wait": F.col(wait).cast("bigint")})
+    dealt = rows.repartition(*keys, "_piece").sortWithinPartitions(*keys, "_piece", at, tie)
+
+    def fold(batches):
+        last = 0
+        for batch in batches:
+            keep = []
+            for head, t, w in zip(*(batch.column(c).to_pylist() for c in ("_head", "_at", "_wait")), strict=True):
+                kept = head or t - last >= w
+                last = t if kept else last
+                keep.append(kept)
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return dealt.mapInArrow(fold, dealt.schema).select(*df.columns)

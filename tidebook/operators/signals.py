@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidebook.functions.temporal import cooldown
+from tidebook.functions.temporal import asof_join, cooldown
 
 FRESH_US = 5_000_000
 #: How a value is held against a rule's threshold (fixed values).
@@ -13,6 +13,14 @@ COMPARE = {
     "PRICE_ABOVE": ">", "PRICE_BELOW": "<", "SPREAD_NARROW": "<", "SPREAD_WIDE": ">", "IMBALANCE_BID": ">", "IMBALANCE_ASK": ">", "SIZE_SPIKE": ">", "PRICE_MOVE": ">=", "CROSSED_BOOK": "any", "EMPTY_BOOK": "any",
     "VOLATILITY_SPIKE": ">", "MICROPRICE_DIVERGENCE": ">", "IMBALANCE_SHIFT": ">", "MID_PRICE_TREND": ">=", "QUOTE_VELOCITY": ">", "STALE_QUOTE": ">", "LARGE_FILL": ">",
 }
+#: Signals of several assets together, by how the total is held against the threshold (fixed values).
+TOTALS = {"ARBITRAGE_BUY": "<", "ARBITRAGE_SELL": ">", "MULTI_OUTCOME_ARBITRAGE": "<"}
+#: Market types that those work on (fixed values).
+TOTALS_ON = ("prediction",)
+#: Wildcard rules that are evaluated as columns; more of them are joined.
+WILDCARDS = 200
+#: Distinct (type, side, window) triples evaluated in one pass over the quotes.
+TRIPLES = 100
 WINDOWED = ("PRICE_MOVE", "VOLATILITY_SPIKE", "IMBALANCE_SHIFT", "QUOTE_VELOCITY")
 #: Always-on rules: type, threshold, side, window in ms (fixed values).
 ALWAYS_ON = [
@@ -26,7 +34,7 @@ PRODUCTION = [
     ("IMBALANCE_ASK", 0.6, None, 0, 15_000), ("IMBALANCE_SHIFT", 0.4, None, 30_000, 20_000), ("SIZE_SPIKE", 10_000.0, "BID", 0, 20_000), ("SIZE_SPIKE", 10_000.0, "ASK", 0, 20_000), ("LARGE_FILL", 1000.0, None, 0, 15_000),
     ("PRICE_MOVE", 3.0, None, 60_000, 30_000), ("MID_PRICE_TREND", 3.0, None, 0, 30_000), ("MICROPRICE_DIVERGENCE", 50.0, None, 0, 20_000), ("QUOTE_VELOCITY", 3.0, None, 5_000, 30_000), ("STALE_QUOTE", 60_000.0, None, 0, 120_000),
 ]
-RULE = "rule_id string, type string, threshold double, side string, window_ms long, cooldown_ms long, asset_id string"
+RULE = "rule_id string, type string, threshold double, side string, window_ms long, cooldown_ms long, asset_id string, counterpart_asset_id string, outcome_asset_ids array<string>, enabled boolean"
 
 
 def _order():
@@ -112,7 +120,8 @@ def signal(ticks: DataFrame, kind: str, threshold: float, side: str | None = Non
 
 
 def rules_table(spark: SparkSession, rules: list[tuple]) -> DataFrame:
-    return spark.createDataFrame(rules, RULE)
+    """Rules as a table; counterpart, outcomes and enabled may be left out."""
+    return spark.createDataFrame([(*r, *(None, None, True)[len(r) - 7 :]) for r in rules], RULE)
 
 
 def production_rules() -> list[tuple]:
@@ -123,33 +132,101 @@ def always_on_rules() -> list[tuple]:
     return [(f"global_{k.lower()}", k, t, s, w, ALWAYS_ON_COOLDOWN_MS, "*") for k, t, s, w in ALWAYS_ON]
 
 
+_QUOTE = ["event_id", "asset_id", "condition_id", "source_us", "ingestion_us", "best_bid", "best_ask"]
+
+
 def features(ticks: DataFrame, wanted: list[tuple[str, str | None, int]]) -> DataFrame:
     """A row for each quote and wanted (type, side, window) that has a value.
 
     All windows of one asset share its partition and order, so the whole set
     costs one shuffle of the quotes.
     """
-    rows = prepare(ticks)
-    rows = rows.select("event_id", "asset_id", "condition_id", "source_us", "ingestion_us", "best_bid", "best_ask", *[value(*w).alias(f"_v{i}") for i, w in enumerate(wanted)])
-    each = F.array(*[F.struct(F.lit(k).alias("type"), F.lit(s).cast("string").alias("side"), F.lit(w).cast("long").alias("window_ms"), F.col(f"_v{i}").cast("double").alias("actual_value")) for i, (k, s, w) in enumerate(wanted)])
-    long = rows.select("event_id", "asset_id", "condition_id", "source_us", "ingestion_us", "best_bid", "best_ask", F.explode(each).alias("f"))
-    return long.select("event_id", "asset_id", "condition_id", "source_us", "ingestion_us", "best_bid", "best_ask", "f.*").where("actual_value is not null")
+    rows = prepare(ticks).select(*_QUOTE, *[value(*w).cast("double").alias(f"_v{i}") for i, w in enumerate(wanted)])
+    each = F.array(*[F.struct(F.lit(k).alias("type"), F.lit(s).cast("string").alias("side"), F.lit(w).cast("long").alias("window_ms"), F.col(f"_v{i}").alias("actual_value")) for i, (k, s, w) in enumerate(wanted)])
+    return rows.select(*_QUOTE, F.inline(F.filter(each, lambda x: x["actual_value"].isNotNull())))
+
+
+def _every_quote(ticks: DataFrame, rules: list) -> DataFrame:
+    """Firings of wildcard rules: only those that hold leave a quote's row."""
+    wanted = sorted({(r.type, r.side, r.window_ms or 0) for r in rules}, key=str)
+    rows = prepare(ticks).select(*_QUOTE, *[value(*w).cast("double").alias(f"_v{i}") for i, w in enumerate(wanted)])
+    each = []
+    for r in rules:
+        actual = F.col(f"_v{wanted.index((r.type, r.side, r.window_ms or 0))}")
+        said = {"type": r.type, "side": r.side, "window_ms": r.window_ms, "rule_id": r.rule_id, "threshold": r.threshold, "cooldown_ms": r.cooldown_ms}
+        fields = [F.lit(v).cast({"window_ms": "long", "threshold": "double", "cooldown_ms": "long"}.get(k, "string")).alias(k) for k, v in said.items()]
+        each.append(F.when(holds(r.type, actual, F.lit(r.threshold)), F.struct(*fields, actual.alias("actual_value"))))
+    return rows.select(*_QUOTE, F.inline(F.array_compact(F.array(*each))))
+
+
+def _joined(ticks: DataFrame, rules: DataFrame, own: bool) -> DataFrame:
+    """Firings of rules that are joined to the values, a pass for each
+    ``TRIPLES`` distinct (type, side, window)."""
+    triples = [(r.type, r.side, r.window_ms) for r in rules.select("type", "side", F.coalesce("window_ms", F.lit(0)).alias("window_ms")).distinct().orderBy("type", "side", "window_ms").collect()]
+    r = rules.select("rule_id", F.col("type").alias("rt"), "threshold", F.col("side").alias("rs"), F.coalesce("window_ms", F.lit(0)).alias("rw"), "cooldown_ms", F.col("asset_id").alias("ra"))
+    fires = F.coalesce(*[F.when(F.col("type") == k, holds(k, F.col("actual_value"), F.col("threshold"))) for k in COMPARE])
+    same = (F.col("type") == F.col("rt")) & F.col("side").eqNullSafe(F.col("rs")) & (F.col("window_ms") == F.col("rw"))
+    out = None
+    for at in range(0, len(triples), TRIPLES):
+        part = features(ticks, triples[at : at + TRIPLES]).join(r, same & (F.col("asset_id") == F.col("ra")) if own else same).where(fires)
+        out = part if out is None else out.unionByName(part)
+    return out.drop("rt", "rs", "rw", "ra") if out is not None else None
+
+
+def _arbitrage_rules(ticks: DataFrame, rules: DataFrame) -> DataFrame:
+    """Totals of a rule's asset with its counterpart's last fresh quote."""
+    r = rules.select("rule_id", "type", "side", "window_ms", "threshold", "cooldown_ms", F.col("asset_id").alias("ra"), F.col("counterpart_asset_id").alias("rc"))
+    left = ticks.select(*_QUOTE).join(r, F.col("asset_id") == F.col("ra"))
+    right = ticks.join(r.select("rule_id", "rc"), F.col("asset_id") == F.col("rc")).select("rule_id", "source_us", "event_id", F.struct("best_bid", "best_ask").alias("q"))
+    rows = asof_join(left, right, ["rule_id"], "source_us", ["q"], tie="event_id").where(F.col("source_us") - F.col("asof_at") <= FRESH_US)
+    total = F.when(F.col("type") == "ARBITRAGE_BUY", F.col("best_ask") + F.col("asof_q.best_ask")).otherwise(F.col("best_bid") + F.col("asof_q.best_bid"))
+    return rows.withColumn("actual_value", total)
+
+
+def _outcome_rules(ticks: DataFrame, rules: DataFrame) -> DataFrame:
+    """Totals over a rule's outcomes on the quotes of the rule's own asset."""
+    groups = rules.select(F.col("rule_id").alias("group_id"), F.explode("outcome_asset_ids").alias("asset_id"))
+    totals = outcome_totals(ticks, groups).select("group_id", "event_id", F.col("total").alias("actual_value"))
+    r = rules.select("rule_id", "type", "side", "window_ms", "threshold", "cooldown_ms", F.col("asset_id").alias("ra"))
+    own = ticks.select(*_QUOTE).join(r, F.col("asset_id") == F.col("ra"))
+    return own.join(totals, (F.col("rule_id") == totals.group_id) & (own.event_id == totals.event_id)).drop(totals.event_id).drop("group_id")
 
 
 def evaluate_rules(ticks: DataFrame, rules: DataFrame) -> DataFrame:
-    """Every firing of every rule, wildcard or for one asset, before cooldowns.
+    """Every firing of every enabled rule of any type, before cooldowns.
 
-    The distinct (type, side, window) triples are few whatever the number of
-    rules. Two equi-joins, by type and by type and asset, avoid an OR join.
+    Few wildcard rules become columns of the quotes and only firings leave a
+    row; rules for one asset meet their asset's values by an equi-join; rules
+    over several assets meet the other assets' last quotes by as-of joins.
     """
-    wanted = [(r.type, r.side, r.window_ms) for r in rules.select("type", "side", "window_ms").distinct().orderBy("type", "side", "window_ms").collect()]
-    long = features(ticks, wanted)
-    r = rules.select("rule_id", F.col("type").alias("rt"), "threshold", F.col("side").alias("rs"), F.col("window_ms").alias("rw"), "cooldown_ms", F.col("asset_id").alias("ra"))
-    same = (F.col("type") == F.col("rt")) & F.col("side").eqNullSafe(F.col("rs")) & (F.col("window_ms") == F.col("rw"))
-    every = long.join(r.where("ra = '*'"), same)
-    own = long.join(r.where("ra <> '*'"), same & (F.col("asset_id") == F.col("ra")))
-    fires = F.coalesce(*[F.when(F.col("type") == k, holds(k, F.col("actual_value"), F.col("threshold"))) for k in COMPARE])
-    return every.unionByName(own).where(fires).drop("rt", "rs", "rw", "ra")
+    rules = rules.where(F.coalesce("enabled", F.lit(True)))
+    single = rules.where(F.col("type").isin(list(COMPARE)))
+    every = single.where("asset_id = '*'")
+    few = every.orderBy("rule_id").limit(WILDCARDS + 1).collect()
+    parts = [_joined(ticks, every, False) if len(few) > WILDCARDS else _every_quote(ticks, few) if few else None, _joined(ticks, single.where("asset_id <> '*'"), True)]
+    pairs = rules.where(F.col("type").isin("ARBITRAGE_BUY", "ARBITRAGE_SELL") & F.col("counterpart_asset_id").isNotNull())
+    sets = rules.where((F.col("type") == "MULTI_OUTCOME_ARBITRAGE") & (F.size("outcome_asset_ids") >= 2))
+    fires = F.when(F.col("type") == "ARBITRAGE_SELL", F.col("actual_value") > F.col("threshold")).otherwise(F.col("actual_value") < F.col("threshold"))
+    columns = [*_QUOTE, "type", "side", "window_ms", "rule_id", "threshold", "cooldown_ms", "actual_value"]
+    for part in (_arbitrage_rules(ticks, pairs), _outcome_rules(ticks, sets)):
+        parts.append(part.where(fires))
+    out = None
+    for part in parts:
+        if part is not None:
+            out = part.select(columns) if out is None else out.unionByName(part.select(columns))
+    return out
+
+
+def global_signals(ticks: DataFrame) -> DataFrame:
+    """The always-on signals, each at most every 500 ms for an asset and type.
+    Volatility needs five mids in the last minute and three in its window."""
+    rows = prepare(ticks)
+    rows = rows.withColumn("_seen", (F.count("mid").over(_trailing(60_000_000)) >= 5) & (F.count("mid").over(_trailing(10_000_000)) >= 3))
+    wanted = {f"_v{i}": F.when(F.col("_seen"), value(k, s, w)) if k == "VOLATILITY_SPIKE" else value(k, s, w).cast("double") for i, (k, _, s, w) in enumerate(ALWAYS_ON)}
+    rows = rows.withColumns(wanted)
+    each = [F.when(holds(k, F.col(f"_v{i}"), F.lit(t)), F.struct(F.lit(f"global_{k.lower()}").alias("rule_id"), F.lit(k).alias("type"), F.col(f"_v{i}").alias("actual_value"))) for i, (k, t, _, _) in enumerate(ALWAYS_ON)]
+    fired = rows.select(*_QUOTE, F.inline(F.array_compact(F.array(*each)))).withColumn("cooldown_ms", F.lit(ALWAYS_ON_COOLDOWN_MS))
+    return apply_cooldown(fired, ("asset_id", "type"))
 
 
 def apply_cooldown(fired: DataFrame, scope: tuple[str, ...] = ("rule_id", "asset_id")) -> DataFrame:
@@ -187,9 +264,9 @@ def arbitrage(ticks: DataFrame, buy: bool, threshold: float) -> DataFrame:
     return rows.select("event_id", "asset_id", "condition_id", "source_us", "total", (gain * 10000).alias("profit_bps"), lot.alias("size"), (lot * F.col("total")).alias("notional"), (lot * gain).alias("profit"))
 
 
-def multi_outcome_arbitrage(ticks: DataFrame, groups: DataFrame, threshold: float) -> DataFrame:
-    """Sets of N outcomes whose last asks are all fresh and together under a
-    threshold. ``groups`` is (group_id, asset_id)."""
+def outcome_totals(ticks: DataFrame, groups: DataFrame) -> DataFrame:
+    """For each quote of a set's member, the last asks of all its members
+    together, if all are there and fresh. ``groups`` is (group_id, asset_id)."""
     n = groups.groupBy("group_id").agg(F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_list("asset_id")).alias("members"))
     rows = ticks.join(groups, "asset_id").join(n, "group_id")
     recent = Window.partitionBy("group_id").orderBy("source_us").rangeBetween(-FRESH_US, 0)
@@ -199,7 +276,22 @@ def multi_outcome_arbitrage(ticks: DataFrame, groups: DataFrame, threshold: floa
     rows = rows.withColumn("latest", latest).where(F.forall("latest", lambda x: x.isNotNull() & x["best_ask"].isNotNull()))
     total = F.aggregate("latest", F.lit(0.0), lambda s, x: s + x["best_ask"])
     lot = F.array_min(F.transform("latest", lambda x: F.coalesce(x["ask_size"], F.lit(0.0))))
-    return rows.withColumn("total", total).where(F.col("total") < threshold).select("group_id", "event_id", "asset_id", "source_us", "n", "total", lot.alias("size"))
+    return rows.select("group_id", "event_id", "asset_id", "source_us", "n", total.alias("total"), lot.alias("size"))
+
+
+def multi_outcome_arbitrage(ticks: DataFrame, groups: DataFrame, threshold: float) -> DataFrame:
+    """Sets of N outcomes whose last asks are all fresh and together under a threshold."""
+    return outcome_totals(ticks, groups).where(F.col("total") < threshold)
+
+
+def event_feed(fired: DataFrame, limit: int, kind: str | None = None) -> DataFrame:
+    """The last ``limit`` events, of one type if asked, newest first, with how
+    many events of their type and in all there are."""
+    counts = fired.groupBy("type").agg(F.count(F.lit(1)).alias("of_type"))
+    total = counts.agg(F.sum("of_type").alias("buffered"))
+    last = fired.orderBy(F.desc("source_us"), F.desc("event_id"), "rule_id").limit(limit)
+    last = last.where(F.col("type") == kind) if kind else last
+    return last.join(F.broadcast(counts), "type").join(F.broadcast(total))
 
 
 def event_latency(fired: DataFrame, shard: Column, last: int = 1000) -> DataFrame:
@@ -221,17 +313,26 @@ def fleet_rollup(shards: DataFrame, expected: int = 25) -> DataFrame:
 
 
 def validate_rules(rules: DataFrame, per_asset: int = 50) -> DataFrame:
-    """Rules with the list of what is wrong with each; empty for good ones."""
-    count = F.count(F.lit(1)).over(Window.partitionBy("asset_id"))
+    """Rules with the list of what is wrong with each; empty for good ones.
+
+    An asset's rules past the first ``per_asset``, by rule_id, are too many.
+    """
+    kind, side, window = F.col("type"), F.col("side"), F.col("window_ms")
+    rank = F.row_number().over(Window.partitionBy("asset_id").orderBy("rule_id"))
+    sided = F.coalesce(side.isin("BID", "ASK"), F.lit(False))
     errors = F.array_compact(
         F.array(
-            F.when(F.col("type").isNull() | ~F.col("type").isin(list(COMPARE)), "unknown type"),
-            F.when(F.col("threshold").isNull() & ~F.col("type").isin("CROSSED_BOOK", "EMPTY_BOOK"), "threshold missing"),
-            F.when(F.col("type").isin(list(WINDOWED)) & (F.coalesce("window_ms", F.lit(0)) <= 0), "window missing"),
-            F.when(F.col("window_ms") > 60_000, "window over 60 s"),
-            F.when(F.col("side").isNotNull() & ~F.col("side").isin("BID", "ASK"), "side must be BID or ASK"),
-            F.when((F.col("cooldown_ms") < 0) | (F.col("cooldown_ms") > 86_400_000), "cooldown out of bounds"),
-            F.when((F.col("asset_id") != "*") & (count > per_asset), "too many rules for the asset"),
+            F.when(kind.isNull() | ~kind.isin([*COMPARE, *TOTALS]), "unknown type"),
+            F.when(kind.isin(list(TOTALS)) & ~F.coalesce(F.col("market_type").isin(*TOTALS_ON), F.lit(False)), "not for this market type"),
+            F.when(F.col("threshold").isNull(), "threshold missing"),
+            F.when(kind.isin("PRICE_ABOVE", "PRICE_BELOW", "SIZE_SPIKE") & ~sided, "side must be BID or ASK"),
+            F.when(kind.isin("MID_PRICE_TREND", "LARGE_FILL") & side.isNotNull() & ~sided, "side must be BID or ASK if given"),
+            F.when(kind.isin(list(WINDOWED)) & (F.coalesce(window, F.lit(0)) <= 0), "window missing"),
+            F.when(kind.isin("PRICE_MOVE", "VOLATILITY_SPIKE") & (window > 60_000), "window over 60 s"),
+            F.when(kind.isin("ARBITRAGE_BUY", "ARBITRAGE_SELL") & F.coalesce(F.col("counterpart_asset_id") == "", F.lit(True)), "counterpart missing"),
+            F.when((kind == "MULTI_OUTCOME_ARBITRAGE") & (F.coalesce(F.size("outcome_asset_ids"), F.lit(0)) < 2), "outcomes missing"),
+            F.when((F.col("cooldown_ms") < 0) | (F.col("cooldown_ms") > 3_600_000), "cooldown out of bounds"),
+            F.when(rank > per_asset, "too many rules for the asset"),
         )
     )
     return rules.withColumn("errors", errors).withColumn("valid", F.size("errors") == 0)

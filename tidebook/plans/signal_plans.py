@@ -72,9 +72,18 @@ def _fired(spark, d, rules):
     return signals.evaluate_rules(tables.quotes(spark, d), signals.rules_table(spark, rules))
 
 
-@query(sql(f"WITH {_rules_sql(signals.always_on_rules())} SELECT rule_id, event_id, asset_id, round(actual_value, 6) AS actual_value FROM fired", "bbo"))
+_SEEN = f"(count(mid) {_w(60_000)} >= 5 AND count(mid) {_w(10_000)} >= 3)"
+
+
+def _global_sql() -> str:
+    cols = ", ".join(f"{value_sql(k, s, w)} AS v{i}" for i, (k, _, s, w) in enumerate(signals.ALWAYS_ON))
+    parts = " UNION ALL ".join(f"SELECT 'global_{k.lower()}' AS rule_id, event_id, asset_id, source_us FROM f WHERE {_fires(k, f'v{i}', t)}" + " AND seen" * (k == "VOLATILITY_SPIKE") for i, (k, t, _, _) in enumerate(signals.ALWAYS_ON))
+    return f"WITH {PREPARED}, f AS (SELECT *, {_SEEN} AS seen, {cols} FROM p) {parts}"
+
+
+@query(sql(greedy_sql(_global_sql(), "asset_id, rule_id", "500000", "rule_id, event_id, asset_id"), "bbo"))
 def global_signals(spark, d):
-    return rounded(_fired(spark, d, signals.always_on_rules()).select("rule_id", "event_id", "asset_id", "actual_value"))
+    return signals.global_signals(tables.quotes(spark, d)).select("rule_id", "event_id", "asset_id")
 
 
 @query(sql(f"WITH {_rules_sql(signals.production_rules())} SELECT rule_id, event_id, asset_id, round(actual_value, 6) AS actual_value FROM fired", "bbo"))
@@ -83,11 +92,29 @@ def production_signals(spark, d):
 
 
 def _mixed_rules():
-    own = [(f"asset_{a}", "PRICE_ABOVE", 0.3 + a % 40 / 100, "BID" if a % 3 else "ASK", 0, 1000, str(a)) for a in range(0, 150, 3)]
-    return signals.production_rules() + own
+    """Wildcard rules, a rule of each single-asset type for one asset, price
+    rules for 50 assets, rules over several assets, and one that is disabled."""
+    price = [(f"asset_{a}", "PRICE_ABOVE", 0.3 + a % 40 / 100, "BID" if a % 3 else "ASK", 0, 1000, str(a)) for a in range(0, 150, 3)]
+    each = [(f"each_{n}", k, t, s, w, 1000, str(i)) for i, (n, (k, t, s, w)) in enumerate(SIGNALS.items())]
+    pairs = [(f"{k.lower()}_{m}", k, t, None, 0, 1000, str(2 * m), str(2 * m + 1)) for m in range(30) for k, t in (("ARBITRAGE_BUY", 0.99), ("ARBITRAGE_SELL", 1.0))]
+    sets = [(f"set_{g}", "MULTI_OUTCOME_ARBITRAGE", 1.985, None, 0, 1000, str(4 * g), None, [str(4 * g + i) for i in range(4)]) for g in range(20)]
+    off = [("off", "PRICE_ABOVE", 0.0, "BID", 0, 1000, "*", None, None, False)]
+    return signals.production_rules() + price + each + pairs + sets + off
+
+
+_EACH = " UNION ALL ".join(f"SELECT event_id, 'each_{n}' AS rule_id FROM (SELECT event_id, {value_sql(k, s, w)} AS v FROM p WHERE asset_id = '{i}') WHERE {_fires(k, 'v', t)}" for i, (n, (k, t, s, w)) in enumerate(SIGNALS.items()))
+PAIRS = """x AS (SELECT *, CASE WHEN asset_id::INT % 2 = 0 THEN last_value(CASE WHEN asset_id::INT % 2 = 1 THEN {u: source_us, b: best_bid, a: best_ask, bs: bid_size, s: ask_size} END IGNORE NULLS) OVER w ELSE last_value(CASE WHEN asset_id::INT % 2 = 0 THEN {u: source_us, b: best_bid, a: best_ask, bs: bid_size, s: ask_size} END IGNORE NULLS) OVER w END AS o
+ FROM bbo WINDOW w AS (PARTITION BY condition_id ORDER BY source_us, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)), y AS (SELECT * FROM x WHERE source_us - o.u <= 5000000)"""
+SETS = """g AS (SELECT *, (asset_id::INT // 4)::VARCHAR AS group_id FROM bbo), m AS (SELECT group_id, count(DISTINCT asset_id) AS n FROM g GROUP BY 1),
+j AS (SELECT t.group_id, t.event_id, t.asset_id, t.source_us, r.asset_id AS other, max_by({a: r.best_ask, s: r.ask_size}, (r.source_us, r.event_id)) AS l FROM g t JOIN g r ON t.group_id = r.group_id AND r.source_us BETWEEN t.source_us - 5000000 AND t.source_us AND (r.source_us, r.event_id) <= (t.source_us, t.event_id) GROUP BY ALL)"""
 
 
-@query(sql(f"WITH {_rules_sql(signals.production_rules())}, own AS (SELECT event_id, 'asset_' || asset_id AS rule_id, CASE WHEN asset_id::INT % 3 <> 0 THEN best_bid ELSE best_ask END AS v, 0.3 + (asset_id::INT % 40) / 100 AS t FROM bbo WHERE asset_id::INT % 3 = 0 AND asset_id::INT < 150) SELECT rule_id, count(*) AS fired, min(event_id) AS first_event FROM (SELECT rule_id, event_id FROM fired UNION ALL SELECT rule_id, event_id FROM own WHERE v > t) GROUP BY 1", "bbo"))
+@query(sql(f"""WITH {_rules_sql(signals.production_rules())}, own AS (SELECT event_id, 'asset_' || asset_id AS rule_id, CASE WHEN asset_id::INT % 3 <> 0 THEN best_bid ELSE best_ask END AS v, 0.3 + (asset_id::INT % 40) / 100 AS t FROM bbo WHERE asset_id::INT % 3 = 0 AND asset_id::INT < 150),
+{PAIRS}, {SETS}, sums AS (SELECT group_id, event_id, asset_id, sum(l.a) AS total FROM j GROUP BY ALL HAVING count(l.a) = 4),
+every AS (SELECT rule_id, event_id FROM fired UNION ALL SELECT rule_id, event_id FROM own WHERE v > t UNION ALL SELECT rule_id, event_id FROM ({_EACH})
+ UNION ALL SELECT 'arbitrage_buy_' || (asset_id::INT // 2), event_id FROM y WHERE asset_id::INT % 2 = 0 AND asset_id::INT < 60 AND best_ask + o.a < 0.99 UNION ALL SELECT 'arbitrage_sell_' || (asset_id::INT // 2), event_id FROM y WHERE asset_id::INT % 2 = 0 AND asset_id::INT < 60 AND best_bid + o.b > 1.0
+ UNION ALL SELECT 'set_' || group_id, event_id FROM sums WHERE asset_id::INT % 4 = 0 AND asset_id::INT < 80 AND total < 1.985)
+SELECT rule_id, count(*) AS fired, min(event_id) AS first_event FROM every GROUP BY 1""", "bbo"))
 def evaluate_rules(spark, d):
     return _fired(spark, d, _mixed_rules()).groupBy("rule_id").agg(F.count(F.lit(1)).alias("fired"), F.min("event_id").alias("first_event"))
 
@@ -109,10 +136,6 @@ def rule_prefilter(spark, d):
     return signals.rule_prefilter(tables.quotes(spark, d), own.unionByName(every)).groupBy("rule_id").agg(F.count(F.lit(1)).alias("n"))
 
 
-PAIRS = """x AS (SELECT *, CASE WHEN asset_id::INT % 2 = 0 THEN last_value(CASE WHEN asset_id::INT % 2 = 1 THEN {u: source_us, b: best_bid, a: best_ask, bs: bid_size, s: ask_size} END IGNORE NULLS) OVER w ELSE last_value(CASE WHEN asset_id::INT % 2 = 0 THEN {u: source_us, b: best_bid, a: best_ask, bs: bid_size, s: ask_size} END IGNORE NULLS) OVER w END AS o
- FROM bbo WINDOW w AS (PARTITION BY condition_id ORDER BY source_us, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)), y AS (SELECT * FROM x WHERE source_us - o.u <= 5000000)"""
-
-
 def _arb_sql(price, size, o_price, o_size, test, gain):
     return sql(f"WITH {PAIRS}, z AS (SELECT *, {price} + o.{o_price} AS total, least(coalesce({size}, 0), coalesce(o.{o_size}, 0)) AS lot FROM y) SELECT event_id, asset_id, condition_id, source_us, round(total, 6) AS total, round(({gain}) * 10000, 6) AS profit_bps, lot AS size, round(lot * total, 6) AS notional, round(lot * ({gain}), 6) AS profit FROM z WHERE total {test}", "bbo")
 
@@ -127,8 +150,7 @@ def arbitrage_sell(spark, d):
     return rounded(signals.arbitrage(tables.quotes(spark, d), False, 1.0))
 
 
-@query(sql("""WITH g AS (SELECT *, (asset_id::INT // 4)::VARCHAR AS group_id FROM bbo), m AS (SELECT group_id, count(DISTINCT asset_id) AS n FROM g GROUP BY 1),
-j AS (SELECT t.group_id, t.event_id, t.asset_id, t.source_us, r.asset_id AS other, max_by({a: r.best_ask, s: r.ask_size}, (r.source_us, r.event_id)) AS l FROM g t JOIN g r ON t.group_id = r.group_id AND r.source_us BETWEEN t.source_us - 5000000 AND t.source_us AND (r.source_us, r.event_id) <= (t.source_us, t.event_id) GROUP BY ALL)
+@query(sql(f"""WITH {SETS}
 SELECT j.group_id, event_id, asset_id, source_us, m.n, round(sum(l.a), 6) AS total, min(coalesce(l.s, 0)) AS size FROM j JOIN m ON j.group_id = m.group_id GROUP BY ALL HAVING count(l.a) = m.n AND sum(l.a) < 1.945""", "bbo"))
 def multi_outcome_arbitrage(spark, d):
     ticks = tables.quotes(spark, d)
@@ -136,16 +158,33 @@ def multi_outcome_arbitrage(spark, d):
     return rounded(signals.multi_outcome_arbitrage(ticks, groups, 1.945))
 
 
-@query()
+_KINDS = [*signals.COMPARE, *signals.TOTALS, "NO_SUCH"]
+_RULES = f"""SELECT 'r' || lpad(p_partkey::VARCHAR, 9, '0') AS rule_id, ({_KINDS!r})[(p_partkey % {len(_KINDS)} + 1)::INT] AS type, CASE WHEN p_partkey % 13 > 0 THEN 0.5e0 END AS threshold, (['BID', 'ASK', 'UP'])[(p_size % 4 + 1)::INT] AS side,
+ CASE WHEN p_size % 5 > 0 THEN p_size * 3000 END AS window_ms, (p_size - 3) * 100000 AS cooldown_ms, (p_partkey % 3)::VARCHAR AS asset_id, CASE WHEN p_size % 3 > 0 THEN p_size::VARCHAR END AS counterpart_asset_id, range(p_size % 4) AS outcomes, CASE WHEN p_partkey % 17 = 0 THEN 'equity' ELSE 'prediction' END AS market_type FROM part"""
+
+
+@query(f"""WITH r AS ({_RULES}), e AS (SELECT rule_id, list_filter([
+ CASE WHEN type = 'NO_SUCH' THEN 'unknown type' END, CASE WHEN type IN ('ARBITRAGE_BUY', 'ARBITRAGE_SELL', 'MULTI_OUTCOME_ARBITRAGE') AND market_type <> 'prediction' THEN 'not for this market type' END, CASE WHEN threshold IS NULL THEN 'threshold missing' END,
+ CASE WHEN type IN ('PRICE_ABOVE', 'PRICE_BELOW', 'SIZE_SPIKE') AND coalesce(side, '') NOT IN ('BID', 'ASK') THEN 'side must be BID or ASK' END, CASE WHEN type IN ('MID_PRICE_TREND', 'LARGE_FILL') AND side NOT IN ('BID', 'ASK') THEN 'side must be BID or ASK if given' END,
+ CASE WHEN type IN ('PRICE_MOVE', 'VOLATILITY_SPIKE', 'IMBALANCE_SHIFT', 'QUOTE_VELOCITY') AND coalesce(window_ms, 0) <= 0 THEN 'window missing' END, CASE WHEN type IN ('PRICE_MOVE', 'VOLATILITY_SPIKE') AND window_ms > 60000 THEN 'window over 60 s' END,
+ CASE WHEN type LIKE 'ARBITRAGE%' AND counterpart_asset_id IS NULL THEN 'counterpart missing' END, CASE WHEN type = 'MULTI_OUTCOME_ARBITRAGE' AND len(outcomes) < 2 THEN 'outcomes missing' END, CASE WHEN cooldown_ms < 0 OR cooldown_ms > 3600000 THEN 'cooldown out of bounds' END,
+ CASE WHEN row_number() OVER (PARTITION BY asset_id ORDER BY rule_id) > 50 THEN 'too many rules for the asset' END], lambda x: x IS NOT NULL) AS errors FROM r) SELECT rule_id, len(errors) = 0 AS valid, array_to_string(errors, '; ') AS errors FROM e""")
 def validate_rules(spark, d):
-    n = tables.quotes(spark, d).groupBy("asset_id").agg(F.count(F.lit(1)).alias("n"), F.max("event_id").alias("e"))
-    rules = n.selectExpr("concat('r', asset_id) AS rule_id", "element_at(array('PRICE_ABOVE','PRICE_MOVE','NO_SUCH','SIZE_SPIKE'), cast(e % 4 + 1 AS int)) AS type", "CASE WHEN n % 7 > 0 THEN 0.5D END AS threshold", "element_at(array('BID','ASK','UP'), cast(e % 3 + 1 AS int)) AS side", "n * 500 AS window_ms", "n * 1000 - 20000 AS cooldown_ms", "asset_id")
+    kinds = ", ".join(f"'{k}'" for k in _KINDS)
+    rules = tables.read(spark, d, "part").selectExpr(
+        "concat('r', lpad(p_partkey, 9, '0')) AS rule_id", f"element_at(array({kinds}), cast(p_partkey % {len(_KINDS)} + 1 AS int)) AS type", "CASE WHEN p_partkey % 13 > 0 THEN 0.5D END AS threshold", "get(array('BID', 'ASK', 'UP'), cast(p_size % 4 AS int)) AS side",
+        "CASE WHEN p_size % 5 > 0 THEN p_size * 3000 END AS window_ms", "(p_size - 3) * 100000 AS cooldown_ms", "cast(p_partkey % 3 AS string) AS asset_id", "CASE WHEN p_size % 3 > 0 THEN cast(p_size AS string) END AS counterpart_asset_id",
+        "slice(array('a', 'b', 'c'), 1, cast(p_size % 4 AS int)) AS outcome_asset_ids", "CASE WHEN p_partkey % 17 = 0 THEN 'equity' ELSE 'prediction' END AS market_type",
+    )
     return signals.validate_rules(rules).select("rule_id", "valid", F.array_join("errors", "; ").alias("errors"))
 
 
-@query(sql(f"WITH {_rules_sql(signals.production_rules())}, r AS (SELECT * FROM fired ORDER BY source_us DESC, event_id DESC, rule_id LIMIT 100) SELECT rule_id, event_id, asset_id FROM r", "bbo"))
+_TYPES = "CASE rule_id " + " ".join(f"WHEN '{r}' THEN '{k}'" for r, k, *_ in signals.production_rules()) + " END"
+
+
+@query(sql(f"WITH {_rules_sql(signals.production_rules())}, t AS (SELECT *, {_TYPES} AS type FROM fired), c AS (SELECT type, count(*) AS of_type FROM t GROUP BY 1), r AS (SELECT * FROM t ORDER BY source_us DESC, event_id DESC, rule_id LIMIT 500) SELECT rule_id, event_id, asset_id, type, of_type, (SELECT count(*) FROM t) AS buffered FROM r JOIN c USING (type) WHERE type = 'SPREAD_WIDE'", "bbo"))
 def event_feed(spark, d):
-    return _fired(spark, d, signals.production_rules()).orderBy(F.desc("source_us"), F.desc("event_id"), "rule_id").limit(100).select("rule_id", "event_id", "asset_id")
+    return signals.event_feed(_fired(spark, d, signals.production_rules()), 500, "SPREAD_WIDE").select("rule_id", "event_id", "asset_id", "type", "of_type", "buffered")
 
 
 _LAT = """f AS (SELECT event_id, source_us, ingestion_us - source_us AS latency_us, asset_id::INT % 25 AS shard FROM bbo WHERE spread_bps > 300),
