@@ -96,6 +96,27 @@ def test_distances_match_paths(spark):
     assert got == {"a": (0.0, "a"), "b": (0.5, "ab"), "c": (round(1 / 1.1, 6), "ac"), "d": (round(1 / 1.1 + 0.25, 6), "acd")}
 
 
+def test_cycles_of_four_and_pruning(spark):
+    rows = [("a", "b", "hedge", 1.0), ("b", "c", "hedge", 1.0), ("c", "d", "hedge", 0.3), ("a", "d", "correlation", 2.0), ("d", "e", "causal", 0.2), ("e", "f", "correlation", 5.0), ("d", "f", "causal", 0.2)]
+    edges = spark.createDataFrame(rows, "market_a string, market_b string, edge_type string, weight double")
+    got = {(r.cycle, r.n, round(r.total, 6), r.kind) for r in graph.negative_cycles(edges, 5, 0.1).collect()}
+    assert got == {("a->b->c->d", 4, -0.3, "hedge_loop")}
+    assert graph.negative_cycles(edges, 3, 0.1).count() == 0
+    assert graph.has_negative_cycle(edges).first().asDict() == {"found": True, "pairs": 3}
+    assert graph.has_negative_cycle(edges.where("edge_type <> 'hedge'")).first().asDict() == {"found": False, "pairs": 0}
+    assert graph.has_negative_cycle(edges.limit(0)).first().found is False
+
+
+def test_a_path_over_some_types(spark):
+    rows = [("a", "b", "hedge", 1.0), ("b", "c", "causal", 1.0), ("a", "c", "arbitrage", 9.0), ("a", "c", "causal", 0.1)]
+    edges = spark.createDataFrame(rows, "market_a string, market_b string, edge_type string, weight double")
+    one = graph.shortest_path(edges, "a", "c").first()
+    assert one.path == ["a", "c"] and one.types == ["arbitrage"]
+    two = graph.shortest_path(edges, "a", "c", 0.5, ["hedge", "causal"]).first()
+    assert two.path == ["a", "b", "c"] and two.types == ["hedge", "causal"]
+    assert graph.shortest_path(edges, "a", "z").count() == 0
+
+
 def test_wide_ids(spark):
     n = 2**255 + 12345
     rows = spark.createDataFrame([(hex(n),), ("0x0",), ("plain",), (None,)], "v string")

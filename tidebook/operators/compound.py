@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidebook.functions.temporal import asof_join
+from tidebook.operators.graph import pair_signals
 from tidebook.operators.signals import COMPARE, holds, prepare, value
 
 IDLE_US = 60_000_000
@@ -62,16 +63,20 @@ def compound_eval_stateless(states: DataFrame, at: int) -> DataFrame:
     return rows.select("trigger_id", "held", (F.col("held") >= want).alias("fires"))
 
 
-def trigger_miss_decay(states: DataFrame, fired: DataFrame, every: int = 100, strength: float = -0.1) -> DataFrame:
-    """A signal on each ``every``-th evaluation in a row without a firing."""
+def trigger_miss_decay(states: DataFrame, fired: DataFrame, rules: DataFrame, every: int = 100) -> DataFrame:
+    """Negative edge signals for all pairs of a rule's markets, on each
+    ``every``-th evaluation in a row without a firing. ``rules`` has trigger_id,
+    user_id, edge_type and ``markets``; a rule of one market gives none."""
     hit = fired.select("trigger_id", "source_us", "event_id", F.lit(1).alias("hit"))
-    evals = states.groupBy("trigger_id", "source_us", "event_id").agg(F.count(F.lit(1)).alias("k"))
+    evals = states.select("trigger_id", "source_us", "event_id").distinct()
     rows = evals.join(hit, ["trigger_id", "source_us", "event_id"], "left").withColumn("hit", F.coalesce("hit", F.lit(0)))
     w = Window.partitionBy("trigger_id").orderBy("source_us", "event_id")
     rows = rows.withColumn("island", F.sum("hit").over(w))
     run = Window.partitionBy("trigger_id", "island").orderBy("source_us", "event_id")
     rows = rows.withColumn("misses", F.sum(1 - F.col("hit")).over(run))
-    return rows.where((F.col("hit") == 0) & (F.col("misses") % every == 0)).select("trigger_id", "source_us", "misses", F.lit(strength).alias("strength"))
+    due = rows.where((F.col("hit") == 0) & (F.col("misses") % every == 0)).select("trigger_id", "source_us", "misses")
+    named = due.join(rules.select("trigger_id", "user_id", "edge_type", "markets"), "trigger_id").withColumn("signal_source", F.lit("trigger_miss"))
+    return pair_signals(named)
 
 
 def quotes_at(ticks: DataFrame, moments: DataFrame) -> DataFrame:

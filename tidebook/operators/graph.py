@@ -17,7 +17,11 @@ SOURCE_WEIGHTS = {"trigger_fire": 2.0, "user_trigger": 1.5, "user_analysis": 1.0
 DAY_US = 86_400_000_000
 
 
-def pair_signals(lists: DataFrame, members: str = "markets") -> DataFrame:
+#: How strongly an event links all markets it names (fixed values).
+STRENGTHS = {"user_trigger": 1.5, "trigger_fire": 1.0, "user_analysis": 1.0, "trigger_miss": -0.1}
+
+
+def all_pairs(lists: DataFrame, members: str = "markets") -> DataFrame:
     """A list of markets to all its unordered pairs, each once."""
     ids = F.array_sort(F.array_distinct(members))
     rows = lists.withColumn("_ids", ids).withColumn("_i", F.explode(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("_ids") - 1))))
@@ -25,6 +29,14 @@ def pair_signals(lists: DataFrame, members: str = "markets") -> DataFrame:
     return rows.drop("_ids", "_i", members)
 
 
+def pair_signals(lists: DataFrame, members: str = "markets") -> DataFrame:
+    """Signal rows for all pairs of each event's markets: ``lists`` has the
+    event's ``signal_source``, which sets the strength."""
+    strength = F.coalesce(*[F.when(F.col("signal_source") == s, w) for s, w in STRENGTHS.items()], F.lit(1.0))
+    return all_pairs(lists, members).withColumn("strength", strength)
+
+
+# The two rules below, their words and their order are fixed: results depend on them.
 def infer_edge_type(kinds: Column) -> Column:
     has = lambda *k: F.exists(kinds, lambda x: x.isin(*k))
     return F.when(has("PRICE_ABOVE") & has("PRICE_BELOW"), "hedge").when(has("SIZE_SPIKE", "IMBALANCE_BID", "IMBALANCE_ASK"), "causal").otherwise("correlation")
@@ -35,11 +47,13 @@ def infer_edge_type_from_text(text: Column) -> Column:
     return F.when(t.rlike("hedge|inverse"), "hedge").when(t.rlike("caus|depend|trigger"), "causal").otherwise("correlation")
 
 
-def market_correlations(ticks: DataFrame, bucket_us: int = 1_000_000, min_common: int = 3) -> DataFrame:
-    """Pearson correlation of the mids of market pairs that trade in the same
-    buckets. One value per market and bucket enters the join, never ticks."""
+def market_correlations(ticks: DataFrame, as_of: int, days: int = 7, bucket_us: int = 1_000_000, min_common: int = 3) -> DataFrame:
+    """Pearson correlation of the mids of market pairs over the last days, in
+    the buckets that both have (1: equal timestamps). One value per market and
+    bucket enters the join, never ticks, and pairs combine before the shuffle."""
     mid = (F.col("best_bid") + F.col("best_ask")) / 2
-    yes = ticks.where(F.col("asset_id").cast("long") % 2 == 0).groupBy("condition_id", F.floor(F.col("source_us") / bucket_us).alias("bucket")).agg(F.avg(mid).alias("m")).where("m is not null")
+    recent = ticks.where((F.col("asset_id").cast("long") % 2 == 0) & (F.col("source_us") > as_of - days * DAY_US))
+    yes = recent.groupBy("condition_id", F.floor(F.col("source_us") / bucket_us).alias("bucket")).agg(F.avg(mid).alias("m")).where("m is not null")
     a = yes.select(F.col("condition_id").alias("market_a"), "bucket", F.col("m").alias("x"))
     b = yes.select(F.col("condition_id").alias("market_b"), "bucket", F.col("m").alias("y"))
     pairs = a.join(b, "bucket").where("market_a < market_b")
@@ -47,13 +61,14 @@ def market_correlations(ticks: DataFrame, bucket_us: int = 1_000_000, min_common
 
 
 def edge_weights(signals: DataFrame, as_of: int, days: int = 90) -> DataFrame:
+    """Decayed weight, users and signals of each edge. Signals of one user
+    combine first, so that users are counted without expanding rows."""
     age = F.floor(F.lit(as_of) / DAY_US) - F.floor(F.col("created_us") / DAY_US)
     weight = F.coalesce(*[F.when(F.col("signal_source") == s, w) for s, w in SOURCE_WEIGHTS.items()], F.lit(1.0))
     rows = signals.withColumn("age", age).where(F.col("age") <= days)
-    strength = F.sum(F.col("strength") * weight * F.pow(F.lit(2.0), -F.col("age") / 30))
-    return rows.groupBy("market_a", "market_b", "edge_type").agg(
-        F.log(F.greatest(F.lit(0.001), 1 + strength)).alias("weight"), F.countDistinct(F.when(F.col("user_id") != "", F.col("user_id"))).alias("user_count"), F.count(F.lit(1)).alias("signal_count"), F.max("created_us").alias("last_us"),
-    )
+    strength = F.sum(F.col("strength") * weight * F.pow(F.lit(2.0), -F.col("age") / 30)).alias("s")
+    users = rows.groupBy("market_a", "market_b", "edge_type", F.nullif("user_id", F.lit("")).alias("user")).agg(strength, F.count(F.lit(1)).alias("n"), F.max("created_us").alias("last"))
+    return users.groupBy("market_a", "market_b", "edge_type").agg(F.log(F.greatest(F.lit(0.001), 1 + F.sum("s"))).alias("weight"), F.count("user").alias("user_count"), F.sum("n").alias("signal_count"), F.max("last").alias("last_us"))
 
 
 def latest_edges(versions: DataFrame) -> DataFrame:
@@ -88,12 +103,17 @@ def neighbors(edges: DataFrame, market: str | None, min_weight: float, limit: in
     return rows.withColumn("rank", rank).where(F.col("rank") <= limit)
 
 
-def suggestions(edges: DataFrame, limit: int, min_users: int, min_weight: float = 0.3) -> DataFrame:
+def suggestions(edges: DataFrame, markets: DataFrame, limit: int, min_users: int, min_weight: float = 0.3) -> DataFrame:
+    """Markets to look at from each market, with what is known of them and the
+    users behind all of a market's suggestions. ``markets``: market, question, end_us."""
     near = edges.select("*", F.col("market_a").alias("src"), F.col("market_b").alias("dst")).unionByName(edges.select("*", F.col("market_b").alias("src"), F.col("market_a").alias("dst")))
     near = near.where((F.abs("weight") >= min_weight) & (F.col("user_count") >= min_users))
     rank = F.row_number().over(Window.partitionBy("src").orderBy(F.desc("user_count"), F.desc(F.abs("weight")), "dst", "edge_type"))
     reason = F.format_string("%d users linked these markets (%s)", "user_count", "edge_type")
-    return near.withColumn("rank", rank).where(F.col("rank") <= limit).select("src", "rank", "dst", "edge_type", "weight", "user_count", reason.alias("reason"))
+    kept = near.withColumn("rank", rank).where(F.col("rank") <= limit)
+    kept = kept.withColumn("users_total", F.sum("user_count").over(Window.partitionBy("src")))
+    found = kept.select("src", "rank", "dst", "edge_type", "weight", "user_count", "users_total", reason.alias("reason"))
+    return found.join(markets.select(F.col("market").alias("dst"), "question", "end_us"), "dst", "left")
 
 
 def signal_counts(signals: DataFrame) -> DataFrame:
@@ -120,24 +140,33 @@ def n_hop(edges: DataFrame, market: str, hops: int, min_weight: float) -> DataFr
     return seen
 
 
-def shortest_distances(edges: DataFrame, start: str, min_weight: float, max_rounds: int = 100) -> DataFrame:
-    """Least sum of 1 / (1 + |weight|) from one market to all, with the path.
+def shortest_distances(edges: DataFrame, start: str, min_weight: float, types: list[str] | None = None, max_rounds: int = 100) -> DataFrame:
+    """Least sum of 1 / (1 + |weight|) from one market to all, with the path and
+    the edge types along it, over edges of some types if asked.
 
     Only markets whose distance fell in a round send in the next one.
     """
-    links = simple_pairs(edges, min_weight).select("src", "dst", (1 / (1 + F.col("weight"))).alias("cost"))
-    links = materialize(links, "links")
+    kept = edges.where(F.abs("weight") >= min_weight)
+    kept = kept.where(F.col("edge_type").isin(types)) if types else kept
+    links = directed(kept).groupBy("src", "dst").agg(F.max(F.struct(F.abs("weight").alias("w"), "edge_type")).alias("l"))
+    links = materialize(links.select("src", "dst", (1 / (1 + F.col("l.w"))).alias("cost"), F.col("l.edge_type").alias("kind")), "links")
     spark = edges.sparkSession
-    best = materialize(spark.createDataFrame([(start, 0.0, [start], True)], "market string, dist double, path array<string>, fresh boolean"), "dist")
+    best = materialize(spark.createDataFrame([(start, 0.0, [start], [], True)], "market string, dist double, path array<string>, types array<string>, fresh boolean"), "dist")
     for _ in range(max_rounds):
-        sent = best.where("fresh").join(links, F.col("market") == F.col("src")).select(F.col("dst").alias("market"), (F.col("dist") + F.col("cost")).alias("dist"), F.concat("path", F.array("dst")).alias("path"), F.lit(True).alias("fresh"))
+        sent = best.where("fresh").join(links, F.col("market") == F.col("src")).select(F.col("dst").alias("market"), (F.col("dist") + F.col("cost")).alias("dist"), F.concat("path", F.array("dst")).alias("path"), F.concat("types", F.array("kind")).alias("types"), F.lit(True).alias("fresh"))
         every = best.withColumn("fresh", F.lit(False)).unionByName(sent)
-        best = materialize(every.groupBy("market").agg(F.min(F.struct(F.round("dist", 12).alias("d"), "fresh", "path", "dist")).alias("b")).select("market", "b.dist", "b.path", "b.fresh"), "dist")
+        best = materialize(every.groupBy("market").agg(F.min(F.struct(F.round("dist", 12).alias("d"), "path", "fresh", "types", "dist")).alias("b")).select("market", "b.dist", "b.path", "b.types", "b.fresh"), "dist")
         if best.where("fresh").isEmpty():
             return best.drop("fresh")
     raise RuntimeError(f"distances still fall after {max_rounds} rounds")
 
 
+def shortest_path(edges: DataFrame, start: str, end: str, min_weight: float = 0.0, types: list[str] | None = None) -> DataFrame:
+    """The cheapest path between two markets: distance, markets and types; no
+    row if there is none."""
+    return shortest_distances(edges, start, min_weight, types).where(F.col("market") == end)
+
+
 def arbitrage_paths(edges: DataFrame, market: str, depth: int, min_weight: float, limit: int) -> DataFrame:
     """Simple paths over arbitrage and correlation edges by opportunity."""
     links = directed(edges.where(F.col("edge_type").isin("arbitrage", "correlation") & (F.col("weight") >= min_weight)))
@@ -155,17 +184,33 @@ def arbitrage_paths(edges: DataFrame, market: str, depth: int, min_weight: float
     return ranked.where("bps > 0").orderBy(F.desc("bps"), "path", "types").limit(limit)
 
 
+def signed_links(edges: DataFrame, min_weight: float) -> DataFrame:
+    """One link each way per pair, hedges negated, the least weight of several."""
+    signed = F.when(F.col("edge_type") == "hedge", -F.abs("weight")).otherwise(F.col("weight"))
+    links = directed(edges.where(F.col("weight") > min_weight)).groupBy("src", "dst").agg(F.min(F.struct(signed.alias("w"), "edge_type")).alias("l"))
+    return links.select("src", "dst", "l.w", (F.col("l.edge_type") == "hedge").cast("int").alias("hedge"))
+
+
 def negative_cycles(edges: DataFrame, max_len: int, min_weight: float) -> DataFrame:
     """Cycles of three or more markets whose weights, hedges negated, sum below
-    zero; each once, from its smallest market towards its smaller neighbour."""
-    signed = F.when(F.col("edge_type") == "hedge", -F.col("weight")).otherwise(F.col("weight"))
-    links = directed(edges.where(F.col("weight") > min_weight)).groupBy("src", "dst").agg(F.min(F.struct(signed.alias("w"), "edge_type")).alias("l")).select("src", "dst", "l.w", (F.col("l.edge_type") == "hedge").cast("int").alias("hedge"))
-    links = materialize(links, "links")
+    zero; each once, from its smallest market towards its smaller neighbour.
+
+    A path goes on only while it can still close below zero: with the links
+    left all at the least weight that leaves its end.
+    """
+    links = materialize(signed_links(edges, min_weight), "links")
+    # the least a path can still gain: its end's best link, and the graph's best for the rest
+    least = links.agg(F.min("w")).first()[0]
+    if least is None or least >= 0:
+        return _no_cycles(edges)
+    ends = links.groupBy(F.col("src").alias("at")).agg(F.min("w").alias("best"))
+    can = lambda left: F.col("total") + F.least(F.col("best"), F.lit(0.0)) + (left - 1) * least < 0
     front = links.where("dst > src").select(F.array("src", "dst").alias("path"), F.col("dst").alias("at"), F.col("src").alias("start"), F.col("w").alias("total"), F.col("hedge").alias("hedges"))
     out = None
     for n in range(3, max_len + 1):
         step = links.select(F.col("src").alias("at"), "dst", "w", "hedge")
-        front = front.join(step, "at").where((F.col("dst") > F.col("start")) & ~F.array_contains("path", F.col("dst")))
+        # n - 1 links are in the path after this step; max_len + 2 - n are left before it
+        front = front.join(ends, "at").where(can(max_len + 2 - n)).drop("best").join(step, "at").where((F.col("dst") > F.col("start")) & ~F.array_contains("path", F.col("dst")))
         front = materialize(front.select(F.concat("path", F.array("dst")).alias("path"), F.col("dst").alias("at"), "start", (F.col("total") + F.col("w")).alias("total"), (F.col("hedges") + F.col("hedge")).alias("hedges")), "cycles")
         close = links.select(F.col("src").alias("at"), F.col("dst").alias("start"), "w", "hedge")
         done = front.where(F.get("path", 1) < F.col("at")).join(close, ["at", "start"]).select("path", (F.col("total") + F.col("w")).alias("total"), (F.col("hedges") + F.col("hedge")).alias("hedges"), F.lit(n).alias("n")).where("total < 0")
@@ -174,6 +219,24 @@ def negative_cycles(edges: DataFrame, max_len: int, min_weight: float) -> DataFr
     return out.select(F.array_join("path", "->").alias("cycle"), "n", "total", kind.alias("kind"))
 
 
+def _no_cycles(edges: DataFrame) -> DataFrame:
+    return edges.sparkSession.createDataFrame([], "cycle string, n int, total double, kind string")
+
+
+def has_negative_cycle(edges: DataFrame, min_weight: float = 0.1) -> DataFrame:
+    """Whether distances from a virtual source, at cost zero to every market,
+    would still fall after as many rounds as there are markets.
+
+    They do exactly if a closed walk has a negative sum. Every link runs both
+    ways at one weight, so a link below zero is such a walk by itself, there and
+    back; and without one no sum is negative. The fixed point of the relaxation
+    is thus known from its first round: some distance falls below zero or none
+    ever does. ``pairs`` counts the links below zero.
+    """
+    first = signed_links(edges, min_weight).groupBy("dst").agg(F.min("w").alias("dist"), F.count_if(F.col("w") < 0).alias("n"))
+    return first.agg(F.coalesce(F.min("dist") < 0, F.lit(False)).alias("found"), F.coalesce(F.sum("n") / 2, F.lit(0)).cast("long").alias("pairs"))
+
+
 def cycle_alerts(cycles: DataFrame, at: int) -> DataFrame:
     return cycles.select(F.md5("cycle").alias("cycle_id"), "cycle", "kind", F.when(F.col("total") < -2, "high").otherwise("normal").alias("severity"), F.lit(at).alias("detected_us"))
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidebook.functions.graphs import components
+from tidebook.functions.storage import materialize
 from tidebook.operators import graph
 from tidebook.plans.base_sql import sql
 from tidebook.plans.registry import query, rounded
@@ -13,22 +14,29 @@ from tidebook.sources import tables
 AS_OF = 1706659200000000
 _DIR = "SELECT market_a AS src, market_b AS dst, edge_type, weight FROM edges UNION ALL SELECT market_b, market_a, edge_type, weight FROM edges"
 _FROM = "m0000100"
+#: The loaded graph: edges above this weight.
+LOADED = 0.1
 
 
 def _edges(spark, d):
     return graph.edge_weights(tables.edge_signals(spark, d), AS_OF)
 
 
+def _loaded(spark, d):
+    """The graph that traversals run on, written once as they read it repeatedly."""
+    return materialize(_edges(spark, d).where(F.col("weight") > LOADED), "graph")
+
+
 @query(sql("SELECT market_a, market_b, edge_type, round(weight, 6) AS weight, user_count, signal_count, last_us FROM edges", "edges"))
 def edge_weights(spark, d):
     return rounded(_edges(spark, d))
 
 
-@query("""WITH l AS (SELECT o_custkey AS k, list_sort(list_distinct(list('c' || (o_orderkey % 40)))) AS m FROM orders GROUP BY 1)
-SELECT k, a AS market_a, b AS market_b FROM (SELECT k, unnest(m) AS a, m FROM l) x, LATERAL (SELECT unnest(x.m) AS b) y WHERE a < b""")
+@query("""WITH l AS (SELECT o_custkey AS k, CASE WHEN o_custkey % 2 = 0 THEN 'user_trigger' ELSE 'trigger_fire' END AS signal_source, list_sort(list_distinct(list('c' || (o_orderkey % 40)))) AS m FROM orders GROUP BY 1)
+SELECT k, signal_source, a AS market_a, b AS market_b, CASE signal_source WHEN 'user_trigger' THEN 1.5e0 ELSE 1e0 END AS strength FROM (SELECT k, signal_source, unnest(m) AS a, m FROM l) x, LATERAL (SELECT unnest(x.m) AS b) y WHERE a < b""")
 def pair_signals(spark, d):
     lists = tables.read(spark, d, "orders").groupBy(F.col("o_custkey").alias("k")).agg(F.collect_list(F.concat(F.lit("c"), F.col("o_orderkey") % 40)).alias("markets"))
-    return graph.pair_signals(lists)
+    return graph.pair_signals(lists.withColumn("signal_source", F.when(F.col("k") % 2 == 0, "user_trigger").otherwise("trigger_fire")))
 
 
 @query("""SELECT p_partkey, CASE WHEN contains(t, 'hedge') OR contains(t, 'inverse') THEN 'hedge' WHEN contains(t, 'caus') OR contains(t, 'depend') OR contains(t, 'trigger') THEN 'causal' ELSE 'correlation' END AS from_text,
@@ -38,23 +46,23 @@ def infer_edge_type(spark, d):
     return rows.select("p_partkey", graph.infer_edge_type_from_text(F.col("t")).alias("from_text"), graph.infer_edge_type(F.col("kinds")).alias("from_rules"))
 
 
-_CORR = """y AS (SELECT condition_id, source_us // 1000000 AS bucket, avg((best_bid + best_ask) / 2) AS m FROM bbo WHERE asset_id::INT % 2 = 0 GROUP BY 1, 2 HAVING avg((best_bid + best_ask) / 2) IS NOT NULL),
+_CORR = """y AS (SELECT condition_id, source_us // 1000000 AS bucket, avg((best_bid + best_ask) / 2) AS m FROM bbo WHERE asset_id::INT % 2 = 0 AND source_us > 1704067200000000 + 86400000000 - 7 * 86400000000 GROUP BY 1, 2 HAVING avg((best_bid + best_ask) / 2) IS NOT NULL),
 c AS (SELECT a.condition_id AS market_a, b.condition_id AS market_b, corr(a.m, b.m) AS r, count(*) AS n FROM y a JOIN y b ON a.bucket = b.bucket AND a.condition_id < b.condition_id GROUP BY 1, 2 HAVING count(*) >= 3)"""
 
 
 @query(sql(f"WITH {_CORR} SELECT market_a, market_b, round(r, 5) AS r, n FROM c WHERE abs(r) > 0.6 AND NOT isnan(r)", "bbo"))
 def correlation_seed(spark, d):
-    return rounded(graph.market_correlations(tables.quotes(spark, d)).where((F.abs("r") > 0.6) & ~F.isnan("r")), 5)
+    return rounded(graph.market_correlations(tables.quotes(spark, d), tables.START_US + graph.DAY_US).where((F.abs("r") > 0.6) & ~F.isnan("r")), 5)
 
 
 @query(sql(f"WITH {_CORR} SELECT market_a, market_b, round(r, 5) AS r, n FROM c WHERE r < -0.5", "bbo"))
 def hedge_seed(spark, d):
-    return rounded(graph.market_correlations(tables.quotes(spark, d)).where("r < -0.5"), 5)
+    return rounded(graph.market_correlations(tables.quotes(spark, d), tables.START_US + graph.DAY_US).where("r < -0.5"), 5)
 
 
 @query(sql(f"WITH {_CORR} SELECT market_a, market_b, round(r, 5) AS r, n FROM c WHERE NOT isnan(r) ORDER BY round(abs(r), 5) DESC, market_a, market_b LIMIT 20", "bbo"))
 def correlation_preview(spark, d):
-    rows = graph.market_correlations(tables.quotes(spark, d)).where(~F.isnan("r"))
+    rows = graph.market_correlations(tables.quotes(spark, d), tables.START_US + graph.DAY_US).where(~F.isnan("r"))
     return rounded(rows.orderBy(F.desc(F.round(F.abs("r"), 5)), "market_a", "market_b").limit(20), 5)
 
 
@@ -81,9 +89,11 @@ def neighbors(spark, d):
     return rounded(graph.neighbors(_edges(spark, d), None, 0.3, 10, ["hedge", "correlation"]))
 
 
-@query(sql("WITH n AS (SELECT *, market_a AS src, market_b AS dst FROM edges UNION ALL SELECT *, market_b, market_a FROM edges) SELECT src, row_number() OVER (PARTITION BY src ORDER BY user_count DESC, abs(weight) DESC, dst, edge_type) AS rank, dst, edge_type, round(weight, 6) AS weight, user_count, user_count || ' users linked these markets (' || edge_type || ')' AS reason FROM n WHERE abs(weight) >= 0.3 AND user_count >= 1 QUALIFY rank <= 5", "edges"))
+@query(sql("""WITH n AS (SELECT *, market_a AS src, market_b AS dst FROM edges UNION ALL SELECT *, market_b, market_a FROM edges), k AS (SELECT src, row_number() OVER (PARTITION BY src ORDER BY user_count DESC, abs(weight) DESC, dst, edge_type) AS rank, dst, edge_type, weight, user_count FROM n WHERE abs(weight) >= 0.3 AND user_count >= 1 QUALIFY rank <= 5)
+SELECT src, rank, dst, edge_type, round(weight, 6) AS weight, user_count, (sum(user_count) OVER (PARTITION BY src))::BIGINT AS users_total, user_count || ' users linked these markets (' || edge_type || ')' AS reason, question, end_us FROM k LEFT JOIN (SELECT 'm' || lpad(id, 7, '0') AS market, question, end_us FROM meta) m ON dst = market""", "edges", "meta"))
 def suggestions(spark, d):
-    return rounded(graph.suggestions(_edges(spark, d), 5, 1))
+    known = tables.metadata(spark, d).select(F.concat(F.lit("m"), F.lpad("id", 7, "0")).alias("market"), "question", "end_us")
+    return rounded(graph.suggestions(_edges(spark, d), known, 5, 1))
 
 
 @query(sql("SELECT market_a, market_b, edge_type, round(weight, 6) AS weight FROM edges WHERE weight > 0.1 AND edge_type = 'hedge' ORDER BY round(weight, 6) DESC, market_a, market_b LIMIT 100", "edges"))
@@ -97,44 +107,46 @@ def signal_counts(spark, d):
     return graph.signal_counts(tables.edge_signals(spark, d))
 
 
-@query(sql(f"""WITH d AS ({_DIR}), k AS (SELECT DISTINCT src, dst FROM d WHERE abs(weight) >= 0.9), h0 AS (SELECT '{_FROM}' AS market), h1 AS (SELECT DISTINCT dst AS market FROM k JOIN h0 ON src = market WHERE dst NOT IN (SELECT market FROM h0)),
+@query(sql(f"""WITH d AS ({_DIR}), k AS (SELECT DISTINCT src, dst FROM d WHERE weight > 0.1), h0 AS (SELECT '{_FROM}' AS market), h1 AS (SELECT DISTINCT dst AS market FROM k JOIN h0 ON src = market WHERE dst NOT IN (SELECT market FROM h0)),
 h2 AS (SELECT DISTINCT dst AS market FROM k JOIN h1 ON src = market WHERE dst NOT IN (SELECT market FROM h0 UNION ALL SELECT market FROM h1)), h3 AS (SELECT DISTINCT dst AS market FROM k JOIN h2 ON src = market WHERE dst NOT IN (SELECT market FROM h0 UNION ALL SELECT market FROM h1 UNION ALL SELECT market FROM h2))
 SELECT market, 0 AS dist FROM h0 UNION ALL SELECT market, 1 FROM h1 UNION ALL SELECT market, 2 FROM h2 UNION ALL SELECT market, 3 FROM h3""", "edges"))
 def n_hop(spark, d):
-    return graph.n_hop(_edges(spark, d), _FROM, 3, 0.9).select("market", "dist")
+    return graph.n_hop(_loaded(spark, d), _FROM, 3, 0.0).select("market", "dist")
 
 
-@query(sql(f"""WITH RECURSIVE d AS ({_DIR}), k AS (SELECT src, dst, 1 / (1 + max(abs(weight))) AS cost FROM d WHERE abs(weight) >= 0.9 GROUP BY 1, 2),
-w(market, dist, hops) AS (SELECT '{_FROM}', 0e0, 0 UNION SELECT dst, min(dist + cost), hops + 1 FROM w JOIN k ON src = market WHERE hops < 14 GROUP BY dst, hops)
-SELECT market, round(min(dist), 6) AS dist FROM w GROUP BY 1""", "edges"))
+@query(sql(f"""WITH RECURSIVE d AS ({_DIR}), k AS (SELECT src, dst, 1 / (1 + max(weight)) AS cost, arg_max(edge_type, (weight, edge_type)) AS kind FROM d WHERE weight > 0.1 AND edge_type IN ('correlation', 'hedge', 'causal') GROUP BY 1, 2),
+w(market, dist, path, types, hops) AS (SELECT '{_FROM}', 0e0, ['{_FROM}'], []::VARCHAR[], 0 UNION ALL SELECT dst, b.dist, b.path, b.types, hops FROM (SELECT dst, hops + 1 AS hops, min({{d: round(dist + cost, 12), path: list_append(path, dst), types: list_append(types, kind), dist: dist + cost}}) AS b FROM w JOIN k ON src = market WHERE hops < 8 GROUP BY dst, hops))
+SELECT market, round(b.dist, 6) AS dist, array_to_string(b.path, '->') AS path, array_to_string(b.types, ',') AS types FROM (SELECT market, min({{d: round(dist, 12), path: path, types: types, dist: dist}}) AS b FROM w GROUP BY 1)""", "edges"))
 def shortest_path(spark, d):
-    return rounded(graph.shortest_distances(_edges(spark, d), _FROM, 0.9).select("market", "dist"))
+    """From one market to every other over edges of three types."""
+    found = graph.shortest_distances(_loaded(spark, d), _FROM, 0.0, ["correlation", "hedge", "causal"])
+    return rounded(found.select("market", "dist", F.array_join("path", "->").alias("path"), F.array_join("types", ",").alias("types")))
 
 
-@query(sql(f"""WITH RECURSIVE d AS ({_DIR}), l AS (SELECT src, dst, edge_type, CASE WHEN edge_type = 'arbitrage' THEN greatest(0, exp(weight) - 1) * 10000 ELSE greatest(0, exp(weight) - 1.8) * 1000 END AS gain FROM d WHERE edge_type IN ('arbitrage', 'correlation') AND weight >= 0.9),
+@query(sql(f"""WITH RECURSIVE d AS ({_DIR}), l AS (SELECT src, dst, edge_type, CASE WHEN edge_type = 'arbitrage' THEN greatest(0, exp(weight) - 1) * 10000 ELSE greatest(0, exp(weight) - 1.8) * 1000 END AS gain FROM d WHERE edge_type IN ('arbitrage', 'correlation') AND weight >= 0.5),
 p AS (SELECT '{_FROM}' AS cur, ['{_FROM}'] AS path, []::VARCHAR[] AS types, 0e0 AS bps UNION ALL SELECT dst, list_append(path, dst), list_append(types, edge_type), bps + gain FROM p JOIN l ON src = cur WHERE NOT list_contains(path, dst) AND len(path) <= 3)
 SELECT array_to_string(path, '->') AS path, array_to_string(types, ',') AS types, round(bps) AS bps FROM p WHERE len(path) >= 3 AND round(bps) > 0 ORDER BY round(bps) DESC, array_to_string(path, '->'), array_to_string(types, ',') LIMIT 100""", "edges"))
 def arbitrage_paths(spark, d):
-    return graph.arbitrage_paths(_edges(spark, d), _FROM, 3, 0.9, 100)
+    return graph.arbitrage_paths(_loaded(spark, d), _FROM, 3, 0.5, 100)
 
 
-_CYC = f"""d AS ({_DIR}), l AS (SELECT src, dst, arg_min(edge_type, (w, edge_type)) AS et, min(w) AS w FROM (SELECT *, CASE WHEN edge_type = 'hedge' THEN -weight ELSE weight END AS w FROM d WHERE weight > 0.9) GROUP BY 1, 2),
+_CYC = f"""d AS ({_DIR}), l AS (SELECT src, dst, arg_min(edge_type, (w, edge_type)) AS et, min(w) AS w FROM (SELECT *, CASE WHEN edge_type = 'hedge' THEN -abs(weight) ELSE weight END AS w FROM d WHERE weight > 0.1) GROUP BY 1, 2),
 c AS (SELECT a.src || '->' || b.src || '->' || c.src AS cycle, a.w + b.w + c.w AS total, (a.et = 'hedge')::INT + (b.et = 'hedge')::INT + (c.et = 'hedge')::INT AS h FROM l a JOIN l b ON a.dst = b.src JOIN l c ON b.dst = c.src AND c.dst = a.src WHERE a.src < b.src AND b.src < c.src)"""
 
 
 @query(sql(f"WITH {_CYC} SELECT cycle, 3 AS n, round(total, 6) AS total, CASE WHEN h * 2 > 3 THEN 'hedge_loop' ELSE 'inverse_correlation' END AS kind FROM c WHERE total < 0", "edges"))
 def negative_cycles(spark, d):
-    return rounded(graph.negative_cycles(_edges(spark, d), 3, 0.9))
+    return rounded(graph.negative_cycles(_loaded(spark, d), 3, LOADED))
 
 
-@query(sql(f"WITH {_CYC} SELECT count(*) > 0 AS found FROM c WHERE total < 0", "edges"))
+@query(sql(f"WITH {_CYC} SELECT count_if(w < 0) > 0 AS found, count_if(w < 0) // 2 AS pairs FROM l", "edges"))
 def has_negative_cycle(spark, d):
-    return graph.negative_cycles(_edges(spark, d), 3, 0.9).agg((F.count(F.lit(1)) > 0).alias("found"))
+    return graph.has_negative_cycle(_loaded(spark, d), LOADED)
 
 
 @query(sql(f"WITH {_CYC} SELECT md5(cycle) AS cycle_id, cycle, CASE WHEN h * 2 > 3 THEN 'hedge_loop' ELSE 'inverse_correlation' END AS kind, CASE WHEN total < -2 THEN 'high' ELSE 'normal' END AS severity, {AS_OF} AS detected_us FROM c WHERE total < 0", "edges"))
 def cycle_alerts(spark, d):
-    return graph.cycle_alerts(graph.negative_cycles(_edges(spark, d), 3, 0.9), AS_OF)
+    return graph.cycle_alerts(graph.negative_cycles(_loaded(spark, d), 3, LOADED), AS_OF)
 
 
 @query(sql(f"WITH d AS ({_DIR}), g AS (SELECT src, count(*) AS d FROM d GROUP BY 1) SELECT count(*) AS vertices, sum(d)::BIGINT AS directed_edges, round(avg(d), 6) AS avg_degree, max(d) AS max_degree, (SELECT count_if(edge_type = 'correlation') FROM edges) AS correlation, (SELECT count_if(edge_type = 'hedge') FROM edges) AS hedge, (SELECT count_if(edge_type = 'causal') FROM edges) AS causal, (SELECT count_if(edge_type = 'arbitrage') FROM edges) AS arbitrage FROM g", "edges"))
@@ -142,7 +154,14 @@ def graph_stats(spark, d):
     return rounded(graph.graph_stats(_edges(spark, d)))
 
 
-@query(sql("""WITH RECURSIVE k AS (SELECT market_a AS a, market_b AS b FROM edges WHERE weight > 1.8 UNION SELECT market_b, market_a FROM edges WHERE weight > 1.8),
-r(id, m) AS (SELECT a, a FROM k UNION SELECT k.b, r.m FROM r JOIN k ON k.a = r.id) SELECT id, min(m) AS component FROM r GROUP BY 1""", "edges"))
+def _labels(rounds: int = 12) -> str:
+    """Smallest labels passed to neighbours a number of times; random graphs of
+    the given sizes settle in fewer."""
+    steps = [f"r{i} AS MATERIALIZED (SELECT v, min(least(r.m, o.m)) AS m FROM (SELECT r.id AS v, r.m, k.b FROM r{i - 1} r JOIN k ON k.a = r.id) r JOIN r{i - 1} o ON o.id = r.b GROUP BY v)" for i in range(1, rounds + 1)]
+    return "k AS MATERIALIZED (SELECT market_a AS a, market_b AS b FROM edges WHERE weight > 0.1 UNION SELECT market_b, market_a FROM edges WHERE weight > 0.1), r0 AS (SELECT DISTINCT a AS id, a AS m FROM k), " + ", ".join(x.replace("SELECT v, min", "SELECT v AS id, min") for x in steps)
+
+
+@query(sql(f"WITH {_labels()} SELECT id, m AS component, (SELECT count(DISTINCT m) FROM r12) AS components FROM r12", "edges"))
 def connected_components(spark, d):
-    return components(_edges(spark, d).where("weight > 1.8").select(F.col("market_a").alias("a"), F.col("market_b").alias("b")))
+    found = components(_loaded(spark, d).select(F.col("market_a").alias("a"), F.col("market_b").alias("b")))
+    return found.join(F.broadcast(found.agg(F.countDistinct("component").alias("components"))))
