@@ -1,6 +1,6 @@
 """Numpy kernels over batches of texts, used inside mapInPandas tasks.
 
-Texts are taken in blocks of about a megabyte, so memory in a task does not
+Texts are taken in blocks of ``BLOCK`` bytes, so memory in a task does not
 depend on how many rows an Arrow batch holds.
 """
 
@@ -11,7 +11,8 @@ from collections.abc import Iterator
 
 import numpy as np
 
-BLOCK = 1 << 20
+BLOCK = 1 << 18
+ROWS = 256
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -23,6 +24,14 @@ _NEXT_SPACE = re.compile(rb"[\x20\x09-\x0D]")
 _powers: dict[int, np.ndarray] = {}
 
 
+def slices(batches, rows: int = ROWS):
+    """Arrow batches in parts of few rows, so that few texts at a time become
+    Python strings."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def blocks(texts, size: int = BLOCK) -> Iterator[tuple[int, int, list[bytes]]]:
     """(first row, end row, UTF-8 texts) of runs of rows of about ``size``
     bytes; a null text is empty."""

@@ -35,23 +35,25 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidebook.functions.graphs import components
 from tidebook.functions.storage import materialize, worker_imports
-from tidebook.llm.grams import blocks, hashed_words, mixed, shingles
+from tidebook.llm.grams import blocks, hashed_words, mixed, shingles, slices
 from tidebook.llm.tables import partitions, read, small_side
 
 WIDTH = 5
 LOW = 5
-GATHER = 1 << 20
+GATHER = 1 << 19
 FAMILY = 200
 #: Elements in a block of a family's members, and of those still open.
-MANY, FEW = 2_000_000, 300_000
+MANY, FEW = 1_000_000, 300_000
 _U = np.uint64
 _BLOCK = "uid long, bucket int, kind int, a binary, b binary, c binary"
+_PACKED = pa.schema([("uid", pa.int64()), ("bucket", pa.int32()), ("kind", pa.int32()), *[(c, pa.binary()) for c in "abc"]])
 
 
 def sets_of(texts):
@@ -131,23 +133,24 @@ def shared_counts(rows: DataFrame, deal: int) -> DataFrame:
     """(doc_id, text) or (doc_id, elements) to doc_id, size n, how many of its
     elements are in another row too (at least), and two fingerprints."""
     has_text = "text" in rows.columns
+    at = rows.columns.index("text" if has_text else "elements")
 
     def pack(batches):
         base, serial = TaskContext.get().partitionId() << 32, 0
         ids, sets, held = [], [], 0
-        for pdf in batches:
-            stored = None if has_text else [np.frombuffer(e, _U) for e in pdf["elements"]]
-            for a, b, some in sets_of(pdf["text"]) if has_text else [(0, len(pdf), stored)]:
-                ids += pdf["doc_id"].iloc[a:b].tolist()
+        for part in slices(batches):
+            named, values = part.column(0).to_pylist(), part.column(at).to_pylist()
+            for a, b, some in sets_of(values) if has_text else [(0, len(values), [np.frombuffer(e, _U) for e in values])]:
+                ids += named[a:b]
                 sets += some
                 held += sum(map(len, some))
                 if held >= GATHER:
-                    yield _pack(base + serial, ids, sets, deal)
+                    yield pa.RecordBatch.from_pandas(_pack(base + serial, ids, sets, deal), _PACKED)
                     ids, sets, held, serial = [], [], 0, serial + 1
         if ids:
-            yield _pack(base + serial, ids, sets, deal)
+            yield pa.RecordBatch.from_pandas(_pack(base + serial, ids, sets, deal), _PACKED)
 
-    blocks_ = rows.mapInPandas(pack, _BLOCK)
+    blocks_ = rows.mapInArrow(pack, _BLOCK)
     marked = blocks_.groupBy("bucket").applyInPandas(_mark, _BLOCK)
     return marked.groupBy("uid").applyInPandas(_total, "doc_id long, n long, shared long, h1 long, h2 long")
 
@@ -363,11 +366,11 @@ def classes(docs: DataFrame) -> DataFrame:
     reps = materialize(alike.where("100 * shared >= 75 * n").select(F.col("rep").alias("doc_id")).distinct(), "reps")
 
     def read_sets(batches):
-        for pdf in batches:
-            for a, b, some in sets_of(pdf["text"]):
-                yield pd.DataFrame({"doc_id": pdf["doc_id"].iloc[a:b], "elements": [s.tobytes() for s in some]})
+        for part in slices(batches):
+            for a, b, some in sets_of(part.column(1).to_pylist()):
+                yield pa.RecordBatch.from_arrays([part.column(0).slice(a, b - a), pa.array([s.tobytes() for s in some], pa.binary())], names=["doc_id", "elements"])
 
-    sets = named.join(small_side(reps), "doc_id").mapInPandas(read_sets, "doc_id long, elements binary").where(F.octet_length("elements") > 0)
+    sets = named.join(small_side(reps), "doc_id").select("doc_id", "text").mapInArrow(read_sets, "doc_id long, elements binary").where(F.octet_length("elements") > 0)
     sets = materialize(sets, "sets")
     again = shared_counts(sets, deal).where("100 * shared >= 75 * n").groupBy("doc_id").agg(F.max(F.col("shared") / F.col("n")).alias("share"))
     again = materialize(again, "partners")

@@ -46,6 +46,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidebook.functions.storage import materialize, worker_imports
+from tidebook.llm.grams import slices
 from tidebook.llm.tables import read
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -55,7 +56,7 @@ FAN = 256
 RANK_SHIFT = 100.0
 UNKNOWN = 10.0
 #: Strings in each of two generations of the memo, and the longest one kept.
-REMEMBERED = 150_000
+REMEMBERED = 75_000
 LONGEST = 48
 BATCH = 128
 _TOKEN = regex.compile(rf"{MARK}*[\p{{L}}\p{{M}}]+|{MARK}*[^\p{{L}}\p{{M}}{MARK}\n]+|{MARK}+|\n")
@@ -282,14 +283,12 @@ def _encode_short(docs: DataFrame, path: str, scores: str, decoded: bool) -> Dat
 
     def run(batches):
         v = vocabulary(path, scores)
-        for batch in batches:
-            for start in range(0, batch.num_rows, BATCH):
-                part = batch.slice(start, BATCH)
-                packed = [v.pack(marked(t)) if t else b"" for t in part.column(at).to_pylist()]
-                more = [_lists(packed)]
-                if decoded:
-                    more.append(pa.array([v.decode(np.frombuffer(x, np.int32).tolist()) for x in packed], pa.string()))
-                yield pa.RecordBatch.from_arrays([*part.columns, *more], names=names)
+        for part in slices(batches, BATCH):
+            packed = [v.pack(marked(t)) if t else b"" for t in part.column(at).to_pylist()]
+            more = [_lists(packed)]
+            if decoded:
+                more.append(pa.array([v.decode(np.frombuffer(x, np.int32).tolist()) for x in packed], pa.string()))
+            yield pa.RecordBatch.from_arrays([*part.columns, *more], names=names)
 
     return docs.mapInArrow(run, f"{_fields(docs)}, ids array<int>" + ", decoded string" * decoded)
 

@@ -14,7 +14,7 @@ smallest hash of their id, so its broadcast has a fixed size: SAMPLE vectors of
 ``LATENT`` floats and a projection of ``DIMS`` x ``LATENT`` floats. Rows of the
 held-out fifth are never among them. All documents are scored, as a whole.
 
-Texts of over a megabyte are counted in pieces that end before white space;
+Texts of over ``grams.BLOCK`` bytes are counted in pieces that end before white space;
 trigrams and word pairs across such a cut don't count.
 
 Defined cases: a null, empty or very short text has no trigrams and gets the
@@ -28,11 +28,12 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidebook.functions.storage import worker_imports
-from tidebook.llm.grams import byte_grams, cut_blocks, joined, word_hashes
+from tidebook.llm.grams import byte_grams, cut_blocks, joined, slices, word_hashes
 from tidebook.llm.tables import held_out, read
 
 SAMPLE = 4000
@@ -137,15 +138,17 @@ def score(docs: DataFrame, model: dict | None, neighbours: int = NEIGHBOURS) ->
     worker_imports(spark)
     sent = spark.sparkContext.broadcast(model)
 
+    at, names = docs.columns.index("text"), [*docs.columns, "score"]
+
     def run(batches):
-        for pdf in batches:
-            out = np.empty(len(pdf))
-            for a, b, x in _counts(pdf["text"]):
+        for part in slices(batches):
+            out = np.empty(part.num_rows)
+            for a, b, x in _counts(part.column(at).to_pylist()):
                 out[a:b] = _votes(x, sent.value, neighbours)
-            yield pdf.assign(score=np.clip(out, 0.0, 1.0))
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(np.clip(out, 0.0, 1.0))], names=names)
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInPandas(run, f"{fields}, score double")
+    return docs.mapInArrow(run, f"{fields}, score double")
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
