@@ -117,6 +117,46 @@ def test_a_path_over_some_types(spark):
     assert graph.shortest_path(edges, "a", "z").count() == 0
 
 
+@pytest.mark.parametrize(("kinds"), [("PRICE_MOVE", "VOLATILITY_SPIKE", "IMBALANCE_SHIFT", "QUOTE_VELOCITY", "MID_PRICE_TREND", "LARGE_FILL", "STALE_QUOTE", "EMPTY_BOOK", "CROSSED_BOOK", "MICROPRICE_DIVERGENCE", "PRICE_BELOW", "SIZE_SPIKE", "IMBALANCE_ASK", "SPREAD_NARROW")])
+def test_streamed_signals_equal_batch_ones(spark, sf_dir, kinds):
+    from tidebook.functions.storage import new_path
+    from tidebook.plans.signal_plans import SIGNALS
+    from tidebook.plans.stream_plans import _feed
+    from tidebook.streaming import feeds
+
+    rules = [(n, k, t, s, w, 0) for n, (k, t, s, w) in SIGNALS.items() if k in kinds]
+    ticks = tables.quotes(spark, sf_dir).where("cast(asset_id AS int) % 4 = 0")
+    got = feeds.run_to_end(feeds.stream_signals(_feed(spark, ticks), rules), "signals", spark, new_path(spark, "ckpt"))
+    got = {(r.rule_id, r.event_id): round(r.actual_value, 5) for r in got.collect()}
+    want = {(n, r.event_id): round(r.actual_value, 5) for n, k, t, s, w, _ in rules for r in signals.signal(ticks, k, t, s, w).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-4 for k in want)
+
+
+def test_streams_refuse_unknown_signals(spark, sf_dir):
+    from tidebook.streaming import feeds
+
+    with pytest.raises(ValueError, match="no such signal"):
+        feeds.stream_signals(tables.quotes(spark, sf_dir), [("r", "ARBITRAGE_BUY", 0.9, None, 0, 0)])
+    with pytest.raises(ValueError, match="window"):
+        feeds.stream_signals(tables.quotes(spark, sf_dir), [("r", "PRICE_MOVE", 0.9, None, 600_000, 0)])
+
+
+def test_cooldown_cuts_and_keeps_columns(spark):
+    import random
+
+    random.seed(4)
+    rows = [(f"k{i % 3}", random.randrange(3000), i, 50, None if i % 2 else 2**60 + i) for i in range(600)]
+    df = spark.createDataFrame(rows, "k string, t long, i long, w long, big long")
+    want = set()
+    for k in ("k0", "k1", "k2"):
+        last = None
+        for r in sorted((r for r in rows if r[0] == k), key=lambda r: r[1:3]):
+            if last is None or r[1] - last >= 50:
+                want.add(r)
+                last = r[1]
+    assert {tuple(r) for r in cooldown(df, ["k"], "t", "i", "w").collect()} == want
+
+
 def test_wide_ids(spark):
     n = 2**255 + 12345
     rows = spark.createDataFrame([(hex(n),), ("0x0",), ("plain",), (None,)], "v string")

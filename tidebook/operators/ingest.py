@@ -39,6 +39,19 @@ def classify_raw(lines: DataFrame, text: str = "value") -> DataFrame:
     return lines.withColumn("origin", F.when(~json, "control").when(parses, "ok").otherwise("malformed"))
 
 
+def dead_letters(classified: DataFrame, at: str, text: str = "value") -> DataFrame:
+    """Rows that can't be used: where they failed, why, and their text."""
+    error = F.when(F.col("origin") == "control", "not a JSON message").otherwise("JSON does not parse")
+    return classified.where("origin <> 'ok'").select("event_id", "origin", F.col(text).alias("payload"), error.alias("error"), F.col(at).alias("failed_us"))
+
+
+def write_routed(lines: DataFrame, path: str, text: str = "value") -> None:
+    """The feed in two tables below ``path``: ``good`` and ``dead``."""
+    rows = classify_raw(lines, text)
+    rows.where("origin = 'ok'").drop("origin").write.mode("append").parquet(f"{path}/good")
+    rows.where("origin <> 'ok'").write.mode("append").parquet(f"{path}/dead")
+
+
 def book_to_bbo(parsed: DataFrame) -> DataFrame:
     """Best levels of book messages, whatever the order of their levels."""
     books = parsed.where("kind = 'book'")
@@ -105,11 +118,14 @@ def book_levels_at(snaps: DataFrame, changes: DataFrame, at: int) -> DataFrame:
 
 
 def book_snapshot(levels: DataFrame) -> DataFrame:
-    """Live levels to one row an asset: best prices, rounded spread, depth."""
-    bid, ask = F.max(F.when(F.col("side") == "BUY", F.col("price"))), F.min(F.when(F.col("side") == "SELL", F.col("price")))
-    rows = levels.groupBy("asset_id").agg(bid.alias("best_bid"), ask.alias("best_ask"), F.count_if(F.col("side") == "BUY").alias("bid_levels"), F.count_if(F.col("side") == "SELL").alias("ask_levels"), F.sum("size").alias("depth"))
-    mid = (F.col("best_bid") + F.col("best_ask")) / 2
-    return rows.withColumn("spread_bps", F.round((F.col("best_ask") - F.col("best_bid")) / mid * 10000))
+    """Live levels to one row an asset: both sides' (price, size) from the best
+    on, and the rounded spread, null unless both sides are there."""
+    one = F.struct("price", "size")
+    side = lambda name: F.array_sort(F.collect_list(F.when(F.col("side") == name, one)))
+    rows = levels.groupBy("asset_id").agg(F.reverse(side("BUY")).alias("bids"), side("SELL").alias("asks"), F.sum("size").alias("depth"))
+    bid, ask = F.get("bids", F.lit(0))["price"], F.get("asks", F.lit(0))["price"]
+    mid = (bid + ask) / 2
+    return rows.withColumn("spread_bps", F.when(mid > 0, F.round((ask - bid) / mid * 10000)).when(mid.isNotNull(), 0.0))
 
 
 SERIES = "asset_id string, source_us long, event_id long, best_bid double, best_ask double, bid_size double, ask_size double"
@@ -132,16 +148,21 @@ def reconstruct_bbo_series(snaps: DataFrame, changes: DataFrame) -> DataFrame:
 
     def fold(batches):
         book: dict[str, dict] = {"BUY": {}, "SELL": {}}
+        best: dict[str, float | None] = {"BUY": None, "SELL": None}
+        pick = {"BUY": max, "SELL": min}
         for pdf in batches:
             out = []
             for asset, at, event, side, price, size, bp, bs, ap, as_, _ in pdf.itertuples(index=False, name=None):
                 if side is None:
-                    book = {"BUY": dict(zip(bp, bs, strict=True)), "SELL": dict(zip(ap, as_, strict=True))}
+                    book = {"BUY": {p: n for p, n in zip(bp, bs, strict=True) if n > 0}, "SELL": {p: n for p, n in zip(ap, as_, strict=True) if n > 0}}
+                    best = {s: pick[s](book[s], default=None) for s in book}
                 elif size > 0:
                     book[side][price] = size
-                else:
-                    book[side].pop(price, None)
-                bid, ask = max(book["BUY"], default=None), min(book["SELL"], default=None)
+                    best[side] = price if best[side] is None else pick[side](price, best[side])
+                elif book[side].pop(price, None) is not None and price == best[side]:
+                    # only the loss of the best level needs a look at the others
+                    best[side] = pick[side](book[side], default=None)
+                bid, ask = best["BUY"], best["SELL"]
                 out.append((asset, at, event, bid, ask, book["BUY"].get(bid), book["SELL"].get(ask)))
             yield pd.DataFrame(out, columns=[c.split()[0] for c in SERIES.split(", ")])
 

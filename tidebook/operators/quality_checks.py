@@ -19,38 +19,37 @@ _MID = "((best_bid + best_ask) / 2)"
 
 @dataclass(frozen=True)
 class Check:
-    """Aggregates over a table; ``metric`` must stay at or below ``limit``."""
+    """Aggregates over a table; ``passed`` is a condition on them."""
 
     table: str
     metrics: dict[str, str]
-    metric: str
-    limit: float
+    passed: str
     group: tuple[str, ...] = ()
 
 
 #: Aggregates that need no more than one row at a time.
 CHECKS = {
-    "dq_spread_formula": Check("bbo", {"n": "count(spread_bps)", "bad": f"count_if(best_bid > 0 AND best_ask > 0 AND abs(spread_bps - (best_ask - best_bid) / {_MID} * 10000) > 1)"}, "bad", 0),
-    "dq_book_state": Check("bbo", {"n": "count(*)", "two_sided": "count_if(best_bid > 0 AND best_ask > 0)", "crossed": "count_if(best_bid > best_ask)", "locked": "count_if(best_bid = best_ask)", "worst": "max(best_bid - best_ask)"}, "crossed", 0),
-    "dq_price_range": Check("bbo", {"n": "count(*)", "bad_bid": "count_if(best_bid < 0 OR best_bid > 1)", "bad_ask": "count_if(best_ask < 0 OR best_ask > 1)", "min_bid": "min(best_bid)", "max_ask": "max(best_ask)"}, "bad_bid", 0),
-    "dq_negative_spread": Check("bbo", {"n": "count(*)", "bad": "count_if(best_bid <= best_ask AND spread_bps < 0)"}, "bad", 0),
-    "dq_positive_size": Check("bbo", {"n": "count(*)", "bad_bid": "count_if(best_bid > 0 AND bid_size <= 0)", "bad_ask": "count_if(best_ask > 0 AND ask_size <= 0)"}, "bad_bid", 0),
-    "dq_trade_fields": Check("trades", {"n": "count(*)", "bad_price": "count_if(price <= 0 OR price >= 1)", "bad_size": "count_if(size <= 0)", "bad_side": "count_if(side NOT IN ('BUY', 'SELL'))", "volume": "sum(size)", "max_latency": "max(ingestion_us - source_us)"}, "bad_price", 0),
-    "dq_time_travel": Check("bbo", {"n": "count(*)", "early": "count_if(ingestion_us < source_us)", "min_us": "min(ingestion_us - source_us)", "max_us": "max(ingestion_us - source_us)"}, "early", 0),
-    "dq_ts_precision": Check("bbo", {"n": "count(*)", "whole_ms": "count_if(source_us % 1000 = 0)", "whole_s": "count_if(source_us % 1000000 = 0)"}, "whole_s", 0),
-    "dq_level_changes": Check("levels", {"n": "count(*)", "bad_delta": "count_if(abs(size_delta - (new_size - old_size)) > 0.000001)", "bad_add": "count_if(change_type = 'ADD' AND (old_size <> 0 OR new_size <= 0))", "bad_remove": "count_if(change_type = 'REMOVE' AND new_size <> 0)", "bad_update": "count_if(change_type = 'UPDATE' AND (old_size <= 0 OR new_size <= 0))", "bad_side": "count_if(side NOT IN ('BUY', 'SELL'))"}, "bad_delta", 0),
-    "dq_required_fields": Check("bbo", {"n": "count(*)", "blank": "count_if(asset_id IS NULL OR asset_id = '' OR condition_id = '' OR book_hash = '')", "bad_length": "count_if(length(book_hash) <> 32)", "bad_key": "count_if(condition_id NOT LIKE 'cond_%')"}, "blank", 0),
-    "dq_coverage_by_asset": Check("bbo", {"n": "count(*)", "first_us": "min(source_us)", "last_us": "max(source_us)"}, "n", 1e12, ("asset_id",)),
-    "dq_side_domain": Check("trades", {"n": "count(*)"}, "n", 1e12, ("side",)),
-    "dq_change_domain": Check("levels", {"n": "count(*)"}, "n", 1e12, ("side", "change_type")),
-    "dq_resolution_domain": Check("gaps", {"n": "count(*)"}, "n", 1e12, ("resolution",)),
-    "dq_duplicate_trades": Check("trades", {"n": "count(*)", "unique_ids": "count(DISTINCT trade_id)"}, "n", 1e12),
+    "dq_spread_formula": Check("bbo", {"n": "count(spread_bps)", "bad": f"count_if(best_bid > 0 AND best_ask > 0 AND abs(spread_bps - (best_ask - best_bid) / {_MID} * 10000) > 1)"}, "bad = 0"),
+    "dq_book_state": Check("bbo", {"n": "count(*)", "two_sided": "count_if(best_bid > 0 AND best_ask > 0)", "crossed": "count_if(best_bid > best_ask)", "locked": "count_if(best_bid = best_ask)", "worst": "max(best_bid - best_ask)"}, "crossed * 100 < two_sided OR two_sided = 0"),
+    "dq_price_range": Check("bbo", {"n": "count(*)", "bad_bid": "count_if(best_bid < 0 OR best_bid > 1)", "bad_ask": "count_if(best_ask < 0 OR best_ask > 1)", "min_bid": "min(best_bid)", "max_ask": "max(best_ask)"}, "bad_bid = 0 AND bad_ask = 0"),
+    "dq_negative_spread": Check("bbo", {"n": "count(*)", "bad": "count_if(best_bid <= best_ask AND spread_bps < 0)"}, "bad = 0"),
+    "dq_positive_size": Check("bbo", {"n": "count(*)", "bad_bid": "count_if(best_bid > 0 AND bid_size <= 0)", "bad_ask": "count_if(best_ask > 0 AND ask_size <= 0)"}, "bad_bid = 0 AND bad_ask = 0"),
+    "dq_trade_fields": Check("sales", {"n": "count(*)", "bad_price": "count_if(price <= 0 OR price >= 1)", "bad_size": "count_if(size <= 0)", "bad_side": "count_if(side NOT IN ('BUY', 'SELL'))", "bad_notional": "count_if(abs(notional - price * size) > 0.0001)", "bad_latency": "count_if(abs(latency_ms - (ingestion_us - source_us) / 1000) > 1)", "volume": "sum(size)", "max_latency": "max(latency_ms)"}, "bad_price = 0 AND bad_size = 0 AND bad_side = 0 AND bad_notional = 0 AND bad_latency = 0"),
+    "dq_time_travel": Check("times", {"n": "count(*)", "early": "count_if(ingestion_us < source_us)", "early_pct": "count_if(ingestion_us < source_us) * 100 / count(*)", "min_us": "min(ingestion_us - source_us)", "max_us": "max(ingestion_us - source_us)"}, "early = 0", ("t",)),
+    "dq_ts_precision": Check("bbo", {"n": "count(*)", "whole_ms": "count_if(source_us % 1000 = 0)", "whole_s": "count_if(source_us % 1000000 = 0)"}, "whole_s < n OR n = 0"),
+    "dq_level_changes": Check("levels", {"n": "count(*)", "bad_delta": "count_if(abs(size_delta - (new_size - old_size)) > 0.000001)", "bad_add": "count_if(change_type = 'ADD' AND (old_size <> 0 OR new_size <= 0))", "bad_remove": "count_if(change_type = 'REMOVE' AND new_size <> 0)", "bad_update": "count_if(change_type = 'UPDATE' AND (old_size <= 0 OR new_size <= 0))", "bad_side": "count_if(side NOT IN ('BUY', 'SELL'))"}, "bad_delta = 0 AND bad_add = 0 AND bad_remove = 0 AND bad_update = 0 AND bad_side = 0"),
+    "dq_required_fields": Check("hashed", {"n": "count(*)", "blank": "count_if(asset_id IS NULL OR asset_id = '' OR condition_id IS NULL OR condition_id = '' OR book_hash IS NULL OR book_hash = '')", "bad_asset": "count_if(NOT regexp_like(asset_id, '^[0-9]+$'))", "short_hash": "count_if(length(book_hash) < 10)", "bad_hash": "count_if(NOT regexp_like(book_hash, '^[a-f0-9]+$'))"}, "blank = 0 AND bad_asset = 0 AND short_hash = 0 AND bad_hash = 0", ("t",)),
+    "dq_coverage_by_asset": Check("bbo", {"n": "count(*)", "first_us": "min(source_us)", "last_us": "max(source_us)"}, "n > 1 AND last_us > first_us", ("asset_id",)),
+    "dq_side_domain": Check("trades", {"n": "count(*)"}, "side IN ('BUY', 'SELL')", ("side",)),
+    "dq_change_domain": Check("levels", {"n": "count(*)"}, "side IN ('BUY', 'SELL') AND change_type IN ('ADD', 'REMOVE', 'UPDATE')", ("side", "change_type")),
+    "dq_resolution_domain": Check("gaps", {"n": "count(*)"}, "resolution IN ('PENDING', 'RESOLVED', 'FAILED')", ("resolution",)),
+    "dq_duplicate_trades": Check("trades", {"n": "count(*)", "unique_ids": "count(DISTINCT trade_id)"}, "n = unique_ids"),
 }
 
 
 def run_check(table: DataFrame, check: Check) -> DataFrame:
     got = table.groupBy(*check.group).agg(*[F.expr(e).alias(k) for k, e in check.metrics.items()])
-    return got.withColumn("passed", F.coalesce(F.col(check.metric) <= check.limit, F.lit(True)))
+    return got.withColumn("passed", F.coalesce(F.expr(check.passed), F.lit(True)))
 
 
 def l2_shape(snaps: DataFrame) -> DataFrame:
@@ -70,8 +69,12 @@ def lags(ticks: DataFrame) -> DataFrame:
     return ticks.withColumn("dt", F.col("source_us") - F.lag("source_us").over(w)).withColumn("ds", F.col("sequence_number") - F.lag("sequence_number").over(w))
 
 
-def time_gaps(ticks: DataFrame) -> DataFrame:
-    return lags(ticks).groupBy("asset_id").agg(F.count_if((F.col("dt") > 30_000_000) & (F.col("dt") <= 3_600_000_000)).alias("gaps"), F.count_if(F.col("dt") > 3_600_000_000).alias("long_gaps"), F.max("dt").alias("max_us"), F.avg("dt").alias("avg_us"))
+def time_gaps(ticks: DataFrame, low_us: int = 30_000_000, high_us: int = 3_600_000_000) -> DataFrame:
+    """Gaps over ``low_us`` and over ``high_us`` between rows of an asset. Quotes
+    are looked at from 30 s and 1 h, trades from 30 and 60 minutes."""
+    w = Window.partitionBy("asset_id").orderBy("source_us", "event_id")
+    rows = ticks.withColumn("dt", F.col("source_us") - F.lag("source_us").over(w))
+    return rows.groupBy("asset_id").agg(F.count_if((F.col("dt") > low_us) & (F.col("dt") <= high_us)).alias("gaps"), F.count_if(F.col("dt") > high_us).alias("long_gaps"), F.max("dt").alias("max_us"), F.avg("dt").alias("avg_us"))
 
 
 def sequence_steps(ticks: DataFrame) -> DataFrame:
@@ -96,9 +99,12 @@ def hash_duplicates(ticks: DataFrame) -> DataFrame:
     return ticks.groupBy("asset_id", "book_hash").agg(F.count(F.lit(1)).alias("n"), F.countDistinct(quote).alias("quotes")).where("n > 1")
 
 
-def referential(children: DataFrame, parents: DataFrame) -> DataFrame:
-    """Children by asset with and without any parent of the same asset."""
-    known = parents.select("asset_id").distinct().withColumn("known", F.lit(True))
+def referential(children: DataFrame, *parents: DataFrame) -> DataFrame:
+    """Children by asset with and without a row of the asset in any parent."""
+    known = None
+    for p in parents:
+        known = p.select("asset_id") if known is None else known.unionByName(p.select("asset_id"))
+    known = known.distinct().withColumn("known", F.lit(True))
     return children.groupBy("asset_id").agg(F.count(F.lit(1)).alias("n")).join(known, "asset_id", "left").agg(F.count(F.lit(1)).alias("assets"), F.count_if(F.col("known").isNull()).alias("orphans"), F.coalesce(F.sum(F.when(F.col("known").isNull(), F.col("n"))), F.lit(0)).alias("orphan_rows"))
 
 
@@ -156,10 +162,10 @@ def table_drift(left: DataFrame, right: DataFrame, tolerance: float = 0.01) -> D
     return both.agg(F.count(F.lit(1)).alias("assets"), F.count_if(rel("l_best_bid", "r_best_bid") > tolerance).alias("bid_drift"), F.count_if(rel("l_best_ask", "r_best_ask") > tolerance).alias("ask_drift"), F.count_if(rel("l_bid_size", "r_bid_size") > 0.25).alias("depth_drift"))
 
 
-def schema_contract(tables: dict[str, DataFrame], contract: dict[str, dict[str, str]]) -> list[tuple[str, str, str, str | None]]:
-    """(table, column, expected, found) of all that differs from the contract."""
-    out = []
-    for name, columns in contract.items():
-        found = dict(tables[name].dtypes)
-        out += [(name, c, t, found.get(c)) for c, t in columns.items() if found.get(c) != t]
-    return out
+def schema_contract(table: DataFrame, name: str, contract: dict[str, str]) -> DataFrame:
+    """A row for each contracted column: its type there, none if it is missing,
+    and the table's rows. Only the table's schema is compared; rows are counted."""
+    found = dict(table.dtypes)
+    rows = F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.lit(t).alias("expected"), F.lit(found.get(c)).cast("string").alias("found")) for c, t in contract.items()]))
+    each = table.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("t"), "n", rows)
+    return each.withColumn("passed", F.col("expected").eqNullSafe(F.col("found")))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidebook.functions.storage import new_path
 from tidebook.operators import ingest, integrity
 from tidebook.plans.base_sql import sql
 from tidebook.plans.registry import as_text, feed_end, query, rounded
@@ -12,9 +13,9 @@ from tidebook.sources import tables
 
 _BBO_W = "OVER (PARTITION BY asset_id ORDER BY source_us, event_id)"
 _J = "json_extract_string"
-_KIND = f"""SELECT *, CASE json_extract_string(j, '$.event_type') WHEN 'price_change' THEN 'price_change' WHEN 'last_trade_price' THEN 'trade' WHEN 'tick_size_change' THEN 'tick_size' WHEN 'book' THEN 'book'
+_KIND = """SELECT *, CASE json_extract_string(j, '$.event_type') WHEN 'price_change' THEN 'price_change' WHEN 'last_trade_price' THEN 'trade' WHEN 'tick_size_change' THEN 'tick_size' WHEN 'book' THEN 'book'
   ELSE CASE WHEN json_extract(j, '$.bids') IS NOT NULL AND json_extract(j, '$.asks') IS NOT NULL THEN 'book' ELSE 'unknown' END END AS kind
-  FROM (SELECT event_id, us, CASE WHEN value LIKE '[%' THEN json_extract(value, '$[0]') ELSE value::JSON END AS j FROM raw WHERE value LIKE '[%' OR (value LIKE '{{%' AND json_valid(value)))""".replace("{{", "{")
+  FROM (SELECT event_id, us, CASE WHEN value LIKE '[%' THEN json_extract(value, '$[0]') ELSE value::JSON END AS j FROM raw WHERE value LIKE '[%' OR (value LIKE '{%' AND json_valid(value)))"""
 
 
 def _parsed(spark: SparkSession, d: str) -> DataFrame:
@@ -91,13 +92,25 @@ def reconstruct_book(spark, d):
     return _live(spark, d)
 
 
-@query(sql(f"""{_LIVE}, g AS (SELECT asset_id, max(CASE WHEN side = 'BUY' THEN price END) AS best_bid, min(CASE WHEN side = 'SELL' THEN price END) AS best_ask, count_if(side = 'BUY') AS bid_levels, count_if(side = 'SELL') AS ask_levels, sum(size) AS depth FROM live GROUP BY asset_id)
-SELECT *, round((best_ask - best_bid) / ((best_bid + best_ask) / 2) * 10000) AS spread_bps FROM g""", "bbo", "snaps", "rawlev"))
+@query(sql(f"""{_LIVE}, g AS (SELECT asset_id, coalesce(list(price ORDER BY price DESC) FILTER (side = 'BUY'), []) AS bp, coalesce(list(size ORDER BY price DESC) FILTER (side = 'BUY'), []) AS bs, coalesce(list(price ORDER BY price) FILTER (side = 'SELL'), []) AS ap, coalesce(list(size ORDER BY price) FILTER (side = 'SELL'), []) AS az, sum(size) AS depth FROM live GROUP BY asset_id)
+SELECT asset_id, array_to_string(bp, ',') AS bid_prices, array_to_string(bs, ',') AS bid_sizes, array_to_string(ap, ',') AS ask_prices, array_to_string(az, ',') AS ask_sizes, depth, round((ap[1] - bp[1]) / ((bp[1] + ap[1]) / 2) * 10000) AS spread_bps FROM g""", "bbo", "snaps", "rawlev"))
 def book_snapshot(spark, d):
-    return ingest.book_snapshot(_live(spark, d))
+    rows = ingest.book_snapshot(_live(spark, d))
+    side = lambda c, f: as_text(F.transform(c, lambda x: x[f])).alias(f"{c[:3]}_{f}s")
+    return rows.select("asset_id", side("bids", "price"), side("bids", "size"), side("asks", "price"), side("asks", "size"), "depth", "spread_bps")
 
 
-@query()
+#: The book of each part of an asset's history, which starts at a snapshot, as of each of the part's events.
+_BOOKS = """x AS (SELECT asset_id, source_us, event_id, true AS snap FROM snaps UNION ALL SELECT asset_id, source_us, event_id, false FROM rawlev),
+v AS (SELECT * FROM (SELECT *, count_if(snap) OVER (PARTITION BY asset_id ORDER BY source_us, event_id) AS part FROM x) WHERE part > 0),
+lv AS (SELECT v.asset_id, v.part, v.source_us, v.event_id, 'BUY' AS side, unnest(bid_prices) AS price, unnest(bid_sizes) AS size FROM v JOIN snaps s ON v.snap AND s.asset_id = v.asset_id AND s.source_us = v.source_us AND s.event_id = v.event_id
+ UNION ALL SELECT v.asset_id, v.part, v.source_us, v.event_id, 'SELL', unnest(ask_prices), unnest(ask_sizes) FROM v JOIN snaps s ON v.snap AND s.asset_id = v.asset_id AND s.source_us = v.source_us AND s.event_id = v.event_id
+ UNION ALL SELECT v.asset_id, v.part, v.source_us, v.event_id, side, price, new_size FROM v JOIN rawlev r ON NOT v.snap AND r.asset_id = v.asset_id AND r.source_us = v.source_us AND r.event_id = v.event_id),
+l1 AS (SELECT asset_id, part, source_us, event_id, side, price, last(size) AS size FROM lv GROUP BY 1, 2, 3, 4, 5, 6),
+st AS (SELECT v.asset_id, v.source_us, v.event_id, l.side, l.price, max_by(l.size, (l.source_us, l.event_id)) AS size FROM v LEFT JOIN l1 l ON l.asset_id = v.asset_id AND l.part = v.part AND (l.source_us, l.event_id) <= (v.source_us, v.event_id) GROUP BY 1, 2, 3, 4, 5)"""
+
+
+@query(sql(f"WITH {_BOOKS} SELECT asset_id, source_us, event_id, max(price) FILTER (side = 'BUY' AND size > 0) AS best_bid, min(price) FILTER (side = 'SELL' AND size > 0) AS best_ask, max_by(size, price) FILTER (side = 'BUY' AND size > 0) AS bid_size, min_by(size, price) FILTER (side = 'SELL' AND size > 0) AS ask_size FROM st GROUP BY 1, 2, 3", "snaps", "rawlev"))
 def reconstruct_bbo_series(spark, d):
     return ingest.reconstruct_bbo_series(tables.snapshots(spark, d), tables.raw_levels(spark, d))
 
@@ -157,9 +170,14 @@ def normalize_condition_id(spark, d):
     return rows.withColumn("condition_dec", ingest.normalize_condition_id(F.col("condition_hex")))
 
 
-@query(sql("""SELECT CASE WHEN NOT (value LIKE '[%' OR value LIKE '{%') THEN 'control' WHEN json_valid(value) THEN 'ok' ELSE 'malformed' END AS origin, count(*) AS n, min(event_id) AS first_event FROM raw GROUP BY 1""", "raw"))
+@query(sql("""WITH c AS (SELECT *, CASE WHEN NOT (value LIKE '[%' OR value LIKE '{%') THEN 'control' WHEN json_valid(value) THEN 'ok' ELSE 'malformed' END AS origin FROM raw)
+SELECT event_id, origin, value AS payload, CASE origin WHEN 'control' THEN 'not a JSON message' ELSE 'JSON does not parse' END AS error, us AS failed_us, count(*) OVER (PARTITION BY origin) AS of_origin FROM c WHERE origin <> 'ok'""", "raw"))
 def route_bad_records(spark, d):
-    return ingest.classify_raw(tables.raw_messages(spark, d)).groupBy("origin").agg(F.count(F.lit(1)).alias("n"), F.min("event_id").alias("first_event"))
+    """The feed split into good and dead-letter rows, read back from the dead letters."""
+    path = new_path(spark, "routed")
+    ingest.write_routed(tables.raw_messages(spark, d), path)
+    dead = ingest.dead_letters(spark.read.parquet(f"{path}/dead"), "us")
+    return dead.join(F.broadcast(dead.groupBy("origin").agg(F.count(F.lit(1)).alias("of_origin"))), "origin")
 
 
 @query(sql("SELECT market_a, market_b, edge_type, created_us FROM signals WHERE created_us > 1706659200000000 - 90 * 86400000000", "signals"))

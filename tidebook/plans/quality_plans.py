@@ -20,14 +20,37 @@ def _gaps(spark, d):
     return integrity.with_resolution(integrity.hash_chain_gaps(integrity.hash_chain_dedupe(tables.quotes(spark, d))))
 
 
-SOURCES = {"bbo": tables.quotes, "trades": tables.trades, "levels": _levels, "gaps": _gaps}
+def _sales(spark, d):
+    """Trades with the columns that a store computes as it takes them in."""
+    rows = tables.trades(spark, d)
+    return rows.withColumns({"notional": F.round(F.col("price") * F.col("size"), 6), "latency_ms": F.floor((F.col("ingestion_us") - F.col("source_us")) / 1000)})
+
+
+def _times(spark, d):
+    parts = [t(spark, d).select(F.lit(n).alias("t"), "source_us", "ingestion_us") for n, t in (("bbo", tables.quotes), ("trades", tables.trades), ("snaps", tables.snapshots), ("levels", tables.raw_levels))]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+
+
+def _hashed(spark, d):
+    parts = [t(spark, d).select(F.lit(n).alias("t"), "asset_id", "condition_id", "book_hash") for n, t in (("bbo", tables.quotes), ("snaps", tables.snapshots), ("levels", tables.raw_levels))]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+SOURCES = {"bbo": tables.quotes, "trades": tables.trades, "levels": _levels, "gaps": _gaps, "sales": _sales, "times": _times, "hashed": _hashed}
+#: Unions and computed columns of the checks, over the derived tables they need.
+VIEWS = {
+    "sales": (("trades",), "SELECT *, round(price * size, 6) AS notional, floor((ingestion_us - source_us) / 1000) AS latency_ms FROM trades"),
+    "times": (("bbo", "trades", "snaps", "rawlev"), " UNION ALL ".join(f"SELECT '{n}' AS t, source_us, ingestion_us FROM {t}" for n, t in (("bbo", "bbo"), ("trades", "trades"), ("snaps", "snaps"), ("levels", "rawlev")))),
+    "hashed": (("bbo", "snaps", "rawlev"), " UNION ALL ".join(f"SELECT '{n}' AS t, asset_id, condition_id, book_hash FROM {t}" for n, t in (("bbo", "bbo"), ("snaps", "snaps"), ("levels", "rawlev")))),
+}
 
 
 def _oracle(c: qc.Check) -> str:
     keys = ", ".join(c.group)
-    metrics = ", ".join(f"{e} AS {k}" for k, e in c.metrics.items())
-    inner = f"SELECT {keys + ', ' if keys else ''}{metrics} FROM {c.table}" + (f" GROUP BY {keys}" if keys else "")
-    return sql(f"SELECT *, coalesce({c.metric} <= {c.limit}, true) AS passed FROM ({inner})", c.table)
+    metrics = ", ".join(f"{e} AS {k}" for k, e in c.metrics.items()).replace("regexp_like", "regexp_matches")
+    needs, view = VIEWS.get(c.table, ((c.table,), f"SELECT * FROM {c.table}"))
+    inner = f"SELECT {keys + ', ' if keys else ''}{metrics} FROM ({view})" + (f" GROUP BY {keys}" if keys else "")
+    return sql(f"SELECT *, coalesce({c.passed}, true) AS passed FROM ({inner})", *needs)
 
 
 for _name, _check in qc.CHECKS.items():
@@ -66,9 +89,14 @@ def dq_future_past(spark, d):
     return one("bbo", tables.quotes(spark, d)).unionByName(one("trades", tables.trades(spark, d)))
 
 
-@query(sql(f"SELECT asset_id, count_if(dt > 30000000 AND dt <= 3600000000) AS gaps, count_if(dt > 3600000000) AS long_gaps, max(dt) AS max_us, round(avg(dt), 6) AS avg_us FROM (SELECT *, source_us - lag(source_us) {_W} AS dt FROM bbo) GROUP BY 1", "bbo"))
+def _gap_sql(name: str, table: str, low: int, high: int) -> str:
+    return f"SELECT '{name}' AS t, asset_id, count_if(dt > {low} AND dt <= {high}) AS gaps, count_if(dt > {high}) AS long_gaps, max(dt) AS max_us, round(avg(dt), 6) AS avg_us FROM (SELECT *, source_us - lag(source_us) {_W} AS dt FROM {table}) GROUP BY asset_id"
+
+
+@query(sql(_gap_sql("bbo", "bbo", 30_000_000, 3_600_000_000) + " UNION ALL " + _gap_sql("trades", "trades", 1_800_000_000, 3_600_000_000), "bbo", "trades"))
 def dq_time_gaps(spark, d):
-    return rounded(qc.time_gaps(tables.quotes(spark, d)))
+    found = qc.time_gaps(tables.quotes(spark, d)).withColumn("t", F.lit("bbo"))
+    return rounded(found.unionByName(qc.time_gaps(tables.trades(spark, d), 1_800_000_000).withColumn("t", F.lit("trades"))))
 
 
 @query(sql(f"SELECT asset_id, count_if(ds > 1) AS jumps, count_if(ds < 0) AS back, count_if(ds > 1000) AS far, round(avg(ds), 6) AS mean_step, count_if(sequence_number <= 0) AS not_positive FROM (SELECT *, sequence_number - lag(sequence_number) {_W} AS ds FROM bbo) GROUP BY 1", "bbo"))
@@ -86,9 +114,23 @@ def dq_hash_duplicates(spark, d):
     return qc.hash_duplicates(tables.quotes(spark, d))
 
 
-@query(sql("SELECT count(*) AS assets, count_if(s.asset_id IS NULL) AS orphans, coalesce(sum(CASE WHEN s.asset_id IS NULL THEN t.n END), 0)::BIGINT AS orphan_rows FROM (SELECT asset_id, count(*) AS n FROM trades GROUP BY 1) t LEFT JOIN (SELECT DISTINCT asset_id FROM snaps) s USING (asset_id)", "trades", "snaps"))
+#: Relation, its children, and the parents of which one must know the asset.
+RELATIONS = {"trades_with_a_book": ("trades", ("snaps", "bbo")), "levels_with_a_snapshot": ("rawlev", ("snaps",)), "trades_with_quotes": ("trades", ("bbo",))}
+
+
+def _relation_sql(name: str, child: str, parents: tuple[str, ...]) -> str:
+    known = " UNION ".join(f"SELECT DISTINCT asset_id FROM {p}" for p in parents)
+    return f"SELECT '{name}' AS relation, count(*) AS assets, count_if(s.asset_id IS NULL) AS orphans, coalesce(sum(CASE WHEN s.asset_id IS NULL THEN t.n END), 0)::BIGINT AS orphan_rows FROM (SELECT asset_id, count(*) AS n FROM {child} GROUP BY 1) t LEFT JOIN ({known}) s USING (asset_id)"
+
+
+@query(sql(" UNION ALL ".join(_relation_sql(n, c, p) for n, (c, p) in RELATIONS.items()), "trades", "snaps", "bbo", "rawlev"))
 def dq_referential(spark, d):
-    return qc.referential(tables.trades(spark, d), tables.snapshots(spark, d))
+    table = {"trades": tables.trades, "snaps": tables.snapshots, "bbo": tables.quotes, "rawlev": tables.raw_levels}
+    out = None
+    for name, (child, parents) in RELATIONS.items():
+        one = qc.referential(table[child](spark, d), *[table[p](spark, d) for p in parents]).withColumn("relation", F.lit(name))
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 @query(sql("WITH l AS (SELECT asset_id, count(DISTINCT condition_id) AS c, min(condition_id) AS o FROM bbo GROUP BY 1), r AS (SELECT asset_id, count(DISTINCT condition_id) AS c, min(condition_id) AS o FROM tokens GROUP BY 1) SELECT count_if(l.c > 1) AS several, count_if(l.o <> r.o) AS mismatch, count_if(l.o IS NULL OR r.o IS NULL) AS one_table_only FROM l FULL JOIN r USING (asset_id)", "bbo", "tokens"))
@@ -163,11 +205,13 @@ def dq_table_drift(spark, d):
 # --- the shapes used as latency probes
 
 
-@query(sql("SELECT count(*) AS n FROM bbo WHERE source_us > (SELECT max(source_us) - 3600000000 FROM bbo)", "bbo"))
+#: The as-of time of the probes: one hour after the feed's first row.
+PROBE_AT = tables.START_US + 3_600_000_000
+
+
+@query(sql(f"SELECT count(*) AS n FROM bbo WHERE source_us > {PROBE_AT} - 3600000000 AND source_us <= {PROBE_AT}", "bbo"))
 def perf_count(spark, d):
-    ticks = tables.quotes(spark, d)
-    last = ticks.agg(F.max("source_us").alias("t"))
-    return ticks.join(F.broadcast(last)).where(F.col("source_us") > F.col("t") - 3_600_000_000).agg(F.count(F.lit(1)).alias("n"))
+    return tables.quotes(spark, d).where(F.col("source_us").between(PROBE_AT - 3_600_000_000 + 1, PROBE_AT)).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(sql("SELECT asset_id, count(*) AS n, round(avg(spread_bps), 6) AS avg_bps FROM bbo GROUP BY 1 ORDER BY n DESC, asset_id LIMIT 100", "bbo"))
@@ -216,23 +260,34 @@ DOMAINS = {"side": ("BUY", "SELL"), "change_type": ("ADD", "REMOVE", "UPDATE"),
 _DOMAIN_SQL = " UNION ALL ".join(f"SELECT '{c}' AS domain, {c} AS v, count(*) AS n, {c} IN {v} AS allowed FROM {t} GROUP BY {c}" for (c, v), t in zip(DOMAINS.items(), ("trades", "levels", "gaps"), strict=True))
 
 
-@query(sql(_DOMAIN_SQL, "trades", "levels", "gaps"))
+_TICK_SQL = "SELECT 'tick_size' AS domain, format('{:.3f}', tick_size) AS v, count(*) AS n, tick_size > 0 AND tick_size <= 0.1 AS allowed FROM bbo GROUP BY tick_size"
+
+
+@query(sql(f"{_DOMAIN_SQL} UNION ALL {_TICK_SQL}", "trades", "levels", "gaps", "bbo"))
 def dq_domains(spark, d):
     parts = [t(spark, d).groupBy(F.col(c).alias("v")).agg(F.count(F.lit(1)).alias("n")).select(F.lit(c).alias("domain"), "v", "n", F.col("v").isin(list(v)).alias("allowed")) for (c, v), t in zip(DOMAINS.items(), (tables.trades, _levels, _gaps), strict=True)]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    sizes = tables.quotes(spark, d).groupBy("tick_size").agg(F.count(F.lit(1)).alias("n"))
+    parts.append(sizes.select(F.lit("tick_size").alias("domain"), F.format_string("%.3f", "tick_size").alias("v"), "n", ((F.col("tick_size") > 0) & (F.col("tick_size") <= 0.1)).alias("allowed")))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
 
 
-#: Columns and types that the quote and trade tables must have (fixed values).
+#: Columns and types that the tables must have (fixed values).
 CONTRACT = {
     "bbo": {"asset_id": "string", "condition_id": "string", "source_us": "bigint", "ingestion_us": "bigint", "book_hash": "string", "best_bid": "double", "best_ask": "double", "bid_size": "double", "ask_size": "double", "spread_bps": "double", "is_resync": "boolean", "sequence_number": "bigint"},
     "trades": {"asset_id": "string", "trade_id": "string", "price": "double", "size": "double", "side": "string", "source_us": "bigint"},
+    "snaps": {"asset_id": "string", "condition_id": "string", "source_us": "bigint", "book_hash": "string", "bid_prices": "array<double>", "bid_sizes": "array<double>", "ask_prices": "array<double>", "ask_sizes": "array<double>"},
+    "levels": {"asset_id": "string", "side": "string", "price": "double", "old_size": "double", "new_size": "double", "size_delta": "double", "change_type": "string"},
+    "gaps": {"asset_id": "string", "detected_us": "bigint", "last_known_hash": "string", "new_hash": "string", "gap_duration_ms": "double", "resolution": "string"},
+    "signals": {"market_a": "string", "market_b": "string", "edge_type": "string", "signal_source": "string", "user_id": "string", "strength": "double", "created_us": "bigint"},
 }
+_CONTRACT_SQL = " UNION ALL ".join(f"SELECT '{t}' AS t, (SELECT count(*) FROM {t}) AS n, '{c}' AS \"column\", '{k}' AS expected, '{k}' AS found, true AS passed" for t, columns in CONTRACT.items() for c, k in columns.items())
 
 
-@query()
+@query(sql(_CONTRACT_SQL, "bbo", "trades", "snaps", "levels", "gaps", "signals"))
 def dq_schema_contract(spark, d):
-    """Rows of each contracted table, and how many of its columns differ."""
-    found = {"bbo": tables.quotes(spark, d), "trades": tables.trades(spark, d)}
-    bad = qc.schema_contract(found, CONTRACT)
-    one = lambda n: found[n].agg(F.lit(n).alias("t"), F.count(F.lit(1)).alias("n"), F.lit(len(CONTRACT[n])).alias("columns"), F.lit(sum(b[0] == n for b in bad)).alias("differ"))
-    return one("bbo").unionByName(one("trades"))
+    table = {"bbo": tables.quotes, "trades": tables.trades, "snaps": tables.snapshots, "levels": _levels, "gaps": _gaps, "signals": tables.edge_signals}
+    out = None
+    for name, columns in CONTRACT.items():
+        one = qc.schema_contract(table[name](spark, d), name, columns)
+        out = one if out is None else out.unionByName(one)
+    return out

@@ -5,23 +5,32 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidebook.functions.storage import new_path, worker_imports
-from tidebook.operators import integrity
+from tidebook.operators import signals
 from tidebook.plans.base_sql import sql
 from tidebook.plans.ingest_plans import greedy_sql
 from tidebook.plans.registry import query, rounded
-from tidebook.plans.signal_plans import PAIRS
+from tidebook.plans.signal_plans import PAIRS, _rules_sql
 from tidebook.sources import tables
 from tidebook.streaming import feeds
 
 
+#: Slices of a table by time; a micro-batch takes one.
+SLICES = 3
+
+
 def _feed(spark, table, order="source_us"):
-    """A table as a file stream, in two files by time, the earlier one first."""
+    """A table as a file stream: slices by time, written one after the other,
+    each by all tasks into as many files as a micro-batch takes."""
     worker_imports(spark)
     path = new_path(spark, "feed")
-    mid = table.agg(F.expr(f"percentile_approx({order}, 0.5)")).first()[0] or 0
-    for part in (table.where(F.col(order) <= mid), table.where(F.col(order) > mid)):
-        part.coalesce(1).write.mode("append").parquet(path)
-    return spark.readStream.schema(table.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    files = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+    cuts = table.agg(F.expr(f"percentile_approx({order}, array({', '.join(str(i / SLICES) for i in range(1, SLICES))}))")).first()[0] or []
+    edges = [None, *sorted(set(cuts)), None]
+    for low, high in zip(edges, edges[1:], strict=False):
+        part = table if low is None else table.where(F.col(order) > low)
+        part = part if high is None else part.where(F.col(order) <= high)
+        part.repartition(files, order).write.mode("append").parquet(path)
+    return spark.readStream.schema(table.schema).option("maxFilesPerTrigger", files).parquet(path)
 
 
 @query(sql("SELECT day::VARCHAR AS day, count(*) AS n FROM (SELECT strftime(make_timestamp(source_us), '%Y-%m-%d') AS day FROM bbo) GROUP BY 1", "bbo"))
@@ -31,8 +40,10 @@ def stream_ingest(spark, d):
     return spark.read.parquet(path).groupBy(F.col("day").cast("string").alias("day")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
+@query(sql("""SELECT asset_id, source_us // 60000000 * 60000000 AS bar_us, round(min_by((best_bid + best_ask) / 2, (source_us, event_id)), 6) AS open_mid, round(max_by((best_bid + best_ask) / 2, (source_us, event_id)), 6) AS close_mid, count(*) AS ticks FROM bbo
+GROUP BY 1, 2 HAVING bar_us + 60000000 <= (SELECT max(source_us) // 1000 * 1000 - 60000000 FROM bbo)""", "bbo"))
 def stream_bars(spark, d):
+    """Bars whose window the watermark has passed."""
     return rounded(feeds.run_to_end(feeds.stream_bars(_feed(spark, tables.quotes(spark, d))), "bars", spark, new_path(spark, "ckpt")))
 
 
@@ -42,9 +53,14 @@ def stream_hash_chain(spark, d):
     return out.select("event_id", "asset_id", "book_hash", "gap_us")
 
 
-@query(sql(greedy_sql("SELECT asset_id, source_us, event_id FROM bbo WHERE bid_size > 4000", "asset_id", "30000000", "asset_id, source_us, event_id"), "bbo"))
+_STREAMED = [r for r in signals.production_rules() if r[1] in signals.COMPARE]
+
+
+@query(sql(greedy_sql(f"WITH {_rules_sql(_STREAMED)} SELECT rule_id, asset_id, source_us, event_id, wait FROM fired", "asset_id, rule_id, wait", "p.wait", "rule_id, asset_id, source_us, event_id"), "bbo"))
 def stream_signals(spark, d):
-    return feeds.run_to_end(feeds.stream_signals(_feed(spark, tables.quotes(spark, d)), "SIZE_SPIKE", 4000.0, 30_000_000), "signals", spark, new_path(spark, "ckpt")).select("asset_id", "source_us", "event_id")
+    """The wildcard rules over the stream, each with its cooldown per asset."""
+    rules = [(i, k, t, s, w, cd) for i, k, t, s, w, cd, _ in _STREAMED]
+    return feeds.run_to_end(feeds.stream_signals(_feed(spark, tables.quotes(spark, d)), rules), "signals", spark, new_path(spark, "ckpt")).select("rule_id", "asset_id", "source_us", "event_id")
 
 
 @query(sql(f"WITH {PAIRS} SELECT condition_id, event_id, source_us, round(best_ask + o.a, 6) AS total FROM y WHERE best_ask + o.a < 0.99", "bbo"))
@@ -52,9 +68,16 @@ def stream_pair_arbitrage(spark, d):
     return rounded(feeds.run_to_end(feeds.stream_pair_arbitrage(_feed(spark, tables.quotes(spark, d)), 0.99), "pairs", spark, new_path(spark, "ckpt")))
 
 
-@query()
+_SILENCE = 12_345_000
+_QUIET = f"NOT (asset_id::INT % 10 = 3 AND source_us > {tables.START_US + 30_000_000})"
+
+
+@query(sql(f"""WITH q AS (SELECT *, lead(source_us) OVER (PARTITION BY asset_id ORDER BY source_us, event_id) AS nxt FROM bbo WHERE {_QUIET})
+SELECT asset_id, source_us AS last_us FROM q WHERE nxt - source_us > {_SILENCE} OR (nxt IS NULL AND (source_us + {_SILENCE}) // 1000 < (SELECT max(source_us) // 1000 - 60000 FROM q))""", "bbo"))
 def stream_stale_quotes(spark, d):
-    return feeds.run_to_end(feeds.stream_stale_quotes(_feed(spark, tables.quotes(spark, d)), 5_000_000), "stale", spark, new_path(spark, "ckpt"))
+    """Silences of over 12 s; every tenth asset says nothing after half a minute."""
+    heard = tables.quotes(spark, d).where(_QUIET.replace("asset_id::INT", "cast(asset_id AS int)"))
+    return feeds.run_to_end(feeds.stream_stale_quotes(_feed(spark, heard), _SILENCE), "stale", spark, new_path(spark, "ckpt"))
 
 
 @query(sql("SELECT DISTINCT trade_id FROM trades", "trades"))
