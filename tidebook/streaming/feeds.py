@@ -37,7 +37,7 @@ def stream_ingest(feed: DataFrame, path: str, checkpoint: str, **trigger):
 def stream_bars(feed: DataFrame, width: str = "1 minute") -> DataFrame:
     """Tumbling bars of the mid."""
     mid = (F.col("best_bid") + F.col("best_ask")) / 2
-    at = F.struct("source_us", "event_id")
+    at = F.when(mid.isNotNull(), F.struct("source_us", "event_id"))
     bars = with_time(feed).withWatermark("ts", WATERMARK).groupBy("asset_id", F.window("ts", width).alias("w"))
     return bars.agg(F.min_by(mid, at).alias("open_mid"), F.max_by(mid, at).alias("close_mid"), F.count(F.lit(1)).alias("ticks")).select("asset_id", F.unix_micros("w.start").alias("bar_us"), "open_mid", "close_mid", "ticks")
 
