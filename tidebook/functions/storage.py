@@ -35,12 +35,25 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, label: str = "table") -> DataFrame:
-    """Write ``df`` once to the shared folder and return a scan of it."""
+def materialize(df: DataFrame, label: str = "table", session: SparkSession | None = None) -> DataFrame:
+    """Write ``df`` once to the shared folder and return a scan of it, in
+    another session if one is given."""
     spark = df.sparkSession
     path = new_path(spark, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return (session or spark).read.schema(df.schema).parquet(path)
+
+
+def own_session(spark: SparkSession, settings: dict[str, str]) -> SparkSession:
+    """A session with the settings of ``spark`` and some of its own, which
+    queries that run beside this one don't see."""
+    made = spark.newSession()
+    for key, value in spark.conf.getAll.items():
+        if key.startswith("spark.sql.") and made.conf.isModifiable(key):
+            made.conf.set(key, value)
+    for key, value in settings.items():
+        made.conf.set(key, value)
+    return made
 
 
 def worker_imports(spark: SparkSession) -> None:
