@@ -267,6 +267,7 @@ def test_join_of_a_large_family(spark, monkeypatch, family):
 
 def test_similar_sets_share_a_signature():
     rng = np.random.default_rng(5)
+    linked = 0
     for n in (1, 2, 3, 5, 8, 16, 31, 32, 33, 100, 400):
         for _ in range(20):
             x = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
@@ -276,7 +277,12 @@ def test_similar_sets_share_a_signature():
             for z in (y, grown):
                 inter = len(np.intersect1d(x, z))
                 if 100 * inter >= 75 * (len(x) + len(z) - inter):
-                    assert len(np.intersect1d(jaccard.signatures(x), jaccard.signatures(z)))
+                    costs = rng.integers(0, 99, jaccard.SLOTS)
+                    few, many = sorted((x, z), key=len)
+                    sigs, asked = jaccard.signatures(few, costs)
+                    assert len(np.intersect1d(sigs[asked], jaccard.signatures(many, costs)[0]))
+                    linked += 1
+    assert linked > 100
 
 
 def test_join_odd_inputs(odd, empty):

@@ -2,15 +2,18 @@
 
 Two sets with similarity of at least 3/4 differ in at most (|R| + |S|) / 7
 elements. Sets are put in size bands; each band splits the universe of shingle
-hashes into about half as many segments as its sets have elements. By the
-pigeonhole principle two similar sets agree on one of a set's filled segments as
-soon as it has more of them than elements may differ. So a set's budget is one
-for each filled segment; a set short of budget also indexes the one-deletion
-neighbourhood of its segments, which raises each segment of two or more to two,
-and in the last resort every element alone: the cheapest allocation that reaches
-the bound is taken, set by set. A set is indexed in its own band and in those
-that partners of up to 4/3 its size can be in. Candidates are verified on the
-whole sets.
+hashes into about half as many segments as its sets have elements. Every set
+indexes its filled segments in its own band, and asks in the bands that partners
+of its size or up to 4/3 of it can be in. By the pigeonhole principle two similar
+sets agree on one of any U + 1 filled segments of the asking set, U being the most
+that they can differ by. Which ones it asks is an allocation by cost: the U + 1
+segments that the fewest sets index, as counted over all sets in a sketch of
+``SLOTS`` counters. A set with too few filled segments asks them all, and both
+indexes and asks their one-deletion neighbourhoods, which raises each segment of
+two or more elements to two; if that is short as well, every element alone.
+Candidates are verified on the whole sets. Sets hold 64-bit hashes of shingles, and
+likeness is decided on those: two different shingles are taken for one with odds
+of 2**-64.
 
 Before that, sets that can't have a partner are dropped exactly: a set with less
 than 3/4 of its elements in any other set is alone. Elements are counted in
@@ -18,8 +21,8 @@ packed blocks (``LOW`` bytes of each hash, dealt by its leading bits); a chance
 collision there only keeps a set in, it never drops one.
 
 Documents with equal sets are one class with one representative. Chains of
-shared signatures tie representatives to families; linked ones are always in one
-family. A family of up to ``FAMILY`` members is compared in one task. In a
+signatures that some set asks for tie representatives to families; linked ones
+are always in one family. A family of up to ``FAMILY`` members is compared in one task. In a
 larger one every member is compared with one hub, the least edited member, and
 those that don't link with it with all members, block by block. No list of pairs
 is made, and pairs that are already in one component aren't compared.
@@ -37,11 +40,11 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidebook.functions.graphs import components
-from tidebook.functions.storage import materialize, worker_imports
+from tidebook.functions.storage import materialize, own_session, worker_imports
 from tidebook.llm.grams import blocks, hashed_words, mixed, shingles, slices
 from tidebook.llm.tables import partitions, read, small_side
 
@@ -49,6 +52,9 @@ WIDTH = 5
 LOW = 5
 GATHER = 1 << 19
 FAMILY = 200
+#: Counters of how many sets index a signature; text bytes for a bucket of elements.
+SLOTS = 1 << 18
+BUCKET_BYTES, BUCKETS = 8 << 20, 1 << 20
 #: Elements in a block of a family's members, and of those still open.
 MANY, FEW = 1_000_000, 300_000
 _U = np.uint64
@@ -81,7 +87,7 @@ def _pack(uid: int, ids: list, sets: list[np.ndarray], deal: int) -> pd.DataFram
         sums = [np.append(_U(0), np.cumsum(x, dtype=_U)) for x in (flat, scrambled)]
         prints = np.stack([s[cuts[1:]] - s[cuts[:-1]] for s in sums], 1)
     rows = [(uid, uid % deal, 0, np.array(ids, np.int64).tobytes(), n.tobytes(), prints.tobytes())]
-    bucket = ((flat >> _U(32)) * _U(deal) >> _U(32)).astype(np.uint16)
+    bucket = ((flat >> _U(32)) * _U(deal) >> _U(32)).astype(np.uint32)
     order = np.argsort(bucket, kind="stable")
     owner = np.repeat(np.arange(len(sets)), n)[order]
     low = flat[order].view(np.uint8).reshape(-1, 8)[:, :LOW]
@@ -169,10 +175,18 @@ def segments(g: int) -> int:
     return max(8, BANDS[g + 1] // 2)
 
 
-def signatures(elements: np.ndarray) -> np.ndarray:
-    """Hashes that two sets of similarity 3/4 or more have in common."""
+def _slot(sigs: np.ndarray) -> np.ndarray:
+    return (sigs >> _U(64 - SLOTS.bit_length() + 1)).astype(np.int64)
+
+
+def signatures(elements: np.ndarray, costs: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """What a set indexes or asks for, and which of it it asks for.
+
+    Of two similar sets, one of the signatures that the one of fewer elements
+    asks for is indexed by the other.
+    """
     n = len(elements)
-    out = []
+    out, asked = [], []
     values = mixed(elements ^ _U(0x5851F42D4C957F2D))
     need = (n + 4 * n // 3) // 7 + 1
     for g in range(band(n), band(4 * n // 3) + 1):
@@ -182,16 +196,49 @@ def signatures(elements: np.ndarray) -> np.ndarray:
         sizes = np.diff(np.append(starts, n))
         name = (place[starts] + _U(1)) * _U(0x9E3779B97F4A7C15) + _U(g)
         sums = np.add.reduceat(values, starts)
-        out.append(mixed(sums ^ mixed(name)))
-        budget = len(starts)
-        if budget < need:
-            several = np.repeat(sizes >= 2, sizes)
-            less = (np.repeat(sums, sizes) - values)[several]
-            out.append(mixed(less ^ mixed(np.repeat(name, sizes)[several])))
-            budget += int((sizes >= 2).sum())
-        if budget < need:
-            out.append(mixed(values + _U(g)))
-    return np.unique(np.concatenate(out)).view(np.int64)
+        sigs = mixed(sums ^ mixed(name))
+        if len(starts) >= need:
+            cheap = np.zeros(len(sigs), bool)
+            cost = costs[_slot(sigs)] if costs is not None else np.zeros(len(sigs), np.int64)
+            cheap[np.lexsort((sigs, cost))[:need]] = True
+            own = g == band(n)
+            out.append(sigs if own else sigs[cheap])
+            asked.append(cheap if own else cheap[cheap])
+            continue
+        several = np.repeat(sizes >= 2, sizes)
+        less = (np.repeat(sums, sizes) - values)[several]
+        sigs = np.append(sigs, mixed(less ^ mixed(np.repeat(name, sizes)[several])))
+        if len(starts) + int((sizes >= 2).sum()) < need:
+            sigs = np.append(sigs, mixed(values + _U(g)))
+        out.append(sigs)
+        asked.append(np.ones(len(sigs), bool))
+    sigs, asked = np.concatenate(out), np.concatenate(asked)
+    order = np.lexsort((~asked, sigs))
+    first = np.append(True, sigs[order][1:] != sigs[order][:-1])
+    return sigs[order][first].view(np.int64), asked[order][first]
+
+
+def _index_counts(sets: DataFrame) -> np.ndarray:
+    """How many sets index a signature of each slot, in their own bands."""
+
+    def count(batches):
+        total = np.zeros(SLOTS, np.int64)
+        for part in slices(batches):
+            for e in part.column(0).to_pylist():
+                x = np.frombuffer(e, _U)
+                g = band(len(x))
+                place = (x >> _U(32)) * _U(segments(g)) >> _U(32)
+                starts = np.flatnonzero(np.append(True, place[1:] != place[:-1]))
+                name = (place[starts] + _U(1)) * _U(0x9E3779B97F4A7C15) + _U(g)
+                sums = np.add.reduceat(mixed(x ^ _U(0x5851F42D4C957F2D)), starts)
+                total += np.bincount(_slot(mixed(sums ^ mixed(name))), minlength=SLOTS)
+        slot = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(slot.astype(np.int32)), pa.array(total[slot])], names=["slot", "n"])
+
+    got = sets.select("elements").mapInArrow(count, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
+    costs = np.zeros(SLOTS, np.int64)
+    costs[got["slot"].to_numpy(np.int64)] = got["n"]
+    return costs
 
 
 def _similar(x: np.ndarray, y: np.ndarray) -> bool:
@@ -204,29 +251,36 @@ def _similar(x: np.ndarray, y: np.ndarray) -> bool:
 def _families(sets: DataFrame) -> DataFrame:
     """(id, family): documents joined by chains of shared signatures.
 
-    Linked documents are always in one family. Tasks tie the documents they read
-    together to the first one with a signature and pass on that one only, so a
-    very common signature sends a row for each block of documents, not for each
-    document; the rest is a minimum over what was passed on.
+    Linked documents are always in one family. Tasks tie the documents that they
+    read together under a signature that one of them asks for to the first one,
+    and pass on that one only; the rest meets by a minimum over each signature
+    that is asked for, joined back, so a very common one is split like any join.
     """
+    sent = sets.sparkSession.sparkContext.broadcast(_index_counts(sets))
 
-    def tied(sets_: list[np.ndarray], ids: list[int]) -> pd.DataFrame:
-        sigs = [signatures(x) for x in sets_]
-        sig = np.concatenate(sigs)
-        doc = np.repeat(np.array(ids, np.int64), [len(x) for x in sigs])
+    def tied(sets_: list[np.ndarray], ids: list[int]) -> pa.RecordBatch:
+        each = [signatures(x, sent.value) for x in sets_]
+        sig, asks = np.concatenate([x[0] for x in each]), np.concatenate([x[1] for x in each])
+        doc = np.repeat(np.array(ids, np.int64), [len(x[0]) for x in each])
         order = np.lexsort((doc, sig))
-        sig, doc = sig[order], doc[order]
+        sig, doc, asks = sig[order], doc[order], asks[order]
         first = np.append(True, sig[1:] != sig[:-1])
-        lead = doc[first][np.cumsum(first) - 1]
-        pairs = np.unique(np.stack((lead[~first], doc[~first]), 1), axis=0)
-        # a tie needs no signature: it travels under a key of its own
-        own = mixed(pairs[:, 1].astype(_U) * _U(3) + pairs[:, 0].astype(_U)).view(np.int64)
-        return pd.DataFrame({"sig": np.append(sig[first], own), "a": np.append(doc[first], pairs[:, 0]), "b": np.append(doc[first], pairs[:, 1])})
+        group = np.cumsum(first) - 1
+        asked = np.bincount(group, asks) > 0
+        lead = doc[first][group]
+        # under a signature that is asked for here, the first document stands for all
+        ties = np.unique(np.stack((lead, doc), 1)[asked[group] & ~first], axis=0)
+        on = first | ~asked[group]
+        nothing = pa.nulls(len(ties), pa.int64())
+        return pa.RecordBatch.from_arrays(
+            [pa.concat_arrays([pa.array(sig[on]), nothing]), pa.array(np.append(lead[on] * asked[group][on] + doc[on] * ~asked[group][on], ties[:, 0])), pa.array(np.append(doc[on], ties[:, 1])), pa.array(np.append(asked[group][on], np.ones(len(ties), bool)))],
+            names=["sig", "a", "b", "asked"],
+        )
 
     def emit(batches):
         sets_, ids, held = [], [], 0
-        for pdf in batches:
-            for one, e in zip(pdf["doc_id"].tolist(), pdf["elements"], strict=True):
+        for part in slices(batches):
+            for one, e in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
                 sets_.append(np.frombuffer(e, _U))
                 ids.append(one)
                 held += len(e) // 8
@@ -236,9 +290,11 @@ def _families(sets: DataFrame) -> DataFrame:
         if ids:
             yield tied(sets_, ids)
 
-    rows = sets.select("doc_id", "elements").mapInPandas(emit, "sig long, a long, b long")
-    near = rows.withColumn("m", F.min("a").over(Window.partitionBy("sig")))
-    edges = near.select(F.when(F.col("a") == F.col("b"), F.col("m")).otherwise(F.col("a")).alias("a"), "b").where("a <> b").distinct()
+    rows = materialize(sets.select("doc_id", "elements").mapInArrow(emit, "sig long, a long, b long, asked boolean"), "signatures")
+    named = rows.where("sig is not null")
+    met = named.groupBy("sig").agg(F.min("b").alias("lo"), F.max("b").alias("hi"), F.max("asked").alias("any")).where("any and lo < hi")
+    edges = named.join(met.select("sig", "lo"), "sig").select(F.col("lo").alias("a"), "b")
+    edges = edges.unionByName(rows.where("sig is null").select("a", "b")).where("a <> b").distinct()
     return components(edges).withColumnRenamed("component", "family")
 
 
@@ -299,9 +355,12 @@ def _block_links(rest: DataFrame, large: DataFrame) -> DataFrame:
     parts = lambda c, n: F.ceil(F.col(c) / n).cast("long")
     plan = small_side(known.select("family", parts("every", MANY).alias("blocks"), parts("open", FEW).alias("open_blocks")))
     dealt = lambda t, n: t.join(plan, "family").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col(n))).groupBy("family", "block").applyInPandas(pack, kind)
-    right = dealt(large, "blocks")
+    # a row from here on is a block of megabytes: a session of its own hands them to Python one at a time
+    alone = own_session(large.sparkSession, {"spark.sql.execution.arrow.maxRecordsPerBatch": "1"})
+    plan_rows = materialize(known.select("family", parts("every", MANY).alias("blocks")), "plan", alone)
+    right = materialize(dealt(large, "blocks"), "blocks", alone)
     # the members still open are fewer: their blocks go to every block of the family
-    left = dealt(rest, "open_blocks").drop("block").join(plan, "family").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    left = materialize(dealt(rest, "open_blocks"), "open-blocks", alone).drop("block").join(small_side(plan_rows), "family").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     left = left.select("family", "block", *[F.col(c).alias(f"x_{c}") for c in ("ids", "comps", "sizes", "flat")])
 
     def compare(batches):
@@ -342,14 +401,7 @@ def _link(sets: DataFrame) -> DataFrame:
     rest = large.join(small_side(tried.where("not linked").select(F.col("b").alias("doc_id"))), "doc_id", "left_semi").withColumn("comp", F.col("doc_id"))
     hubs = tried.where("linked").select(F.col("b").alias("doc_id"), F.col("a").alias("comp"))
     known = large.join(small_side(hubs), "doc_id", "left").withColumn("comp", F.coalesce("comp", "doc_id"))
-    # a row here is a block of megabytes: hand them to Python one at a time
-    conf, key = sets.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    usual = conf.get(key)
-    conf.set(key, "1")
-    try:
-        more = materialize(_block_links(rest, known), "block-links")
-    finally:
-        conf.set(key, usual)
+    more = materialize(_block_links(rest, known), "block-links")
     found = components(tried.where("linked").select("a", "b").unionByName(more))
     return labels.unionByName(found)
 
@@ -358,8 +410,9 @@ def classes(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles and component_id of each row with an id."""
     spark = docs.sparkSession
     worker_imports(spark)
-    deal = min(60_000, 4 * partitions(spark))
     named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
+    held = named.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    deal = min(BUCKETS, max(partitions(spark), held // BUCKET_BYTES))
     meta = materialize(shared_counts(named, deal), "sizes")
     alike = meta.where("n > 0").groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("rep"), F.max("shared").alias("shared"))
     alike = materialize(alike, "classes")
