@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidebook.functions.storage import materialize
+from tidebook.functions.storage import discard, materialize
 
 
 def components(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
@@ -13,7 +13,8 @@ def components(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
 
     Each round takes the smallest label among a vertex and its neighbours and
     then the label of that label, so chains halve. Labels are written to the
-    shared folder each round; only the number of changes reaches the driver.
+    shared folder each round, in place of the last ones; only the number of
+    changes reaches the driver.
     """
     both = edges.select("a", "b").where("a <> b").union(edges.select(F.col("b"), F.col("a")).where("a <> b")).distinct()
     both = materialize(both, "edges")
@@ -24,7 +25,9 @@ def components(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
         up = labels.select(F.col("id").alias("c"), F.col("component").alias("cc"))
         new = materialize(own.join(up, "c", "left").select("id", "was", F.least(F.col("c"), F.coalesce("cc", "c")).alias("component")), "labels")
         changed = new.where("was <> component").limit(1).count()
+        discard(labels)
         labels = new.select("id", "component")
         if not changed:
+            discard(both)
             return labels
     raise RuntimeError(f"no fixed point after {max_rounds} rounds")

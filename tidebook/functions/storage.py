@@ -44,6 +44,14 @@ def materialize(df: DataFrame, label: str = "table", session: SparkSession | Non
     return (session or spark).read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Remove a written table that nothing will read again."""
+    jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(conf).delete(path, True)
+
+
 def own_session(spark: SparkSession, settings: dict[str, str]) -> SparkSession:
     """A session with the settings of ``spark`` and some of its own, which
     queries that run beside this one don't see."""
