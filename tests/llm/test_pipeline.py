@@ -58,3 +58,34 @@ def test_encoding(stages):
 
 def test_run(spark, sf_dir, stages):
     assert corpus_pipeline.run(spark, sf_dir).count() == stages[5].count()
+
+
+ODD = [
+    (1, None, "en", "a", None, 0.5, 7, "x", [1]),
+    (2, "", None, None, 0, None, None, None, None),
+    (3, "the same words come here again and again", "en", "b", 40, 1.0, 1, "y", []),
+    (3, "the same words come here again and again", "en", "b", 40, 1.0, 1, "y", []),
+    (3, "another text under the same id, of other words", "en", "b", 46, 1.0, 1, "y", []),
+    (4, "the same words come here again and again", "fr", "c", 40, 1.0, 1, "y", []),
+    (5, "many words " * 20_000, "fr", "c", 220_000, 1.0, 1, "y", []),
+    (None, "a text without an id\nin two lines", "de", "a", 33, 1.0, 1, "y", []),
+]
+
+
+@pytest.mark.parametrize("place", range(5))
+def test_stages_take_odd_rows_and_clashing_columns(spark, sf_dir, place):
+    columns = "doc_id long, text string, lang string, source string, n_chars long, score double, size int, dropped string, ids array<int>"
+    docs = spark.createDataFrame(ODD, columns)
+    _, stage = corpus_pipeline.STAGES[place]
+    for some in (docs, docs.limit(0)):
+        out = stage(spark, some, sf_dir)
+        assert set(out.columns) - {"decoded"} == set(docs.columns)
+        rows = out.collect()
+        assert not rows if some is not docs else len(rows) <= 3 * len(ODD)
+    if place == 1:
+        assert len(rows) == 0 and {r.text for r in stage(spark, docs, sf_dir).collect()} >= {None, ""}
+    if place == 2:
+        kept = sorted(r.doc_id or 0 for r in stage(spark, docs, sf_dir).collect())
+        assert kept == [0, 1, 2, 3, 5]
+    if place == 4:
+        assert all((r.text or "") == r.decoded for r in stage(spark, docs, sf_dir).collect())

@@ -44,7 +44,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidebook.functions.graphs import components
-from tidebook.functions.storage import materialize, own_session, worker_imports
+from tidebook.functions.storage import discard, materialize, own_session, worker_imports
 from tidebook.llm.grams import blocks, hashed_words, mixed, shingles, slices
 from tidebook.llm.tables import partitions, read, small_side
 
@@ -295,7 +295,9 @@ def _families(sets: DataFrame) -> DataFrame:
     met = named.groupBy("sig").agg(F.min("b").alias("lo"), F.max("b").alias("hi"), F.max("asked").alias("any")).where("any and lo < hi")
     edges = named.join(met.select("sig", "lo"), "sig").select(F.col("lo").alias("a"), "b")
     edges = edges.unionByName(rows.where("sig is null").select("a", "b")).where("a <> b").distinct()
-    return components(edges).withColumnRenamed("component", "family")
+    found = components(edges).withColumnRenamed("component", "family")
+    discard(rows)
+    return found
 
 
 def _small_family(pdf: pd.DataFrame) -> pd.DataFrame:
