@@ -58,11 +58,16 @@ def _counts(texts):
         same = np.append(0, np.cumsum(np.append(False, words[1:] == words[:-1])[: len(words)]))
         # the first word of a piece has none before it
         again = same[bounds[1:]] - same[np.minimum(bounds[:-1] + 1, bounds[1:])]
-        n = int(rows[-1]) + 1 - first
-        x, m = np.zeros((n, DIMS + 1), np.float32), np.zeros(n)
-        x[: len(held)], m[: len(pairs)] = held, pairs
-        np.add.at(x, rows - first, np.column_stack((byte_grams(data, starts, 3, DIMS), again)))
-        np.add.at(m, rows - first, np.diff(bounds))
+        x, m = np.column_stack((byte_grams(data, starts, 3, DIMS), again.astype(np.float32))), np.diff(bounds).astype(float)
+        runs = np.flatnonzero(np.diff(rows, prepend=-1))
+        if len(runs) < len(rows):
+            x, m = np.add.reduceat(x, runs, axis=0), np.add.reduceat(m, runs)
+        if rows[0] == first and len(held):
+            x[0] += held[0]
+            m[0] += pairs[0]
+        else:
+            x, m = np.vstack((held, x)), np.append(pairs, m)
+        n = len(x)
         if n > 1:
             yield first, first + n - 1, _with_share(x[:-1], m[:-1])
         first, held, pairs = first + n - 1, x[-1:], m[-1:]
