@@ -239,6 +239,7 @@ def retention_filter(rows: DataFrame, at: str, as_of: int, days: int) -> DataFra
     return rows.where(F.col(at) > as_of - days * 86_400_000_000)
 
 
+# The steps of this hash are fixed: results depend on them.
 def shard_of(key: Column, shards: int = 25) -> Column:
     """A string hash kept as the feed's consumers compute it: each step takes
     h * 31 plus the character's code and place, but only h * 32 wraps at 32 bits."""

@@ -236,13 +236,19 @@ def apply_cooldown(fired: DataFrame, scope: tuple[str, ...] = ("rule_id", "asset
 
 def rule_prefilter(ticks: DataFrame, bounds: DataFrame) -> DataFrame:
     """(rule, tick) pairs inside a rule's bid and ask bounds; a missing side
-    fails a bound. Rules come by asset; wildcards in their own branch."""
-    inside = lambda c, lo, hi: (F.col(lo).isNull() | (F.col(c) >= F.col(lo))) & (F.col(hi).isNull() | (F.col(c) <= F.col(hi)))
-    ok = F.coalesce(inside("best_bid", "min_bid", "max_bid"), F.lit(False)) & F.coalesce(inside("best_ask", "min_ask", "max_ask"), F.lit(False))
-    b = bounds.withColumnRenamed("asset_id", "ra")
-    own = ticks.join(b.where("ra <> '*'"), F.col("asset_id") == F.col("ra"))
-    every = ticks.join(F.broadcast(b.where("ra = '*'")), F.lit(True)) if not b.where("ra = '*'").isEmpty() else own.limit(0)
-    return own.unionByName(every).where(ok).drop("ra")
+    fails a bound. Rules of an asset come by an equi-join; wildcard rules are
+    columns, ``WILDCARDS`` of them in a pass, and only pairs that hold leave a row."""
+    inside = lambda c, lo, hi: (lo.isNull() | (F.col(c) >= lo)) & (hi.isNull() | (F.col(c) <= hi))
+    holds_ = lambda r: F.coalesce(inside("best_bid", r("min_bid"), r("max_bid")) & inside("best_ask", r("min_ask"), r("max_ask")), F.lit(False))
+    fields = [c for c in bounds.columns if c != "asset_id"]
+    own = ticks.join(bounds.where("asset_id <> '*'").withColumnRenamed("asset_id", "_ra"), F.col("asset_id") == F.col("_ra")).where(holds_(F.col))
+    out = own.select(*ticks.columns, *fields)
+    every = bounds.where("asset_id = '*'").select(*fields).orderBy("rule_id").collect()
+    for at in range(0, len(every), WILDCARDS):
+        said = [{c: F.lit(r[c]).cast(bounds.schema[c].dataType) for c in fields} for r in every[at : at + WILDCARDS]]
+        each = [F.when(holds_(r.get), F.struct(*[v.alias(c) for c, v in r.items()])) for r in said]
+        out = out.unionByName(ticks.select("*", F.inline(F.array_compact(F.array(*each)))))
+    return out
 
 
 def pair_quotes(ticks: DataFrame) -> DataFrame:

@@ -12,7 +12,11 @@ from tidebook.plans.registry import query, rounded
 from tidebook.sources import tables
 
 AS_OF = 1706659200000000
-_DIR = "SELECT market_a AS src, market_b AS dst, edge_type, weight FROM edges UNION ALL SELECT market_b, market_a, edge_type, weight FROM edges"
+def _both(table: str) -> str:
+    return f"SELECT market_a AS src, market_b AS dst, edge_type, weight FROM {table} UNION ALL SELECT market_b, market_a, edge_type, weight FROM {table}"
+
+
+_DIR = _both("edges")
 _FROM = "m0000100"
 #: The loaded graph: edges above this weight.
 LOADED = 0.1
@@ -78,7 +82,7 @@ def reverse_edges(spark, d):
     return rounded(graph.reverse_edges(_edges(spark, d)))
 
 
-@query(sql(f"WITH k AS (SELECT * FROM edges WHERE weight > 0.1 ORDER BY weight DESC, market_a, market_b, edge_type LIMIT 100000), d AS ({_DIR.replace('FROM edges', 'FROM k')}) SELECT src, string_agg(dst || ':' || edge_type, ',' ORDER BY dst, edge_type) AS neighbors, count(*) AS degree FROM d GROUP BY 1", "edges"))
+@query(sql(f"WITH k AS (SELECT * FROM edges WHERE weight > 0.1 ORDER BY weight DESC, market_a, market_b, edge_type LIMIT 100000), d AS ({_both('k')}) SELECT src, string_agg(dst || ':' || edge_type, ',' ORDER BY dst, edge_type) AS neighbors, count(*) AS degree FROM d GROUP BY 1", "edges"))
 def adjacency(spark, d):
     rows = graph.adjacency(_edges(spark, d))
     return rows.select("src", F.array_join(F.transform("neighbors", lambda x: F.concat_ws(":", x["dst"], x["edge_type"])), ",").alias("neighbors"), "degree")
@@ -157,8 +161,8 @@ def graph_stats(spark, d):
 def _labels(rounds: int = 12) -> str:
     """Smallest labels passed to neighbours a number of times; random graphs of
     the given sizes settle in fewer."""
-    steps = [f"r{i} AS MATERIALIZED (SELECT v, min(least(r.m, o.m)) AS m FROM (SELECT r.id AS v, r.m, k.b FROM r{i - 1} r JOIN k ON k.a = r.id) r JOIN r{i - 1} o ON o.id = r.b GROUP BY v)" for i in range(1, rounds + 1)]
-    return "k AS MATERIALIZED (SELECT market_a AS a, market_b AS b FROM edges WHERE weight > 0.1 UNION SELECT market_b, market_a FROM edges WHERE weight > 0.1), r0 AS (SELECT DISTINCT a AS id, a AS m FROM k), " + ", ".join(x.replace("SELECT v, min", "SELECT v AS id, min") for x in steps)
+    steps = [f"r{i} AS MATERIALIZED (SELECT v AS id, min(least(r.m, o.m)) AS m FROM (SELECT r.id AS v, r.m, k.b FROM r{i - 1} r JOIN k ON k.a = r.id) r JOIN r{i - 1} o ON o.id = r.b GROUP BY v)" for i in range(1, rounds + 1)]
+    return "k AS MATERIALIZED (SELECT market_a AS a, market_b AS b FROM edges WHERE weight > 0.1 UNION SELECT market_b, market_a FROM edges WHERE weight > 0.1), r0 AS (SELECT DISTINCT a AS id, a AS m FROM k), " + ", ".join(steps)
 
 
 @query(sql(f"WITH {_labels()} SELECT id, m AS component, (SELECT count(DISTINCT m) FROM r12) AS components FROM r12", "edges"))

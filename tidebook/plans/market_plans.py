@@ -42,8 +42,8 @@ def top_activity_market(spark, d):
     return markets.top_activity_market(_tokens(spark, d), ticks, feed_end(ticks)).select("asset_id", "condition_id", "tick_count")
 
 
-@query(sql(f"""WITH s AS (SELECT asset_id, max_by(best_bid, (source_us, event_id)) AS b0, arg_max((best_bid, best_ask), (source_us, event_id)) AS l, count_if(source_us > {_NOW} - 86400000000) AS ticks_24h, max(CASE WHEN source_us > {_NOW} - 86400000000 THEN best_bid END) AS high_24h, min(CASE WHEN source_us > {_NOW} - 86400000000 THEN best_bid END) AS low_24h FROM bbo GROUP BY 1)
-SELECT t.asset_id, t.condition_id, t.question, t.category, t.end_us, l[1] AS best_bid, l[2] AS best_ask, ticks_24h, high_24h, low_24h FROM tokens t JOIN s USING (asset_id)""".replace("arg_max((best_bid, best_ask), (source_us, event_id)) AS l", "arg_max([best_bid, best_ask], (source_us, event_id)) AS l"), "bbo", "tokens"))
+@query(sql(f"""WITH s AS (SELECT asset_id, arg_max([best_bid, best_ask], (source_us, event_id)) AS l, count_if(source_us > {_NOW} - 86400000000) AS ticks_24h, max(CASE WHEN source_us > {_NOW} - 86400000000 THEN best_bid END) AS high_24h, min(CASE WHEN source_us > {_NOW} - 86400000000 THEN best_bid END) AS low_24h FROM bbo GROUP BY 1)
+SELECT t.asset_id, t.condition_id, t.question, t.category, t.end_us, l[1] AS best_bid, l[2] AS best_ask, ticks_24h, high_24h, low_24h FROM tokens t JOIN s USING (asset_id)""", "bbo", "tokens"))
 def market_detail(spark, d):
     ticks = tables.quotes(spark, d)
     return markets.market_detail(_tokens(spark, d), ticks, feed_end(ticks))

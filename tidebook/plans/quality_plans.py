@@ -45,16 +45,20 @@ VIEWS = {
 }
 
 
-def _oracle(c: qc.Check) -> str:
+#: Metrics that the other engine spells otherwise.
+SPELLED = {"dq_required_fields": {"bad_asset": "count_if(NOT regexp_matches(asset_id, '^[0-9]+$'))", "bad_hash": "count_if(NOT regexp_matches(book_hash, '^[a-f0-9]+$'))"}}
+
+
+def _oracle(name: str, c: qc.Check) -> str:
     keys = ", ".join(c.group)
-    metrics = ", ".join(f"{e} AS {k}" for k, e in c.metrics.items()).replace("regexp_like", "regexp_matches")
+    metrics = ", ".join(f"{e} AS {k}" for k, e in (c.metrics | SPELLED.get(name, {})).items())
     needs, view = VIEWS.get(c.table, ((c.table,), f"SELECT * FROM {c.table}"))
     inner = f"SELECT {keys + ', ' if keys else ''}{metrics} FROM ({view})" + (f" GROUP BY {keys}" if keys else "")
     return sql(f"SELECT *, coalesce({c.passed}, true) AS passed FROM ({inner})", *needs)
 
 
 for _name, _check in qc.CHECKS.items():
-    query(_oracle(_check), _name)(lambda spark, d, c=_check: qc.run_check(SOURCES[c.table](spark, d), c))
+    query(_oracle(_name, _check), _name)(lambda spark, d, c=_check: qc.run_check(SOURCES[c.table](spark, d), c))
 
 
 @query(sql("""SELECT count(*) AS n, count_if(len(bid_prices) <> len(bid_sizes)) AS length, count_if(len(ask_prices) = 0) AS one_sided, count_if(bid_prices <> list_sort(list_distinct(bid_prices))) AS bid_order, count_if(ask_prices <> list_reverse_sort(list_distinct(ask_prices))) AS ask_order,

@@ -69,14 +69,14 @@ def stream_pair_arbitrage(spark, d):
 
 
 _SILENCE = 12_345_000
-_QUIET = f"NOT (asset_id::INT % 10 = 3 AND source_us > {tables.START_US + 30_000_000})"
+_QUIET = f"NOT (cast(asset_id AS int) % 10 = 3 AND source_us > {tables.START_US + 30_000_000})"
 
 
 @query(sql(f"""WITH q AS (SELECT *, lead(source_us) OVER (PARTITION BY asset_id ORDER BY source_us, event_id) AS nxt FROM bbo WHERE {_QUIET})
 SELECT asset_id, source_us AS last_us FROM q WHERE nxt - source_us > {_SILENCE} OR (nxt IS NULL AND (source_us + {_SILENCE}) // 1000 < (SELECT max(source_us) // 1000 - 60000 FROM q))""", "bbo"))
 def stream_stale_quotes(spark, d):
     """Silences of over 12 s; every tenth asset says nothing after half a minute."""
-    heard = tables.quotes(spark, d).where(_QUIET.replace("asset_id::INT", "cast(asset_id AS int)"))
+    heard = tables.quotes(spark, d).where(_QUIET)
     return feeds.run_to_end(feeds.stream_stale_quotes(_feed(spark, heard), _SILENCE), "stale", spark, new_path(spark, "ckpt"))
 
 
