@@ -37,7 +37,8 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOC
 
     A level L solves sum(least(cap, L * weight)) = total: with sources ordered
     by cap / weight, those before some point are capped and L follows from the
-    rest. One row for each source goes through this, never one per document.
+    rest. One row for each source, of a name and three numbers, goes through
+    this in one task, never one per document.
     """
     order = Window.orderBy(F.col("source").asc_nulls_last())
     ranked = sizes.withColumn("_i", F.row_number().over(order) - 1)
@@ -109,7 +110,7 @@ WITH d AS (
 ), s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
 r AS (
   SELECT *, 3 * source_size AS cap, 1 + i % 3 AS w FROM
-    (SELECT *, row_number() OVER (ORDER BY source COLLATE "binary" NULLS LAST) - 1 AS i FROM s)
+    (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS i FROM s)
 ), l AS (
   SELECT *, (sum(source_size) OVER () - coalesce(sum(cap) OVER (ORDER BY cap / w, i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::DOUBLE
      / sum(w) OVER (ORDER BY cap / w, i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS lev FROM r
@@ -124,5 +125,5 @@ SELECT doc_id, size, source_size, target,
   (CASE WHEN source_size > 0 THEN (budget // source_size) * size
      + greatest(0, least(size, budget - (budget // source_size) * source_size - before)) ELSE 0 END)::BIGINT AS taken
 FROM c
-""".replace(' COLLATE "binary"', ""),
+""",
 }
