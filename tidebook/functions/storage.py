@@ -52,6 +52,12 @@ def discard(df: DataFrame) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+def reopened(df: DataFrame, session: SparkSession) -> DataFrame:
+    """A written table as another session reads it."""
+    folders = sorted({f.rsplit("/", 1)[0] for f in df.inputFiles()})
+    return session.read.schema(df.schema).parquet(*folders) if folders else session.createDataFrame([], df.schema)
+
+
 def own_session(spark: SparkSession, settings: dict[str, str]) -> SparkSession:
     """A session with the settings of ``spark`` and some of its own, which
     queries that run beside this one don't see."""
