@@ -36,6 +36,8 @@ columns are ignored.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -44,7 +46,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidebook.functions.graphs import components
-from tidebook.functions.storage import discard, materialize, own_session, worker_imports
+from tidebook.functions.storage import discard, materialize, own_session, reopened, worker_imports
 from tidebook.llm.grams import blocks, hashed_words, mixed, shingles, slices
 from tidebook.llm.tables import partitions, read, small_side
 
@@ -52,11 +54,15 @@ WIDTH = 5
 LOW = 5
 GATHER = 1 << 19
 FAMILY = 200
+#: Ratio of the sizes at the ends of a size class; more than 4/3.
+CLASS = 1.34
+#: Arrow bytes at a time where rows are whole blocks of sets.
+ARROW_BYTES = 16 << 20
 #: Counters of how many sets index a signature; text bytes for a bucket of elements.
 SLOTS = 1 << 18
 BUCKET_BYTES, BUCKETS = 8 << 20, 1 << 20
 #: Elements in a block of a family's members, and of those still open.
-MANY, FEW = 1_000_000, 300_000
+MANY, FEW = 2_000_000, 300_000
 _U = np.uint64
 _BLOCK = "uid long, bucket int, kind int, a binary, b binary, c binary"
 _PACKED = pa.schema([("uid", pa.int64()), ("bucket", pa.int32()), ("kind", pa.int32()), *[(c, pa.binary()) for c in "abc"]])
@@ -273,7 +279,7 @@ def _families(sets: DataFrame) -> DataFrame:
         on = first | ~asked[group]
         nothing = pa.nulls(len(ties), pa.int64())
         return pa.RecordBatch.from_arrays(
-            [pa.concat_arrays([pa.array(sig[on]), nothing]), pa.array(np.append(lead[on] * asked[group][on] + doc[on] * ~asked[group][on], ties[:, 0])), pa.array(np.append(doc[on], ties[:, 1])), pa.array(np.append(asked[group][on], np.ones(len(ties), bool)))],
+            [pa.concat_arrays([pa.array(sig[on]), nothing]), pa.concat_arrays([pa.nulls(int(on.sum()), pa.int64()), pa.array(ties[:, 0])]), pa.array(np.append(doc[on], ties[:, 1])), pa.array(np.append(asked[group][on], np.ones(len(ties), bool)))],
             names=["sig", "a", "b", "asked"],
         )
 
@@ -349,21 +355,22 @@ def _block_links(rest: DataFrame, large: DataFrame) -> DataFrame:
     """
 
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"family": pdf["family"].iloc[:1], "block": pdf["block"].iloc[:1], "ids": [pdf["doc_id"].to_numpy(np.int64).tobytes()], "comps": [pdf["comp"].to_numpy(np.int64).tobytes()], "sizes": [np.array([len(e) // 8 for e in pdf["elements"]], np.int64).tobytes()], "flat": [b"".join(pdf["elements"])]})
+        return pd.DataFrame({**{k: pdf[k].iloc[:1] for k in keys}, "ids": [pdf["doc_id"].to_numpy(np.int64).tobytes()], "comps": [pdf["comp"].to_numpy(np.int64).tobytes()], "sizes": [np.array([len(e) // 8 for e in pdf["elements"]], np.int64).tobytes()], "flat": [b"".join(pdf["elements"])]})
 
-    kind = "family long, block long, ids binary, comps binary, sizes binary, flat binary"
+    keys = ["family", "class", "block"]
+    kind = "family long, class int, block long, ids binary, comps binary, sizes binary, flat binary"
     size = F.octet_length("elements") / 8
-    known = materialize(large.groupBy("family").agg(F.sum(size).alias("every")).join(rest.groupBy("family").agg(F.sum(size).alias("open")), "family"), "open-families")
-    parts = lambda c, n: F.ceil(F.col(c) / n).cast("long")
-    plan = small_side(known.select("family", parts("every", MANY).alias("blocks"), parts("open", FEW).alias("open_blocks")))
-    dealt = lambda t, n: t.join(plan, "family").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col(n))).groupBy("family", "block").applyInPandas(pack, kind)
-    # a row from here on is a block of megabytes: a session of its own hands them to Python one at a time
-    alone = own_session(large.sparkSession, {"spark.sql.execution.arrow.maxRecordsPerBatch": "1"})
-    plan_rows = materialize(known.select("family", parts("every", MANY).alias("blocks")), "plan", alone)
-    right = materialize(dealt(large, "blocks"), "blocks", alone)
-    # the members still open are fewer: their blocks go to every block of the family
-    left = materialize(dealt(rest, "open_blocks"), "open-blocks", alone).drop("block").join(small_side(plan_rows), "family").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    left = left.select("family", "block", *[F.col(c).alias(f"x_{c}") for c in ("ids", "comps", "sizes", "flat")])
+    # linked sets differ in size by at most 4/3, so by at most one class
+    sized = lambda t: t.withColumn("class", F.floor(F.log(size) / math.log(CLASS)).cast("int"))
+    counted = lambda t, n, name: small_side(materialize(sized(t).groupBy("family", "class").agg(F.ceil(F.sum(size) / n).cast("long").alias(name)), name))
+    dealt = lambda t, plan, n: sized(t).join(plan, ["family", "class"]).withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col(n))).groupBy(*keys).applyInPandas(pack, kind)
+    plan = counted(large, MANY, "blocks")
+    right = dealt(large, plan, "blocks")
+    # the members still open are fewer: their blocks go to every block of the classes they can link with
+    left = dealt(rest, counted(rest, FEW, "open_blocks"), "open_blocks").drop("block")
+    left = left.withColumn("class", F.explode(F.array(F.col("class") - 1, F.col("class"), F.col("class") + 1))).join(plan, ["family", "class"])
+    left = left.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    left = left.select(*keys, *[F.col(c).alias(f"x_{c}") for c in ("ids", "comps", "sizes", "flat")])
 
     def compare(batches):
         for pdf in batches:
@@ -385,29 +392,37 @@ def _block_links(rest: DataFrame, large: DataFrame) -> DataFrame:
                     found += [(int(one), int(ids[near[f]])) for f in first]
                 yield pd.DataFrame(found, columns=["a", "b"]).astype({"a": "int64", "b": "int64"})
 
-    return left.join(right, ["family", "block"]).select("x_ids", "x_comps", "x_sizes", "x_flat", "ids", "comps", "sizes", "flat").mapInPandas(compare, "a long, b long")
+    return left.join(right, keys).select("x_ids", "x_comps", "x_sizes", "x_flat", "ids", "comps", "sizes", "flat").mapInPandas(compare, "a long, b long")
 
 
-def _link(sets: DataFrame) -> DataFrame:
-    """(id, component) of the sets that share a signature with another one."""
-    families = materialize(_families(sets), "families")
+def _link(sets: DataFrame, partners: DataFrame) -> DataFrame:
+    """(id, component) of the sets that share a signature with another one.
+    ``partners`` names those to look at; both are written tables."""
+    families = materialize(_families(_of(sets, partners)), "families")
     sizes = materialize(families.groupBy("family").agg(F.count(F.lit(1)).alias("members")), "family-sizes")
-    joined = sets.join(small_side(families).withColumnRenamed("id", "doc_id"), "doc_id")
+    joined = _of(sets, partners).join(small_side(families).withColumnRenamed("id", "doc_id"), "doc_id")
     big = sizes.where(F.col("members") > FAMILY)
     small = sizes.where(F.col("members") <= FAMILY).select("family")
     labels = joined.join(small_side(small), "family").select("family", "doc_id", "elements").groupBy("family").applyInPandas(_small_family, "id long, component long")
     if big.isEmpty():
         return labels
-    large = joined.join(small_side(big), "family")
-    tried = materialize(_hub_links(large), "hub-links")
-    rest = large.join(small_side(tried.where("not linked").select(F.col("b").alias("doc_id"))), "doc_id", "left_semi").withColumn("comp", F.col("doc_id"))
-    hubs = tried.where("linked").select(F.col("b").alias("doc_id"), F.col("a").alias("comp"))
+    tried = materialize(_hub_links(joined.join(small_side(big), "family")), "hub-links")
+    # rows are blocks of megabytes from here on: a session of its own hands few at a time to Python
+    alone = own_session(sets.sparkSession, {"spark.sql.execution.arrow.maxBytesPerBatch": str(ARROW_BYTES)})
+    sets_, partners_, families_, sizes_, tried_ = (reopened(t, alone) for t in (sets, partners, families, sizes, tried))
+    large = _of(sets_, partners_).join(small_side(families_).withColumnRenamed("id", "doc_id"), "doc_id").join(small_side(sizes_.where(F.col("members") > FAMILY)), "family")
+    rest = large.join(small_side(tried_.where("not linked").select(F.col("b").alias("doc_id"))), "doc_id", "left_semi").withColumn("comp", F.col("doc_id"))
+    hubs = tried_.where("linked").select(F.col("b").alias("doc_id"), F.col("a").alias("comp"))
     known = large.join(small_side(hubs), "doc_id", "left").withColumn("comp", F.coalesce("comp", "doc_id"))
-    more = materialize(_block_links(rest, known), "block-links")
+    more = materialize(_block_links(rest, known), "block-links", sets.sparkSession)
     found = components(tried.where("linked").select("a", "b").unionByName(more))
     return labels.unionByName(found)
 
 
+def _of(sets: DataFrame, partners: DataFrame) -> DataFrame:
+    return sets.join(small_side(partners), "doc_id")
+
+
 def classes(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles and component_id of each row with an id."""
     spark = docs.sparkSession
@@ -429,7 +444,7 @@ def classes(docs: DataFrame) -> DataFrame:
     sets = materialize(sets, "sets")
     again = shared_counts(sets, deal).where("100 * shared >= 75 * n").groupBy("doc_id").agg(F.max(F.col("shared") / F.col("n")).alias("share"))
     again = materialize(again, "partners")
-    labels = _link(sets.join(small_side(again), "doc_id"))
+    labels = _link(sets, again)
     final = alike.select("h1", "h2", "n", "rep")
     labels = materialize(labels.groupBy(F.col("id").alias("rep")).agg(F.min("component").alias("component")), "components")
     final = final.join(labels, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
