@@ -208,8 +208,10 @@ def evaluate_rules(ticks: DataFrame, rules: DataFrame) -> DataFrame:
     sets = rules.where((F.col("type") == "MULTI_OUTCOME_ARBITRAGE") & (F.size("outcome_asset_ids") >= 2))
     fires = F.when(F.col("type") == "ARBITRAGE_SELL", F.col("actual_value") > F.col("threshold")).otherwise(F.col("actual_value") < F.col("threshold"))
     columns = [*_QUOTE, "type", "side", "window_ms", "rule_id", "threshold", "cooldown_ms", "actual_value"]
-    for part in (_arbitrage_rules(ticks, pairs), _outcome_rules(ticks, sets)):
-        parts.append(part.where(fires))
+    # branches without rules aren't read for nothing
+    parts += [build(ticks, some).where(fires) for build, some in ((_arbitrage_rules, pairs), (_outcome_rules, sets)) if not some.isEmpty()]
+    if not any(part is not None for part in parts):
+        parts.append(_arbitrage_rules(ticks, pairs).where(fires))
     out = None
     for part in parts:
         if part is not None:
