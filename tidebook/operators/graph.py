@@ -211,7 +211,10 @@ def negative_cycles(edges: DataFrame, max_len: int, min_weight: float) -> DataFr
         step = links.select(F.col("src").alias("at"), "dst", "w", "hedge")
         # n - 1 links are in the path after this step; max_len + 2 - n are left before it
         front = front.join(ends, "at").where(can(max_len + 2 - n)).drop("best").join(step, "at").where((F.col("dst") > F.col("start")) & ~F.array_contains("path", F.col("dst")))
-        front = materialize(front.select(F.concat("path", F.array("dst")).alias("path"), F.col("dst").alias("at"), "start", (F.col("total") + F.col("w")).alias("total"), (F.col("hedges") + F.col("hedge")).alias("hedges")), "cycles")
+        # paths of full length only close: towards the smaller neighbour, and nothing reads them again
+        front = front.where(F.get("path", 1) < F.col("dst")) if n == max_len else front
+        front = front.select(F.concat("path", F.array("dst")).alias("path"), F.col("dst").alias("at"), "start", (F.col("total") + F.col("w")).alias("total"), (F.col("hedges") + F.col("hedge")).alias("hedges"))
+        front = front if n == max_len else materialize(front, "cycles")
         close = links.select(F.col("src").alias("at"), F.col("dst").alias("start"), "w", "hedge")
         done = front.where(F.get("path", 1) < F.col("at")).join(close, ["at", "start"]).select("path", (F.col("total") + F.col("w")).alias("total"), (F.col("hedges") + F.col("hedge")).alias("hedges"), F.lit(n).alias("n")).where("total < 0")
         out = done if out is None else out.unionByName(done)
