@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidebook.llm import fingerprints, jaccard, language, lines, mixing, neighbours, pieces, quality, secret_scan, warc
+from tidebook.llm import codebooks, fingerprints, jaccard, language, lines, mixing, neighbours, pieces, quality, repair, repeats, secret_scan, warc
 
 QUERIES = {
     "op1_neighbours": neighbours.op1_neighbours,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_language": language.op8_language,
     "op9_lines": lines.op9_lines,
     "op10_fingerprints": fingerprints.op10_fingerprints,
+    "op11_repeats": repeats.op11_repeats,
+    "op12_repair": repair.op12_repair,
+    "op13_codebooks": codebooks.op13_codebooks,
 }
 
-ORACLES = {**mixing.ORACLE, **warc.ORACLE}
+ORACLES = {**mixing.ORACLE, **warc.ORACLE, **repeats.ORACLE, **repair.ORACLE, **codebooks.ORACLE}

@@ -34,10 +34,10 @@ def slices(batches, rows: int = ROWS):
 
 def blocks(texts, size: int = BLOCK) -> Iterator[tuple[int, int, list[bytes]]]:
     """(first row, end row, UTF-8 texts) of runs of rows of about ``size``
-    bytes; a null text is empty."""
+    bytes; a null text is empty, one of bytes is taken as it is."""
     start, held, part = 0, 0, []
     for i, text in enumerate(texts):
-        part.append(text.encode("utf-8", "surrogatepass") if isinstance(text, str) else b"")
+        part.append(text if isinstance(text, bytes) else text.encode("utf-8", "surrogatepass") if isinstance(text, str) else b"")
         held += len(part[-1]) + 1
         if held >= size:
             yield start, i + 1, part
@@ -100,8 +100,8 @@ def _power(base: int, n: int) -> np.ndarray:
     return have[:n]
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A hash for each word (A-Z taken as a-z) and each text's first word.
+def word_hashes(data: np.ndarray, starts: np.ndarray, fold: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """A hash for each word (A-Z taken as a-z if ``fold``) and each text's first word.
 
     The second array has one more entry than there are texts.
     """
@@ -110,23 +110,23 @@ def word_hashes(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.nd
     first, last = edge[0::2], edge[1::2]
     total = np.empty(len(data) + 1, _U)
     total[0] = 0
-    np.cumsum((_LOWER[data] + _U(1)) * _power(_BASE, len(data)), out=total[1:])
+    np.cumsum(((_LOWER[data] if fold else data) + _U(1)) * _power(_BASE, len(data)), out=total[1:])
     h = (total[last] - total[first]) * _power(_INVERSE, len(data) + 1)[first]
     h = mixed(h + (last - first).astype(_U))
     return h, np.append(np.searchsorted(first, starts), len(first))
 
 
-def hashed_words(part: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+def hashed_words(part: list[bytes], fold: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """``word_hashes`` of some texts; one that is much longer than a block is
     hashed piece by piece, which gives the same words unless one alone is longer."""
     if len(part[-1]) <= 4 * BLOCK:
-        return word_hashes(*joined(part))
-    some = [word_hashes(*joined(part[:-1]))] if len(part) > 1 else [(np.empty(0, _U), np.zeros(1, np.int64))]
-    long = _whole_words(part[-1])
+        return word_hashes(*joined(part), fold)
+    some = [word_hashes(*joined(part[:-1]), fold)] if len(part) > 1 else [(np.empty(0, _U), np.zeros(1, np.int64))]
+    long = _whole_words(part[-1], fold)
     return np.concatenate((some[0][0], long)), np.append(some[0][1], len(some[0][0]) + len(long))
 
 
-def _whole_words(text: bytes) -> np.ndarray:
+def _whole_words(text: bytes, fold: bool) -> np.ndarray:
     """Word hashes of a long text, in pieces that end at white space."""
     out, at = [], 0
     while at < len(text):
@@ -134,7 +134,7 @@ def _whole_words(text: bytes) -> np.ndarray:
         if end < len(text):
             found = _NEXT_SPACE.search(text, end)
             end = found.start() if found else len(text)
-        out.append(word_hashes(*joined([text[at:end]]))[0])
+        out.append(word_hashes(*joined([text[at:end]]), fold)[0])
         at = end
     return np.concatenate(out)
 
