@@ -59,6 +59,25 @@ def test_asof_and_interval(spark):
     assert sorted((r.k, r.u, r.v) for r in near.select("l.k", "u", "v").collect()) == [("a", 5, 1.0), ("a", 10, 2.0), ("b", 1, 3.0)]
 
 
+def test_components_of_chains_stars_and_loops(spark):
+    rng = random.Random(2)
+    ids = rng.sample(range(3000), 3000)  # a chain whose ids are in no order
+    pairs = list(zip(ids[:-1], ids[1:], strict=True)) + [(9000, 9000 + i) for i in range(400)] + [(8000 + i, 8001 + i // 2) for i in range(300)] + [(7000, 7000), (7001, 7000)]
+    root = {x: x for p in pairs for x in p}
+    for _ in range(4000):
+        new = dict(root)
+        for a, b in pairs:
+            new[a] = new[b] = min(new[a], new[b])
+        if new == root:
+            break
+        root = new
+    edges = spark.createDataFrame(pairs, "a long, b long")
+    assert {r.id: r.component for r in components(edges).collect()} == root
+    named = edges.select(F.struct(F.lit("x"), "a").alias("a"), F.struct(F.lit("x"), F.col("b").alias("a")).alias("b"))
+    assert {r.id.a: r.component.a for r in components(named.limit(300)).collect()}.keys() <= root.keys()
+    assert components(edges.where("a < 0")).count() == 0
+
+
 def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 102), (102, 101)], "a long, b long")
     got = {r.id: r.component for r in components(edges).collect()}

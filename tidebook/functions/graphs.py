@@ -2,32 +2,43 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidebook.functions.storage import discard, materialize
 
 
-def components(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(a, b) links to (id, component): the smallest id reachable.
 
-    Each round takes the smallest label among a vertex and its neighbours and
-    then the label of that label, so chains halve. Labels are written to the
-    shared folder each round, in place of the last ones; only the number of
-    changes reaches the driver.
+    Large and small stars in turn: each vertex links its larger neighbours to the
+    smallest of its neighbourhood, then its smaller neighbours and itself to the
+    smallest of them. Links never leave their component, most of them become equal
+    and go, and after about as many rounds as a component's size has binary digits
+    every vertex is linked with its smallest alone. Links are written to the shared
+    folder each round, in place of the last ones; the driver sees whether one is left.
     """
-    both = edges.select("a", "b").where("a <> b").union(edges.select(F.col("b"), F.col("a")).where("a <> b")).distinct()
-    both = materialize(both, "edges")
-    labels = materialize(both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("m")).select("id", F.least("id", "m").alias("component")), "labels")
-    for _ in range(max_rounds):
-        near = both.join(labels, both.b == labels.id).groupBy(F.col("a").alias("id")).agg(F.min("component").alias("m"))
-        own = labels.join(near, "id").select("id", F.col("component").alias("was"), F.least("component", "m").alias("c"))
-        up = labels.select(F.col("id").alias("c"), F.col("component").alias("cc"))
-        new = materialize(own.join(up, "c", "left").select("id", "was", F.least(F.col("c"), F.coalesce("cc", "c")).alias("component")), "labels")
-        changed = new.where("was <> component").limit(1).count()
-        discard(labels)
-        labels = new.select("id", "component")
-        if not changed:
-            discard(both)
-            return labels
-    raise RuntimeError(f"no fixed point after {max_rounds} rounds")
+    larger = F.when(F.col("a") > F.col("b"), F.col("a")).otherwise(F.col("b"))
+    links = edges.where("a <> b").select(larger.alias("hi"), _less("a", "b").alias("lo"))
+    links = materialize(links.distinct(), "links")
+    while not _stars(links):
+        both = links.select(F.col("hi").alias("u"), F.col("lo").alias("v")).union(links.select("lo", "hi"))
+        least = materialize(both.groupBy("u").agg(F.min("v").alias("v")).select("u", _less("u", "v").alias("m")), "least")
+        large = materialize(both.join(least, "u").where("v > u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct(), "large")
+        own = large.groupBy("hi").agg(F.min("lo").alias("m"))
+        small = large.join(own, "hi").where("lo <> m").select(F.col("lo").alias("hi"), F.col("m").alias("lo")).union(own.select("hi", "m")).distinct()
+        new = materialize(small, "links")
+        for used in (links, least, large):
+            discard(used)
+        links = new
+    return links.select(F.col("hi").alias("id"), F.col("lo").alias("component")).union(links.select("lo", "lo").distinct())
+
+
+def _less(a: str, b: str) -> Column:
+    return F.when(F.col(a) < F.col(b), F.col(a)).otherwise(F.col(b))
+
+
+def _stars(links: DataFrame) -> bool:
+    """Whether each vertex has one link at most, or only such that come to it."""
+    ends = links.select(F.col("hi").alias("id"), F.lit(1).alias("out")).union(links.select("lo", F.lit(0)))
+    return ends.groupBy("id").agg(F.sum("out").alias("out"), F.min("out").alias("least")).where("out > 1 or (out = 1 and least = 0)").isEmpty()
