@@ -361,7 +361,7 @@ def test_base_spans_equal_plain_patterns(spark):
 
 
 def test_a_dictionary_is_learned_from_all_rows(spark):
-    rows = [(i, f"the token goes through QuotationLedger and quotationLedgers, row {i}") for i in range(8)] + [(9, None), (10, "QuotationLedger elsewhere")]
+    rows = [(i, f"the token goes through QuotationLedger and quotation Ledgers, row {i}") for i in range(8)] + [(9, None), (10, "QuotationLedger elsewhere")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     words = secret_scan.learn(df).split()
     assert {"Quotation", "Ledger", "quotation", "Ledgers", "through"} <= set(words) and "elsewhere" not in words

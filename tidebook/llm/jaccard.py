@@ -48,7 +48,7 @@ from pyspark.sql import functions as F
 from tidebook.functions.graphs import components
 from tidebook.functions.storage import discard, materialize, own_session, reopened, worker_imports
 from tidebook.llm.grams import blocks, hashed_words, mixed, shingles, slices
-from tidebook.llm.tables import partitions, read, small_side
+from tidebook.llm.tables import apart, partitions, read, small_side, together
 
 WIDTH = 5
 LOW = 5
@@ -470,10 +470,11 @@ def join_documents(docs: DataFrame) -> DataFrame:
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """``docs`` without those that link to one of a smaller id."""
-    found = join_documents(docs).where("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("_rows"))
-    kept = docs.join(small_side(materialize(found, "kept")), "doc_id").select(*docs.columns, "_rows")
-    once = kept.where("_rows = 1").unionByName(kept.where("_rows > 1").dropDuplicates(["doc_id"])).drop("_rows")
-    return once.unionByName(docs.where("doc_id is null"))
+    found = join_documents(docs.select("doc_id", "text")).where("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("_rows"))
+    rows, names = apart(docs)
+    kept = rows.withColumn("doc_id", F.col(names["doc_id"])).join(small_side(materialize(found, "kept")), "doc_id")
+    once = kept.where("_rows = 1").unionByName(kept.where("_rows > 1").dropDuplicates(["doc_id"]))
+    return together(once, names).unionByName(docs.where("doc_id is null"))
 
 
 def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

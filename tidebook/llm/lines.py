@@ -41,7 +41,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidebook.functions.storage import materialize
-from tidebook.llm.tables import let, read, small_side
+from tidebook.llm.tables import apart, let, read, small_side, together
 
 MIN_WORDS = 4
 _SPACES = r"[\x20\x09-\x0D]+"
@@ -147,7 +147,7 @@ def _near_places(docs: DataFrame, kinds: DataFrame) -> DataFrame:
 
 def duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, _row, line) of every line that an earlier one equals or nearly does."""
-    docs = docs.where("doc_id is not null and text is not null")
+    docs = docs.select("doc_id", "text").where("doc_id is not null and text is not null")
     keyed = numbered(docs).select(*_ROW, "line", F.xxhash64("plain").alias("h1"), F.xxhash64(F.lit(1), "plain").alias("h2"), _halves().alias("halves"))
     keyed = materialize(keyed, "lines")
     place = F.struct(*_ROW, "line")
@@ -163,8 +163,11 @@ def duplicates(docs: DataFrame) -> DataFrame:
 
 def without_duplicates(docs: DataFrame) -> DataFrame:
     """``docs`` with those lines taken out of the text; ``dropped`` counts them."""
+    docs = docs.drop("dropped")
     gone = duplicates(docs).groupBy(*_ROW).agg(F.sort_array(F.collect_set("line")).alias("_gone"))
-    joined = _with_row(docs.drop("dropped")).join(small_side(materialize(gone, "gone")), _ROW, "left")
+    rows, names = apart(docs)
+    rows = rows.withColumns({"doc_id": F.col(names["doc_id"]), "_row": F.xxhash64(names["text"])})
+    joined = rows.join(small_side(materialize(gone, "gone")), _ROW, "left")
 
     def kept(parts: Column) -> Column:
         # runs of lines between the places that go
@@ -172,11 +175,13 @@ def without_duplicates(docs: DataFrame) -> DataFrame:
         runs = let(edges, lambda g: F.transform(F.sequence(F.lit(0), F.size("_gone")), lambda j: F.slice(parts, F.get(g, j) + 2, F.get(g, j + 1) - F.get(g, j) - 1)))
         return F.array_join(F.flatten(runs), "\n")
 
-    text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(let(F.split("text", "\n"), kept))
-    out = joined.withColumn("text", text).withColumn("dropped", F.coalesce(F.size("_gone"), F.lit(0)).cast("long"))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_gone").isNull(), F.col("n_chars")).otherwise(F.char_length("text").cast("long")))
-    return out.select(*docs.drop("dropped").columns, "dropped")
+    was = F.col(names["text"])
+    out = joined.withColumn("text", F.when(F.col("_gone").isNull(), was).otherwise(let(F.split(was, "\n"), kept)))
+    out = out.withColumn("dropped", F.coalesce(F.size("_gone"), F.lit(0)).cast("long"))
+    new = {"text": F.col("text")}
+    if "n_chars" in names:
+        new["n_chars"] = F.when(F.col("_gone").isNull(), F.col(names["n_chars"])).otherwise(F.char_length("text").cast("long"))
+    return together(out, names, "dropped", **new)
 
 
 def op9_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidebook.llm.tables import WORD, read
+from tidebook.llm.tables import WORD, apart, read, together
 
 WEIGHTS = (1, 2, 3)
 MAX_EPOCHS = 3
@@ -61,40 +61,45 @@ def mix(docs: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS, digits:
     ``taken`` is the number of its words in the mix, repeats counted.
     """
     extra = ["size", "source_size", "target", "taken"]
-    kept = docs.drop(*extra)
+    rows, names = apart(docs.drop(*extra))
     keyed = (
-        kept.withColumn("size", n_words(F.col("text")))
+        rows.withColumns({c: F.col(names[c]) for c in ("doc_id", "text", "source")})
+        .withColumn("size", n_words(F.col("text")))
         .withColumn("_key", F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(seed))))
-        .withColumn("_bucket", F.substring("_key", 1, digits))
+        .withColumns({"_bucket": F.substring("_key", 1, digits), "_text": F.xxhash64("text")})
+        .drop("doc_id", "text")
     )
     spread = keyed.groupBy("source", "_bucket").agg(F.sum("size").alias("_sum"))
     targets = source_targets(spread.groupBy("source").agg(F.sum("_sum").alias("source_size")), weights, max_epochs)
     earlier = Window.partitionBy("source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = spread.select(F.col("source").alias("_s"), F.col("_bucket").alias("_b"), F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_offset"))
     plan = offsets.join(targets, F.col("_s").eqNullSafe(F.col("source"))).drop("source")
-    inside = Window.partitionBy("source", "_bucket").orderBy("_key", F.xxhash64("text"), "size").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("source", "_bucket").orderBy("_key", "_text", "size").rowsBetween(Window.unboundedPreceding, -1)
     running = keyed.withColumn("_inside", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     joined = running.join(plan, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_bucket") == F.col("_b")))
     budget = F.round("target").cast("long")
     epochs = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(0)
     rest = budget - epochs * F.col("source_size")
     part = F.greatest(F.lit(0), F.least(F.col("size"), rest - F.col("_offset") - F.col("_inside")))
-    return joined.withColumn("taken", (epochs * F.col("size") + part).cast("long")).select(*kept.columns, *extra)
+    return together(joined.withColumn("taken", (epochs * F.col("size") + part).cast("long")), names, *extra)
 
 
 def mixed_rows(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: a row for each copy taken; the last one of a document
     that the budget cuts holds its first words only, as they stand."""
-    mixed = mix(docs, **options).where("taken > 0")
-    copies = mixed.withColumn("_whole", (F.col("taken") / F.col("size")).cast("int")).withColumn("_more", F.col("taken") % F.col("size"))
+    rows, names = apart(mix(docs, **options).where("taken > 0"))
+    own = {c: n for c, n in names.items() if c in docs.columns}
+    size, taken = (F.col(names[c]) for c in ("size", "taken"))
+    copies = rows.withColumns({"_whole": (taken / size).cast("int"), "_more": taken % size})
     copies = copies.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_whole") + (F.col("_more") > 0).cast("int"))))
-    pieces = F.regexp_extract_all("text", F.lit(rf"[\x20\x09-\x0D]*{WORD}"), F.lit(0))
+    pieces = F.regexp_extract_all(names["text"], F.lit(rf"[\x20\x09-\x0D]*{WORD}"), F.lit(0))
     cut = F.array_join(F.slice(pieces, F.lit(1), F.col("_more").cast("int")), "")
     partial = F.col("_copy") > F.col("_whole")
-    copies = copies.withColumn("text", F.when(partial, cut).otherwise(F.col("text")))
-    if "n_chars" in docs.columns:
-        copies = copies.withColumn("n_chars", F.when(partial, F.char_length("text").cast("long")).otherwise(F.col("n_chars")))
-    return copies.select(*docs.columns)
+    copies = copies.withColumn("text", F.when(partial, cut).otherwise(F.col(names["text"])))
+    new = {"text": F.col("text")}
+    if "n_chars" in own:
+        new["n_chars"] = F.when(partial, F.char_length("text").cast("long")).otherwise(F.col(names["n_chars"]))
+    return together(copies, own, **new)
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -47,7 +47,7 @@ from pyspark.sql import functions as F
 
 from tidebook.functions.storage import materialize, worker_imports
 from tidebook.llm.grams import slices
-from tidebook.llm.tables import read
+from tidebook.llm.tables import apart, quoted, read, together
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
@@ -275,10 +275,10 @@ def _lists(packed: list[bytes]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(packed), np.int32)))
 
 
-def _encode_short(docs: DataFrame, path: str, scores: str, decoded: bool) -> DataFrame:
+def _encode_short(docs: DataFrame, text: str, path: str, scores: str, decoded: bool) -> DataFrame:
     """Texts of at most a chunk. Arrow batches are taken ``BATCH`` rows at a
     time, so a task holds few texts, ids and decoded texts as Python objects."""
-    at = docs.columns.index("text")
+    at = docs.columns.index(text)
     names = [*docs.columns, "ids", *["decoded"] * decoded]
 
     def run(batches):
@@ -294,11 +294,11 @@ def _encode_short(docs: DataFrame, path: str, scores: str, decoded: bool) -> Dat
 
 
 def _fields(docs: DataFrame) -> str:
-    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    return ", ".join(f"{quoted(f.name)} {f.dataType.simpleString()}" for f in docs.schema)
 
 
-def _encode_long(docs: DataFrame, path: str, scores: str, chunk: int, fan: int) -> DataFrame:
-    """The scan over chunks. ``docs`` has a unique _row."""
+def _encode_long(docs: DataFrame, text: str, path: str, scores: str, chunk: int, fan: int) -> DataFrame:
+    """The scan over chunks. ``docs`` has a unique _row, and the texts in one column."""
     k = vocabulary(path, scores).reach
 
     def cut(batches):
@@ -309,7 +309,7 @@ def _encode_long(docs: DataFrame, path: str, scores: str, chunk: int, fan: int)
                     starts = range(base, min(len(text), base + 64 * chunk), chunk)
                     yield pd.DataFrame({"_row": row, "part": [s // chunk for s in starts], "size": [min(chunk, len(text) - s) for s in starts], "piece": [text[s : s + chunk + k - 1] for s in starts]})
 
-    pieces = materialize(docs.select("_row", "text").mapInPandas(cut, "_row long, part int, size int, piece string").repartition("_row", "part"), "chunks")
+    pieces = materialize(docs.select("_row", F.col(text).alias("text")).mapInPandas(cut, "_row long, part int, size int, piece string").repartition("_row", "part"), "chunks")
 
     def matrices(batches):
         v = vocabulary(path, scores)
@@ -369,12 +369,13 @@ def encode(docs: DataFrame, path: str = MODEL, scores: str = "rank", chunk: int
     """
     spark = docs.sparkSession
     worker_imports(spark)
-    docs = docs.drop("ids", "decoded")
-    long = F.coalesce(F.char_length("text"), F.lit(0)) >= chunk
-    giant = docs.where(long)
-    wide = materialize(giant.withColumn("_row", F.monotonically_increasing_id()), "giants")
-    scanned = _encode_long(wide, path, scores, chunk, fan)
-    return _encode_short(docs.where(~long), path, scores, decoded).unionByName(decode(scanned, path) if decoded else scanned)
+    rows, names = apart(docs.drop("ids", "decoded"))
+    text = names["text"]
+    long = F.coalesce(F.char_length(text), F.lit(0)) >= chunk
+    wide = materialize(rows.where(long).withColumn("_row", F.monotonically_increasing_id()), "giants")
+    scanned = _encode_long(wide, text, path, scores, chunk, fan)
+    found = _encode_short(rows.where(~long), text, path, scores, decoded).unionByName(decode(scanned, path) if decoded else scanned)
+    return together(found, names, "ids", *["decoded"] * decoded)
 
 
 def decode(encoded: DataFrame, path: str = MODEL) -> DataFrame:

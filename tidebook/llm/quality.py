@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from tidebook.functions.storage import worker_imports
 from tidebook.llm.grams import byte_grams, cut_blocks, joined, slices, word_hashes
-from tidebook.llm.tables import held_out, read
+from tidebook.llm.tables import apart, held_out, read, together
 
 SAMPLE = 4000
 DIMS = 4096
@@ -143,17 +143,18 @@ def score(docs: DataFrame, model: dict | None, neighbours: int = NEIGHBOURS) ->
     worker_imports(spark)
     sent = spark.sparkContext.broadcast(model)
 
-    at, names = docs.columns.index("text"), [*docs.columns, "score"]
+    rows, names = apart(docs)
+    at, given = list(names).index("text"), [*names.values(), "score"]
 
     def run(batches):
         for part in slices(batches):
             out = np.empty(part.num_rows)
             for a, b, x in _counts(part.column(at).to_pylist()):
                 out[a:b] = _votes(x, sent.value, neighbours)
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(np.clip(out, 0.0, 1.0))], names=names)
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(np.clip(out, 0.0, 1.0))], names=given)
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(run, f"{fields}, score double")
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
+    return together(rows.mapInArrow(run, f"{fields}, score double"), names, "score")
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

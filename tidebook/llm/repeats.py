@@ -47,7 +47,7 @@ from pyspark.sql import types as T
 from tidebook.functions.graphs import components
 from tidebook.functions.storage import materialize, worker_imports
 from tidebook.llm import grams
-from tidebook.llm.tables import partitions, read, small_side
+from tidebook.llm.tables import apart, read, small_side, together
 
 WINDOW, ANCHOR = 50, 25
 #: Bits a repeated value gets in the bitmap, and the most of all (16 MB).
@@ -265,28 +265,28 @@ def without_repeats(docs: DataFrame, later: DataFrame | None = None, window: int
     later = spans(docs, window)[1] if later is None else later
     by_row = later.groupBy(F.col("doc").alias("_doc"), F.shiftright("at", WORD_BITS).alias("_row")).agg(F.collect_list(F.struct(F.col("at").bitwiseAND(F.lit((1 << WORD_BITS) - 1)).alias("at"), "n")).alias("_spans"))
     by_row = small_side(materialize(by_row.select("_doc", "_row", F.transform("_spans", lambda s: s["at"]).alias("ats"), F.transform("_spans", lambda s: s["n"]).alias("ns")), "spans"))
-    out = docs.drop("n_words", "n_removed")
-    kept = out.select(F.struct(*[F.col(f"`{c}`") for c in out.columns]).alias("row"))
-    kept = kept.select("row", F.col("row.doc_id").cast("long").alias("_doc"), F.xxhash64("row.text").bitwiseAND(F.lit(0xFFFFFFFF)).alias("_row"))
-    both = kept.join(by_row, ["_doc", "_row"], "left").select("row", F.col("row.text").cast("binary").alias("text"), "ats", "ns")
+    rows, names = apart(docs.drop("n_words", "n_removed"))
+    rows = rows.withColumns({"_doc": F.col(names["doc_id"]).cast("long"), "_row": F.xxhash64(names["text"]).bitwiseAND(F.lit(0xFFFFFFFF))})
+    both = rows.join(by_row, ["_doc", "_row"], "left").select(*names.values(), "ats", "ns")
+    where = list(names).index("text")
 
     def cut(batches):
         for batch in batches:
-            texts, words_n, gone_n = [], [], []
-            for text, ats, ns in zip(*(batch.column(c).to_pylist() for c in ("text", "ats", "ns")), strict=True):
+            kept, words_n, gone_n = [], [], []
+            for text, ats, ns in zip(batch.column(where).cast(pa.binary()).to_pylist(), batch.column("ats").to_pylist(), batch.column("ns").to_pylist(), strict=True):
                 words = (text or b"").split()
                 gone = np.zeros(len(words), bool)
                 for at, n in zip(ats or (), ns or (), strict=True):
                     gone[at : at + n + window - 1] = True
                 words_n.append(len(words))
                 gone_n.append(int(gone.sum()))
-                texts.append(None if text is None else b" ".join([words[i] for i in np.flatnonzero(~gone)] if gone_n[-1] else words).decode("utf-8", "replace"))
-            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(texts, pa.string()), pa.array(words_n, pa.int64()), pa.array(gone_n, pa.int64())], ["row", "kept", "n_words", "n_removed"])
+                kept.append(None if text is None else b" ".join([words[i] for i in np.flatnonzero(~gone)] if gone_n[-1] else words))
+            cols = [batch.column(n) for n in names.values()]
+            cols[where] = pa.array(kept, pa.binary()).cast(pa.string())
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(words_n, pa.int64()), pa.array(gone_n, pa.int64())], [*names.values(), "n_words", "n_removed"])
 
-    kinds = T.StructType([both.schema["row"], T.StructField("kept", T.StringType()), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType())])
-    done = both.mapInArrow(cut, kinds)
-    cols = [F.col("kept").alias("text") if c == "text" else F.col("row").getField(c).alias(c) for c in out.columns]
-    return done.select(*cols, "n_words", "n_removed")
+    kinds = T.StructType([*(both.schema[n] for n in names.values()), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType())])
+    return together(both.mapInArrow(cut, kinds), names, "n_words", "n_removed")
 
 
 def op11_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:

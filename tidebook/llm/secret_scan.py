@@ -7,10 +7,11 @@ with and without the candidate, by a Zstandard compressor primed with a
 dictionary: the marginal compressed bytes for each character tell how new the
 string is. The dictionary holds a short list of identifiers and what the corpus
 itself says near sensitive words: the parts of identifiers and words, of
-``PART_LETTERS`` letters, that stand near one in at least ``MIN_ROWS`` rows,
-counted over all rows; the ``LEARNED`` most frequent are kept. A key has no such
-parts, however many copies of its document there are, unless letters in a row
-make them up; strings of letters alone are longer than a part.
+``PART_LETTERS`` letters, that stand near one in at least ``MIN_ROWS`` different
+surroundings, counted over all rows; the ``LEARNED`` most frequent are kept. What
+stands inside a string that is itself long enough to be measured is never learned,
+so a key is found in any number of copies if it is found in one, and copies of a
+document count once.
 Names and paths made of known parts cost little; random keys cost nearly what
 random characters must. Those above ``MIN_BYTES`` are reported as ``novel``.
 Base spans stay as they are; a novel span that meets one is left out.
@@ -22,8 +23,10 @@ length is scanned whole; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import hashlib
 import re
-from collections import Counter
+from bisect import bisect_left
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
@@ -53,6 +56,7 @@ _ASSIGN = re.compile(r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(rf"[0-9a-f]{{{MIN_HEX},}}")
 _NOVEL = re.compile(rf"[A-Za-z0-9+/_.=-]{{{MIN_NOVEL},}}")
+_VALUE, _OTHER = re.compile(r"[A-Za-z0-9+/_.=-]"), re.compile(r"[^A-Za-z0-9+/_.=-]")
 _HINT = re.compile("(?ai:" + "|".join(SENSITIVE) + ")")
 #: Runs of letters, cut where a capital follows a small letter.
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
@@ -72,28 +76,52 @@ def base_spans(text: str, lower: str, hexes: bool) -> list[tuple[int, int, int]]
     return sorted(found)
 
 
+def parts_near(text: str) -> list[tuple[str, set[str]]]:
+    """Each stretch of text around sensitive words with the parts of words in it,
+    those inside measured strings left out."""
+    low, high = PART_LETTERS
+    out, done = [], 0
+    for hint in _HINT.finditer(text):
+        if hint.end() + CONTEXT > done:
+            a = max(0, done, hint.start() - 4 * CONTEXT)
+            done = hint.end() + 5 * CONTEXT
+            # a string that the stretch cuts is taken as long as it is
+            long = [m.span() for m in _NOVEL.finditer(text, _run_start(text, a), _run_end(text, done))]
+            said, at = set(), a
+            for start, end in [*long, (done, done)]:
+                said.update(p for p in _PART.findall(text[at : max(at, start)]) if low <= len(p) <= high)
+                at = max(at, end)
+            out.append((text[a:done], said))
+    return out
+
+
+def _run_start(text: str, at: int) -> int:
+    while at > 0 and _VALUE.match(text, at - 1):
+        at -= 1
+    return at
+
+
+def _run_end(text: str, at: int) -> int:
+    found = _OTHER.search(text, at)
+    return found.start() if found else len(text)
+
+
 def learn(docs: DataFrame) -> str:
-    """The parts of words that stand near sensitive words in most rows, rarer
-    ones first. Tasks count what they read, so at most their words are shuffled;
-    the driver gets ``LEARNED`` of them."""
+    """The parts of words that stand near sensitive words in most surroundings,
+    rarer ones first. The driver gets ``LEARNED`` of them."""
     worker_imports(docs.sparkSession)
-    low, high = PART_LETTERS
 
-    def count(batches):
-        found = Counter()
+    def near(batches):
         for pdf in batches:
+            found = set()
             for text in pdf["text"]:
                 if isinstance(text, str) and any(w in text.lower() for w in SENSITIVE):
-                    said, done = set(), 0
-                    for hint in _HINT.finditer(text):
-                        if hint.end() + CONTEXT > done:
-                            a = max(0, done, hint.start() - 4 * CONTEXT)
-                            done = hint.end() + 5 * CONTEXT
-                            said.update(p for p in _PART.findall(text[a:done]) if low <= len(p) <= high)
-                    found.update(said)
-        yield pd.DataFrame({"part": list(found), "n": list(found.values())}).astype({"part": "object", "n": "int64"})
-
-    counted = docs.select("text").mapInPandas(count, "part string, n long").groupBy("part").agg(F.sum("n").alias("n"))
+                    for around, parts in parts_near(text):
+                        key = hashlib.blake2b(around.encode("utf-8", "replace"), digest_size=16).digest()
+                        found.update((p, key) for p in parts)
+            yield pd.DataFrame(sorted(found), columns=["part", "around"]).astype("object")
+
+    counted = docs.select("text").mapInPandas(near, "part string, around binary").distinct().groupBy("part").agg(F.count(F.lit(1)).alias("n"))
     kept = counted.where(F.col("n") >= MIN_ROWS).orderBy(F.desc("n"), "part").limit(LEARNED)
     return " ".join(r.part for r in kept.collect()[::-1])
 
@@ -113,13 +141,16 @@ def novel_spans(text: str, lower: str, base: list[tuple[int, int, int]], zip_) -
     if not any(w in lower for w in SENSITIVE):
         return []
     found, done = [], 0
+    # base spans are by start; the furthest end of those before tells whether one is met
+    starts, ends = [s for s, _, _ in base], list(accumulate((e for _, _, e in base), max))
     for hint in _HINT.finditer(text):
         for m in _NOVEL.finditer(text, max(hint.end(), done), min(len(text), hint.end() + CONTEXT + MIN_NOVEL - 1)):
             a, b = _NOVEL.match(text, m.start()).span()
             if a < done:
                 continue
             done = b
-            if any(s < b and a < e for s, _, e in base):
+            before = bisect_left(starts, b)
+            if before and ends[before - 1] > a:
                 continue
             around = text[max(0, a - 4 * CONTEXT) : a] + text[b : b + 4 * CONTEXT]
             if novelty(text[a:b], around, zip_) >= MIN_BYTES:

@@ -49,3 +49,19 @@ def small_side(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
     """
     held = sum((_width(f"`{f.name}`", f.dataType) for f in df.schema), F.lit(8))
     return F.broadcast(df) if (df.agg(F.sum(held)).first()[0] or 0) <= most else df
+
+
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def apart(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """``df`` with its columns as c0, c1, ..., and which is which, so that columns
+    which an operator adds can't meet the caller's. No operator has such names."""
+    names = {c: f"c{i}" for i, c in enumerate(df.columns)}
+    return df.select(*[F.col(quoted(c)).alias(n) for c, n in names.items()]), names
+
+
+def together(df: DataFrame, names: dict[str, str], *added: str, **new: Column) -> DataFrame:
+    """The caller's columns again, some replaced by ``new``, then the ``added`` ones."""
+    return df.select(*[new.get(c, F.col(n)).alias(c) for c, n in names.items()], *added)
