@@ -1,5 +1,7 @@
 """Operators without SQL, against brute force; hand-made unit cases."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
