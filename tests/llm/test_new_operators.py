@@ -7,6 +7,7 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tidebook.llm import codebooks, repair, repeats
 
@@ -106,20 +107,21 @@ def test_paths_equal_plain_unitigs(spark):
     assert sum(r.windows for r in named) == len(edges)
 
 
-def test_a_shared_hash_is_seen_and_done_again(spark, monkeypatch):
-    df = spark.createDataFrame([(i, " ".join(f"w{i}x{j}" for j in range(60))) for i in range(2)], "doc_id long, text string")
-    true, tried = repeats.segments, []
+def test_words_at_both_places_are_alike(spark):
+    df = spark.createDataFrame(passages(random.Random(8)), "doc_id long, text string")
+    found, later = repeats.spans(df, 12, 6)
+    assert later.count() > 20 and repeats.unlike(df, later.where(F.col("n") < repeats.WHOLE), 12).isEmpty()
+    moved = later.where(F.col("n") < repeats.WHOLE).withColumn("lp", F.col("lp") + 1)
+    assert repeats.unlike(df, moved, 12).count() == moved.count()
 
-    def clash(rows, seed, window, anchor):
-        tried.append(seed)
-        if seed < 2:  # as if the windows of both had one hash
-            at = {r.doc_id: r.at for r in rows.select("doc_id", "at").collect()}
-            return spark.createDataFrame([(0, at[0], 11, 0, at[0]), (1, at[1], 11, 0, at[0])], "doc long, at long, n long, lo long, lp long")
-        return true(rows, seed, window, anchor)
 
-    monkeypatch.setattr(repeats, "segments", clash)
+def test_copies_that_share_a_bit_with_others_are_no_second_document(spark, monkeypatch):
+    monkeypatch.setattr(repeats, "BITS_EACH", 1)  # so that dozens of copies do
+    rng = random.Random(9)
+    texts = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(55)) for _ in range(1500)]
+    df = spark.createDataFrame(list(enumerate(texts * 2)), "doc_id long, text string")
     found, later = repeats.spans(df)
-    assert tried == [0, 1, 2] and found.isEmpty() and later.isEmpty()
+    assert found.isEmpty() and later.count() == 1500
 
 
 def test_repeats_of_nothing(spark):

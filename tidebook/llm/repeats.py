@@ -5,23 +5,26 @@ starts in a document of a smaller doc_id. Windows are the edges of a de Bruijn g
 (from their first ``WINDOW`` - 1 words to their last). Only edges that more than one
 document has matter, and they come in long paths, so the graph is kept as paths.
 
-1. Candidates. A window's least ``ANCHOR``-word hash is the same wherever the
+1. Copies. Rows of equal text are known by a 256-bit digest. The one of the smallest
+   doc_id stands for all; the others are covered by it if they have a window at all.
+2. Candidates. A window's least ``ANCHOR``-word hash is the same wherever the
    window occurs. Each document names these values once for each run of windows;
    those of more than one document go, hashed, into a bitmap of at most
-   ``MOST_BITS`` bits, the only thing that is broadcast. A window whose value isn't
-   in it occurs in one document. A full bitmap lets more windows pass and loses none.
-2. Edges. Candidate windows are grouped by a 64-bit hash to their first place (the
-   smallest doc_id, and there a word's place) and joined back to all their places.
-3. Paths. In a document two windows in a row are two edges that meet at a node. Where
+   ``MOST_BITS`` bits. A window whose value isn't in it occurs in one document. A full
+   bitmap lets more windows pass and loses none; so does the one that tells copies.
+   Nothing else is broadcast but tables whose bytes were summed.
+3. Edges. Candidate windows are grouped by a 128-bit digest of their words to their first
+   place (the smallest doc_id, and there a word's place), which is joined back to all places.
+4. Paths. In a document two windows in a row are two edges that meet at a node. Where
    the first places of both follow each other too, the edges are one path, so each
    document is a row of segments of the documents that had its windows first:
    (document, place, windows, first document, its place). Places where segments begin
    or end are the only possible branches. They cut the first places into pieces, and
    ``paths`` joins each piece to the next wherever the node between them has one way
    in and one way out.
-4. Verification. The words under each segment are compared with the words at its first
-   place by a 256-bit digest of the words themselves. One that differs means that two
-   windows had one hash: the whole is done again with other hashes.
+5. Places verify: a segment holds only windows whose words were met, in a row, from
+   its first place on. ``unlike`` reads the words at both places of each segment and
+   gives those that differ; it is a check of its own, as it reads all texts again.
 
 Grouping and joins by window spread a passage over as many keys as it has windows;
 a passage that a third of all documents share leaves its keys hot, which the groups
@@ -56,16 +59,32 @@ BITS_EACH, MOST_BITS = 64, 1 << 27
 CHUNK = 1 << 18
 #: A place is its row's hash (rows may share a doc_id) above the number of the word.
 WORD_BITS = 31
+#: The windows of a row that is a copy: more than a text can have.
+WHOLE = 1 << 30
 _U = np.uint64
 _BASE = 0xD6E8FEB86659FD93
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _PAGE = 1 << 15
 
 
+def _place(text: str):
+    """Where the places of a row with this text begin."""
+    return F.shiftleft(F.xxhash64(text).bitwiseAND(F.lit(0xFFFFFFFF)), WORD_BITS)
+
+
 def _rows(docs: DataFrame) -> DataFrame:
-    """doc_id, at (where the row's places begin) and the text's bytes."""
-    at = F.shiftleft(F.xxhash64("text").bitwiseAND(F.lit(0xFFFFFFFF)), WORD_BITS)
-    return docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), at.alias("at"), F.col("text").cast("binary").alias("text"))
+    """doc_id, at (where the row's places begin), a key of both and the text's bytes."""
+    rows = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), _place("text").alias("at"), F.col("text").cast("binary").alias("text"))
+    return rows.select("doc_id", "at", F.xxhash64("doc_id", "at").alias("key"), "text")
+
+
+def copies(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """doc, at, key and lo of rows whose text a smaller doc_id ``lo`` has; keys of the others."""
+    told = materialize(rows.select("doc_id", "at", "key", F.unhex(F.sha2("text", 256)).alias("sha")), "texts")
+    lowest = materialize(told.groupBy("sha").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").drop("hi"), "copied")
+    both = told.join(small_side(lowest), "sha", "left")
+    later = both.where("lo < doc_id").select(F.col("doc_id").alias("doc"), "at", "key", "lo").distinct()
+    return materialize(later, "copies"), both.where("lo is null or lo = doc_id").select(F.col("key").alias("value"))
 
 
 def _rolling(h: np.ndarray, width: int) -> np.ndarray:
@@ -85,12 +104,10 @@ def _least(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(x[:n], x[width - have :][:n])
 
 
-def windows(texts, seed: int, window: int, anchor: int):
-    """(text, word, hash, anchor value) of all windows, as arrays, part by part."""
-    turn = _U((2 * seed + 1) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
+def windows(texts, window: int, anchor: int):
+    """(text, word, anchor value) of all windows, as arrays, part by part."""
     for a, _, part in grams.blocks(texts):
         h, first = grams.hashed_words(part, fold=False)
-        h = grams.mixed(h ^ turn)
         sizes = np.diff(first)
         text = np.repeat(np.arange(a, a + len(part)), sizes)
         word = np.arange(len(h)) - np.repeat(first[:-1], sizes)
@@ -102,24 +119,45 @@ def windows(texts, seed: int, window: int, anchor: int):
             own = text[at : at + n]
             inside = np.flatnonzero(own == text[at + window - 1 : at + window - 1 + n])
             if len(inside):
-                yield own[inside], word[at : at + n][inside], _rolling(some, window)[inside], _least(_rolling(some, anchor), window - anchor + 1)[inside]
+                yield own[inside], word[at : at + n][inside], _least(_rolling(some, anchor), window - anchor + 1)[inside]
+
+
+def _digests(text: bytes, words: np.ndarray, window: int) -> np.ndarray:
+    """The 128-bit digests, as two numbers each, of the windows at some words."""
+    parts = text.split()
+    plain = memoryview(b" ".join(parts))
+    ends = np.cumsum(np.fromiter((len(p) + 1 for p in parts), np.int64, len(parts)))
+    lo, hi = (ends - np.fromiter((len(p) + 1 for p in parts), np.int64, len(parts)))[words].tolist(), (ends - 1)[words + window - 1].tolist()
+    return np.frombuffer(b"".join([hashlib.blake2b(plain[a:b], digest_size=16).digest() for a, b in zip(lo, hi, strict=True)]), np.int64).reshape(-1, 2)
+
+
+def _held(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
+    low = values & _U(8 * len(bits) - 1)
+    return (bits[low >> _U(3)] >> (low & _U(7)).astype(np.uint8) & 1).astype(bool)
+
+
+def _known(batch: pa.RecordBatch, bits: np.ndarray) -> pa.RecordBatch:
+    """The rows that stand for their text."""
+    return batch.filter(pa.array(_held(bits, batch.column("key").to_numpy().view(_U))))
 
 
 def _arrow(names: list[str], *columns: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64, copy=False) if c.dtype != _U else c.view(np.int64)) for c in columns], names)
 
 
-def repeated_anchors(rows: DataFrame, seed: int, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
-    """The anchor values that windows of more than one document have."""
+def repeated_anchors(rows: DataFrame, first, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
+    """The anchor values that windows of more than one document have; ``first``
+    is the broadcast bitmap of the rows that stand for their text."""
 
     def name(batches):
         for batch in batches:
-            ids = batch.column(0).to_numpy()
-            for text, _, _, least in windows(batch.column(1).to_pylist(), seed, window, anchor):
+            batch = _known(batch, first.value)
+            ids = batch.column("doc_id").to_numpy()
+            for text, _, least in windows(batch.column("text").to_pylist(), window, anchor):
                 new = np.flatnonzero(np.append(True, (least[1:] != least[:-1]) | (text[1:] != text[:-1])))
                 yield _arrow(["value", "doc"], least[new], ids[text[new]])
 
-    named = rows.select("doc_id", "text").mapInArrow(name, "value long, doc long")
+    named = rows.select("doc_id", "key", "text").mapInArrow(name, "value long, doc long")
     return named.groupBy("value").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi").select("value")
 
 
@@ -136,33 +174,58 @@ def bitmap(values: DataFrame) -> np.ndarray:
     return out
 
 
-def occurrences(rows: DataFrame, sent, seed: int, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
-    """edge, doc and place of each window whose anchor value is in the bitmap."""
+def occurrences(rows: DataFrame, first, sent, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
+    """k1, k2 (a digest), doc and place of each window whose anchor value is in the bitmap."""
 
     def candidates(batches):
-        held = sent.value
-        top = _U(8 * len(held) - 1)
         for batch in batches:
-            ids, base = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            for text, word, edge, least in windows(batch.column(2).to_pylist(), seed, window, anchor):
-                low = least & top
-                hit = np.flatnonzero(held[low >> _U(3)] >> (low & _U(7)).astype(np.uint8) & 1)
-                if len(hit):
-                    yield _arrow(["edge", "doc", "at"], edge[hit], ids[text[hit]], base[text[hit]] + word[hit])
+            batch = _known(batch, first.value)
+            ids, base, texts = batch.column("doc_id").to_numpy(), batch.column("at").to_numpy(), batch.column("text").to_pylist()
+            for text, word, least in windows(texts, window, anchor):
+                hit = np.flatnonzero(_held(sent.value, least))
+                cuts = np.flatnonzero(np.diff(text[hit], prepend=-1))
+                for some in np.split(hit, cuts[1:]) if len(hit) else ():
+                    one = int(text[some[0]])
+                    keys = _digests(texts[one], word[some], window)
+                    yield _arrow(["k1", "k2", "doc", "at"], keys[:, 0], keys[:, 1], np.full(len(some), ids[one]), base[one] + word[some])
+
+    return rows.mapInArrow(_gathered(candidates), "k1 long, k2 long, doc long, at long")
+
+
+def _gathered(each, rows: int = 1 << 16):
+    """``each``'s batches, joined to larger ones."""
 
-    return rows.mapInArrow(candidates, "edge long, doc long, at long")
+    def run(batches):
+        held, n = [], 0
+        for batch in each(batches):
+            held.append(batch)
+            n += batch.num_rows
+            if n >= rows:
+                yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+                held, n = [], 0
+        if held:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+    return run
 
 
-def segments(rows: DataFrame, seed: int, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
+def segments(rows: DataFrame, again: DataFrame, firsts: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
     """doc, at, n, lo, lp: n windows in a row from a place on, which document
-    ``lo`` had first, in a row from its place ``lp`` on. Edges of one document are left out."""
+    ``lo`` had first, in a row from its place ``lp`` on. Windows of one document are
+    left out, as are copies (``again``); ``firsts`` are the keys of the rows that count."""
     spark = rows.sparkSession
-    sent = spark.sparkContext.broadcast(bitmap(materialize(repeated_anchors(rows, seed, window, anchor), "anchors")))
-    places = occurrences(rows, sent, seed, window, anchor)
-    edges = places.groupBy("edge").agg(F.min("doc").alias("lo"), F.min_by("at", "doc").alias("lp"), F.max("doc").alias("hi")).where("lo < hi").drop("hi")
+    first = spark.sparkContext.broadcast(bitmap(firsts))
+    sent = spark.sparkContext.broadcast(bitmap(materialize(repeated_anchors(rows, first, window, anchor), "anchors")))
+    # copies that share a bit with a row that counts went through
+    low = lambda c: F.col(c).bitwiseAND(F.lit(8 * len(first.value) - 1))
+    slipped = again.join(firsts.select(low("value").alias("bit")).distinct(), low("key") == F.col("bit"), "left_semi")
+    slipped = small_side(materialize(slipped.select(F.col("doc").alias("_doc"), F.shiftright("at", WORD_BITS).alias("_row")), "slipped"))
+    places = occurrences(rows, first, sent, window, anchor)
+    places = places.join(slipped, (F.col("doc") == F.col("_doc")) & (F.shiftright("at", WORD_BITS) == F.col("_row")), "left_anti")
+    edges = places.groupBy("k1", "k2").agg(F.min("doc").alias("lo"), F.min_by("at", "doc").alias("lp"), F.max("doc").alias("hi")).where("lo < hi").drop("hi")
     # written, so that the join has an exchange on either side and splits a hot edge
     edges = materialize(edges, "edges")
-    met = places.join(edges, "edge").select("doc", "at", "lo", "lp")
+    met = places.join(edges, ["k1", "k2"]).select("doc", "at", "lo", "lp")
     walks = met.repartition("doc", F.shiftright("at", WORD_BITS)).sortWithinPartitions("doc", "at")
     names = ["doc", "at", "n", "lo", "lp"]
 
@@ -189,43 +252,40 @@ def segments(rows: DataFrame, seed: int, window: int = WINDOW, anchor: int = ANC
     return walks.mapInArrow(runs, "doc long, at long, n long, lo long, lp long")
 
 
-def digests(rows: DataFrame, spans: DataFrame, window: int = WINDOW) -> DataFrame:
-    """``spans`` (doc, at, n) with the digest of the words under these windows."""
-    asked = spans.distinct().groupBy("doc", F.shiftright("at", WORD_BITS).alias("_row")).agg(F.collect_list(F.struct("at", "n")).alias("spans"))
-    asked = small_side(materialize(asked.select("doc", "_row", F.transform("spans", lambda s: s["at"]).alias("ats"), F.transform("spans", lambda s: s["n"]).alias("ns")), "asked"))
-    both = rows.join(asked, (F.col("doc_id") == F.col("doc")) & (F.shiftright(rows["at"], WORD_BITS) == F.col("_row")))
+def _by_row(spans: DataFrame) -> DataFrame:
+    """_doc, _row and all the row's (word, n) as a list."""
+    word = F.col("at").bitwiseAND(F.lit((1 << WORD_BITS) - 1)).cast("int").alias("word")
+    return spans.groupBy(F.col("doc").alias("_doc"), F.shiftright("at", WORD_BITS).alias("_row")).agg(F.collect_list(F.struct(word, F.col("n").cast("int").alias("n"))).alias("spans"))
+
+
+def unlike(docs: DataFrame, later: DataFrame, window: int = WINDOW) -> DataFrame:
+    """The segments under whose windows the words at both places differ: none."""
+    rows = _rows(docs).dropDuplicates(["doc_id", "at"]).withColumn("row", F.shiftright("at", WORD_BITS))
+    asked = _by_row(later.select("doc", "at", "n").union(later.select("lo", "lp", "n")).distinct())
+    both = rows.join(asked, (F.col("doc_id") == F.col("_doc")) & (F.col("row") == F.col("_row")))
 
     def run(batches):
-        mask = (1 << WORD_BITS) - 1
         for batch in batches:
-            out = []
-            for doc, text, ats, ns in zip(*(batch.column(c).to_pylist() for c in ("doc", "text", "ats", "ns")), strict=True):
+            for doc, at, text, spans in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "at", "text", "spans")), strict=True):
                 words = text.split()
-                for at, n in zip(ats, ns, strict=True):
-                    word = at & mask
-                    out.append((doc, at, n, hashlib.sha256(b" ".join(words[word : word + n + window - 1])).digest()))
-            cols = list(zip(*out, strict=True)) or [[]] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["doc", "at", "n", "digest"])
+                out = [(doc, at + s["word"], s["n"], hashlib.sha256(b" ".join(words[s["word"] : s["word"] + s["n"] + window - 1])).digest()) for s in spans]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["doc", "at", "n", "sha"])
 
-    # rows that repeat give a digest each
-    return both.select("doc", "text", "ats", "ns").mapInArrow(run, "doc long, at long, n long, digest binary").distinct()
+    told = materialize(both.select("doc_id", "at", "text", "spans").mapInArrow(run, "doc long, at long, n long, sha binary"), "digests")
+    first = told.select(F.col("doc").alias("lo"), F.col("at").alias("lp"), "n", F.col("sha").alias("first"))
+    checked = later.join(told, ["doc", "at", "n"], "left").join(first, ["lo", "lp", "n"], "left")
+    return checked.where(~F.coalesce(F.col("sha") == F.col("first"), F.lit(False))).select(*later.columns)
 
 
-def spans(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, tries: int = 8) -> tuple[DataFrame, DataFrame]:
-    """The verified segments of all documents, written; and those of them whose
-    windows an earlier document had: doc, at, n, lo, lp."""
+def spans(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> tuple[DataFrame, DataFrame]:
+    """The segments of all documents of different texts, written; and what of each
+    row an earlier document had: doc, at, n (``WHOLE``: all windows), lo, lp."""
     worker_imports(docs.sparkSession)
     rows = _rows(docs)
-    for seed in range(tries):
-        found = materialize(segments(rows, seed, window, anchor), "segments")
-        later = found.where("lo < doc")
-        both = later.select("doc", "at", "n").union(later.select("lo", "lp", "n"))
-        read_ = materialize(digests(rows, both, window), "digests")
-        first = read_.select(F.col("doc").alias("lo"), F.col("at").alias("lp"), "n", F.col("digest").alias("first"))
-        checked = later.join(read_, ["doc", "at", "n"], "left").join(first, ["lo", "lp", "n"], "left")
-        if checked.where(~F.coalesce(F.col("digest") == F.col("first"), F.lit(False))).isEmpty():
-            return found, later
-    raise RuntimeError(f"windows of different words had one hash with each of {tries} seeds")
+    again, firsts = copies(rows)
+    found = materialize(segments(rows, again, firsts, window, anchor), "segments")
+    whole = again.select("doc", "at", F.lit(WHOLE).cast("long").alias("n"), "lo", F.col("at").alias("lp"))
+    return found, found.where("lo < doc").unionByName(whole)
 
 
 def paths(found: DataFrame) -> DataFrame:
@@ -263,21 +323,20 @@ def without_repeats(docs: DataFrame, later: DataFrame | None = None, window: int
     """``docs`` with the covered words taken out of the text (the others joined by one
     space), their number before (``n_words``) and how many went (``n_removed``)."""
     later = spans(docs, window)[1] if later is None else later
-    by_row = later.groupBy(F.col("doc").alias("_doc"), F.shiftright("at", WORD_BITS).alias("_row")).agg(F.collect_list(F.struct(F.col("at").bitwiseAND(F.lit((1 << WORD_BITS) - 1)).alias("at"), "n")).alias("_spans"))
-    by_row = small_side(materialize(by_row.select("_doc", "_row", F.transform("_spans", lambda s: s["at"]).alias("ats"), F.transform("_spans", lambda s: s["n"]).alias("ns")), "spans"))
+    by_row = small_side(materialize(_by_row(later), "spans"))
     rows, names = apart(docs.drop("n_words", "n_removed"))
-    rows = rows.withColumns({"_doc": F.col(names["doc_id"]).cast("long"), "_row": F.xxhash64(names["text"]).bitwiseAND(F.lit(0xFFFFFFFF))})
-    both = rows.join(by_row, ["_doc", "_row"], "left").select(*names.values(), "ats", "ns")
+    rows = rows.withColumns({"_doc": F.col(names["doc_id"]).cast("long"), "_row": F.shiftright(_place(names["text"]), WORD_BITS)})
+    both = rows.join(by_row, ["_doc", "_row"], "left").select(*names.values(), "spans")
     where = list(names).index("text")
 
     def cut(batches):
         for batch in batches:
             kept, words_n, gone_n = [], [], []
-            for text, ats, ns in zip(batch.column(where).cast(pa.binary()).to_pylist(), batch.column("ats").to_pylist(), batch.column("ns").to_pylist(), strict=True):
+            for text, spans in zip(batch.column(where).cast(pa.binary()).to_pylist(), batch.column("spans").to_pylist(), strict=True):
                 words = (text or b"").split()
                 gone = np.zeros(len(words), bool)
-                for at, n in zip(ats or (), ns or (), strict=True):
-                    gone[at : at + n + window - 1] = True
+                for one in spans or () if len(words) >= window else ():
+                    gone[one["word"] : one["word"] + one["n"] + window - 1] = True
                 words_n.append(len(words))
                 gone_n.append(int(gone.sum()))
                 kept.append(None if text is None else b" ".join([words[i] for i in np.flatnonzero(~gone)] if gone_n[-1] else words))
@@ -291,29 +350,33 @@ def without_repeats(docs: DataFrame, later: DataFrame | None = None, window: int
 
 def op11_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The contract's columns, and how many windows the nonbranching path has on
-    which the document's first repeated window lies."""
+    which the document's first window lies that one of another text has too."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     found, later = spans(docs)
-    key = F.shiftright("at", WORD_BITS)
-    first = found.groupBy("doc", key.alias("row")).agg(F.min_by(F.struct("lo", "lp"), "at").alias("f")).select(F.col("doc").alias("_doc"), F.col("row").alias("_row"), "f.*")
-    first = small_side(materialize(first.join(paths(found), ["lo", "lp"]).select("_doc", "_row", F.col("path_windows").alias("first_path")), "first"))
-    kept = without_repeats(docs.withColumn("row", F.xxhash64("text").bitwiseAND(F.lit(0xFFFFFFFF))), later)
+    copied = later.where(F.col("n") == WHOLE).select("doc", F.shiftright("at", WORD_BITS).alias("row"), "lo")
+    first = found.groupBy("doc", F.shiftright("at", WORD_BITS).alias("row")).agg(F.min_by(F.struct("lo", "lp"), "at").alias("f")).select("doc", "row", "f.*")
+    first = materialize(first.join(paths(found), ["lo", "lp"]).select("doc", "row", F.col("path_windows").alias("first_path")), "first")
+    # a copy runs through the paths of the row that stands for it
+    more = copied.join(first.withColumnRenamed("doc", "lo"), ["lo", "row"]).select("doc", "row", "first_path")
+    first = small_side(materialize(first.unionByName(more), "all-first")).withColumnsRenamed({"doc": "_doc", "row": "_row"})
+    kept = without_repeats(docs.withColumn("row", F.shiftright(_place("text"), WORD_BITS)), later)
     kept = kept.join(first, (F.col("doc_id") == F.col("_doc")) & (F.col("row") == F.col("_row")), "left")
     sha = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256")
     return kept.select("doc_id", "n_words", "n_removed", sha, F.coalesce("first_path", F.lit(0)).cast("long").alias("first_path"))
 
 
 ORACLE = {
-    "op11_repeats": f"""WITH RECURSIVE d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, coalesce(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+'), []::VARCHAR[]) AS w FROM documents),
-p AS MATERIALIZED (SELECT r, doc_id, i, sha256(array_to_string(w[i:i + {WINDOW - 1}], ' ')) AS k FROM d, range(1, len(w) - {WINDOW - 2}) t(i) WHERE doc_id IS NOT NULL),
+    "op11_repeats": f"""WITH RECURSIVE d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, text, min(doc_id) OVER (PARTITION BY text) AS rep, coalesce(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+'), []::VARCHAR[]) AS w FROM documents),
+p AS MATERIALIZED (SELECT r, doc_id, rep, text, i, sha256(array_to_string(w[i:i + {WINDOW - 1}], ' ')) AS k FROM d, range(1, len(w) - {WINDOW - 2}) t(i) WHERE doc_id IS NOT NULL),
 m AS MATERIALIZED (SELECT k, min(doc_id) AS lo FROM p GROUP BY 1 HAVING min(doc_id) < max(doc_id)),
-q AS MATERIALIZED (SELECT r, doc_id, i, k, lo FROM p JOIN m USING (k)),
-g AS (SELECT DISTINCT r, unnest(range(i, i + {WINDOW})) AS i FROM q WHERE lo < doc_id),
+g AS (SELECT DISTINCT r, unnest(range(i, i + {WINDOW})) AS i FROM p JOIN m USING (k) WHERE lo < doc_id),
+m2 AS MATERIALIZED (SELECT k FROM p WHERE doc_id = rep GROUP BY 1 HAVING min(doc_id) < max(doc_id)),
+q AS MATERIALIZED (SELECT r, doc_id, text, i, k FROM p JOIN m2 USING (k) WHERE doc_id = rep),
 x AS (SELECT r, i, w[i] AS word FROM d, range(1, len(w) + 1) t(i)),
 s AS (SELECT r, string_agg(word, ' ' ORDER BY i) AS kept, count(*) AS n FROM x ANTI JOIN g USING (r, i) GROUP BY 1),
 l AS MATERIALIZED (SELECT DISTINCT a.k AS a, b.k AS b FROM q a JOIN q b ON a.r = b.r AND b.i = a.i + 1),
 u AS MATERIALIZED (SELECT a, b FROM l WHERE a <> b AND a IN (SELECT a FROM l GROUP BY a HAVING count(*) = 1) AND b IN (SELECT b FROM l GROUP BY b HAVING count(*) = 1)),
-c(s, k, n) AS (SELECT k, k, 1 FROM m WHERE k NOT IN (SELECT b FROM u) UNION ALL SELECT s, b, n + 1 FROM c JOIN u ON k = a),
-f AS (SELECT r, z.n AS first_path FROM (SELECT r, arg_min(k, i) AS k FROM q GROUP BY 1) JOIN c USING (k) JOIN (SELECT s, max(n) AS n FROM c GROUP BY 1) z USING (s))
-SELECT doc_id, len(w) AS n_words, len(w) - coalesce(s.n, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256, coalesce(first_path, 0)::BIGINT AS first_path FROM d LEFT JOIN s USING (r) LEFT JOIN f USING (r)""",
+c(s, k, n) AS (SELECT k, k, 1 FROM m2 WHERE k NOT IN (SELECT b FROM u) UNION ALL SELECT s, b, n + 1 FROM c JOIN u ON k = a),
+f AS (SELECT text, any_value(z.n) AS first_path FROM (SELECT r, text, arg_min(k, i) AS k FROM q GROUP BY 1, 2) JOIN c USING (k) JOIN (SELECT s, max(n) AS n FROM c GROUP BY 1) z USING (s) GROUP BY 1)
+SELECT doc_id, len(w) AS n_words, len(w) - coalesce(s.n, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256, coalesce(first_path, 0)::BIGINT AS first_path FROM d LEFT JOIN s USING (r) LEFT JOIN f ON f.text = d.text AND d.doc_id IS NOT NULL""",
 }
