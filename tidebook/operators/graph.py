@@ -7,10 +7,12 @@ only counts to the driver.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidebook.functions.storage import materialize
+from tidebook.functions.storage import discard, materialize
 
 #: Weight of each signal source (fixed values).
 SOURCE_WEIGHTS = {"trigger_fire": 2.0, "user_trigger": 1.5, "user_analysis": 1.0, "trigger_miss": 0.5, "cron_correlation": 1.0, "metadata_tag": 0.8, "bellman_ford_cycle": 2.5}
@@ -140,11 +142,13 @@ def n_hop(edges: DataFrame, market: str, hops: int, min_weight: float) -> DataFr
     return seen
 
 
-def shortest_distances(edges: DataFrame, start: str, min_weight: float, types: list[str] | None = None, max_rounds: int = 100) -> DataFrame:
+def shortest_distances(edges: DataFrame, start: str, min_weight: float, types: list[str] | None = None) -> DataFrame:
     """Least sum of 1 / (1 + |weight|) from one market to all, with the path and
     the edge types along it, over edges of some types if asked.
 
-    Only markets whose distance fell in a round send in the next one.
+    Only markets whose distance fell in a round send in the next one, until none
+    falls; costs are above zero, so that comes after as many rounds as the longest
+    of the cheapest paths has links.
     """
     kept = edges.where(F.abs("weight") >= min_weight)
     kept = kept.where(F.col("edge_type").isin(types)) if types else kept
@@ -152,13 +156,14 @@ def shortest_distances(edges: DataFrame, start: str, min_weight: float, types: l
     links = materialize(links.select("src", "dst", (1 / (1 + F.col("l.w"))).alias("cost"), F.col("l.edge_type").alias("kind")), "links")
     spark = edges.sparkSession
     best = materialize(spark.createDataFrame([(start, 0.0, [start], [], True)], "market string, dist double, path array<string>, types array<string>, fresh boolean"), "dist")
-    for _ in range(max_rounds):
+    while not best.where("fresh").isEmpty():
         sent = best.where("fresh").join(links, F.col("market") == F.col("src")).select(F.col("dst").alias("market"), (F.col("dist") + F.col("cost")).alias("dist"), F.concat("path", F.array("dst")).alias("path"), F.concat("types", F.array("kind")).alias("types"), F.lit(True).alias("fresh"))
         every = best.withColumn("fresh", F.lit(False)).unionByName(sent)
-        best = materialize(every.groupBy("market").agg(F.min(F.struct(F.round("dist", 12).alias("d"), "path", "fresh", "types", "dist")).alias("b")).select("market", "b.dist", "b.path", "b.types", "b.fresh"), "dist")
-        if best.where("fresh").isEmpty():
-            return best.drop("fresh")
-    raise RuntimeError(f"distances still fall after {max_rounds} rounds")
+        new = materialize(every.groupBy("market").agg(F.min(F.struct(F.round("dist", 12).alias("d"), "path", "fresh", "types", "dist")).alias("b")).select("market", "b.dist", "b.path", "b.types", "b.fresh"), "dist")
+        discard(best)
+        best = new
+    discard(links)
+    return best.drop("fresh")
 
 
 def shortest_path(edges: DataFrame, start: str, end: str, min_weight: float = 0.0, types: list[str] | None = None) -> DataFrame:
@@ -191,35 +196,70 @@ def signed_links(edges: DataFrame, min_weight: float) -> DataFrame:
     return links.select("src", "dst", "l.w", (F.col("l.edge_type") == "hedge").cast("int").alias("hedge"))
 
 
-def negative_cycles(edges: DataFrame, max_len: int, min_weight: float) -> DataFrame:
-    """Cycles of three or more markets whose weights, hedges negated, sum below
-    zero; each once, from its smallest market towards its smaller neighbour.
-
-    A path goes on only while it can still close below zero: with the links
-    left all at the least weight that leaves its end.
+def _least_walks(links: DataFrame, steps: int) -> DataFrame:
+    """market, least: the least sum of 1, 2, ... links in a row from each market."""
+    found = links.groupBy(F.col("src").alias("market")).agg(F.array(F.min("w")).alias("least"))
+    for _ in range(steps - 1):
+        after = links.join(found, F.col("dst") == F.col("market")).groupBy("src").agg(F.min(F.col("w") + F.element_at("least", -1)).alias("more"))
+        found = found.join(after, F.col("market") == F.col("src")).select("market", F.concat("least", F.array("more")).alias("least"))
+    return found
+
+
+def _half_paths(links: DataFrame, walks: DataFrame, longest: int, lengths: list[int], below: float) -> list[DataFrame]:
+    """Paths of 1, 2, ... links from the least market of a cycle, in order of
+    degree: start, end, head (the market after the start), the markets in between,
+    total and hedges. A path stays while some walk back could close it below."""
+    of = lambda name: walks.select(F.col("market").alias(name), F.col("least").alias(f"{name}_least"))
+
+    def can(steps: int):
+        back = lambda n: F.greatest(F.get("start_least", n - steps - 1), F.get("end_least", n - steps - 1))
+        one = [F.col("total") + back(n) < below for n in lengths if steps <= n - n // 2]
+        return reduce(Column.__or__, one)
+
+    step = links.select(F.col("src").alias("end"), "dst", "dst_degree", "w", "hedge")
+    above = lambda degree, market: (F.col(degree) > F.col("start_degree")) | ((F.col(degree) == F.col("start_degree")) & (F.col(market) > F.col("start")))
+    path = links.select(F.col("src").alias("start"), F.col("src_degree").alias("start_degree"), F.col("dst").alias("end"), "dst_degree", F.col("dst").alias("head"), F.array().cast("array<string>").alias("between"), F.col("w").alias("total"), F.col("hedge").alias("hedges"))
+    path = path.where(above("dst_degree", "end")).drop("dst_degree").join(of("start"), "start")
+    out = []
+    for k in range(1, longest + 1):
+        if k > 1:
+            path = path.join(step, "end").where(above("dst_degree", "dst") & ~F.array_contains("between", F.col("dst")))
+            path = path.select("start", "start_degree", F.col("dst").alias("end"), "head", F.concat("between", F.array("end")).alias("between"), (F.col("total") + F.col("w")).alias("total"), (F.col("hedges") + F.col("hedge")).alias("hedges"), "start_least")
+        path = materialize(path.join(of("end"), "end").where(can(k)).drop("end_least"), f"paths-{k}")
+        out.append(path)
+    return out
+
+
+def negative_cycles(edges: DataFrame, max_len: int, min_weight: float, below: float = 0.0, min_len: int = 3) -> DataFrame:
+    """Cycles of ``min_len`` (three at least) to ``max_len`` markets whose weights,
+    hedges negated, sum below ``below``; each once, from its smallest market
+    towards its smaller neighbour.
+
+    Meeting halfway: a cycle is two paths from its least market (by degree, then
+    name, so that few paths start at hubs) to the market opposite, half as long
+    as it. Only the half paths are written; they meet in one join on both ends.
     """
-    links = materialize(signed_links(edges, min_weight), "links")
-    # the least a path can still gain: its end's best link, and the graph's best for the rest
-    least = links.agg(F.min("w")).first()[0]
-    if least is None or least >= 0:
-        return _no_cycles(edges)
-    ends = links.groupBy(F.col("src").alias("at")).agg(F.min("w").alias("best"))
-    can = lambda left: F.col("total") + F.least(F.col("best"), F.lit(0.0)) + (left - 1) * least < 0
-    front = links.where("dst > src").select(F.array("src", "dst").alias("path"), F.col("dst").alias("at"), F.col("src").alias("start"), F.col("w").alias("total"), F.col("hedge").alias("hedges"))
-    out = None
-    for n in range(3, max_len + 1):
-        step = links.select(F.col("src").alias("at"), "dst", "w", "hedge")
-        # n - 1 links are in the path after this step; max_len + 2 - n are left before it
-        front = front.join(ends, "at").where(can(max_len + 2 - n)).drop("best").join(step, "at").where((F.col("dst") > F.col("start")) & ~F.array_contains("path", F.col("dst")))
-        # paths of full length only close: towards the smaller neighbour, and nothing reads them again
-        front = front.where(F.get("path", 1) < F.col("dst")) if n == max_len else front
-        front = front.select(F.concat("path", F.array("dst")).alias("path"), F.col("dst").alias("at"), "start", (F.col("total") + F.col("w")).alias("total"), (F.col("hedges") + F.col("hedge")).alias("hedges"))
-        front = front if n == max_len else materialize(front, "cycles")
-        close = links.select(F.col("src").alias("at"), F.col("dst").alias("start"), "w", "hedge")
-        done = front.where(F.get("path", 1) < F.col("at")).join(close, ["at", "start"]).select("path", (F.col("total") + F.col("w")).alias("total"), (F.col("hedges") + F.col("hedge")).alias("hedges"), F.lit(n).alias("n")).where("total < 0")
-        out = done if out is None else out.unionByName(done)
-    kind = F.when(F.col("hedges") * 2 > F.col("n"), "hedge_loop").otherwise("inverse_correlation")
-    return out.select(F.array_join("path", "->").alias("cycle"), "n", "total", kind.alias("kind"))
+    links = signed_links(edges, min_weight)
+    degree = links.groupBy(F.col("src").alias("market")).agg(F.count(F.lit(1)).alias("degree"))
+    ends = lambda c: degree.select(F.col("market").alias(c), F.col("degree").alias(f"{c}_degree"))
+    links = materialize(links.join(ends("src"), "src").join(ends("dst"), "dst"), "links")
+    lengths = list(range(max(3, min_len), max_len + 1))
+    walks = materialize(_least_walks(links, max_len - 1), "walks")
+    half = _half_paths(links, walks, max_len - max_len // 2, lengths, below)
+    out = _no_cycles(edges)
+    for n in lengths:
+        one = half[n - n // 2 - 1].select("start", "end", "head", "between", "total", "hedges")
+        two = half[n // 2 - 1].select("start", "end", F.col("head").alias("tail"), F.reverse("between").alias("back"), F.col("total").alias("rest"), F.col("hedges").alias("more"))
+        met = one.join(two, ["start", "end"]).where((F.col("head") < F.col("tail")) & (F.col("total") + F.col("rest") < below) & ~F.arrays_overlap("between", "back"))
+        ring = F.concat(F.array("start"), F.col("between"), F.array("end"), F.col("back"))
+        met = met.select(ring.alias("ring"), (F.col("total") + F.col("rest")).alias("total"), (F.col("hedges") + F.col("more")).alias("hedges"))
+        # from the smallest market on, in the direction of its smaller neighbour
+        first = F.array_position("ring", F.array_min("ring")).cast("int")
+        turned = met.withColumn("ring", F.concat(F.slice("ring", first, n), F.slice("ring", F.lit(1), first - 1)))
+        turned = turned.withColumn("ring", F.when(F.get("ring", 1) < F.element_at("ring", -1), F.col("ring")).otherwise(F.concat(F.slice("ring", 1, 1), F.reverse(F.slice("ring", 2, n - 1)))))
+        kind = F.when(F.col("hedges") * 2 > n, "hedge_loop").otherwise("inverse_correlation")
+        out = out.unionByName(turned.select(F.array_join("ring", "->").alias("cycle"), F.lit(n).alias("n"), "total", kind.alias("kind")))
+    return out
 
 
 def _no_cycles(edges: DataFrame) -> DataFrame:

@@ -38,21 +38,45 @@ def chain_sequence(accepted: DataFrame) -> DataFrame:
 
 
 def gap_resolution_summary(gaps: DataFrame, as_of: int) -> DataFrame:
+    """Gaps by resolution, and the share of all gaps that are resolved (100 of none)."""
     stale = (F.col("resolution") == "PENDING") & (F.col("detected_us") < as_of - 3_600_000_000)
-    return gaps.groupBy("resolution").agg(F.count(F.lit(1)).alias("gaps"), F.avg("gap_duration_ms").alias("avg_ms"), F.max("gap_duration_ms").alias("max_ms"), F.count_if(stale).alias("stale_pending"))
+    each = gaps.groupBy("resolution").agg(F.count(F.lit(1)).alias("gaps"), F.avg("gap_duration_ms").alias("avg_ms"), F.max("gap_duration_ms").alias("max_ms"), F.count_if(stale).alias("stale_pending"))
+    fixed = F.coalesce(F.sum(F.when(F.col("resolution") == "RESOLVED", F.col("gaps"))), F.lit(0))
+    # one row of two numbers
+    rate = each.agg((fixed * 100 / F.sum("gaps")).alias("resolution_rate"))
+    return each.join(F.broadcast(rate))
 
 
-def gap_resync_match(gaps: DataFrame, ticks: DataFrame) -> DataFrame:
-    """Resolved gaps with and without a resync tick in the 5 minutes after."""
+def _with_resyncs(gaps: DataFrame, ticks: DataFrame, until) -> DataFrame:
+    """Resolved gaps with the number of resyncs from their detection to ``until``."""
     from tidebook.functions.temporal import interval_join
 
-    fixed = gaps.where("resolution = 'RESOLVED'").select("asset_id", "detected_us", "event_id")
+    fixed = gaps.where("resolution = 'RESOLVED'").select("asset_id", "detected_us", "event_id", until.alias("until_us"))
     resync = ticks.where("is_resync").select("asset_id", "source_us")
-    joined = interval_join(fixed, resync, ["asset_id"], "source_us", F.col("detected_us"), F.col("detected_us") + 300_000_000, 300_000_000, "left")
-    each = joined.groupBy("l.asset_id", "l.event_id").agg(F.count("r.source_us").alias("n"))
+    joined = interval_join(fixed, resync, ["asset_id"], "source_us", F.col("detected_us"), F.col("until_us"), 300_000_000, "left")
+    return joined.groupBy("l.asset_id", "l.event_id").agg(F.count("r.source_us").alias("n"))
+
+
+def gap_resync_match(gaps: DataFrame, ticks: DataFrame) -> DataFrame:
+    """Resolved gaps with and without a resync tick in the 5 minutes after."""
+    each = _with_resyncs(gaps, ticks, F.col("detected_us") + 300_000_000)
     return each.groupBy("asset_id").agg(F.count(F.lit(1)).alias("resolved"), F.count_if(F.col("n") == 0).alias("without_resync"))
 
 
+def gap_resync_windows(gaps: DataFrame, ticks: DataFrame, slack_us: int = 60_000_000) -> DataFrame:
+    """Each resolved gap with the resyncs from its detection to a minute after it
+    would have ended (detection and its length), and whether there is one."""
+    end = (F.col("detected_us") + F.col("gap_duration_ms") * 1000).cast("long")
+    each = _with_resyncs(gaps, ticks, end + slack_us)
+    return each.select("asset_id", "event_id", F.col("n").alias("resyncs"), (F.col("n") > 0).alias("resynced"))
+
+
+def gap_resync_totals(windows: DataFrame) -> DataFrame:
+    """Assets with gaps and with resyncs, gaps, and gaps with a resync."""
+    by_asset = windows.groupBy("asset_id").agg(F.count(F.lit(1)).alias("gaps"), F.count_if("resynced").alias("fixed"))
+    return by_asset.agg(F.count(F.lit(1)).alias("gap_assets"), F.count_if(F.col("fixed") > 0).alias("resync_assets"), F.sum("gaps").alias("total_gaps"), F.sum("fixed").alias("gaps_with_resync"))
+
+
 def stale_assets(ticks: DataFrame, as_of: int, min_rows: int = 10) -> DataFrame:
     recent = ticks.where(F.col("source_us") > as_of - 7 * DAY_US)
     rows = recent.groupBy("asset_id").agg(F.max("source_us").alias("last_us"), F.count(F.lit(1)).alias("n")).where(F.col("n") > min_rows)

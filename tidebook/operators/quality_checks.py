@@ -88,6 +88,13 @@ def monotonic(ticks: DataFrame) -> DataFrame:
     return rows.groupBy("asset_id").agg(F.count(F.lit(1)).alias("n"), F.count_if("back").alias("regressions"))
 
 
+def chronological(trades: DataFrame, arrival: str = "event_id") -> DataFrame:
+    """Trades whose time lies before that of the trade that came before them."""
+    w = Window.partitionBy("asset_id").orderBy(arrival)
+    rows = trades.withColumn("back", F.col("source_us") < F.lag("source_us").over(w))
+    return rows.groupBy("asset_id").agg(F.count(F.lit(1)).alias("n"), F.count_if("back").alias("regressions"))
+
+
 def hash_change_rate(ticks: DataFrame, min_rows: int = 5) -> DataFrame:
     each = ticks.groupBy("asset_id").agg(F.countDistinct("book_hash").alias("h"), F.count(F.lit(1)).alias("n")).where(F.col("n") > min_rows)
     return each.agg(F.count(F.lit(1)).alias("assets"), F.avg(F.col("h") / F.col("n")).alias("avg_rate"), F.min(F.col("h") / F.col("n")).alias("min_rate"))
@@ -122,13 +129,16 @@ def bbo_vs_l2(ticks: DataFrame, snaps: DataFrame) -> DataFrame:
     return l.join(r, ["asset_id", "sec"]).agg(F.count(F.lit(1)).alias("pairs"), F.count_if(F.abs(F.col("best_bid") - F.col("b")) > 1e-9).alias("bid_differs"), F.count_if(F.abs(F.col("best_ask") - F.col("a")) > 1e-9).alias("ask_differs"), F.avg(F.abs(F.col("t") - F.col("u"))).alias("avg_us"))
 
 
-def trade_vs_quote(trades: DataFrame, ticks: DataFrame, slack: float = 0.01) -> DataFrame:
-    """Trades outside the quote that was in force."""
+def trade_vs_quote(trades: DataFrame, ticks: DataFrame, slack: float = 0.01, side_slack: float = 0.001) -> DataFrame:
+    """Trades outside the quote that was in force: beyond either side by ``slack``,
+    buys below the bid and sells above the ask by ``side_slack``. Quotes of one
+    side only aren't held against."""
     rows = asof_join(trades.select("asset_id", "source_us", "event_id", "price", "side"), ticks.where("best_bid is not null"), ["asset_id"], "source_us", ["best_bid", "best_ask"])
-    seen = F.col("asof_best_bid").isNotNull()
+    bid, ask, price, edge = F.col("asof_best_bid"), F.col("asof_best_ask"), F.col("price"), 1e-9
+    held = (bid > 0) & (ask > 0)
     return rows.agg(
-        F.count(F.lit(1)).alias("n"), F.count_if(seen).alias("quoted"), F.count_if(F.col("price") > F.col("asof_best_ask") + slack + 1e-9).alias("above"), F.count_if(F.col("price") < F.col("asof_best_bid") - slack - 1e-9).alias("below"),
-        F.count_if((F.col("side") == "BUY") & (F.col("price") < F.col("asof_best_ask") - 0.001 - 1e-9)).alias("buy_inside"),
+        F.count(F.lit(1)).alias("n"), F.count_if(held).alias("quoted"), F.count_if(held & (price > ask + slack + edge)).alias("above"), F.count_if(held & (price < bid - slack - edge)).alias("below"),
+        F.count_if(held & (F.col("side") == "BUY") & (price < bid - side_slack - edge)).alias("buy_below_bid"), F.count_if(held & (F.col("side") == "SELL") & (price > ask + side_slack + edge)).alias("sell_above_ask"),
     )
 
 
@@ -140,6 +150,19 @@ def depth_vs_deltas(snaps: DataFrame, changes: DataFrame) -> DataFrame:
     return d.join(c, ["asset_id", "minute"], "left").withColumns({"deltas": F.coalesce("deltas", F.lit(0)), "net": F.coalesce("net", F.lit(0.0))})
 
 
+def deltas_in_depth(snaps: DataFrame, changes: DataFrame) -> DataFrame:
+    """Minutes of an asset that have changes and snapshots: how much changed, and
+    by how much the depth of either side moved."""
+    minute = F.floor(F.col("source_us") / 60_000_000).alias("minute")
+    total = lambda c: F.aggregate(c, F.lit(0.0), lambda s, x: s + x)
+    moved = lambda c: F.max(total(c)) - F.min(total(c))
+    d = snaps.groupBy("asset_id", minute).agg(moved("bid_sizes").alias("bid_range"), moved("ask_sizes").alias("ask_range"), F.count(F.lit(1)).alias("snaps"))
+    c = changes.groupBy("asset_id", minute).agg(F.count(F.lit(1)).alias("changes"), F.sum(F.abs("size_delta")).alias("changed"))
+    both = c.join(d, ["asset_id", "minute"])
+    moves = (F.col("bid_range") > 0) | (F.col("ask_range") > 0)
+    return both.agg(F.count(F.lit(1)).alias("minutes"), F.count_if((F.col("changed") > 0) & (F.col("snaps") > 0)).alias("active"), F.avg("changes").alias("avg_changes"), F.count_if((F.col("changed") > 0) & moves).alias("reflected"))
+
+
 def snapshot_pairs(snaps: DataFrame, changes: DataFrame, width: int = 60_000_000) -> DataFrame:
     """Neighbouring snapshots at most a minute apart, and changes in between."""
     w = Window.partitionBy("asset_id").orderBy("source_us", "event_id")
@@ -155,11 +178,28 @@ def coverage(left: DataFrame, right: DataFrame) -> DataFrame:
     return l.join(r, "asset_id", "full").agg(F.count_if(F.col("l") & F.col("r")).alias("both"), F.count_if(F.col("r").isNull()).alias("left_only"), F.count_if(F.col("l").isNull()).alias("right_only"))
 
 
-def table_drift(left: DataFrame, right: DataFrame, tolerance: float = 0.01) -> DataFrame:
-    """Latest quotes of two copies: relative drift and spread difference."""
+def snapshot_frequency(snaps: DataFrame, min_minutes: int = 60, worst: int = 20) -> DataFrame:
+    """Minutes a snapshot of the assets that were watched for over an hour, the
+    least often seen first. Minutes are those of the clock that were crossed."""
+    minute = lambda c: F.floor(c / 60_000_000)
+    rows = snaps.groupBy("asset_id").agg(F.count(F.lit(1)).alias("snapshots"), F.min("source_us").alias("first_us"), F.max("source_us").alias("last_us"))
+    rows = rows.withColumn("minutes", minute(F.col("last_us")) - minute(F.col("first_us"))).where(F.col("minutes") > min_minutes)
+    rows = rows.withColumn("minutes_per_snapshot", F.col("minutes") / F.col("snapshots"))
+    return rows.orderBy(F.desc("minutes_per_snapshot"), "asset_id").limit(worst)
+
+
+def table_drift(left: DataFrame, right: DataFrame, tolerance: float = 0.01, spread_bps: float = 5.0) -> DataFrame:
+    """Latest quotes of two copies: relative drift, and spreads (the stored one of
+    the left, that of the right's mid) that differ by over ``spread_bps``."""
     rel = lambda a, b: F.abs(F.col(a) - F.col(b)) / F.greatest(F.abs(F.col(a)), F.abs(F.col(b)), F.lit(1e-9))
     both = left.withColumnsRenamed({c: f"l_{c}" for c in left.columns if c != "asset_id"}).join(right.withColumnsRenamed({c: f"r_{c}" for c in right.columns if c != "asset_id"}), "asset_id")
-    return both.agg(F.count(F.lit(1)).alias("assets"), F.count_if(rel("l_best_bid", "r_best_bid") > tolerance).alias("bid_drift"), F.count_if(rel("l_best_ask", "r_best_ask") > tolerance).alias("ask_drift"), F.count_if(rel("l_bid_size", "r_bid_size") > 0.25).alias("depth_drift"))
+    live = (F.col("r_best_ask") - F.col("r_best_bid")) / ((F.col("r_best_ask") + F.col("r_best_bid")) / 2) * 10_000
+    sided = (F.col("l_best_bid") > 0) & (F.col("l_best_ask") > 0) & (F.col("r_best_bid") > 0) & (F.col("r_best_ask") > 0)
+    off = F.abs(F.col("l_spread_bps") - live)
+    return both.agg(
+        F.count(F.lit(1)).alias("assets"), F.count_if(rel("l_best_bid", "r_best_bid") > tolerance).alias("bid_drift"), F.count_if(rel("l_best_ask", "r_best_ask") > tolerance).alias("ask_drift"), F.count_if(rel("l_bid_size", "r_bid_size") > 0.25).alias("depth_drift"),
+        F.count_if(sided & (off <= spread_bps)).alias("spread_match"), F.count_if(sided & (off > spread_bps)).alias("spread_drift"), F.count_if(~F.coalesce(sided & off.isNotNull(), F.lit(False))).alias("spread_skipped"),
+    )
 
 
 def schema_contract(table: DataFrame, name: str, contract: dict[str, str]) -> DataFrame:

@@ -320,6 +320,10 @@ def fleet_rollup(shards: DataFrame, expected: int = 25) -> DataFrame:
     return rows.withColumn("status", F.when(bad, "critical").when(warn, "degraded").otherwise("healthy"))
 
 
+#: The shortest and the longest cooldown of a rule (fixed values).
+COOLDOWN_MS = (100, 3_600_000)
+
+
 def validate_rules(rules: DataFrame, per_asset: int = 50) -> DataFrame:
     """Rules with the list of what is wrong with each; empty for good ones.
 
@@ -339,7 +343,7 @@ def validate_rules(rules: DataFrame, per_asset: int = 50) -> DataFrame:
             F.when(kind.isin("PRICE_MOVE", "VOLATILITY_SPIKE") & (window > 60_000), "window over 60 s"),
             F.when(kind.isin("ARBITRAGE_BUY", "ARBITRAGE_SELL") & F.coalesce(F.col("counterpart_asset_id") == "", F.lit(True)), "counterpart missing"),
             F.when((kind == "MULTI_OUTCOME_ARBITRAGE") & (F.coalesce(F.size("outcome_asset_ids"), F.lit(0)) < 2), "outcomes missing"),
-            F.when((F.col("cooldown_ms") < 0) | (F.col("cooldown_ms") > 3_600_000), "cooldown out of bounds"),
+            F.when(~F.col("cooldown_ms").between(*COOLDOWN_MS), "cooldown out of bounds"),
             F.when(rank > per_asset, "too many rules for the asset"),
         )
     )

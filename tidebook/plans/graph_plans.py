@@ -111,11 +111,12 @@ def signal_counts(spark, d):
     return graph.signal_counts(tables.edge_signals(spark, d))
 
 
-@query(sql(f"""WITH d AS ({_DIR}), k AS (SELECT DISTINCT src, dst FROM d WHERE weight > 0.1), h0 AS (SELECT '{_FROM}' AS market), h1 AS (SELECT DISTINCT dst AS market FROM k JOIN h0 ON src = market WHERE dst NOT IN (SELECT market FROM h0)),
-h2 AS (SELECT DISTINCT dst AS market FROM k JOIN h1 ON src = market WHERE dst NOT IN (SELECT market FROM h0 UNION ALL SELECT market FROM h1)), h3 AS (SELECT DISTINCT dst AS market FROM k JOIN h2 ON src = market WHERE dst NOT IN (SELECT market FROM h0 UNION ALL SELECT market FROM h1 UNION ALL SELECT market FROM h2))
-SELECT market, 0 AS dist FROM h0 UNION ALL SELECT market, 1 FROM h1 UNION ALL SELECT market, 2 FROM h2 UNION ALL SELECT market, 3 FROM h3""", "edges"))
+_HOPS = ", ".join(f"h{i} AS (SELECT dst AS market, min(list_append(path, dst)) AS path FROM k JOIN h{i - 1} ON src = market WHERE dst NOT IN ({' UNION ALL '.join(f'SELECT market FROM h{j}' for j in range(i))}) GROUP BY 1)" for i in range(1, 4))
+
+
+@query(sql(f"WITH d AS ({_DIR}), k AS (SELECT DISTINCT src, dst FROM d WHERE weight > 0.1), h0 AS (SELECT '{_FROM}' AS market, ['{_FROM}'] AS path), {_HOPS} " + " UNION ALL ".join(f"SELECT market, {i} AS dist, array_to_string(path, '->') AS path FROM h{i}" for i in range(4)), "edges"))
 def n_hop(spark, d):
-    return graph.n_hop(_loaded(spark, d), _FROM, 3, 0.0).select("market", "dist")
+    return graph.n_hop(_loaded(spark, d), _FROM, 3, 0.0).select("market", "dist", F.array_join("path", "->").alias("path"))
 
 
 @query(sql(f"""WITH RECURSIVE d AS ({_DIR}), k AS (SELECT src, dst, 1 / (1 + max(weight)) AS cost, arg_max(edge_type, (weight, edge_type)) AS kind FROM d WHERE weight > 0.1 AND edge_type IN ('correlation', 'hedge', 'causal') GROUP BY 1, 2),
@@ -134,23 +135,44 @@ def arbitrage_paths(spark, d):
     return graph.arbitrage_paths(_loaded(spark, d), _FROM, 3, 0.5, 100)
 
 
-_CYC = f"""d AS ({_DIR}), l AS (SELECT src, dst, arg_min(edge_type, (w, edge_type)) AS et, min(w) AS w FROM (SELECT *, CASE WHEN edge_type = 'hedge' THEN -abs(weight) ELSE weight END AS w FROM d WHERE weight > 0.1) GROUP BY 1, 2),
-c AS (SELECT a.src || '->' || b.src || '->' || c.src AS cycle, a.w + b.w + c.w AS total, (a.et = 'hedge')::INT + (b.et = 'hedge')::INT + (c.et = 'hedge')::INT AS h FROM l a JOIN l b ON a.dst = b.src JOIN l c ON b.dst = c.src AND c.dst = a.src WHERE a.src < b.src AND b.src < c.src)"""
+_LINKS = f"""d AS ({_DIR}), l AS MATERIALIZED (SELECT src, dst, (arg_min(edge_type, (w, edge_type)) = 'hedge')::INT AS h, min(w) AS w FROM (SELECT *, CASE WHEN edge_type = 'hedge' THEN -abs(weight) ELSE weight END AS w FROM d WHERE weight > 0.1) GROUP BY 1, 2)"""
+# two links from a cycle's smallest market on
+_CYC = f"""{_LINKS}, h2 AS (SELECT x.src AS s, x.dst AS m, y.dst AS t, x.w + y.w AS w, x.h + y.h AS h FROM l x JOIN l y ON x.dst = y.src WHERE x.dst > x.src AND y.dst > x.src),
+c AS (SELECT concat_ws('->', s, m, t) AS cycle, 3 AS n, a.w + l.w AS total, a.h + l.h AS h FROM h2 a JOIN l ON t = src AND s = dst WHERE m < t
+UNION ALL SELECT concat_ws('->', s, a.m, t, b.m), 4, a.w + b.w, a.h + b.h FROM h2 a JOIN h2 b USING (s, t) WHERE a.m < b.m)"""
+_KIND = "CASE WHEN h * 2 > n THEN 'hedge_loop' ELSE 'inverse_correlation' END AS kind"
+#: The longest cycles of the exhaustive queries; longer ones, up to the other length, only from this bad on.
+ALL_CYCLES, DEEP_CYCLES, DEEP_BELOW = 4, 6, -5.0
 
 
-@query(sql(f"WITH {_CYC} SELECT cycle, 3 AS n, round(total, 6) AS total, CASE WHEN h * 2 > 3 THEN 'hedge_loop' ELSE 'inverse_correlation' END AS kind FROM c WHERE total < 0", "edges"))
+@query(sql(f"WITH {_CYC} SELECT cycle, n, round(total, 6) AS total, {_KIND} FROM c WHERE total < 0", "edges"))
 def negative_cycles(spark, d):
-    return rounded(graph.negative_cycles(_loaded(spark, d), 3, LOADED))
+    return rounded(graph.negative_cycles(_loaded(spark, d), ALL_CYCLES, LOADED))
+
+
+# the least sum of one to three links from a market bounds what a half path can still gain
+_DEEP = f"""{_LINKS}, b1 AS (SELECT src AS v, min(w) AS b FROM l GROUP BY 1), b2 AS (SELECT src AS v, min(w + b) AS b FROM l JOIN b1 ON dst = v GROUP BY 1), b3 AS (SELECT src AS v, min(w + b) AS b FROM l JOIN b2 ON dst = v GROUP BY 1),
+h2 AS MATERIALIZED (SELECT x.src AS s, x.dst AS m, y.dst AS t, x.w + y.w AS w, x.h + y.h AS h FROM l x JOIN l y ON x.dst = y.src WHERE x.dst > x.src AND y.dst > x.src),
+bs AS MATERIALIZED (SELECT v, b2.b AS two, b3.b AS three FROM b2 JOIN b3 USING (v)),
+h3 AS MATERIALIZED (SELECT s, m, t AS k, dst AS t, h2.w + l.w AS w, h2.h + l.h AS h FROM h2 JOIN l ON t = src JOIN bs e ON e.v = dst JOIN bs f ON f.v = s WHERE dst > s AND dst <> m AND h2.w + l.w + least(greatest(e.two, f.two), greatest(e.three, f.three)) < {DEEP_BELOW}),
+c AS (SELECT concat_ws('->', s, a.m, a.k, t, b.m) AS cycle, 5 AS n, a.w + b.w AS total, a.h + b.h AS h FROM h3 a JOIN h2 b USING (s, t) WHERE a.m < b.m AND a.k <> b.m
+UNION ALL SELECT concat_ws('->', s, a.m, a.k, t, b.k, b.m), 6, a.w + b.w, a.h + b.h FROM h3 a JOIN h3 b USING (s, t) WHERE a.m < b.m AND a.k <> b.m AND a.k <> b.k AND a.m <> b.k)"""
+
+
+@query(sql(f"WITH {_DEEP} SELECT cycle, n, round(total, 6) AS total, {_KIND} FROM c WHERE total < {DEEP_BELOW}", "edges"))
+def deep_negative_cycles(spark, d):
+    """Cycles of five and six markets, of which there are too many to list all."""
+    return rounded(graph.negative_cycles(_loaded(spark, d), DEEP_CYCLES, LOADED, DEEP_BELOW, ALL_CYCLES + 1))
 
 
-@query(sql(f"WITH {_CYC} SELECT count_if(w < 0) > 0 AS found, count_if(w < 0) // 2 AS pairs FROM l", "edges"))
+@query(sql(f"WITH {_LINKS} SELECT count_if(w < 0) > 0 AS found, count_if(w < 0) // 2 AS pairs FROM l", "edges"))
 def has_negative_cycle(spark, d):
     return graph.has_negative_cycle(_loaded(spark, d), LOADED)
 
 
-@query(sql(f"WITH {_CYC} SELECT md5(cycle) AS cycle_id, cycle, CASE WHEN h * 2 > 3 THEN 'hedge_loop' ELSE 'inverse_correlation' END AS kind, CASE WHEN total < -2 THEN 'high' ELSE 'normal' END AS severity, {AS_OF} AS detected_us FROM c WHERE total < 0", "edges"))
+@query(sql(f"WITH {_CYC} SELECT md5(cycle) AS cycle_id, cycle, {_KIND}, CASE WHEN total < -2 THEN 'high' ELSE 'normal' END AS severity, {AS_OF} AS detected_us FROM c WHERE total < 0", "edges"))
 def cycle_alerts(spark, d):
-    return graph.cycle_alerts(graph.negative_cycles(_loaded(spark, d), 3, LOADED), AS_OF)
+    return graph.cycle_alerts(graph.negative_cycles(_loaded(spark, d), ALL_CYCLES, LOADED), AS_OF)
 
 
 @query(sql(f"WITH d AS ({_DIR}), g AS (SELECT src, count(*) AS d FROM d GROUP BY 1) SELECT count(*) AS vertices, sum(d)::BIGINT AS directed_edges, round(avg(d), 6) AS avg_degree, max(d) AS max_degree, (SELECT count_if(edge_type = 'correlation') FROM edges) AS correlation, (SELECT count_if(edge_type = 'hedge') FROM edges) AS hedge, (SELECT count_if(edge_type = 'causal') FROM edges) AS causal, (SELECT count_if(edge_type = 'arbitrage') FROM edges) AS arbitrage FROM g", "edges"))

@@ -214,7 +214,7 @@ def chain_sequence(spark, d):
     return integrity.chain_sequence(integrity.hash_chain_dedupe(tables.quotes(spark, d))).select("event_id", "asset_id", "chain_seq")
 
 
-@query(sql("SELECT resolution, count(*) AS gaps, round(avg(gap_duration_ms), 6) AS avg_ms, max(gap_duration_ms) AS max_ms, count_if(resolution = 'PENDING' AND detected_us < (SELECT max(source_us) FROM bbo) - 3600000000) AS stale_pending FROM gaps GROUP BY 1", "gaps", "bbo"))
+@query(sql("SELECT resolution, count(*) AS gaps, round(avg(gap_duration_ms), 6) AS avg_ms, max(gap_duration_ms) AS max_ms, count_if(resolution = 'PENDING' AND detected_us < (SELECT max(source_us) FROM bbo) - 3600000000) AS stale_pending, round((SELECT count_if(resolution = 'RESOLVED') * 100 / count(*) FROM gaps), 6) AS resolution_rate FROM gaps GROUP BY 1", "gaps", "bbo"))
 def gap_resolution_summary(spark, d):
     return rounded(integrity.gap_resolution_summary(integrity.with_resolution(_gaps(spark, d)), feed_end(tables.quotes(spark, d))))
 
@@ -226,6 +226,23 @@ def gap_resync_match(spark, d):
     return integrity.gap_resync_match(integrity.with_resolution(_gaps(spark, d)), tables.quotes(spark, d))
 
 
+_RESYNCED = """WITH w AS (SELECT g.asset_id, g.event_id, count(b.source_us) AS resyncs FROM gaps g LEFT JOIN bbo b ON b.asset_id = g.asset_id AND b.is_resync AND b.source_us BETWEEN g.detected_us AND g.detected_us + (g.gap_duration_ms * 1000)::BIGINT + 60000000 WHERE g.resolution = 'RESOLVED' GROUP BY 1, 2)"""
+
+
+def _resync_windows(spark, d):
+    return integrity.gap_resync_windows(integrity.with_resolution(_gaps(spark, d)), tables.quotes(spark, d))
+
+
+@query(sql(f"{_RESYNCED} SELECT asset_id, event_id, resyncs, resyncs > 0 AS resynced FROM w", "gaps", "bbo"))
+def gap_resync_windows(spark, d):
+    return _resync_windows(spark, d)
+
+
+@query(sql(f"{_RESYNCED} SELECT count(DISTINCT asset_id) AS gap_assets, count(DISTINCT CASE WHEN resyncs > 0 THEN asset_id END) AS resync_assets, count(*) AS total_gaps, count_if(resyncs > 0)::BIGINT AS gaps_with_resync FROM w", "gaps", "bbo"))
+def gap_resync_totals(spark, d):
+    return integrity.gap_resync_totals(_resync_windows(spark, d))
+
+
 @query(sql("""WITH t AS (SELECT max(source_us) AS t FROM bbo) SELECT asset_id, count(*) AS n, (SELECT t FROM t) - max(source_us) AS age_us, (SELECT t FROM t) - max(source_us) > 60000000 AS stale_book, (SELECT t FROM t) - max(source_us) > 21600000000 AS stale_6h, (SELECT t FROM t) - max(source_us) > 86400000000 AS stale_1d
  FROM bbo WHERE source_us > (SELECT t FROM t) - 7 * 86400000000 GROUP BY 1 HAVING count(*) > 10""", "bbo"))
 def stale_assets(spark, d):

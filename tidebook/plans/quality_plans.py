@@ -67,11 +67,13 @@ def dq_l2_shape(spark, d):
     return qc.l2_shape(tables.snapshots(spark, d))
 
 
-@query(sql("SELECT count(*) AS n, count_if(abs(b.best_bid - s.bid_prices[-1]) > 1e-9) AS bid_differs, count_if(abs(b.best_ask - s.ask_prices[-1]) > 1e-9) AS ask_differs FROM bbo b JOIN snaps s USING (event_id)", "bbo", "snaps"))
+@query(sql("SELECT count(*) AS n, count_if(abs(b.best_bid - s.bid_prices[-1]) > 1e-9) AS bid_differs, count_if(abs(b.best_ask - s.ask_prices[-1]) > 1e-9) AS ask_differs, count_if(b.best_bid = 0 AND len(s.bid_prices) > 0) AS zero_bid_with_levels, count_if(b.best_ask = 0 AND len(s.ask_prices) > 0) AS zero_ask_with_levels FROM bbo b JOIN snaps s USING (event_id)", "bbo", "snaps"))
 def dq_l2_top_match(spark, d):
     l = tables.quotes(spark, d).select("event_id", "best_bid", "best_ask")
-    r = tables.snapshots(spark, d).select("event_id", F.element_at("bid_prices", -1).alias("b"), F.element_at("ask_prices", -1).alias("a"))
-    return l.join(r, "event_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.abs(F.col("best_bid") - F.col("b")) > 1e-9).alias("bid_differs"), F.count_if(F.abs(F.col("best_ask") - F.col("a")) > 1e-9).alias("ask_differs"))
+    top = [x for side in ("bid", "ask") for x in (F.element_at(f"{side}_prices", -1).alias(side[0]), F.size(f"{side}_prices").alias(f"{side}_levels"))]
+    both = l.join(tables.snapshots(spark, d).select("event_id", *top), "event_id")
+    zero = [F.count_if((F.col(f"best_{x}") == 0) & (F.col(f"{x}_levels") > 0)).alias(f"zero_{x}_with_levels") for x in ("bid", "ask")]
+    return both.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.abs(F.col("best_bid") - F.col("b")) > 1e-9).alias("bid_differs"), F.count_if(F.abs(F.col("best_ask") - F.col("a")) > 1e-9).alias("ask_differs"), *zero)
 
 
 @query(sql("WITH r AS (SELECT 'bbo' AS t, (ingestion_us - source_us) / 1000 AS ms FROM bbo UNION ALL SELECT 'trades', (ingestion_us - source_us) / 1000 FROM trades UNION ALL SELECT 'snaps', (ingestion_us - source_us) / 1000 FROM snaps) SELECT t, round(quantile_cont(ms, 0.5), 6) AS p50, round(quantile_cont(ms, 0.9), 6) AS p90, round(quantile_cont(ms, 0.95), 6) AS p95, round(quantile_cont(ms, 0.99), 6) AS p99, max(ms) AS worst FROM r GROUP BY 1", "bbo", "trades", "snaps"))
@@ -82,9 +84,11 @@ def dq_latency_dist(spark, d):
     return rounded(got.select("t", *[F.col("q")[i].alias(n) for i, n in enumerate(("p50", "p90", "p95", "p99"))], "worst"))
 
 
-@query(sql("SELECT asset_id, count(*) AS n, count_if(back) AS regressions FROM (SELECT *, ingestion_us - lag(ingestion_us) OVER (PARTITION BY asset_id ORDER BY sequence_number, event_id) < 0 AS back FROM bbo) GROUP BY 1", "bbo"))
+@query(sql("""SELECT 'bbo' AS t, asset_id, count(*) AS n, count_if(back) AS regressions FROM (SELECT *, ingestion_us - lag(ingestion_us) OVER (PARTITION BY asset_id ORDER BY sequence_number, event_id) < 0 AS back FROM bbo) GROUP BY 2
+UNION ALL SELECT 'trades', asset_id, count(*), count_if(source_us < prev) FROM (SELECT asset_id, source_us, lag(source_us) OVER (PARTITION BY asset_id ORDER BY event_id) AS prev FROM trades) GROUP BY 2""", "bbo", "trades"))
 def dq_monotonic_ts(spark, d):
-    return qc.monotonic(tables.quotes(spark, d))
+    quotes = qc.monotonic(tables.quotes(spark, d)).select(F.lit("bbo").alias("t"), "*")
+    return quotes.unionByName(qc.chronological(tables.trades(spark, d)).select(F.lit("trades").alias("t"), "*"))
 
 
 @query(sql("SELECT 'bbo' AS t, count_if(source_us > 1704067500000000) AS future, max(source_us) AS newest, (max(source_us) - min(source_us)) // 86400000000 AS days FROM bbo UNION ALL SELECT 'trades', count_if(source_us > 1704067500000000), max(source_us), (max(source_us) - min(source_us)) // 86400000000 FROM trades", "bbo", "trades"))
@@ -148,7 +152,7 @@ def dq_bbo_vs_l2(spark, d):
 
 
 @query(sql("""WITH q AS (SELECT asset_id, source_us, best_bid, best_ask FROM bbo WHERE best_bid IS NOT NULL), j AS (SELECT t.price, t.side, q.best_bid AS b, q.best_ask AS a FROM trades t ASOF LEFT JOIN q ON t.asset_id = q.asset_id AND t.source_us >= q.source_us)
-SELECT count(*) AS n, count_if(b IS NOT NULL) AS quoted, count_if(price > a + 0.01 + 1e-9) AS above, count_if(price < b - 0.01 - 1e-9) AS below, count_if(side = 'BUY' AND price < a - 0.001 - 1e-9) AS buy_inside FROM j""", "trades", "bbo"))
+SELECT count(*) AS n, count_if(b > 0 AND a > 0) AS quoted, count_if(b > 0 AND a > 0 AND price > a + 0.01 + 1e-9) AS above, count_if(b > 0 AND a > 0 AND price < b - 0.01 - 1e-9) AS below, count_if(b > 0 AND a > 0 AND side = 'BUY' AND price < b - 0.001 - 1e-9) AS buy_below_bid, count_if(b > 0 AND a > 0 AND side = 'SELL' AND price > a + 0.001 + 1e-9) AS sell_above_ask FROM j""", "trades", "bbo"))
 def dq_trade_vs_quote(spark, d):
     return qc.trade_vs_quote(tables.trades(spark, d), tables.quotes(spark, d))
 
@@ -159,6 +163,18 @@ def dq_depth_vs_deltas(spark, d):
     return rounded(qc.depth_vs_deltas(tables.snapshots(spark, d), _levels(spark, d)))
 
 
+@query(sql("""WITH s AS (SELECT asset_id, source_us // 60000000 AS minute, max(list_sum(bid_sizes)) - min(list_sum(bid_sizes)) AS b, max(list_sum(ask_sizes)) - min(list_sum(ask_sizes)) AS a, count(*) AS snaps FROM snaps GROUP BY 1, 2), c AS (SELECT asset_id, source_us // 60000000 AS minute, sum(abs(size_delta)) AS changed, count(*) AS changes FROM levels GROUP BY 1, 2)
+SELECT count(*) AS minutes, count_if(changed > 0 AND snaps > 0) AS active, round(avg(changes), 6) AS avg_changes, count_if(changed > 0 AND (b > 0 OR a > 0)) AS reflected FROM c JOIN s USING (asset_id, minute)""", "snaps", "levels"))
+def dq_deltas_in_depth(spark, d):
+    return rounded(qc.deltas_in_depth(tables.snapshots(spark, d), _levels(spark, d)))
+
+
+@query(sql("""SELECT asset_id, count(*) AS snapshots, min(source_us) AS first_us, max(source_us) AS last_us, max(source_us) // 60000000 - min(source_us) // 60000000 AS minutes, round((max(source_us) // 60000000 - min(source_us) // 60000000) / count(*), 6) AS minutes_per_snapshot FROM snaps GROUP BY 1
+HAVING max(source_us) // 60000000 - min(source_us) // 60000000 > 60 ORDER BY minutes_per_snapshot DESC, asset_id LIMIT 20""", "snaps"))
+def dq_snapshot_frequency(spark, d):
+    return rounded(qc.snapshot_frequency(tables.snapshots(spark, d)))
+
+
 @query(sql(f"""WITH p AS (SELECT * FROM (SELECT asset_id, event_id, lag(source_us) {_W} AS f, source_us AS t, lag(book_hash) {_W} <> book_hash AS changed FROM snaps) WHERE t - f <= 60000000),
 e AS (SELECT p.asset_id, p.event_id, count(l.source_us) AS deltas, bool_or(changed) AS changed FROM p LEFT JOIN rawlev l ON l.asset_id = p.asset_id AND l.source_us BETWEEN f + 1 AND t GROUP BY 1, 2)
 SELECT count(*) AS pairs, sum(deltas)::BIGINT AS deltas, count_if(changed) AS changed, count_if(changed AND deltas > 0) AS explained FROM e""", "snaps", "rawlev"))
@@ -200,7 +216,9 @@ _LAST = "QUALIFY row_number() OVER (PARTITION BY asset_id ORDER BY source_us DES
 
 
 @query(sql(f"""WITH l AS (SELECT * FROM bbo {_LAST}), s AS (SELECT asset_id, bid_prices[-1] AS best_bid, ask_prices[-1] AS best_ask, bid_sizes[-1] AS bid_size FROM snaps {_LAST})
-SELECT count(*) AS assets, count_if(abs(l.best_bid - s.best_bid) / greatest(abs(l.best_bid), abs(s.best_bid), 1e-9) > 0.01) AS bid_drift, count_if(abs(l.best_ask - s.best_ask) / greatest(abs(l.best_ask), abs(s.best_ask), 1e-9) > 0.01) AS ask_drift, count_if(abs(l.bid_size - s.bid_size) / greatest(abs(l.bid_size), abs(s.bid_size), 1e-9) > 0.25) AS depth_drift FROM l JOIN s USING (asset_id)""", "bbo", "snaps"))
+SELECT count(*) AS assets, count_if(abs(l.best_bid - s.best_bid) / greatest(abs(l.best_bid), abs(s.best_bid), 1e-9) > 0.01) AS bid_drift, count_if(abs(l.best_ask - s.best_ask) / greatest(abs(l.best_ask), abs(s.best_ask), 1e-9) > 0.01) AS ask_drift, count_if(abs(l.bid_size - s.bid_size) / greatest(abs(l.bid_size), abs(s.bid_size), 1e-9) > 0.25) AS depth_drift,
+ count_if(sided AND off <= 5) AS spread_match, count_if(sided AND off > 5) AS spread_drift, count_if(NOT coalesce(sided AND off IS NOT NULL, false)) AS spread_skipped
+FROM (SELECT *, l.best_bid > 0 AND l.best_ask > 0 AND s.best_bid > 0 AND s.best_ask > 0 AS sided, abs(l.spread_bps - (s.best_ask - s.best_bid) / ((s.best_ask + s.best_bid) / 2) * 10000) AS off FROM l JOIN s USING (asset_id)) x""", "bbo", "snaps"))
 def dq_table_drift(spark, d):
     snaps = tables.snapshots(spark, d).select("asset_id", "source_us", "event_id", F.element_at("bid_prices", -1).alias("best_bid"), F.element_at("ask_prices", -1).alias("best_ask"), F.element_at("bid_sizes", -1).alias("bid_size"), F.element_at("ask_sizes", -1).alias("ask_size"))
     return qc.table_drift(markets.latest_bbo(tables.quotes(spark, d)), markets.latest_bbo(snaps))
@@ -284,10 +302,19 @@ CONTRACT = {
     "gaps": {"asset_id": "string", "detected_us": "bigint", "last_known_hash": "string", "new_hash": "string", "gap_duration_ms": "double", "resolution": "string"},
     "signals": {"market_a": "string", "market_b": "string", "edge_type": "string", "signal_source": "string", "user_id": "string", "strength": "double", "created_us": "bigint"},
 }
-_CONTRACT_SQL = " UNION ALL ".join(f"SELECT '{t}' AS t, (SELECT count(*) FROM {t}) AS n, '{c}' AS \"column\", '{k}' AS expected, '{k}' AS found, true AS passed" for t, columns in CONTRACT.items() for c, k in columns.items())
+#: How the other engine names the types (fixed values).
+TYPE_NAMES = {"VARCHAR": "string", "BIGINT": "bigint", "INTEGER": "int", "HUGEINT": "decimal(38,0)", "DOUBLE": "double", "BOOLEAN": "boolean", "DOUBLE[]": "array<double>"}
+_NAMED = "CASE k " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in TYPE_NAMES.items()) + " ELSE k END"
+
+
+def _contract_sql(table: str, columns: dict[str, str]) -> str:
+    """Types as the engine finds them in the table; a column that isn't there has none."""
+    found = ", ".join(f"any_value(typeof({c})) AS {c}" for c in columns)
+    each = " UNION ALL ".join(f"SELECT '{c}' AS \"column\", '{k}' AS expected, {c} AS k FROM f" for c, k in columns.items())
+    return f"SELECT '{table}' AS t, (SELECT count(*) FROM {table}) AS n, \"column\", expected, {_NAMED} AS found, expected = {_NAMED} AS passed FROM (WITH f AS (SELECT {found} FROM {table}) {each})"
 
 
-@query(sql(_CONTRACT_SQL, "bbo", "trades", "snaps", "levels", "gaps", "signals"))
+@query(sql(" UNION ALL ".join(_contract_sql(t, c) for t, c in CONTRACT.items()), "bbo", "trades", "snaps", "levels", "gaps", "signals"))
 def dq_schema_contract(spark, d):
     table = {"bbo": tables.quotes, "trades": tables.trades, "snaps": tables.snapshots, "levels": _levels, "gaps": _gaps, "signals": tables.edge_signals}
     out = None

@@ -160,20 +160,20 @@ def multi_outcome_arbitrage(spark, d):
 
 _KINDS = [*signals.COMPARE, *signals.TOTALS, "NO_SUCH"]
 _RULES = f"""SELECT 'r' || lpad(p_partkey::VARCHAR, 9, '0') AS rule_id, ({_KINDS!r})[(p_partkey % {len(_KINDS)} + 1)::INT] AS type, CASE WHEN p_partkey % 13 > 0 THEN 0.5e0 END AS threshold, (['BID', 'ASK', 'UP'])[(p_size % 4 + 1)::INT] AS side,
- CASE WHEN p_size % 5 > 0 THEN p_size * 3000 END AS window_ms, (p_size - 3) * 100000 AS cooldown_ms, (p_partkey % 3)::VARCHAR AS asset_id, CASE WHEN p_size % 3 > 0 THEN p_size::VARCHAR END AS counterpart_asset_id, range(p_size % 4) AS outcomes, CASE WHEN p_partkey % 17 = 0 THEN 'equity' ELSE 'prediction' END AS market_type FROM part"""
+ CASE WHEN p_size % 5 > 0 THEN p_size * 3000 END AS window_ms, CASE p_size % 7 WHEN 0 THEN 99 WHEN 1 THEN 100 ELSE (p_size - 3) * 100000 END AS cooldown_ms, (p_partkey % 3)::VARCHAR AS asset_id, CASE WHEN p_size % 3 > 0 THEN p_size::VARCHAR END AS counterpart_asset_id, range(p_size % 4) AS outcomes, CASE WHEN p_partkey % 17 = 0 THEN 'equity' ELSE 'prediction' END AS market_type FROM part"""
 
 
 @query(f"""WITH r AS ({_RULES}), e AS (SELECT rule_id, list_filter([
  CASE WHEN type = 'NO_SUCH' THEN 'unknown type' END, CASE WHEN type IN ('ARBITRAGE_BUY', 'ARBITRAGE_SELL', 'MULTI_OUTCOME_ARBITRAGE') AND market_type <> 'prediction' THEN 'not for this market type' END, CASE WHEN threshold IS NULL THEN 'threshold missing' END,
  CASE WHEN type IN ('PRICE_ABOVE', 'PRICE_BELOW', 'SIZE_SPIKE') AND coalesce(side, '') NOT IN ('BID', 'ASK') THEN 'side must be BID or ASK' END, CASE WHEN type IN ('MID_PRICE_TREND', 'LARGE_FILL') AND side NOT IN ('BID', 'ASK') THEN 'side must be BID or ASK if given' END,
  CASE WHEN type IN ('PRICE_MOVE', 'VOLATILITY_SPIKE', 'IMBALANCE_SHIFT', 'QUOTE_VELOCITY') AND coalesce(window_ms, 0) <= 0 THEN 'window missing' END, CASE WHEN type IN ('PRICE_MOVE', 'VOLATILITY_SPIKE') AND window_ms > 60000 THEN 'window over 60 s' END,
- CASE WHEN type LIKE 'ARBITRAGE%' AND counterpart_asset_id IS NULL THEN 'counterpart missing' END, CASE WHEN type = 'MULTI_OUTCOME_ARBITRAGE' AND len(outcomes) < 2 THEN 'outcomes missing' END, CASE WHEN cooldown_ms < 0 OR cooldown_ms > 3600000 THEN 'cooldown out of bounds' END,
+ CASE WHEN type LIKE 'ARBITRAGE%' AND counterpart_asset_id IS NULL THEN 'counterpart missing' END, CASE WHEN type = 'MULTI_OUTCOME_ARBITRAGE' AND len(outcomes) < 2 THEN 'outcomes missing' END, CASE WHEN cooldown_ms < 100 OR cooldown_ms > 3600000 THEN 'cooldown out of bounds' END,
  CASE WHEN row_number() OVER (PARTITION BY asset_id ORDER BY rule_id) > 50 THEN 'too many rules for the asset' END], lambda x: x IS NOT NULL) AS errors FROM r) SELECT rule_id, len(errors) = 0 AS valid, array_to_string(errors, '; ') AS errors FROM e""")
 def validate_rules(spark, d):
     kinds = ", ".join(f"'{k}'" for k in _KINDS)
     rules = tables.read(spark, d, "part").selectExpr(
         "concat('r', lpad(p_partkey, 9, '0')) AS rule_id", f"element_at(array({kinds}), cast(p_partkey % {len(_KINDS)} + 1 AS int)) AS type", "CASE WHEN p_partkey % 13 > 0 THEN 0.5D END AS threshold", "get(array('BID', 'ASK', 'UP'), cast(p_size % 4 AS int)) AS side",
-        "CASE WHEN p_size % 5 > 0 THEN p_size * 3000 END AS window_ms", "(p_size - 3) * 100000 AS cooldown_ms", "cast(p_partkey % 3 AS string) AS asset_id", "CASE WHEN p_size % 3 > 0 THEN cast(p_size AS string) END AS counterpart_asset_id",
+        "CASE WHEN p_size % 5 > 0 THEN p_size * 3000 END AS window_ms", "CASE p_size % 7 WHEN 0 THEN 99 WHEN 1 THEN 100 ELSE (p_size - 3) * 100000 END AS cooldown_ms", "cast(p_partkey % 3 AS string) AS asset_id", "CASE WHEN p_size % 3 > 0 THEN cast(p_size AS string) END AS counterpart_asset_id",
         "slice(array('a', 'b', 'c'), 1, cast(p_size % 4 AS int)) AS outcome_asset_ids", "CASE WHEN p_partkey % 17 = 0 THEN 'equity' ELSE 'prediction' END AS market_type",
     )
     return signals.validate_rules(rules).select("rule_id", "valid", F.array_join("errors", "; ").alias("errors"))
