@@ -61,6 +61,51 @@ def test_asof_and_interval(spark):
     assert sorted((r.k, r.u, r.v) for r in near.select("l.k", "u", "v").collect()) == [("a", 5, 1.0), ("a", 10, 2.0), ("b", 1, 3.0)]
 
 
+def test_cycles_equal_a_plain_search(spark):
+    rng = random.Random(3)
+    names = [f"m{i}" for i in range(11)]
+    rows = [(a, b, rng.choice(["hedge", "correlation", "causal"]), rng.uniform(0.05, 1.5)) for i, a in enumerate(names) for b in names[i + 1 :] if rng.random() < 0.6]
+    # cycles of four and five markets apart from the rest, and a pair that has links of two types
+    rows += [("x1", "x2", "hedge", 1.0), ("x2", "x3", "causal", 0.2), ("x3", "x4", "hedge", 0.5), ("x1", "x4", "causal", 0.3), ("x1", "x4", "hedge", 0.2)]
+    rows += [(f"y{i}", f"y{i % 5 + 1}", "hedge" if i == 2 else "causal", 2.0 if i == 2 else 0.4) for i in range(1, 6)]
+    w = {}
+    for a, b, kind, x in rows:
+        if x > 0.1:
+            x = -x if kind == "hedge" else x
+            w[a, b] = w[b, a] = min(x, w.get((a, b), x))
+    every = sorted({a for a, _ in w})
+
+    def plain(low, high, below):
+        out = {}
+
+        def go(path, total):
+            for v in every:
+                if (path[-1], v) in w:
+                    if v == path[0] and low <= len(path) and len(path) > 2 and path[1] < path[-1] and total + w[path[-1], v] < below:
+                        out["->".join(path)] = round(total + w[path[-1], v], 9)
+                    if v > path[0] and v not in path and len(path) < high:
+                        go([*path, v], total + w[path[-1], v])
+
+        for v in every:
+            go([v], 0.0)
+        return out
+
+    edges = spark.createDataFrame(rows, "market_a string, market_b string, edge_type string, weight double")
+    for low, high, below in ((3, 6, 0.0), (4, 5, -1.0)):
+        got = {r.cycle: round(r.total, 9) for r in graph.negative_cycles(edges, high, 0.1, below, low).collect()}
+        assert got == plain(low, high, below)
+        assert {len(c.split("->")) for c in got} == set(range(low, high + 1))
+    assert any(c.startswith("x1") for c in got) or graph.negative_cycles(edges, 4, 0.1, 0.0, 4).where("cycle like 'x1%'").count() == 1
+    none = edges.where("edge_type <> 'hedge'")
+    assert graph.negative_cycles(none, 5, 0.1).count() == 0 and graph.negative_cycles(edges.limit(0), 4, 0.1).count() == 0
+
+
+def test_paths_of_more_than_a_hundred_links(spark):
+    chain = spark.createDataFrame([(f"m{i:04d}", f"m{i + 1:04d}", "causal", 1.0) for i in range(115)], "market_a string, market_b string, edge_type string, weight double")
+    end = graph.shortest_path(chain, "m0000", "m0115").first()
+    assert abs(end.dist - 115 / 2) < 1e-9 and len(end.path) == 116 and end.types == ["causal"] * 115
+
+
 def test_components_of_chains_stars_and_loops(spark):
     rng = random.Random(2)
     ids = rng.sample(range(3000), 3000)  # a chain whose ids are in no order

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidebook.functions.temporal import latest_by
 from tidebook.operators import ingest, integrity, markets, quality_checks as qc
 from tidebook.plans.base_sql import sql
 from tidebook.plans.registry import query, rounded
@@ -216,12 +217,14 @@ _LAST = "QUALIFY row_number() OVER (PARTITION BY asset_id ORDER BY source_us DES
 
 
 @query(sql(f"""WITH l AS (SELECT * FROM bbo {_LAST}), s AS (SELECT asset_id, bid_prices[-1] AS best_bid, ask_prices[-1] AS best_ask, bid_sizes[-1] AS bid_size FROM snaps {_LAST})
-SELECT count(*) AS assets, count_if(abs(l.best_bid - s.best_bid) / greatest(abs(l.best_bid), abs(s.best_bid), 1e-9) > 0.01) AS bid_drift, count_if(abs(l.best_ask - s.best_ask) / greatest(abs(l.best_ask), abs(s.best_ask), 1e-9) > 0.01) AS ask_drift, count_if(abs(l.bid_size - s.bid_size) / greatest(abs(l.bid_size), abs(s.bid_size), 1e-9) > 0.25) AS depth_drift,
+SELECT count(*) AS assets, count_if(abs(lb - sb) / greatest(abs(lb), abs(sb), 1e-9) > 0.01) AS bid_drift, count_if(abs(la - sa) / greatest(abs(la), abs(sa), 1e-9) > 0.01) AS ask_drift, count_if(abs(lz - sz) / greatest(abs(lz), abs(sz), 1e-9) > 0.25) AS depth_drift,
  count_if(sided AND off <= 5) AS spread_match, count_if(sided AND off > 5) AS spread_drift, count_if(NOT coalesce(sided AND off IS NOT NULL, false)) AS spread_skipped
-FROM (SELECT *, l.best_bid > 0 AND l.best_ask > 0 AND s.best_bid > 0 AND s.best_ask > 0 AS sided, abs(l.spread_bps - (s.best_ask - s.best_bid) / ((s.best_ask + s.best_bid) / 2) * 10000) AS off FROM l JOIN s USING (asset_id)) x""", "bbo", "snaps"))
+FROM (SELECT *, lb > 0 AND la > 0 AND sb > 0 AND sa > 0 AS sided, abs(p - (sa - sb) / ((sa + sb) / 2) * 10000) AS off FROM (SELECT l.best_bid AS lb, s.best_bid AS sb, l.best_ask AS la, s.best_ask AS sa, l.bid_size AS lz, s.bid_size AS sz, l.spread_bps AS p FROM l JOIN s USING (asset_id)))""", "bbo", "snaps"))
 def dq_table_drift(spark, d):
     snaps = tables.snapshots(spark, d).select("asset_id", "source_us", "event_id", F.element_at("bid_prices", -1).alias("best_bid"), F.element_at("ask_prices", -1).alias("best_ask"), F.element_at("bid_sizes", -1).alias("bid_size"), F.element_at("ask_sizes", -1).alias("ask_size"))
-    return qc.table_drift(markets.latest_bbo(tables.quotes(spark, d)), markets.latest_bbo(snaps))
+    quotes = tables.quotes(spark, d).select(*snaps.columns, "spread_bps")
+    newest = ["source_us", "event_id"]
+    return qc.table_drift(latest_by(quotes, ["asset_id"], newest), latest_by(snaps, ["asset_id"], newest))
 
 
 # --- the shapes used as latency probes
