@@ -2,10 +2,12 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tidebook.functions.graphs import components
+from tidebook.functions.products import correlations
 from tidebook.functions.temporal import asof_join, cooldown, interval_join
 from tidebook.operators import compound, graph, ingest, signals
 from tidebook.sources import tables
@@ -100,6 +102,32 @@ def test_cycles_equal_a_plain_search(spark):
     assert graph.negative_cycles(none, 5, 0.1).count() == 0 and graph.negative_cycles(edges.limit(0), 4, 0.1).count() == 0
 
 
+def test_correlations_of_blocks_equal_plain_ones(spark):
+    rng = np.random.default_rng(4)
+    base = rng.standard_normal((3, 90))
+    rows = []
+    for i in range(23):
+        x = base[i % 3] * rng.choice([-1, 1]) + rng.standard_normal(90) * 0.4 if i != 5 else np.full(90, 0.4)
+        rows += [(f"s{i:02d}", int(t) - 40, float(x[t])) for t in np.flatnonzero(rng.random(90) < (0.5 if i else 0.03))]
+    rows.append(("s22", 200, None))
+    got = {(r.a, r.b): (r.r, r.n) for r in correlations(spark.createDataFrame(rows, "series string, step long, value double"), 3, 0.5, series=4, steps=16).collect()}
+    by = {}
+    for name, t, v in rows:
+        if v is not None:
+            by.setdefault(name, {})[t] = v
+    want = {}
+    for a in by:
+        for b in by:
+            both = sorted(by[a].keys() & by[b].keys())
+            if a < b and len(both) >= 3:
+                x, y = [by[a][t] for t in both], [by[b][t] for t in both]
+                want[a, b] = (None if "s05" in (a, b) else np.corrcoef(x, y)[0, 1], len(both))
+    assert got.keys() == want.keys() and len(want) > 200
+    for k, (r, n) in want.items():
+        assert got[k][1] == n and (got[k][0] is None if r is None else abs(got[k][0] - r) < 1e-9)
+    assert correlations(spark.createDataFrame([], "series string, step long, value double"), 3).count() == 0
+
+
 def test_paths_of_more_than_a_hundred_links(spark):
     chain = spark.createDataFrame([(f"m{i:04d}", f"m{i + 1:04d}", "causal", 1.0) for i in range(115)], "market_a string, market_b string, edge_type string, weight double")
     end = graph.shortest_path(chain, "m0000", "m0115").first()

@@ -12,6 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidebook.functions.products import correlations
 from tidebook.functions.storage import discard, materialize
 
 #: Weight of each signal source (fixed values).
@@ -51,15 +52,13 @@ def infer_edge_type_from_text(text: Column) -> Column:
 
 def market_correlations(ticks: DataFrame, as_of: int, days: int = 7, bucket_us: int = 1_000_000, min_common: int = 3) -> DataFrame:
     """Pearson correlation of the mids of market pairs over the last days, in
-    the buckets that both have (1: equal timestamps). One value per market and
-    bucket enters the join, never ticks, and pairs combine before the shuffle."""
+    the buckets that both have (1: equal timestamps), by products of blocks of
+    markets and time: no two rows meet for sharing a bucket. All pairs are exact."""
     mid = (F.col("best_bid") + F.col("best_ask")) / 2
     recent = ticks.where((F.col("asset_id").cast("long") % 2 == 0) & (F.col("source_us") > as_of - days * DAY_US))
-    yes = recent.groupBy("condition_id", F.floor(F.col("source_us") / bucket_us).alias("bucket")).agg(F.avg(mid).alias("m")).where("m is not null")
-    a = yes.select(F.col("condition_id").alias("market_a"), "bucket", F.col("m").alias("x"))
-    b = yes.select(F.col("condition_id").alias("market_b"), "bucket", F.col("m").alias("y"))
-    pairs = a.join(b, "bucket").where("market_a < market_b")
-    return pairs.groupBy("market_a", "market_b").agg(F.corr("x", "y").alias("r"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_common)
+    yes = recent.groupBy(F.col("condition_id").alias("series"), F.floor(F.col("source_us") / bucket_us).alias("step")).agg(F.avg(mid).alias("value")).where("value is not null")
+    # mids lie between 0 and 1
+    return correlations(materialize(yes, "mids"), min_common, shift=0.5).withColumnsRenamed({"a": "market_a", "b": "market_b"})
 
 
 def edge_weights(signals: DataFrame, as_of: int, days: int = 90) -> DataFrame:
