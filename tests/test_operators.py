@@ -159,6 +159,19 @@ def test_components_of_a_long_chain(spark):
     assert got == {**dict.fromkeys(range(41), 0), 100: 100, 101: 100, 102: 100}
 
 
+@pytest.mark.parametrize("slice_us", [7_000_000, 10**12])
+def test_books_by_slices_equal_one_fold(spark, sf_dir, slice_us):
+    """A hot asset's history, cut into slices: the first rows have no book yet."""
+    snaps, deltas = tables.snapshots(spark, sf_dir), tables.raw_levels(spark, sf_dir)
+    one = lambda t: t.withColumn("asset_id", F.lit("hot"))
+    late = one(snaps).where(F.col("source_us") % 3 == 0).where(F.col("source_us") > tables.START_US + 20_000_000)
+    both = late, one(deltas)
+    want = {(r.source_us, r.event_id): tuple(r)[3:] for r in ingest.reconstruct_bbo_series(*both, slice_us=10**15).collect()}
+    got = {(r.source_us, r.event_id): tuple(r)[3:] for r in ingest.reconstruct_bbo_series(*both, slice_us=slice_us).collect()}
+    assert got == want and len(want) > 300
+    assert min(want)[0] > tables.START_US + 20_000_000
+
+
 def test_rebuilt_books_equal_a_plain_fold(spark, sf_dir):
     snaps, deltas = tables.snapshots(spark, sf_dir), tables.raw_levels(spark, sf_dir)
     events = [(r.asset_id, r.source_us, r.event_id, r) for r in snaps.collect()] + [(r.asset_id, r.source_us, r.event_id, r) for r in deltas.collect()]

@@ -131,31 +131,90 @@ def book_snapshot(levels: DataFrame) -> DataFrame:
 SERIES = "asset_id string, source_us long, event_id long, best_bid double, best_ask double, bid_size double, ask_size double"
 
 
-def reconstruct_bbo_series(snaps: DataFrame, changes: DataFrame) -> DataFrame:
-    """Best levels after every change: a book kept per asset, in order.
+#: The length of the time slices that an asset's book is rebuilt in.
+SLICE_US = 600_000_000
 
-    A snapshot replaces the whole book, so an asset's history splits at its
-    snapshots: each part starts from its own one and is folded alone. Tasks read
-    sorted parts as a stream and hold one book, however long a part is.
+
+def _slice_starts(snaps: DataFrame, deltas: DataFrame) -> DataFrame:
+    """The book with which each slice of an asset starts, where one is known.
+
+    A slice does two things to a book: its last snapshot replaces it, and the last
+    write of each level since then stands. Both are aggregates that combine before
+    the shuffle; what is left, a row for each level a slice writes, is read in order
+    of the slices by a stream that holds one book.
     """
     import pandas as pd
 
-    books = snaps.select("asset_id", "source_us", "event_id", F.lit(None).cast("string").alias("side"), F.lit(None).cast("double").alias("price"), F.lit(None).cast("double").alias("new_size"), "bid_prices", "bid_sizes", "ask_prices", "ask_sizes")
-    deltas = changes.select("asset_id", "source_us", "event_id", "side", "price", "new_size")
-    both = books.unionByName(deltas, allowMissingColumns=True)
-    w = Window.partitionBy("asset_id").orderBy("source_us", "event_id")
-    parts = both.withColumn("part", F.count_if(F.col("side").isNull()).over(w)).where("part > 0")
+    at = F.struct("source_us", "event_id")
+    reset = snaps.groupBy("asset_id", "slice").agg(F.max(at).alias("reset_at"), F.max_by(F.struct("bid_prices", "bid_sizes", "ask_prices", "ask_sizes"), at).alias("book"))
+    last = deltas.groupBy("asset_id", "slice", "side", "price").agg(F.max(at).alias("at"), F.max_by("new_size", at).alias("new_size"))
+    last = last.join(reset.select("asset_id", "slice", "reset_at"), ["asset_id", "slice"], "left").where("reset_at is null or at > reset_at")
+    events = reset.select("asset_id", "slice", "book.*").unionByName(last.select("asset_id", "slice", "side", "price", "new_size"), allowMissingColumns=True)
+    # slices that write nothing that stands start with a book too
+    present = snaps.select("asset_id", "slice").union(deltas.select("asset_id", "slice")).distinct().withColumn("begins", F.lit(True))
+    events = events.withColumn("begins", F.lit(False)).unionByName(present, allowMissingColumns=True)
+    dealt = events.repartition("asset_id").sortWithinPartitions("asset_id", "slice", F.desc("begins"), F.col("side").isNotNull())
+    columns = ["asset_id", "slice", "bid_prices", "bid_sizes", "ask_prices", "ask_sizes"]
+
+    def chain(batches):
+        now, book, known = None, {}, False
+        for pdf in batches:
+            out = []
+            for asset, slice_, begins, side, price, size, bp, bs, ap, as_ in pdf[["asset_id", "slice", "begins", "side", "price", "new_size", *columns[2:]]].itertuples(index=False, name=None):
+                if asset != now:
+                    now, book, known = asset, {}, False
+                if begins:
+                    if known:
+                        sides = [[(p, n) for (s, p), n in book.items() if s == side] for side in ("BUY", "SELL")]
+                        out.append((asset, slice_, *(list(x) for side in sides for x in (zip(*side, strict=True) if side else ((), ())))))
+                elif side is None:
+                    book, known = {("BUY", p): n for p, n in zip(bp, bs, strict=True) if n > 0} | {("SELL", p): n for p, n in zip(ap, as_, strict=True) if n > 0}, True
+                elif size > 0:
+                    book[side, price] = size
+                else:
+                    book.pop((side, price), None)
+            yield pd.DataFrame(out, columns=columns)
+
+    lists = ", ".join(f"{c} array<double>" for c in columns[2:])
+    return dealt.mapInPandas(chain, f"asset_id string, slice long, {lists}")
+
+
+def reconstruct_bbo_series(snaps: DataFrame, changes: DataFrame, slice_us: int = SLICE_US) -> DataFrame:
+    """Best levels after every change, from each asset's first snapshot on.
+
+    A parallel scan over book states: an asset's history is cut into time slices,
+    the book at the start of each comes from what the slices before it left
+    (``_slice_starts``), and each slice is then folded alone, as a sorted stream that
+    holds one book. Nothing is partitioned by the asset alone but a row for each
+    level that a slice writes, so an asset of very many rows spreads over its slices.
+    """
+    import pandas as pd
+
+    cut = F.floor(F.col("source_us") / slice_us).alias("slice")
+    snaps = snaps.select("asset_id", "source_us", "event_id", "bid_prices", "bid_sizes", "ask_prices", "ask_sizes", cut)
+    deltas = changes.select("asset_id", "source_us", "event_id", "side", "price", "new_size", cut)
+    starts = _slice_starts(snaps, deltas).withColumn("starts", F.lit(True))
+    rows = snaps.unionByName(deltas, allowMissingColumns=True).withColumn("starts", F.lit(False))
+    both = rows.unionByName(starts, allowMissingColumns=True)
+    fields = ["asset_id", "slice", "starts", "source_us", "event_id", "side", "price", "new_size", "bid_prices", "bid_sizes", "ask_prices", "ask_sizes"]
 
     def fold(batches):
+        now, known = None, False
         book: dict[str, dict] = {"BUY": {}, "SELL": {}}
         best: dict[str, float | None] = {"BUY": None, "SELL": None}
         pick = {"BUY": max, "SELL": min}
         for pdf in batches:
             out = []
-            for asset, at, event, side, price, size, bp, bs, ap, as_, _ in pdf.itertuples(index=False, name=None):
+            for asset, slice_, starts, at, event, side, price, size, bp, bs, ap, as_ in pdf.itertuples(index=False, name=None):
+                if (asset, slice_) != now:
+                    now, known = (asset, slice_), False
                 if side is None:
                     book = {"BUY": {p: n for p, n in zip(bp, bs, strict=True) if n > 0}, "SELL": {p: n for p, n in zip(ap, as_, strict=True) if n > 0}}
-                    best = {s: pick[s](book[s], default=None) for s in book}
+                    best, known = {s: pick[s](book[s], default=None) for s in book}, True
+                    if starts:
+                        continue
+                elif not known:
+                    continue
                 elif size > 0:
                     book[side][price] = size
                     best[side] = price if best[side] is None else pick[side](price, best[side])
@@ -163,10 +222,10 @@ def reconstruct_bbo_series(snaps: DataFrame, changes: DataFrame) -> DataFrame:
                     # only the loss of the best level needs a look at the others
                     best[side] = pick[side](book[side], default=None)
                 bid, ask = best["BUY"], best["SELL"]
-                out.append((asset, at, event, bid, ask, book["BUY"].get(bid), book["SELL"].get(ask)))
+                out.append((asset, int(at), int(event), bid, ask, book["BUY"].get(bid), book["SELL"].get(ask)))
             yield pd.DataFrame(out, columns=[c.split()[0] for c in SERIES.split(", ")])
 
-    dealt = parts.repartition("asset_id", "part").sortWithinPartitions("asset_id", "part", "source_us", "event_id")
+    dealt = both.select(*fields).repartition("asset_id", "slice").sortWithinPartitions("asset_id", "slice", F.desc("starts"), "source_us", "event_id")
     return dealt.mapInPandas(fold, SERIES)
 
 
