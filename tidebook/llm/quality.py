@@ -40,6 +40,7 @@ SAMPLE = 4000
 DIMS = 4096
 LATENT = 48
 NEIGHBOURS = 15
+PART = 256
 REPEATS = 3.0
 THRESHOLD = 0.3
 
@@ -109,16 +110,20 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, repeats: float
     full = np.zeros((len(rows), DIMS + 1), np.float32)
     for i, (s, c) in enumerate(zip(rows["slots"], rows["counts"], strict=True)):
         full[i, np.asarray(s, np.int64)] = c
-    x = full[:, :DIMS]
-    idf = np.log((1 + len(x)) / (1 + (x > 0).sum(0))).astype(np.float32) + 1
-    x = _unit(np.log1p(x) * idf)
+    del rows["slots"], rows["counts"]
+    idf = np.log((1 + len(full)) / (1 + (full[:, :DIMS] > 0).sum(0))).astype(np.float32) + 1
+    # in parts, so that the driver holds the counts and one matrix beside them
+    x = np.empty((len(full), DIMS), np.float32)
+    for a in range(0, len(x), PART):
+        x[a : a + PART] = _unit(np.log1p(full[a : a + PART, :DIMS]) * idf)
     k = min(LATENT, len(x))
     probe = x @ np.random.default_rng(seed).standard_normal((DIMS, k + 16), np.float32)
     for _ in range(4):
         probe = x @ (x.T @ np.linalg.qr(probe)[0])
     q = np.linalg.qr(probe)[0]
     base = np.linalg.svd(q.T @ x, full_matrices=False)[2][:k].T.copy()
-    y = _embed(full, idf, base, repeats)
+    del x
+    y = np.concatenate([_embed(full[a : a + PART], idf, base, repeats) for a in range(0, len(full), PART)])
     label = rows["quality"].to_numpy(np.float32)
     return {"idf": idf, "base": base, "vectors": y.T.copy(), "labels": label, "prior": float(label.mean()), "repeats": repeats}
 
