@@ -102,6 +102,24 @@ def test_cycles_equal_a_plain_search(spark):
     assert graph.negative_cycles(none, 5, 0.1).count() == 0 and graph.negative_cycles(edges.limit(0), 4, 0.1).count() == 0
 
 
+@pytest.mark.parametrize("slice_us", [3, 50, 10**9])
+def test_cooldown_by_slices_equals_a_plain_fold(spark, slice_us):
+    rng = random.Random(slice_us)
+    rows = []
+    for key, n, waits in (("hot", 700, [17]), ("none", 40, [0]), ("mixed", 200, [5, 40, 0]), (None, 60, [9]), ("long", 50, [400]), ("one", 1, [3])):
+        rows += [(key, 1, rng.randrange(-50, 600), i, rng.choice(waits)) for i in range(n)]
+    want = set()
+    last: dict = {}
+    for key, _, t, i, w in sorted(rows, key=lambda r: (r[0] or "", r[2], r[3])):
+        if key not in last or t - last[key] >= w:
+            last[key] = t
+            want.add((key, i))
+    df = spark.createDataFrame(rows, "k string, other int, t long, i int, w int").repartition(3)
+    got = cooldown(df, ["k", "other"], "t", "i", "w", slice_us)
+    assert got.columns == df.columns and {(r.k, r.i) for r in got.collect()} == want
+    assert cooldown(df.limit(0), ["k"], "t", "i", "w").count() == 0
+
+
 def test_correlations_of_blocks_equal_plain_ones(spark):
     rng = np.random.default_rng(4)
     base = rng.standard_normal((3, 90))
