@@ -146,6 +146,29 @@ def test_correlations_of_blocks_equal_plain_ones(spark):
     assert correlations(spark.createDataFrame([], "series string, step long, value double"), 3).count() == 0
 
 
+def test_best_paths_equal_a_plain_search(spark):
+    rng = random.Random(6)
+    names = [f"m{i}" for i in range(9)]
+    rows = [(a, b, kind, round(rng.uniform(0.2, 1.6), 2)) for i, a in enumerate(names) for b in names[i + 1 :] for kind in ("arbitrage", "correlation", "hedge") if rng.random() < 0.4]
+    links = [(x, y, k, max(0.0, np.exp(w) - 1) * 10_000 if k == "arbitrage" else max(0.0, np.exp(w) - 1.8) * 1000) for a, b, k, w in rows if k != "hedge" and w >= 0.5 for x, y in ((a, b), (b, a))]
+    every = []
+
+    def go(path, types, bps):
+        if len(path) >= 3 and round(bps) > 0:
+            every.append((-float(np.floor(bps + 0.5)), "->".join(path), ",".join(types)))
+        if len(path) <= 5:
+            for a, b, k, g in links:
+                if a == path[-1] and b not in path:
+                    go([*path, b], [*types, k], bps + g)
+
+    go(["m0"], [], 0.0)
+    edges = spark.createDataFrame(rows, "market_a string, market_b string, edge_type string, weight double")
+    for limit, beam in ((40, 1), (7, 4), (10**6, 1)):
+        got = [(-r.bps, r.path, r.types) for r in graph.arbitrage_paths(edges, "m0", 5, 0.5, limit, beam).collect()]
+        assert got == sorted(every)[:limit]
+    assert len(every) > 1000 and graph.arbitrage_paths(edges.limit(0), "m0", 3, 0.5, 5).count() == 0
+
+
 def test_paths_of_more_than_a_hundred_links(spark):
     chain = spark.createDataFrame([(f"m{i:04d}", f"m{i + 1:04d}", "causal", 1.0) for i in range(115)], "market_a string, market_b string, edge_type string, weight double")
     end = graph.shortest_path(chain, "m0000", "m0115").first()

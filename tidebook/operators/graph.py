@@ -171,21 +171,45 @@ def shortest_path(edges: DataFrame, start: str, end: str, min_weight: float = 0.
     return shortest_distances(edges, start, min_weight, types).where(F.col("market") == end)
 
 
-def arbitrage_paths(edges: DataFrame, market: str, depth: int, min_weight: float, limit: int) -> DataFrame:
-    """Simple paths over arbitrage and correlation edges by opportunity."""
+def _reach(links: DataFrame, steps: int) -> DataFrame:
+    """market, reach: the most that walks of up to 0, 1, 2, ... links from it gain."""
+    found = links.groupBy(F.col("src").alias("market")).agg(F.array(F.lit(0.0), F.greatest(F.max("gain"), F.lit(0.0))).alias("reach"))
+    for _ in range(steps - 1):
+        more = links.join(found, F.col("dst") == F.col("market")).groupBy("src").agg(F.max(F.col("gain") + F.element_at("reach", -1)).alias("more"))
+        found = found.join(more, F.col("market") == F.col("src")).select("market", F.concat("reach", F.array(F.greatest(F.element_at("reach", -1), F.col("more")))).alias("reach"))
+    return found
+
+
+def arbitrage_paths(edges: DataFrame, market: str, depth: int, min_weight: float, limit: int, beam: int = 4) -> DataFrame:
+    """The ``limit`` simple paths of two to ``depth`` arbitrage and correlation links
+    from a market with the greatest opportunity.
+
+    Branch and bound: what the links left could gain at most from a path's end
+    (a max-plus table) bounds the path. A search that keeps the ``beam`` times
+    ``limit`` most promising paths of each length finds a bar that the last of the
+    answer reaches at least; then all paths that can reach the bar are followed.
+    """
     links = directed(edges.where(F.col("edge_type").isin("arbitrage", "correlation") & (F.col("weight") >= min_weight)))
     strength = F.exp("weight") - 1
     gain = F.when(F.col("edge_type") == "arbitrage", F.greatest(F.lit(0.0), strength) * 10_000).otherwise(F.greatest(F.lit(0.0), strength - 0.8) * 1_000)
-    links = links.select("src", "dst", "edge_type", gain.alias("gain"))
-    front = edges.sparkSession.createDataFrame([(market, [market], [], 0.0)], "at string, path array<string>, types array<string>, bps double")
-    found = None
-    for _ in range(depth):
-        front = front.join(links, (front.at == links.src) & ~F.array_contains("path", F.col("dst"))).select(F.col("dst").alias("at"), F.concat("path", F.array("dst")).alias("path"), F.concat("types", F.array("edge_type")).alias("types"), (F.col("bps") + F.col("gain")).alias("bps"))
-        front = materialize(front, "paths")
-        long = front.where(F.size("path") >= 3)
-        found = long if found is None else found.unionByName(long)
-    ranked = found.select(F.array_join("path", "->").alias("path"), F.array_join("types", ",").alias("types"), F.round("bps").alias("bps"))
-    return ranked.where("bps > 0").orderBy(F.desc("bps"), "path", "types").limit(limit)
+    links = materialize(links.select("src", "dst", "edge_type", gain.alias("gain")), "links")
+    reach = materialize(_reach(links, depth), "reach")
+
+    def follow(bar: float, width: int | None) -> DataFrame:
+        front = edges.sparkSession.createDataFrame([(market, [market], [], 0.0)], "at string, path array<string>, types array<string>, bps double")
+        found = None
+        for left in range(depth - 1, -1, -1):
+            front = front.join(links, (front.at == links.src) & ~F.array_contains("path", F.col("dst"))).select(F.col("dst").alias("at"), F.concat("path", F.array("dst")).alias("path"), F.concat("types", F.array("edge_type")).alias("types"), (F.col("bps") + F.col("gain")).alias("bps"))
+            bound = front.join(reach, F.col("at") == F.col("market")).withColumn("most", F.round(F.col("bps") + F.get("reach", F.lit(left)))).where(F.col("most") >= bar)
+            bound = bound.orderBy(F.desc("most"), "path", "types").limit(width) if width else bound
+            front = materialize(bound.select("at", "path", "types", "bps"), "paths")
+            long = front.where(F.size("path") >= 3)
+            found = long if found is None else found.unionByName(long)
+        ranked = found.select(F.array_join("path", "->").alias("path"), F.array_join("types", ",").alias("types"), F.round("bps").alias("bps"))
+        return ranked.where("bps > 0").orderBy(F.desc("bps"), "path", "types").limit(limit)
+
+    tried = follow(1.0, beam * limit).agg(F.count(F.lit(1)).alias("n"), F.min("bps").alias("bar")).first()
+    return follow(tried.bar if tried.n == limit else 1.0, None)
 
 
 def signed_links(edges: DataFrame, min_weight: float) -> DataFrame:

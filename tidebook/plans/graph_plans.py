@@ -20,6 +20,8 @@ _DIR = _both("edges")
 _FROM = "m0000100"
 #: The loaded graph: edges above this weight.
 LOADED = 0.1
+#: The longest arbitrage paths, in links.
+PATH_LINKS = 5
 
 
 def _edges(spark, d):
@@ -129,10 +131,10 @@ def shortest_path(spark, d):
 
 
 @query(sql(f"""WITH RECURSIVE d AS ({_DIR}), l AS (SELECT src, dst, edge_type, CASE WHEN edge_type = 'arbitrage' THEN greatest(0, exp(weight) - 1) * 10000 ELSE greatest(0, exp(weight) - 1.8) * 1000 END AS gain FROM d WHERE edge_type IN ('arbitrage', 'correlation') AND weight >= 0.5),
-p AS (SELECT '{_FROM}' AS cur, ['{_FROM}'] AS path, []::VARCHAR[] AS types, 0e0 AS bps UNION ALL SELECT dst, list_append(path, dst), list_append(types, edge_type), bps + gain FROM p JOIN l ON src = cur WHERE NOT list_contains(path, dst) AND len(path) <= 3)
+p AS (SELECT '{_FROM}' AS cur, ['{_FROM}'] AS path, []::VARCHAR[] AS types, 0e0 AS bps UNION ALL SELECT dst, list_append(path, dst), list_append(types, edge_type), bps + gain FROM p JOIN l ON src = cur WHERE NOT list_contains(path, dst) AND len(path) <= {PATH_LINKS})
 SELECT array_to_string(path, '->') AS path, array_to_string(types, ',') AS types, round(bps) AS bps FROM p WHERE len(path) >= 3 AND round(bps) > 0 ORDER BY round(bps) DESC, array_to_string(path, '->'), array_to_string(types, ',') LIMIT 100""", "edges"))
 def arbitrage_paths(spark, d):
-    return graph.arbitrage_paths(_loaded(spark, d), _FROM, 3, 0.5, 100)
+    return graph.arbitrage_paths(_loaded(spark, d), _FROM, PATH_LINKS, 0.5, 100)
 
 
 _LINKS = f"""d AS ({_DIR}), l AS MATERIALIZED (SELECT src, dst, (arg_min(edge_type, (w, edge_type)) = 'hedge')::INT AS h, min(w) AS w FROM (SELECT *, CASE WHEN edge_type = 'hedge' THEN -abs(weight) ELSE weight END AS w FROM d WHERE weight > 0.1) GROUP BY 1, 2)"""
