@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 
 
 def latest_by(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """The newest row of each key. An aggregate, so it combines before the
-    shuffle and a hot key costs no more than a row from each task."""
+    """The newest row of each key; of several one that a hash of them picks, so
+    that reruns agree. An aggregate, so it combines before the shuffle and a hot key
+    costs no more than a row from each task."""
     rest = [c for c in df.columns if c not in keys]
-    best = F.max_by(F.struct(*rest), F.struct(*order)).alias("_r")
+    best = F.max_by(F.struct(*rest), F.struct(*order, F.xxhash64(*rest))).alias("_r")
     return df.groupBy(*keys).agg(best).select(*keys, *[F.col(f"_r.{c}").alias(c) for c in rest]).select(*df.columns)
 
 

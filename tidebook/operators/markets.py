@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 DAY_US = 86_400_000_000
@@ -121,5 +121,6 @@ def upsert_metadata(versions: DataFrame) -> DataFrame:
 def explode_market_events(markets: DataFrame) -> DataFrame:
     """(id, events array, inserted_us) to the newest row of each (event, market)."""
     rows = markets.select(F.col("id").alias("market_id"), "inserted_us", F.explode("events").alias("e")).select("market_id", "inserted_us", "e.*")
-    rank = Window.partitionBy("event_id", "market_id").orderBy(F.desc("inserted_us"))
-    return rows.withColumn("_r", F.row_number().over(rank)).where("_r = 1").drop("_r")
+    from tidebook.functions.temporal import latest_by
+
+    return latest_by(rows, ["event_id", "market_id"], ["inserted_us"])

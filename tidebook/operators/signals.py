@@ -274,17 +274,24 @@ def arbitrage(ticks: DataFrame, buy: bool, threshold: float) -> DataFrame:
 
 def outcome_totals(ticks: DataFrame, groups: DataFrame) -> DataFrame:
     """For each quote of a set's member, the last asks of all its members
-    together, if all are there and fresh. ``groups`` is (group_id, asset_id)."""
-    n = groups.groupBy("group_id").agg(F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_list("asset_id")).alias("members"))
-    rows = ticks.join(groups, "asset_id").join(n, "group_id")
-    recent = Window.partitionBy("group_id").orderBy("source_us").rangeBetween(-FRESH_US, 0)
-    rows = rows.withColumn("seen", F.collect_list(F.struct("source_us", "event_id", "asset_id", "best_ask", "ask_size")).over(recent))
-    past = F.filter("seen", lambda x: (x["source_us"] < F.col("source_us")) | ((x["source_us"] == F.col("source_us")) & (x["event_id"] <= F.col("event_id"))))
-    latest = F.transform("members", lambda m: F.array_max(F.filter(past, lambda x: x["asset_id"] == m)))
-    rows = rows.withColumn("latest", latest).where(F.forall("latest", lambda x: x.isNotNull() & x["best_ask"].isNotNull()))
-    total = F.aggregate("latest", F.lit(0.0), lambda s, x: s + x["best_ask"])
-    lot = F.array_min(F.transform("latest", lambda x: F.coalesce(x["ask_size"], F.lit(0.0))))
-    return rows.select("group_id", "event_id", "asset_id", "source_us", "n", total.alias("total"), lot.alias("size"))
+    together, if all are there and fresh. ``groups`` is (group_id, asset_id).
+
+    An as-of join of all members at once: a quote asks for each member of its set,
+    and the members' own quotes, in the same sort, carry their last one on. The work is
+    quotes times members, and a set spreads over its members.
+    """
+    n = groups.groupBy("group_id").agg(F.count(F.lit(1)).alias("n"))
+    members = groups.select("group_id", F.col("asset_id").alias("member")).join(n, "group_id")
+    rows = ticks.select("event_id", "asset_id", "source_us", "best_ask", "ask_size").join(groups, "asset_id").join(members, "group_id")
+    w = Window.partitionBy("group_id", "member").orderBy("source_us", "event_id").rowsBetween(Window.unboundedPreceding, 0)
+    own = F.when(F.col("asset_id") == F.col("member"), F.struct("source_us", "best_ask", "ask_size"))
+    rows = rows.withColumn("seen", F.last(own, ignorenulls=True).over(w))
+    fresh = (F.col("seen.source_us") >= F.col("source_us") - FRESH_US) & F.col("seen.best_ask").isNotNull()
+    # a quote's members in order, so that their sum doesn't depend on the deal
+    asks = F.sort_array(F.collect_list(F.when(fresh, F.struct("member", "seen.best_ask", F.coalesce("seen.ask_size", F.lit(0.0)).alias("lot")))))
+    each = rows.groupBy("group_id", "event_id", "asset_id", "source_us", "n").agg(asks.alias("asks")).where(F.size("asks") == F.col("n"))
+    total = F.aggregate("asks", F.lit(0.0), lambda s, x: s + x["best_ask"])
+    return each.select("group_id", "event_id", "asset_id", "source_us", "n", total.alias("total"), F.array_min(F.transform("asks", lambda x: x["lot"])).alias("size"))
 
 
 def multi_outcome_arbitrage(ticks: DataFrame, groups: DataFrame, threshold: float) -> DataFrame:
