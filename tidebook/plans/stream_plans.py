@@ -18,13 +18,13 @@ from tidebook.streaming import feeds
 SLICES = 3
 
 
-def _feed(spark, table, order="source_us"):
+def _feed(spark, table, order="source_us", cuts=None):
     """A table as a file stream: slices by time, written one after the other,
     each by all tasks into as many files as a micro-batch takes."""
     worker_imports(spark)
     path = new_path(spark, "feed")
     files = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
-    cuts = table.agg(F.expr(f"percentile_approx({order}, array({', '.join(str(i / SLICES) for i in range(1, SLICES))}))")).first()[0] or []
+    cuts = cuts or table.agg(F.expr(f"percentile_approx({order}, array({', '.join(str(i / SLICES) for i in range(1, SLICES))}))")).first()[0] or []
     edges = [None, *sorted(set(cuts)), None]
     for low, high in zip(edges, edges[1:], strict=False):
         part = table if low is None else table.where(F.col(order) > low)
@@ -53,6 +53,25 @@ def stream_hash_chain(spark, d):
     return out.select("event_id", "asset_id", "book_hash", "gap_us")
 
 
+#: Rows of the feed that come after their time, and the ends of what arrives together.
+_DELAYED = "CASE WHEN event_id % 50 = 7 THEN 150000000 ELSE 0 END"
+_ARRIVALS = [tables.START_US + s * 1_000_000 for s in (40, 100, 200)]
+_BATCH = "CASE " + " ".join(f"WHEN source_us + {_DELAYED} <= {t} THEN {i}" for i, t in enumerate(_ARRIVALS)) + f" ELSE {len(_ARRIVALS)} END"
+
+
+@query(sql(f"""WITH r AS (SELECT *, {_BATCH} AS batch FROM bbo), b AS (SELECT DISTINCT batch FROM r), n AS (SELECT b.batch, max(source_us) - 60000000 AS bound_us FROM b JOIN r ON r.batch < b.batch GROUP BY 1)
+SELECT event_id, asset_id, source_us, coalesce(source_us < bound_us, false) AS late, CASE WHEN source_us < bound_us THEN bound_us END AS bound_us FROM r LEFT JOIN n USING (batch)""", "bbo"))
+def stream_late_rows(spark, d):
+    """All quotes, in a feed where every 50th comes 150 s after its time: late ones
+    are kept beside the others, with the bound that they missed."""
+    quotes = tables.quotes(spark, d).select("event_id", "asset_id", "source_us").withColumn("arrival_us", F.expr(f"source_us + {_DELAYED}"))
+    kept, late = new_path(spark, "on-time"), new_path(spark, "late")
+    feeds.stream_keeping_late(_feed(spark, quotes, "arrival_us", _ARRIVALS), kept, late, new_path(spark, "ckpt"), 60_000_000, availableNow=True).awaitTermination()
+    columns = ["event_id", "asset_id", "source_us"]
+    told = spark.read.parquet(late).select(*columns, F.lit(True).alias("late"), "bound_us")
+    return spark.read.parquet(kept).select(*columns, F.lit(False).alias("late"), F.lit(None).cast("long").alias("bound_us")).unionByName(told)
+
+
 _STREAMED = [r for r in signals.production_rules() if r[1] in signals.COMPARE]
 
 

@@ -239,6 +239,31 @@ def stream_edge_signals(feed: DataFrame, path: str, checkpoint: str, **trigger):
     return feed.writeStream.option("checkpointLocation", checkpoint).trigger(**trigger).foreachBatch(lambda b, _: b.write.mode("append").parquet(path)).start()
 
 
+def stream_keeping_late(feed: DataFrame, path: str, late_path: str, checkpoint: str, delay_us: int, **trigger):
+    """Rows to a table, those that come too late to a table of their own.
+
+    A row is late if it lies more than ``delay_us`` before the newest row of all earlier
+    batches, as a watermark has it; late ones keep that bound. A batch is written under
+    its number, and so is its newest time, so a batch that runs again replaces what it
+    wrote and reads the same bound.
+    """
+    bounds = f"{checkpoint}/newest"
+
+    def step(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        before = spark.read.schema("newest long, batch int").parquet(bounds).where(F.col("batch") < number).agg(F.max("newest")).first()[0] if number else None
+        bound = F.lit(None if before is None else before - delay_us).cast("long")
+        rows = batch.withColumn("bound_us", bound).persist()
+        late = F.coalesce(F.col("source_us") < F.col("bound_us"), F.lit(False))
+        rows.where(~late).drop("bound_us").write.mode("overwrite").parquet(f"{path}/batch={number}")
+        rows.where(late).write.mode("overwrite").parquet(f"{late_path}/batch={number}")
+        newest = rows.agg(F.max("source_us").alias("newest")).withColumn("newest", F.greatest("newest", F.lit(before).cast("long")))
+        newest.write.mode("overwrite").parquet(f"{bounds}/batch={number}")
+        rows.unpersist()
+
+    return feed.writeStream.option("checkpointLocation", f"{checkpoint}/late").trigger(**trigger).foreachBatch(step).start()
+
+
 def run_to_end(out: DataFrame, name: str, spark: SparkSession, checkpoint: str, mode: str = "append") -> DataFrame:
     """Run a stream over all files now there; its output as a table."""
     path = f"{checkpoint}/{name}-out"
