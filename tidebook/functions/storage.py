@@ -13,6 +13,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
@@ -58,6 +59,13 @@ def reopened(df: DataFrame, session: SparkSession) -> DataFrame:
     return session.read.schema(df.schema).parquet(*folders) if folders else session.createDataFrame([], df.schema)
 
 
+def broadcast_if_small(df: DataFrame, most: int = 16 << 20) -> DataFrame:
+    """``df`` marked for broadcast if its rows take at most ``most`` bytes as text;
+    past that Spark joins by shuffle. ``df`` must be cheap to read."""
+    held = df.agg(F.sum(F.octet_length(F.to_json(F.struct("*"))))).first()[0] or 0
+    return F.broadcast(df) if held <= most else df
+
+
 def own_session(spark: SparkSession, settings: dict[str, str]) -> SparkSession:
     """A session with the settings of ``spark`` and some of its own, which
     queries that run beside this one don't see."""
