@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 
 from tidebook.functions.graphs import components
 from tidebook.functions.products import correlations
+from tidebook.functions.quantiles import percentiles
 from tidebook.functions.temporal import asof_join, cooldown, interval_join
-from tidebook.operators import compound, graph, ingest, signals
+from tidebook.operators import compound, graph, history, ingest, signals
 from tidebook.sources import tables
 
 QUOTE = "event_id long, asset_id string, condition_id string, source_us long, ingestion_us long, best_bid double, best_ask double, bid_size double, ask_size double, spread_bps double"
@@ -309,3 +310,65 @@ def test_wide_ids(spark):
     n = 2**255 + 12345
     rows = spark.createDataFrame([(hex(n),), ("0x0",), ("plain",), (None,)], "v string")
     assert [r.o for r in rows.select(ingest.normalize_condition_id(F.col("v")).alias("o")).collect()] == [str(n), "0", "plain", None]
+
+
+def _odd_ticks(spark, n=600):
+    """Pauses, repeated times, one-sided quotes, rows without a time or an asset."""
+    rng = random.Random(7)
+    rows, t = [], 0
+    for i in range(n):
+        t += rng.choice([0, 1, 1, 3, 7, 20, 400])
+        bid = rng.choice([None, 0.40, 0.41, 0.42, 0.43])
+        at = None if i % 97 == 5 else t * 1_000_000
+        rows.append((i, rng.choice(["a", "a", "a", "b", None]), "c", at, at, bid, rng.choice([0.5, 0.51, None]) if i % 3 else 0.5, rng.choice([None, 0.0, 10.0, 9000.0]), rng.choice([10.0, 4000.0]), 1.0))
+    return spark.createDataFrame(rows, QUOTE)
+
+
+@pytest.mark.parametrize("width_s", [1, 60, 700])
+def test_slices_tell_the_same_as_one_history(spark, width_s):
+    ticks = _odd_ticks(spark)
+    wanted = [("PRICE_MOVE", None, 60_000), ("VOLATILITY_SPIKE", None, 60_000), ("IMBALANCE_SHIFT", None, 30_000), ("QUOTE_VELOCITY", None, 5_000), ("MID_PRICE_TREND", None, 0), ("MID_PRICE_TREND", "ASK", 0), ("LARGE_FILL", None, 0), ("LARGE_FILL", "BID", 0), ("STALE_QUOTE", None, 0)]
+
+    def values(slice_us):
+        rows = history.prepare(ticks, 60_000, slice_us=slice_us)
+        got = rows.select("event_id", "_own", "_slice", *[signals.value(*w).cast("double").alias(f"v{i}") for i, w in enumerate(wanted)]).where("_own").collect()
+        return len({r["_slice"] for r in got}), sorted((r.event_id, *[r[f"v{i}"] for i in range(len(wanted))]) for r in got)
+
+    slices, cut = values(width_s * 1_000_000)
+    whole, one = values(10**15)
+    assert whole <= 2 < slices  # rows without a time are a slice of their own
+    assert [r[0] for r in cut] == list(range(600)) == [r[0] for r in one]
+    assert cut == one
+    assert all(any(r[i + 1] is not None for r in one) for i in range(len(wanted)))
+
+
+def test_trend_and_fill_of_slices_against_a_plain_pass(spark):
+    ticks = _odd_ticks(spark)
+    got = {r.event_id: (r.run, r.direction, r.bid_before) for r in history.prepare(ticks, 0, slice_us=30_000_000).where("_own").collect()}
+    by_asset = {}
+    for r in ticks.collect():
+        by_asset.setdefault(r.asset_id, []).append(r)
+    for rows in by_asset.values():
+        mid = run = way = size = None
+        for r in sorted(rows, key=lambda r: (r.source_us if r.source_us is not None else -1, r.event_id)):
+            now = None if r.best_bid is None or r.best_ask is None else (r.best_bid + r.best_ask) / 2
+            if now is not None and mid is not None and now != mid:
+                step = 1 if now > mid else -1
+                run, way = (run + 1 if step == way else 1), step
+            mid = mid if now is None else now
+            assert got[r.event_id] == (run, way, size)
+            size = r.bid_size
+
+
+def test_percentiles_are_exact(spark):
+    rng = random.Random(3)
+    rows = [(k, v) for k in ("a", "b", None) for v in [rng.choice([rng.uniform(-5, 5), rng.expovariate(1) * 1e6, 0.0, 1.0, None]) for _ in range(400)]]
+    rows += [("one", 2.5), ("none", None), ("two", 1.0), ("two", 2.0), ("same", 7.0), ("same", 7.0), ("far", float("inf")), ("far", -1e-300), ("far", 1e300), ("odd", float("nan")), ("odd", 1.0), ("odd", -0.0)]
+    df = spark.createDataFrame(rows, "k string, v double")
+    points = [0.0, 0.25, 0.5, 0.95, 1.0]
+    got = {r.k: r.q for r in percentiles(df, ["k"], F.col("v"), points).collect()}
+    want = {r.k: r.q for r in df.groupBy("k").agg(F.percentile("v", F.array(*map(F.lit, points))).alias("q")).where("q IS NOT NULL").collect()}
+    assert set(got) == set(want) == {"a", "b", None, "one", "two", "same", "far", "odd"}
+    for k in want:
+        np.testing.assert_allclose(got[k], want[k], rtol=1e-12)
+    assert percentiles(df.limit(0), ["k"], F.col("v"), points).count() == 0

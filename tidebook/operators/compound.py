@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from tidebook.functions.storage import broadcast_if_small
 from tidebook.functions.temporal import asof_join
 from tidebook.operators.graph import pair_signals
-from tidebook.operators.signals import COMPARE, holds, prepare, value
+from tidebook.operators.history import plain
+from tidebook.operators.signals import COMPARE, holds, value
 
 IDLE_US = 60_000_000
 STATELESS = ("PRICE_ABOVE", "PRICE_BELOW", "SPREAD_NARROW", "SPREAD_WIDE", "IMBALANCE_BID", "IMBALANCE_ASK", "SIZE_SPIKE", "CROSSED_BOOK", "EMPTY_BOOK")
@@ -20,7 +21,7 @@ def condition_states(ticks: DataFrame, rules: DataFrame) -> DataFrame:
     whether the condition holds. ``rules`` has trigger_id, mode, needed and
     ``conditions``: array of (asset_id, type, threshold, side)."""
     each = rules.select("trigger_id", "mode", "needed", F.size("conditions").alias("n"), F.posexplode("conditions").alias("pos", "c"))
-    rows = prepare(ticks).join(broadcast_if_small(each), F.col("asset_id") == F.col("c.asset_id"))
+    rows = plain(ticks).join(broadcast_if_small(each), F.col("asset_id") == F.col("c.asset_id"))
     actual = F.coalesce(*[F.when((F.col("c.type") == k) & F.col("c.side").eqNullSafe(F.lit(s)), value(k, s).cast("double")) for k in STATELESS for s in (None, "BID", "ASK")])
     met = F.coalesce(*[F.when(F.col("c.type") == k, holds(k, F.col("_actual"), F.col("c.threshold"))) for k in STATELESS if k in COMPARE], F.lit(False))
     return rows.withColumn("_actual", actual).select("trigger_id", "mode", "needed", "n", "pos", "source_us", "event_id", F.coalesce(met, F.lit(False)).alias("met"))

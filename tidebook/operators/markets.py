@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidebook.functions.quantiles import percentiles
+
 DAY_US = 86_400_000_000
 
 
@@ -80,21 +82,28 @@ def latency_ms() -> Column:
     return (F.col("ingestion_us") - F.col("source_us")) / 1000
 
 
+def _with_percentiles(stats: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Statistics of groups with their latency percentiles beside them."""
+    q = percentiles(rows, keys, latency_ms(), [0.5, 0.95, 0.99])
+    q = q.select(*[F.col(k).alias(f"_{k}") for k in keys], *[F.col("q")[i].alias(n) for i, n in enumerate(("p50", "p95", "p99"))])
+    on = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+    return stats.join(q, on, "left").drop(*[f"_{k}" for k in keys])
+
+
 def asset_quality(ticks: DataFrame) -> DataFrame:
-    q = F.percentile(latency_ms(), F.array(F.lit(0.5), F.lit(0.95), F.lit(0.99)))
     rows = ticks.groupBy("asset_id").agg(
-        F.count(F.lit(1)).alias("ticks"), F.min("source_us").alias("first_us"), F.max("source_us").alias("last_us"), q.alias("q"), F.count_if("is_resync").alias("resyncs"),
+        F.count(F.lit(1)).alias("ticks"), F.min("source_us").alias("first_us"), F.max("source_us").alias("last_us"), F.count_if("is_resync").alias("resyncs"),
         F.min("sequence_number").alias("seq_min"), F.max("sequence_number").alias("seq_max"), F.countDistinct("sequence_number").alias("seq_unique"),
     )
     gap = 1 - F.col("seq_unique") / (F.col("seq_max") - F.col("seq_min") + 1)
-    return rows.select("asset_id", "ticks", "first_us", "last_us", F.col("q")[0].alias("p50"), F.col("q")[1].alias("p95"), F.col("q")[2].alias("p99"), "resyncs", "seq_min", "seq_max", "seq_unique", gap.alias("gap_ratio"))
+    return _with_percentiles(rows, ticks, ["asset_id"]).select("asset_id", "ticks", "first_us", "last_us", "p50", "p95", "p99", "resyncs", "seq_min", "seq_max", "seq_unique", gap.alias("gap_ratio"))
 
 
 def hourly_latency_stats(rows: DataFrame) -> DataFrame:
     """Percentiles by hour and kind, from (source_us, ingestion_us, kind)."""
-    q = F.percentile(latency_ms(), F.array(F.lit(0.5), F.lit(0.95), F.lit(0.99)))
-    hour = (F.floor(F.col("source_us") / 3_600_000_000) * 3_600_000_000).alias("hour_us")
-    return rows.groupBy(hour, "kind").agg(q.alias("q"), F.count(F.lit(1)).alias("n")).select("hour_us", "kind", "n", F.col("q")[0].alias("p50"), F.col("q")[1].alias("p95"), F.col("q")[2].alias("p99"))
+    rows = rows.withColumn("hour_us", F.floor(F.col("source_us") / 3_600_000_000) * 3_600_000_000)
+    counts = rows.groupBy("hour_us", "kind").agg(F.count(F.lit(1)).alias("n"))
+    return _with_percentiles(counts, rows, ["hour_us", "kind"]).select("hour_us", "kind", "n", "p50", "p95", "p99")
 
 
 def ended_markets(tokens: DataFrame, as_of: int) -> DataFrame:

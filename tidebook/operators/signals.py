@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidebook.functions.temporal import asof_join, cooldown
+from tidebook.operators import history
 
 FRESH_US = 5_000_000
 #: How a value is held against a rule's threshold (fixed values).
@@ -22,6 +23,8 @@ WILDCARDS = 200
 #: Distinct (type, side, window) triples evaluated in one pass over the quotes.
 TRIPLES = 100
 WINDOWED = ("PRICE_MOVE", "VOLATILITY_SPIKE", "IMBALANCE_SHIFT", "QUOTE_VELOCITY")
+#: Types whose value depends on other quotes of the asset.
+PAST = (*WINDOWED, "MID_PRICE_TREND", "LARGE_FILL", "STALE_QUOTE")
 #: Always-on rules: type, threshold, side, window in ms (fixed values).
 ALWAYS_ON = [
     ("SPREAD_WIDE", 200.0, None, 0), ("SPREAD_NARROW", 20.0, None, 0), ("IMBALANCE_BID", 0.6, None, 0), ("IMBALANCE_ASK", 0.6, None, 0), ("CROSSED_BOOK", 0.0, None, 0),
@@ -37,33 +40,18 @@ PRODUCTION = [
 RULE = "rule_id string, type string, threshold double, side string, window_ms long, cooldown_ms long, asset_id string, counterpart_asset_id string, outcome_asset_ids array<string>, enabled boolean"
 
 
-def _order():
-    return Window.partitionBy("asset_id").orderBy("source_us", "event_id")
-
-
-def _trailing(window_us: int):
-    return Window.partitionBy("asset_id").orderBy("source_us").rangeBetween(-window_us, 0)
-
-
-def prepare(ticks: DataFrame) -> DataFrame:
-    """Quotes with what several signals need; unused columns are pruned."""
-    total = F.col("bid_size") + F.col("ask_size")
-    rows = ticks.withColumns({"mid": (F.col("best_bid") + F.col("best_ask")) / 2, "imb": F.when(total > 0, (F.col("bid_size") - F.col("ask_size")) / total), "micro": F.when(total > 0, (F.col("best_bid") * F.col("ask_size") + F.col("best_ask") * F.col("bid_size")) / total)})
-    before = F.last("mid", ignorenulls=True).over(_order().rowsBetween(Window.unboundedPreceding, -1))
-    rows = rows.withColumn("mid_before", before)
-    rows = rows.withColumns({"ret": F.when(F.col("mid_before") > 0, (F.col("mid") - F.col("mid_before")) / F.col("mid_before")), "move": F.when(F.col("mid") != F.col("mid_before"), F.signum(F.col("mid") - F.col("mid_before")).cast("int"))})
-    last_move = F.last("move", ignorenulls=True).over(_order().rowsBetween(Window.unboundedPreceding, -1))
-    rows = rows.withColumn("turn", F.when(F.col("move").isNotNull() & ~F.col("move").eqNullSafe(last_move), 1).otherwise(0))
-    rows = rows.withColumn("island", F.sum("turn").over(_order()))
-    run = Window.partitionBy("asset_id", "island").orderBy("source_us", "event_id")
-    rows = rows.withColumn("run", F.when(F.col("island") > 0, F.count("move").over(run)))
-    rows = rows.withColumn("direction", F.when(F.col("island") > 0, F.first("move", ignorenulls=True).over(run)))
-    return rows.withColumns({"bid_before": F.lag("bid_size").over(_order()), "ask_before": F.lag("ask_size").over(_order()), "silence_us": F.lead("source_us").over(_order()) - F.col("source_us")})
+def prepare(ticks: DataFrame, wanted: list[tuple[str, str | None, int]], window_ms: int = 0) -> DataFrame:
+    """Quotes with what the wanted (type, side, window) triples need. Only types that
+    look back are dealt by slices (``history``); the others cost no shuffle."""
+    if not any(kind in PAST for kind, _, _ in wanted) and not window_ms:
+        return history.plain(ticks)
+    longest = max([window_ms, *[ms for kind, _, ms in wanted if kind in WINDOWED]])
+    return history.prepare(ticks, longest, any(kind == "MID_PRICE_TREND" for kind, _, _ in wanted))
 
 
 def value(kind: str, side: str | None = None, window_ms: int = 0) -> Column:
     """The value of a signal on prepared quotes; null where it can't fire."""
-    w = _trailing(window_ms * 1000)
+    w = history.trailing(window_ms * 1000)
     c = F.col
     if kind in ("PRICE_ABOVE", "PRICE_BELOW"):
         return c("best_ask") if side == "ASK" else c("best_bid")
@@ -94,7 +82,7 @@ def value(kind: str, side: str | None = None, window_ms: int = 0) -> Column:
         first = F.first("mid", ignorenulls=True).over(w)
         return F.when(first > 0, F.abs(c("mid") - first) / first * 100)
     if kind == "IMBALANCE_SHIFT":
-        first = F.when(F.count("imb").over(w) > 100, F.lag("imb", 99).over(_order())).otherwise(F.first("imb", ignorenulls=True).over(w))
+        first = F.when(F.count("imb").over(w) > 100, F.lag("imb", 99).over(history.order())).otherwise(F.first("imb", ignorenulls=True).over(w))
         return F.abs(c("imb") - first)
     if kind == "QUOTE_VELOCITY":
         return F.count(F.lit(1)).over(w) / (window_ms / 1000)
@@ -115,8 +103,8 @@ def holds(kind: str, actual: Column, threshold: Column) -> Column:
 
 def signal(ticks: DataFrame, kind: str, threshold: float, side: str | None = None, window_ms: int = 0) -> DataFrame:
     """Quotes on which one rule fires, with the value."""
-    rows = prepare(ticks).withColumn("actual_value", value(kind, side, window_ms))
-    return rows.where(holds(kind, F.col("actual_value"), F.lit(threshold))).select("event_id", "asset_id", "source_us", "actual_value")
+    rows = prepare(ticks, [(kind, side, window_ms)]).withColumn("actual_value", value(kind, side, window_ms))
+    return rows.where("_own").where(holds(kind, F.col("actual_value"), F.lit(threshold))).select("event_id", "asset_id", "source_us", "actual_value")
 
 
 def rules_table(spark: SparkSession, rules: list[tuple]) -> DataFrame:
@@ -138,10 +126,10 @@ _QUOTE = ["event_id", "asset_id", "condition_id", "source_us", "ingestion_us", "
 def features(ticks: DataFrame, wanted: list[tuple[str, str | None, int]]) -> DataFrame:
     """A row for each quote and wanted (type, side, window) that has a value.
 
-    All windows of one asset share its partition and order, so the whole set
-    costs one shuffle of the quotes.
+    All windows share one partitioning and order, so the whole set costs one
+    shuffle of the quotes, and a narrow one for runs of moves.
     """
-    rows = prepare(ticks).select(*_QUOTE, *[value(*w).cast("double").alias(f"_v{i}") for i, w in enumerate(wanted)])
+    rows = prepare(ticks, wanted).select("_own", *_QUOTE, *[value(*w).cast("double").alias(f"_v{i}") for i, w in enumerate(wanted)]).where("_own")
     each = F.array(*[F.struct(F.lit(k).alias("type"), F.lit(s).cast("string").alias("side"), F.lit(w).cast("long").alias("window_ms"), F.col(f"_v{i}").alias("actual_value")) for i, (k, s, w) in enumerate(wanted)])
     return rows.select(*_QUOTE, F.inline(F.filter(each, lambda x: x["actual_value"].isNotNull())))
 
@@ -149,7 +137,7 @@ def features(ticks: DataFrame, wanted: list[tuple[str, str | None, int]]) -> Dat
 def _every_quote(ticks: DataFrame, rules: list) -> DataFrame:
     """Firings of wildcard rules: only those that hold leave a quote's row."""
     wanted = sorted({(r.type, r.side, r.window_ms or 0) for r in rules}, key=str)
-    rows = prepare(ticks).select(*_QUOTE, *[value(*w).cast("double").alias(f"_v{i}") for i, w in enumerate(wanted)])
+    rows = prepare(ticks, wanted).select("_own", *_QUOTE, *[value(*w).cast("double").alias(f"_v{i}") for i, w in enumerate(wanted)]).where("_own")
     each = []
     for r in rules:
         actual = F.col(f"_v{wanted.index((r.type, r.side, r.window_ms or 0))}")
@@ -222,10 +210,10 @@ def evaluate_rules(ticks: DataFrame, rules: DataFrame) -> DataFrame:
 def global_signals(ticks: DataFrame) -> DataFrame:
     """The always-on signals, each at most every 500 ms for an asset and type.
     Volatility needs five mids in the last minute and three in its window."""
-    rows = prepare(ticks)
-    rows = rows.withColumn("_seen", (F.count("mid").over(_trailing(60_000_000)) >= 5) & (F.count("mid").over(_trailing(10_000_000)) >= 3))
+    rows = prepare(ticks, [(k, s, w) for k, _, s, w in ALWAYS_ON], 60_000)
+    rows = rows.withColumn("_seen", (F.count("mid").over(history.trailing(60_000_000)) >= 5) & (F.count("mid").over(history.trailing(10_000_000)) >= 3))
     wanted = {f"_v{i}": F.when(F.col("_seen"), value(k, s, w)) if k == "VOLATILITY_SPIKE" else value(k, s, w).cast("double") for i, (k, _, s, w) in enumerate(ALWAYS_ON)}
-    rows = rows.withColumns(wanted)
+    rows = rows.withColumns(wanted).where("_own")
     each = [F.when(holds(k, F.col(f"_v{i}"), F.lit(t)), F.struct(F.lit(f"global_{k.lower()}").alias("rule_id"), F.lit(k).alias("type"), F.col(f"_v{i}").alias("actual_value"))) for i, (k, t, _, _) in enumerate(ALWAYS_ON)]
     fired = rows.select(*_QUOTE, F.inline(F.array_compact(F.array(*each)))).withColumn("cooldown_ms", F.lit(ALWAYS_ON_COOLDOWN_MS))
     return apply_cooldown(fired, ("asset_id", "type"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidebook.functions.quantiles import percentiles
 from tidebook.functions.temporal import latest_by
 from tidebook.operators import ingest, integrity, markets, quality_checks as qc
 from tidebook.plans.base_sql import sql
@@ -80,8 +81,8 @@ def dq_l2_top_match(spark, d):
 @query(sql("WITH r AS (SELECT 'bbo' AS t, (ingestion_us - source_us) / 1000 AS ms FROM bbo UNION ALL SELECT 'trades', (ingestion_us - source_us) / 1000 FROM trades UNION ALL SELECT 'snaps', (ingestion_us - source_us) / 1000 FROM snaps) SELECT t, round(quantile_cont(ms, 0.5), 6) AS p50, round(quantile_cont(ms, 0.9), 6) AS p90, round(quantile_cont(ms, 0.95), 6) AS p95, round(quantile_cont(ms, 0.99), 6) AS p99, max(ms) AS worst FROM r GROUP BY 1", "bbo", "trades", "snaps"))
 def dq_latency_dist(spark, d):
     rows = [t(spark, d).select(F.lit(n).alias("t"), markets.latency_ms().alias("ms")) for n, t in (("bbo", tables.quotes), ("trades", tables.trades), ("snaps", tables.snapshots))]
-    q = F.percentile("ms", F.array(*[F.lit(x) for x in (0.5, 0.9, 0.95, 0.99)]))
-    got = rows[0].unionByName(rows[1]).unionByName(rows[2]).groupBy("t").agg(q.alias("q"), F.max("ms").alias("worst"))
+    every = rows[0].unionByName(rows[1]).unionByName(rows[2])
+    got = every.groupBy("t").agg(F.max("ms").alias("worst")).join(percentiles(every, ["t"], F.col("ms"), [0.5, 0.9, 0.95, 0.99]), "t", "left")
     return rounded(got.select("t", *[F.col("q")[i].alias(n) for i, n in enumerate(("p50", "p90", "p95", "p99"))], "worst"))
 
 
