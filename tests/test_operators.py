@@ -372,3 +372,28 @@ def test_percentiles_are_exact(spark):
     for k in want:
         np.testing.assert_allclose(got[k], want[k], rtol=1e-12)
     assert percentiles(df.limit(0), ["k"], F.col("v"), points).count() == 0
+
+
+@pytest.mark.parametrize("slice_s", [5, 90, 100_000])
+def test_compound_rules_by_slices_against_a_plain_fold(spark, slice_s):
+    rng = random.Random(11)
+    rows = []
+    for rule, (mode, needed, n) in {"all": ("ALL_OF", 2, 3), "any": ("ANY_OF", 1, 2), "some": ("N_OF_M", 3, 5), "many": ("N_OF_M", 12, 80), "never": ("N_OF_M", 4, 2)}.items():
+        t = 0
+        for i in range(500):
+            t += rng.choice([0, 0, 1, 2, 5, 61 if rng.random() < 0.1 else 3])
+            rows.append((rule, mode, needed, n, rng.randrange(n), t * 1_000_000, i, rng.random() < (0.9 if n > 5 else 0.4)))
+    want, held, last = [], {}, {}
+    for rule, mode, needed, n, pos, t, i, met in sorted(rows, key=lambda r: (r[0], r[5], r[6], r[4])):
+        if t - last.get(rule, t) > compound.IDLE_US:
+            held[rule] = set()
+        last[rule], now = t, held.setdefault(rule, set())
+        now.add(pos) if met else now.discard(pos)
+        if len(now) >= compound.required(mode, needed, n):
+            want.append((rule, t, i, len(now)))
+            held[rule] = set()
+    states = spark.createDataFrame(rows, "trigger_id string, mode string, needed int, n int, pos int, source_us long, event_id long, met boolean")
+    got = sorted(map(tuple, compound.compound_eval(states, slice_s * 1_000_000).collect()))
+    assert got == sorted(want)
+    assert {r[0] for r in got} == {"all", "any", "some", "many"}
+    assert compound.compound_eval(states.limit(0)).count() == 0
