@@ -397,3 +397,13 @@ def test_compound_rules_by_slices_against_a_plain_fold(spark, slice_s):
     assert got == sorted(want)
     assert {r[0] for r in got} == {"all", "any", "some", "many"}
     assert compound.compound_eval(states.limit(0)).count() == 0
+
+
+def test_equal_weights_stay_equal(spark):
+    # the JVM's pow misses some of these by a unit
+    rows = [("a", f"m{n:02}", "hedge", "user_analysis", "u", 1.0, (90 - n) * graph.DAY_US) for n in range(91)]
+    signals_ = spark.createDataFrame(rows, "market_a string, market_b string, edge_type string, signal_source string, user_id string, strength double, created_us long")
+    ages = signals_.select(F.col("market_b"), graph._decay(F.lit(90) - F.floor(F.col("created_us") / graph.DAY_US), 90).alias("d")).collect()
+    assert [r.d for r in sorted(ages)] == [2.0 ** (-n / 30) for n in range(91)]
+    far = spark.createDataFrame([(200,), (-3,), (None,)], "age long").select(graph._decay(F.col("age"), 90).alias("d")).collect()
+    assert [None if r.d is None else round(r.d, 12) for r in far] == [round(2.0 ** (-200 / 30), 12), round(2.0**0.1, 12), None]
