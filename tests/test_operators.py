@@ -407,3 +407,12 @@ def test_equal_weights_stay_equal(spark):
     assert [r.d for r in sorted(ages)] == [2.0 ** (-n / 30) for n in range(91)]
     far = spark.createDataFrame([(200,), (-3,), (None,)], "age long").select(graph._decay(F.col("age"), 90).alias("d")).collect()
     assert [None if r.d is None else round(r.d, 12) for r in far] == [round(2.0 ** (-200 / 30), 12), round(2.0**0.1, 12), None]
+
+
+def test_ranks_of_nearly_equal_weights(spark):
+    # 0.8 * 1.5 is a unit above 1.2, which fifty days shrink but don't level
+    rows = [("a", "x", "hedge", "user_analysis", "u", 1.2, 40 * graph.DAY_US), ("a", "y", "hedge", "user_trigger", "u", 0.8, 40 * graph.DAY_US)]
+    edges = graph.edge_weights(spark.createDataFrame(rows, "market_a string, market_b string, edge_type string, signal_source string, user_id string, strength double, created_us long"), 90 * graph.DAY_US)
+    known = spark.createDataFrame([("x", "q", 1)], "market string, question string, end_us long")
+    assert [r.dst for r in graph.suggestions(edges, known, 2, 1).where("src = 'a'").orderBy("rank").collect()] == ["y", "x"]
+    assert [r.dst for r in graph.neighbors(edges, "a", 0.1, 2).orderBy("rank").collect()] == ["y", "x"]
