@@ -416,3 +416,21 @@ def test_ranks_of_nearly_equal_weights(spark):
     known = spark.createDataFrame([("x", "q", 1)], "market string, question string, end_us long")
     assert [r.dst for r in graph.suggestions(edges, known, 2, 1).where("src = 'a'").orderBy("rank").collect()] == ["y", "x"]
     assert [r.dst for r in graph.neighbors(edges, "a", 0.1, 2).orderBy("rank").collect()] == ["y", "x"]
+
+
+@pytest.mark.parametrize("files", [3, 150])
+def test_a_batch_takes_one_slice(spark, sf_dir, files):
+    from tests.test_queries import plain
+    from tidebook.plans import all_plans
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{sf_dir}/events.parquet'")
+    had = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", files)
+    try:
+        got = all_plans.QUERIES["stream_late_rows"](spark, sf_dir)
+        want = con.execute(all_plans.ORACLES["stream_late_rows"])
+        assert plain(got.select(*[c[0] for c in want.description]).collect()) == plain(want.fetchall())
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", had)
