@@ -96,6 +96,25 @@ def test_neighbours_of_a_table_of_many_lists(spark, monkeypatch, clusters):
     assert needed[0] < 60 if clusters else needed[0] > 100
 
 
+@pytest.mark.parametrize("kind", ["tight", "unlike"])
+def test_neighbours_where_codes_tell_little(spark, kind):
+    """Clusters whose rows share codes; queries that are unlike the other rows."""
+    n, rng = 9000, np.random.default_rng(8)
+    x = rng.standard_normal((3, 16))[rng.integers(0, 3, n)] + 1e-3 * rng.standard_normal((n, 16))
+    if kind == "unlike":
+        x[::50] = 4 + rng.standard_normal((n // 50, 16))
+        x[1::50] = 4 + rng.standard_normal((n // 50, 16))
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = neighbours.search(rows, neighbours.F.col("vec_id") % 50 == 0).toPandas()
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    hits = 0
+    for q, mine in got.groupby("query_id"):
+        near = unit @ unit[q]
+        near[q] = -9
+        hits += len(set(np.argsort(-near)[:5].tolist()) & set(mine["vec_id"]))
+    assert len(got) == 5 * 180 and hits >= 0.95 * len(got)
+
+
 def test_neighbours_of_extreme_lengths(spark):
     rows = [(0, [1e-200, 0.0]), (50, [1e200, 1e200]), (1, [0.0, 5e-324]), (2, [3.0, 4.0]), (3, [-1e308, 1e308])]
     got = neighbours.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), neighbours.F.col("vec_id") % 50 == 0).orderBy("query_id", "rank").collect()

@@ -11,17 +11,19 @@ all, is coded, asked and ranked once, and each kind that wins gives its ``k`` +
 smallest vec_ids, so copies take one candidate place however many there are.
 
 Kinds are put in lists by their nearest centre, about as many lists as the root
-of their number, and a query scans the lists nearest to it. How many is measured
-at the table's own size: the true neighbours of ``PROBES_FROM`` sampled queries
-are found by one exact pass, and enough lists are taken to hold ``COVER`` of
-them. Clustered tables need few lists; vectors without clusters need nearly all,
-and get them.
+of their number, and a query scans the lists nearest to it. How many, and how many
+rows of them by their codes, is measured at the table's own size: the true
+neighbours of ``PROBES_FROM`` of the queries are found by one exact pass in double
+precision; enough lists are taken to hold ``COVER`` of them, and twice as many rows
+as come before ``COVER`` of them by code. Clustered tables need few lists; vectors
+without clusters need nearly all, and get them. Clusters so tight that their rows
+share codes need few lists but many rows, and get these.
 
 Small lists share a cell and large ones are cut into cells, of about ``CELL``
 rows; queries are sent to cells in blocks. In a cell a table of the query's inner
-products with the codewords is summed over the codes of the lists it asked for;
-each cell keeps its best ``KEEP`` rows, each query its best ``RERANK``, and these
-are ranked again by the cosine of the original vectors in double precision.
+products with the codewords is summed over the codes of the lists it asked for; the
+best rows by code, ``KEEP`` at least, are ranked again there by the cosine of the
+original vectors in double precision, and only the nearest leave the cell.
 
 Centres and codebooks are fitted on a sample (smallest hash of vec_id) of at most
 ``SAMPLE`` rows and ``SAMPLE_VALUES`` components; every row is indexed.
@@ -51,10 +53,9 @@ WORDS = 16
 PARTS = 32
 LIST_ROWS, MOST_LISTS = 2048, 4096
 PROBES_FROM, COVER = 100, 0.99
-CELL = 65_536
+CELL, CELL_VALUES = 65_536, 1 << 22
 QUERY_BLOCK = 4096
-KEEP = 300
-RERANK = 600
+KEEP = 600
 THRESHOLD = 0.2
 
 
@@ -137,50 +138,107 @@ def fit(sample: np.ndarray, lists: int = 1, seed: int = 11, rounds: int = 4) ->
     return {"dims": d, "pad": pad, "books": books.astype(np.float32), "eta": eta, "centres": centres}
 
 
-def _unit(column: pd.Series, model: dict) -> np.ndarray:
+def _unit(column: pd.Series, model: dict, kind=np.float32) -> np.ndarray:
     """Rows of length one from scaled vectors."""
     x = np.array(column.tolist(), np.float64).reshape(len(column), model["dims"])
-    return (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    return (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(kind)
 
 
-def _sampled(kinds: DataFrame, rows: int, dims: int) -> np.ndarray:
-    """The vectors of ``rows`` kinds with the smallest hash."""
+def _sampled(kinds: DataFrame, rows: int, dims: int) -> tuple[np.ndarray, np.ndarray]:
+    """The vec_ids and vectors of ``rows`` kinds with the smallest hash."""
 
     def pack(batches):
         for pdf in batches:
-            yield pd.DataFrame({"v": [np.asarray(v, np.float64).tobytes() for v in pdf["embedding"]]})
+            yield pd.DataFrame({"vec_id": pdf["vec_id"], "v": [np.asarray(v, np.float64).tobytes() for v in pdf["embedding"]]})
 
-    got = kinds.orderBy(F.xxhash64("vec_id"), "vec_id").limit(rows).select("embedding").mapInPandas(pack, "v binary").toPandas()
-    return np.frombuffer(b"".join(got["v"]), np.float64).reshape(-1, dims)
+    got = kinds.orderBy(F.xxhash64("vec_id"), "vec_id").limit(rows).select("vec_id", "embedding").mapInPandas(pack, "vec_id long, v binary").toPandas()
+    return got["vec_id"].to_numpy(), np.frombuffer(b"".join(got["v"]), np.float64).reshape(-1, dims)
 
 
-def probes_needed(kinds: DataFrame, model: dict, sent, k: int) -> int:
-    """How many nearest lists hold ``COVER`` of the true neighbours of
-    ``PROBES_FROM`` sampled kinds. One pass over all kinds."""
-    asked = _sampled(kinds, PROBES_FROM, model["dims"])
-    q = (asked / np.linalg.norm(asked, axis=1, keepdims=True)).astype(np.float32)
+def true_neighbours(kinds: DataFrame, sent, ids: np.ndarray, asked: np.ndarray, k: int) -> pd.DataFrame:
+    """q, vec_id and list of the ``k`` kinds nearest to each of some others, in one
+    pass over all kinds."""
+    q = asked / np.linalg.norm(asked, axis=1, keepdims=True)
 
     def best(batches):
-        held_s, held_l = np.full((len(q), 0), -np.inf, np.float32), np.zeros((len(q), 0), np.int32)
+        held = [np.full((len(q), 0), -np.inf), np.zeros((len(q), 0), np.int64), np.zeros((len(q), 0), np.int32)]
         for pdf in batches:
             if len(pdf):
-                x = _unit(pdf["embedding"], sent.value)
-                near, own = q @ x.T, np.broadcast_to(_nearest(x, sent.value["centres"]).astype(np.int32), (len(q), len(x)))
-                held_s, held_l = np.hstack((held_s, near)), np.hstack((held_l, own))
-                top = np.argsort(-held_s, axis=1, kind="stable")[:, : k + 1]
-                held_s, held_l = np.take_along_axis(held_s, top, 1), np.take_along_axis(held_l, top, 1)
-        rows, take = held_s.shape
-        yield pd.DataFrame({"q": np.repeat(np.arange(rows, dtype=np.int32), take), "near": held_s.ravel(), "list": held_l.ravel()})
-
-    order = Window.partitionBy("q").orderBy(F.desc("near"))
-    found = kinds.select("embedding").mapInPandas(best, "q int, near float, list int").withColumn("_r", F.row_number().over(order))
-    # the first is the query itself
-    found = found.where((F.col("_r") > 1) & (F.col("_r") <= k + 1)).select("q", "list").toPandas()
+                own = pdf["vec_id"].to_numpy()
+                near = np.where(own == ids[:, None], -np.inf, q @ _unit(pdf["embedding"], sent.value, np.float64).T)
+                lists = _nearest(_unit(pdf["embedding"], sent.value), sent.value["centres"]).astype(np.int32)
+                held = [np.hstack((h, np.broadcast_to(x, near.shape))) for h, x in zip(held, (near, own, lists), strict=True)]
+                top = np.argsort(-held[0], axis=1, kind="stable")[:, :k]
+                held = [np.take_along_axis(h, top, 1) for h in held]
+        rows, take = held[0].shape
+        yield pd.DataFrame({"q": np.repeat(np.arange(rows, dtype=np.int32), take), "near": held[0].ravel(), "vec_id": held[1].ravel(), "list": held[2].ravel()})
+
+    order = Window.partitionBy("q").orderBy(F.desc("near"), "vec_id")
+    found = kinds.select("vec_id", "embedding").mapInPandas(best, "q int, near double, vec_id long, list int").where("near > -2")
+    return found.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= k).select("q", "vec_id", "list").toPandas()
+
+
+def _covering(places: np.ndarray) -> int:
+    """The place that ``COVER`` of them don't exceed."""
+    places = np.sort(places)
+    return int(places[min(len(places) - 1, int(np.ceil(COVER * len(places))))])
+
+
+def probes_needed(found: pd.DataFrame, asked: np.ndarray, model: dict) -> int:
+    """How many nearest lists hold ``COVER`` of the true neighbours ``found``."""
     if found.empty:
         return len(model["centres"])
+    q = (asked / np.linalg.norm(asked, axis=1, keepdims=True)).astype(np.float32)
     rank = np.argsort(np.argsort(-_to_lists(q, model), axis=1), axis=1)
-    places = np.sort(rank[found["q"], found["list"]])
-    return int(places[min(len(places) - 1, int(np.ceil(COVER * len(places))))]) + 1
+    return _covering(rank[found["q"], found["list"]]) + 1
+
+
+def rows_needed(coded: DataFrame, found: pd.DataFrame, asked: np.ndarray, model: dict, sent, probes: int) -> int:
+    """Twice as many rows as, by code, come before ``COVER`` of the true neighbours
+    ``found`` in the lists that a query scans (one pass over all codes)."""
+    if found.empty:
+        return 0
+    q = (asked / np.linalg.norm(asked, axis=1, keepdims=True)).astype(np.float32)
+    codes = dict(coded.where(F.col("vec_id").isin(found["vec_id"].unique().tolist())).select("vec_id", "codes").collect())
+    bars = [np.array([_by_code(_pairs(v, model), _packed([codes[i]]))[0] for i in found["vec_id"][found["q"] == at]], np.float32) for at, v in enumerate(q)]
+    scanned = np.argsort(-_to_lists(q, model), axis=1, kind="stable")[:, :probes]
+
+    def before(batches):
+        ranks = [np.zeros(len(b), np.int64) for b in bars]
+        tables = [_pairs(v, sent.value) for v in q]
+        for pdf in batches:
+            own, held = pdf["list"].to_numpy(), _packed(pdf["codes"])
+            for at, bar in enumerate(bars):
+                near = _by_code(tables[at], held[:, np.isin(own, scanned[at])])
+                ranks[at] += (near[:, None] >= bar).sum(0)
+        yield pd.DataFrame({"q": np.repeat(np.arange(len(bars)), [len(b) for b in bars]), "n": np.concatenate([np.arange(len(b)) for b in bars]), "rows": np.concatenate(ranks)})
+
+    ranks = coded.select("list", "codes").mapInPandas(before, "q long, n long, rows long").groupBy("q", "n").agg(F.sum("rows").alias("rows")).toPandas()
+    return 2 * _covering(ranks["rows"].to_numpy())
+
+
+def _packed(codes) -> np.ndarray:
+    """Codes as bytes, a row for each two subspaces."""
+    return np.ascontiguousarray(np.frombuffer(b"".join(codes), np.uint8).reshape(len(codes), -1).T) if len(codes) else np.empty((0, 0), np.uint8)
+
+
+def _pairs(vector: np.ndarray, model: dict) -> np.ndarray:
+    """A query's inner products with the codewords of each two subspaces."""
+    books = model["books"]
+    inner = np.einsum("mw,mcw->mc", np.pad(vector, (0, model["pad"])).reshape(len(books), SUBSPACE), books)
+    return (inner[0::2, :, None] + inner[1::2, None, :]).reshape(len(books) // 2, WORDS * WORDS)
+
+
+def _by_code(pairs: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    near = np.zeros(codes.shape[1], np.float32)
+    for table, code in zip(pairs, codes, strict=False):
+        near += table[code]
+    return near
+
+
+def _dots(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Inner products, added up one component after the other."""
+    return np.cumsum(a * b, axis=-1)[..., -1]
 
 
 def _to_lists(q: np.ndarray, model: dict) -> np.ndarray:
@@ -204,7 +262,7 @@ def _kinds(valid: DataFrame, members: int) -> DataFrame:
     return some.groupBy("h1", "h2").agg(F.min("vec_id").alias("vec_id"), F.array_sort(F.collect_list("vec_id")).alias("members"), F.min_by("embedding", "vec_id").alias("embedding"))
 
 
-def search(vectors: DataFrame, queries: Column, k: int = 5, keep: int = KEEP, rerank: int = RERANK) -> DataFrame:
+def search(vectors: DataFrame, queries: Column, k: int = 5, keep: int = KEEP) -> DataFrame:
     """The ``k`` nearest other rows of each row for which ``queries`` holds.
 
     ``vectors`` has vec_id and embedding; gives query_id, rank, vec_id, score.
@@ -224,9 +282,16 @@ def search(vectors: DataFrame, queries: Column, k: int = 5, keep: int = KEEP, re
     kinds = materialize(_kinds(valid, k + 1), "kinds")
     n = kinds.count()
     lists = max(1, min(MOST_LISTS, n // LIST_ROWS, int(n**0.5)))
-    model = fit(_sampled(kinds, max(1024, min(SAMPLE, SAMPLE_VALUES // dims)), dims), lists)
+    model = fit(_sampled(kinds, max(1024, min(SAMPLE, SAMPLE_VALUES // dims)), dims)[1], lists)
     sent = spark.sparkContext.broadcast(model)
-    probes = probes_needed(kinds, model, sent, k) if lists > 1 else 1
+    seekers = valid.where(queries).select(F.col("vec_id").alias("query_id"), "h1", "h2")
+    asked = kinds.join(seekers.select("h1", "h2").distinct(), ["h1", "h2"]).select(F.col("vec_id").alias("query_id"), "h1", "h2", "members", "embedding")
+    asked = materialize(asked, "asked")
+    some_ids, some = _sampled(asked.select(F.col("query_id").alias("vec_id"), "embedding"), PROBES_FROM, dims)
+    if not len(some_ids):
+        return empty
+    nearest = true_neighbours(kinds, sent, some_ids, some, k)
+    probes = probes_needed(nearest, some, model) if lists > 1 else 1
 
     def encode(batches):
         m = sent.value
@@ -235,24 +300,24 @@ def search(vectors: DataFrame, queries: Column, k: int = 5, keep: int = KEEP, re
                 x = _unit(pdf["embedding"], m)
                 codes = np.concatenate([assign(np.pad(y, ((0, 0), (0, m["pad"]))), m["books"], m["eta"]) for y in np.array_split(x, max(1, len(x) // 2048))])
                 packed = codes[:, 0::2] << 4 | codes[:, 1::2]
-                yield pd.DataFrame({"vec_id": pdf["vec_id"], "list": _nearest(x, m["centres"]).astype(np.int32), "codes": [r.tobytes() for r in packed]})
+                exact = [np.asarray(v, np.float64).tobytes() for v in pdf["embedding"]]
+                yield pd.DataFrame({"vec_id": pdf["vec_id"], "list": _nearest(x, m["centres"]).astype(np.int32), "codes": [r.tobytes() for r in packed], "exact": exact})
 
-    coded = materialize(kinds.select("vec_id", "embedding").mapInPandas(encode, "vec_id long, list int, codes binary"), "codes")
+    coded = materialize(kinds.select("vec_id", "embedding").mapInPandas(encode, "vec_id long, list int, codes binary, exact binary"), "codes")
+    keep = max(keep, rows_needed(coded, nearest, some, model, sent, probes))
     held = dict(coded.groupBy("list").count().collect())  # at most MOST_LISTS rows
     # list -> its first cell and how many; small lists share one
+    most = max(1, min(CELL, CELL_VALUES // dims))
     first, cells, filled, at = [0] * lists, [1] * lists, 0, 0
     for one in range(lists):
         size = held.get(one, 0)
-        if filled and filled + size > CELL:
+        if filled and filled + size > most:
             at, filled = at + 1, 0
-        first[one], cells[one] = at, max(1, -(-size // CELL))
+        first[one], cells[one] = at, max(1, -(-size // most))
         filled += size
         if cells[one] > 1:
             at, filled = at + cells[one], 0
     plan = F.broadcast(spark.createDataFrame(list(zip(range(lists), first, cells, strict=True)), "list int, first int, cells int"))
-    seekers = valid.where(queries).select(F.col("vec_id").alias("query_id"), "h1", "h2")
-    asked = kinds.join(seekers.select("h1", "h2").distinct(), ["h1", "h2"]).select(F.col("vec_id").alias("query_id"), "h1", "h2", "members", "embedding")
-    asked = materialize(asked, "asked")
 
     def probe(batches):
         m = sent.value
@@ -260,69 +325,59 @@ def search(vectors: DataFrame, queries: Column, k: int = 5, keep: int = KEEP, re
             q = _unit(pdf["embedding"], m)
             near = np.argsort(-_to_lists(q, m), axis=1, kind="stable")[:, :probes]
             rows = []
-            for one, vector, some in zip(pdf["query_id"], q, near, strict=True):
+            for one, vector, some in zip(pdf["query_id"], pdf["embedding"], near, strict=True):
                 by_cell: dict = {}
                 for x in some.tolist():
                     for c in range(first[x], first[x] + cells[x]):
                         by_cell.setdefault(c, []).append(x)
-                blob = vector.tobytes()
+                blob = np.asarray(vector, np.float64).tobytes()
                 rows += [(one, blob, c, xs) for c, xs in by_cell.items()]
-            yield pd.DataFrame(rows, columns=["query_id", "vector", "cell", "lists"])
+            yield pd.DataFrame(rows, columns=["query_id", "exact", "cell", "lists"])
 
-    asking = materialize(asked.select("query_id", "embedding").mapInPandas(probe, "query_id long, vector binary, cell int, lists array<int>"), "asking")
+    asking = materialize(asked.select("query_id", "embedding").mapInPandas(probe, "query_id long, exact binary, cell int, lists array<int>"), "asking")
     blocks = small_side(materialize(asking.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / QUERY_BLOCK).cast("int").alias("blocks")), "blocks"))
     asking = asking.join(blocks, "cell").withColumn("block", F.pmod(F.xxhash64("query_id"), "blocks").cast("int")).drop("blocks")
     cell = (F.col("first") + F.pmod(F.xxhash64("vec_id"), "cells")).cast("int").alias("cell")
-    candidates = coded.join(plan, "list").select("vec_id", "list", "codes", cell).join(blocks, "cell")
+    candidates = coded.join(plan, "list").select("vec_id", "list", "codes", "exact", cell).join(blocks, "cell")
     candidates = candidates.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
 
     def scan(rows: pd.DataFrame, asks: pd.DataFrame) -> pd.DataFrame:
         m = sent.value
-        if rows.empty or asks.empty:
-            return pd.DataFrame({"query_id": np.empty(0, np.int64), "vec_id": np.empty(0, np.int64), "near": np.empty(0, np.float32)})
-        rows = rows.sort_values(["list", "vec_id"])
-        ids, own = rows["vec_id"].to_numpy(), rows["list"].to_numpy()
-        codes = np.ascontiguousarray(np.frombuffer(b"".join(rows["codes"]), np.uint8).reshape(len(rows), -1).T)
-        q = np.frombuffer(b"".join(asks["vector"]), np.float32).reshape(len(asks), -1)
-        q = np.pad(q, ((0, 0), (0, m["pad"])))
-        books = m["books"]
-        kept, scores, asked_by = [], [], []
-        for one, vector, some in zip(asks["query_id"].to_numpy(), q, asks["lists"], strict=True):
-            inner = np.einsum("mw,mcw->mc", vector.reshape(len(books), SUBSPACE), books)
-            pairs = (inner[0::2, :, None] + inner[1::2, None, :]).reshape(len(books) // 2, WORDS * WORDS)
-            near, place = [], []
-            for a, b in _runs(np.sort(np.asarray(some)), own):
-                part = np.zeros(b - a, np.float32)
-                for j in range(len(pairs)):
-                    part += pairs[j][codes[j, a:b]]
-                near.append(part)
-                place.append(np.arange(a, b))
-            near, place = np.concatenate(near), np.concatenate(place)
+        kept, scores, asked_by = [np.empty(0, np.int64)], [np.empty(0)], [np.empty(0, np.int64)]
+        if len(rows) and len(asks):
+            rows = rows.sort_values(["list", "vec_id"])
+            ids, own, codes = rows["vec_id"].to_numpy(), rows["list"].to_numpy(), _packed(rows["codes"])
+            x = np.frombuffer(b"".join(rows["exact"]), np.float64).reshape(len(rows), -1)
+            # in parts, as all products of a cell would be a copy of it
+            length = np.sqrt(np.concatenate([_dots(y, y) for y in np.array_split(x, max(1, len(x) // 4096))]))
+            q = np.frombuffer(b"".join(asks["exact"]), np.float64).reshape(len(asks), -1)
+        for one, vector, some in zip(asks["query_id"].to_numpy(), q, asks["lists"], strict=True) if len(rows) and len(asks) else ():
+            pairs = _pairs((vector / np.linalg.norm(vector)).astype(np.float32), m)
+            runs = _runs(np.sort(np.asarray(some)), own)
+            near = np.concatenate([_by_code(pairs, codes[:, a:b]) for a, b in runs])
+            place = np.concatenate([np.arange(a, b) for a, b in runs])
             take = min(keep + 1, len(near))
             if take:
-                edge = np.partition(near, len(near) - take)[len(near) - take]
-                best = np.flatnonzero(near >= edge)
-                best = best[np.lexsort((ids[place[best]], -near[best]))][:take]
-                kept.append(ids[place[best]])
-                scores.append(near[best])
-                asked_by.append(np.full(take, one))
-        none = [np.empty(0, np.int64)]
-        found = pd.DataFrame({"query_id": np.concatenate(asked_by or none), "vec_id": np.concatenate(kept or none), "near": np.concatenate(scores or none).astype(np.float32)})
-        return found[found["query_id"] != found["vec_id"]]
+                # all rows of the last one's code, as none of them is before another
+                best = place[near >= np.partition(near, len(near) - take)[len(near) - take]]
+                best = best[ids[best] != one]
+                score = np.concatenate([_dots(x[p], vector) for p in np.array_split(best, max(1, len(best) // 4096))])
+                score = score / (np.sqrt(_dots(vector, vector)) * length[best])
+                best, score = (y[np.lexsort((ids[best], -score))[: k + 1]] for y in (best, score))
+                kept.append(ids[best])
+                scores.append(score)
+                asked_by.append(np.full(len(best), one))
+        return pd.DataFrame({"query_id": np.concatenate(asked_by), "vec_id": np.concatenate(kept), "score": np.concatenate(scores)})
 
     keys = ["cell", "block"]
-    found = candidates.groupBy(*keys).cogroup(asking.groupBy(*keys)).applyInPandas(scan, "query_id long, vec_id long, near float")
-    order = Window.partitionBy("query_id").orderBy(F.desc("near"), "vec_id")
-    short = found.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= rerank).select("query_id", "vec_id")
-    own = asked.select("query_id", F.col("query_id").alias("vec_id"))
-    other = asked.select("query_id", "h1", "h2", F.col("embedding").alias("_q"))
-    both = short.union(own).join(kinds.select("vec_id", "members", "embedding"), "vec_id").join(other, "query_id")
+    found = candidates.groupBy(*keys).cogroup(asking.groupBy(*keys)).applyInPandas(scan, "query_id long, vec_id long, score double")
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    score = dot("_q", "embedding") / (F.sqrt(dot("_q", "_q")) * F.sqrt(dot("embedding", "embedding")))
-    scored = both.select("query_id", "h1", "h2", "vec_id", "members", score.alias("score"))
+    square = dot("embedding", "embedding")
+    own = asked.select("query_id", F.col("query_id").alias("vec_id"), (square / (F.sqrt(square) * F.sqrt(square))).alias("score"))
     # the first k + 1 rows are of the first k + 1 kinds, as each kind has a row
     last = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    best = scored.withColumn("_r", F.row_number().over(last)).where(F.col("_r") <= k + 1)
+    best = found.union(own).withColumn("_r", F.row_number().over(last)).where(F.col("_r") <= k + 1)
+    best = best.join(kinds.select("vec_id", "members"), "vec_id").join(asked.select("query_id", "h1", "h2"), "query_id")
     rows = F.transform("members", lambda v: F.struct((-F.col("score")).alias("away"), v.alias("vec_id")))
     best = best.groupBy("query_id", "h1", "h2").agg(F.array_sort(F.flatten(F.collect_list(rows))).alias("rows"))
     best = materialize(best.select("h1", "h2", F.slice("rows", 1, k + 1).alias("rows")), "nearest")
