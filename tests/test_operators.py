@@ -256,6 +256,23 @@ def test_cycles_of_four_and_pruning(spark):
     assert graph.has_negative_cycle(edges.limit(0)).first().found is False
 
 
+def test_cycles_in_passes(spark):
+    """Few starts at once give the same cycles, and no half path stays on disk."""
+    from pathlib import Path
+
+    rng = random.Random(7)
+    pairs = sorted({tuple(sorted(rng.sample(range(24), 2))) for _ in range(90)})
+    rows = [(f"m{a:02}", f"m{b:02}", rng.choice(["hedge", "correlation"]), rng.uniform(0.2, 1.0)) for a, b in pairs]
+    edges = spark.createDataFrame(rows, "market_a string, market_b string, edge_type string, weight double")
+    for high, below, low in ((4, 0.0, 3), (6, -1.0, 5)):
+        want = sorted(tuple(r) for r in graph.negative_cycles(edges, high, 0.1, below, low).collect())
+        got = sorted(tuple(r) for r in graph.negative_cycles(edges, high, 0.1, below, low, pass_paths=300).collect())
+        assert [(r[0], r[1], r[3]) for r in got] == [(r[0], r[1], r[3]) for r in want] and want
+        assert np.allclose([r[2] for r in got], [r[2] for r in want])
+    shared = Path(spark.sparkContext.getConf().get("spark.checkpoint.dir").removeprefix("file://"))
+    assert not [*shared.glob("paths-*/*.parquet")]
+
+
 def test_a_path_over_some_types(spark):
     rows = [("a", "b", "hedge", 1.0), ("b", "c", "causal", 1.0), ("a", "c", "arbitrage", 9.0), ("a", "c", "causal", 0.1)]
     edges = spark.createDataFrame(rows, "market_a string, market_b string, edge_type string, weight double")
