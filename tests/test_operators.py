@@ -1,5 +1,6 @@
 """Operators without SQL, against brute force; hand-made unit cases."""
 
+import math
 import random
 
 import numpy as np
@@ -329,6 +330,14 @@ def test_wide_ids(spark):
     assert [r.o for r in rows.select(ingest.normalize_condition_id(F.col("v")).alias("o")).collect()] == [str(n), "0", "plain", None]
 
 
+def test_ids_of_every_length(spark):
+    whole = ["0x" + ("9" + "f07a" * 16)[:n] for n in range(1, 65)] + ["0X" + "F" * 64, "0x" + "0" * 64, "0x000a"]
+    other = ["0x", "0xg1", "0x" + "1" * 65, "0x1_0", "0xab\n", "ab", ""]
+    rows = spark.createDataFrame([(v,) for v in whole + other], "v string")
+    got = {r.v: r.o for r in rows.select("v", ingest.normalize_condition_id(F.col("v")).alias("o")).collect()}
+    assert got == {v: str(int(v, 16)) for v in whole} | {v: v for v in other}
+
+
 def _odd_ticks(spark, n=600):
     """Pauses, repeated times, one-sided quotes, rows without a time or an asset."""
     rng = random.Random(7)

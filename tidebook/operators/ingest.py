@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -273,25 +274,15 @@ def normalize_market_info(rows: DataFrame, sources: list[str], kinds: list[str],
 
 
 def normalize_condition_id(ids: Column) -> Column:
-    """0x hex text of up to 256 bits as decimal text; other text as it is.
+    """0x hex text of up to 256 bits as decimal text; other text as it is. Wider than
+    any numeric type of the engine, so batches go through Python's integers."""
 
-    Wider than any numeric type: 16-bit digits are folded into groups of nine
-    decimal digits with long arithmetic, inside the JVM.
-    """
-    hexed = F.lower(F.substring(ids, 3, 64))
-    padded = F.lpad(hexed, 64, "0")
-    parts = F.transform(F.sequence(F.lit(0), F.lit(15)), lambda i: F.conv(F.substring(padded, i * 4 + 1, F.lit(4)), 16, 10).cast("long"))
-    zero = F.array(*[F.lit(0).cast("long")] * 9)
-
-    def absorb(groups: Column, digit: Column) -> Column:
-        start = F.struct(digit.alias("carry"), F.array().cast("array<bigint>").alias("out"))
-        step = lambda s, g: F.struct(F.floor((g * 65536 + s["carry"]) / F.lit(1_000_000_000)).cast("bigint").alias("carry"), F.concat(s["out"], F.array(F.pmod(g * 65536 + s["carry"], F.lit(1_000_000_000)).cast("bigint"))).alias("out"))
-        return F.aggregate(groups, start, step)["out"]
-
-    groups = F.reverse(F.aggregate(parts, zero, absorb))
-    text = F.ltrim(F.array_join(F.transform(groups, lambda g: F.lpad(g.cast("string"), 9, "0")), ""))
-    decimal = F.regexp_replace(text, "^0+(?=.)", "")
-    return F.when(ids.rlike("^0[xX][0-9a-fA-F]{1,64}$"), decimal).otherwise(ids)
+    @F.pandas_udf("string")
+    def decimal(hexed: pd.Series) -> pd.Series:
+        return hexed.map(lambda x: str(int(x, 16)), na_action="ignore")
+
+    fits = ids.rlike(r"^0[xX][0-9a-fA-F]{1,64}\z")
+    return F.when(fits, decimal(F.when(fits, ids))).otherwise(ids)
 
 
 def retention_filter(rows: DataFrame, at: str, as_of: int, days: int) -> DataFrame:
