@@ -460,3 +460,26 @@ def test_a_batch_takes_one_slice(spark, sf_dir, files):
         assert plain(got.select(*[c[0] for c in want.description]).collect()) == plain(want.fetchall())
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", had)
+
+
+SIGNALS = "market_a string, market_b string, edge_type string, signal_source string, user_id string, strength double, created_us long"
+
+
+def test_weights_are_nearest_logarithms(spark):
+    # the JVM's logarithm is off by a unit at some of these
+    sums = [float.fromhex("0x1.adbcb94b7499ep+2") - 1] + [n / 7 for n in range(200)]
+    rows = [("a", f"m{i}", "hedge", "user_analysis", "u", s, 90 * graph.DAY_US) for i, s in enumerate(sums)]
+    got = {r.market_b: r.weight for r in graph.edge_weights(spark.createDataFrame(rows, SIGNALS), 90 * graph.DAY_US).collect()}
+    assert got == {f"m{i}": math.log(max(0.001, 1 + s)) for i, s in enumerate(sums)}
+
+
+def test_signals_add_up_in_order(spark):
+    size = [0.1, 0.2, 0.3, 0.7, 1e-17, 0.6, 0.3, 0.1]
+    rows = [("a", "b", "hedge", "user_analysis", ["u", "v", "", None][i % 4], s, 90 * graph.DAY_US, i) for i, s in enumerate(size)]
+    for way in (1, -1):
+        told = spark.createDataFrame([(*r[:7], way * r[7]) for r in rows], SIGNALS + ", place int").repartition(4)
+        r = graph.edge_weights(told, 90 * graph.DAY_US, order="place").first()
+        total = 0.0
+        for s in size[::way]:
+            total += s
+        assert (r.weight, r.user_count, r.signal_count, r.last_us) == (math.log(1 + total), 2, 8, 90 * graph.DAY_US)
