@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tidebook.functions.graphs import components
 from tidebook.functions.products import correlations
 from tidebook.functions.quantiles import percentiles
+from tidebook.functions.storage import SPREAD_ROWS, spread
 from tidebook.functions.temporal import asof_join, cooldown, interval_join
 from tidebook.operators import compound, graph, history, ingest, signals
 from tidebook.sources import tables
@@ -483,3 +484,11 @@ def test_signals_add_up_in_order(spark):
         for s in size[::way]:
             total += s
         assert (r.weight, r.user_count, r.signal_count, r.last_us) == (math.log(1 + total), 2, 8, 90 * graph.DAY_US)
+
+
+def test_versions_are_dealt_by_their_number(spark):
+    rows = spark.range(60).selectExpr("concat('a', id % 20) AS market_a", "'b' AS market_b", "'hedge' AS edge_type", "id AS updated_us")
+    few, many = graph.latest_edges(rows), graph.latest_edges(rows, 20 * SPREAD_ROWS)
+    parts = lambda n: spread(spark.range(2000), ["id"], n).select(F.spark_partition_id()).distinct().count()
+    assert (parts(2000), parts(20 * SPREAD_ROWS)) == (1, 20)
+    assert sorted(few.collect()) == sorted(many.collect()) == sorted((f"a{i}", "b", "hedge", 40 + i) for i in range(20))
