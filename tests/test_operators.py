@@ -492,3 +492,10 @@ def test_versions_are_dealt_by_their_number(spark):
     parts = lambda n: spread(spark.range(2000), ["id"], n).select(F.spark_partition_id()).distinct().count()
     assert (parts(2000), parts(20 * SPREAD_ROWS)) == (1, 20)
     assert sorted(few.collect()) == sorted(many.collect()) == sorted((f"a{i}", "b", "hedge", 40 + i) for i in range(20))
+
+
+def test_slices_are_dealt_by_the_number_of_quotes(spark, monkeypatch):
+    ticks, dealt = _odd_ticks(spark, 300), []
+    monkeypatch.setattr(history, "spread", lambda df, keys, rows: dealt.append((tuple(keys), rows)) or spread(df, keys, rows))
+    assert history.prepare(ticks, 1000).where("_own").count() == ticks.count()
+    assert dealt == [(("asset_id", "_slice"), ticks.count())] * 2

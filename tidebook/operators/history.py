@@ -15,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidebook.functions.storage import spread
+
 #: The length of a slice; a longer trailing window makes longer slices.
 SLICE_US = 3_600_000_000
 #: The slice of rows without a time.
@@ -56,7 +58,7 @@ def _runs(rows: DataFrame) -> DataFrame:
     return rows.withColumn("run", F.when(F.col("direction").isNotNull(), counted + F.when(ahead, F.col("_run0")).otherwise(0)))
 
 
-def _trends(rows: DataFrame, carried: DataFrame) -> DataFrame:
+def _trends(rows: DataFrame, carried: DataFrame, n: int) -> DataFrame:
     """The run at the end of each slice that has moves, halo included.
 
     A slice whose moves all go one way lengthens the run of the slices before it; any
@@ -65,7 +67,7 @@ def _trends(rows: DataFrame, carried: DataFrame) -> DataFrame:
     blank = {"_direction": F.lit(None).cast("int"), "_run": F.lit(None).cast("long")}
     both = rows.withColumn("_slice", F.col("_reach")).select(*own).unionByName(carried.select(*own)).withColumns(blank)
     last = F.max_by(F.struct("island", "run", "direction"), F.struct("source_us", "event_id"))
-    ends = _runs(_moves(both)).groupBy(*_KEY).agg(last.alias("_e")).select(*_KEY, "_e.*").where("island > 0")
+    ends = _runs(_moves(spread(both, _KEY, n))).groupBy(*_KEY).agg(last.alias("_e")).select(*_KEY, "_e.*").where("island > 0")
     by = Window.partitionBy("asset_id").orderBy("_slice")
     goes_on = (F.col("island") == 1) & F.col("direction").eqNullSafe(F.lag("direction").over(by))
     ends = ends.withColumn("_turn", (~goes_on).cast("int")).withColumn("_turns", F.sum("_turn").over(by))
@@ -86,7 +88,7 @@ def prepare(ticks: DataFrame, window_ms: int = 0, runs: bool = True, slice_us: i
     def part(at: Column) -> Column:
         return F.coalesce(((at - F.pmod(at, F.lit(width))) / width).cast("long"), F.lit(NO_TIME))
 
-    at = F.col("source_us")
+    at, n = F.col("source_us"), ticks.count()
     rows = plain(ticks).drop("_own").withColumns({"_home": part(at), "_reach": part(at + halo)})
     near = rows.withColumn("_slice", F.explode(F.array_distinct(F.array("_home", "_reach"))) if halo else F.col("_home"))
 
@@ -103,12 +105,12 @@ def prepare(ticks: DataFrame, window_ms: int = 0, runs: bool = True, slice_us: i
     starts, timed = F.when(F.col("_slice") != NO_TIME, F.col("_slice")) * width - halo - 1, F.col("_slice") != NO_TIME
     carried = carried.select(*_KEY, starts.alias("source_us"), F.lit(None).cast(ticks.schema["event_id"].dataType).alias("event_id"), "mid", "_sizes.bid_size", "_sizes.ask_size", "_next_us")
     if runs:
-        trends = _trends(rows, carried.where(timed))
+        trends = _trends(rows, carried.where(timed), n)
         carried = carried.join(trends, F.col("asset_id").eqNullSafe(F.col("_asset")) & (F.col("_slice") == F.col("_at")), "left").drop("_asset", "_at")
         carried = carried.withColumn("_trend", before("_trend")).select("*", F.col("_trend.run").alias("_run"), F.col("_trend.direction").alias("_direction")).drop("_trend")
 
     # nothing comes before the slice of rows without a time
-    both = _moves(near.unionByName(carried.where(timed), allowMissingColumns=True))
+    both = _moves(spread(near.unionByName(carried.where(timed), allowMissingColumns=True), _KEY, n))
     both = _runs(both) if runs else both
     next_us = F.coalesce(F.lead("source_us").over(order()), F.first("_next_us").over(order()))
     both = both.withColumns({"bid_before": F.lag("bid_size").over(order()), "ask_before": F.lag("ask_size").over(order()), "silence_us": next_us - at})
