@@ -3,16 +3,19 @@
 import math
 import random
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tidebook.functions import graphs
 from tidebook.functions.graphs import components
 from tidebook.functions.products import correlations
 from tidebook.functions.quantiles import percentiles
 from tidebook.functions.storage import SPREAD_ROWS, spread
 from tidebook.functions.temporal import asof_join, cooldown, interval_join
 from tidebook.operators import compound, graph, history, ingest, signals
+from tidebook.plans import all_plans
 from tidebook.sources import tables
 
 QUOTE = "event_id long, asset_id string, condition_id string, source_us long, ingestion_us long, best_bid double, best_ask double, bid_size double, ask_size double, spread_bps double"
@@ -499,3 +502,70 @@ def test_slices_are_dealt_by_the_number_of_quotes(spark, monkeypatch):
     monkeypatch.setattr(history, "spread", lambda df, keys, rows: dealt.append((tuple(keys), rows)) or spread(df, keys, rows))
     assert history.prepare(ticks, 1000).where("_own").count() == ticks.count()
     assert dealt == [(("asset_id", "_slice"), ticks.count())] * 2
+
+
+def test_only_two_links_a_market_go_through_the_stars(spark, sf_dir, monkeypatch):
+    held, write = [], graphs.materialize
+    monkeypatch.setattr(graphs, "materialize", lambda df, label: held.append((label, write(df, label))) or held[-1][1])
+    monkeypatch.setattr(graphs, "discard", lambda df: None)
+    found = all_plans.QUERIES["connected_components"](spark, sf_dir)
+    assert max(df.count() for label, df in held if label == "links") <= 2 * found.count()
+
+
+@pytest.mark.parametrize("links", [1.2, 2.0, 8.0])
+def test_dense_components_take_turns(spark, links, monkeypatch):
+    rng, turns = random.Random(int(links * 10)), []
+    inside = lambda g: (1000 * g + rng.randrange(300), 1000 * g + rng.randrange(300))
+    pairs = [inside(g) for g in range(3) for _ in range(int(300 * links))] + [(5, 5), (9001, 9000), (9000, 9001), (9001, 9000)]
+    root = {x: x for a, b in pairs if a != b for x in (a, b)}
+
+    def top(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in pairs:
+        if a != b:
+            low, high = sorted((top(a), top(b)))
+            root[high] = low
+    monkeypatch.setattr(graphs, "components", lambda edges: turns.append(1) or components(edges))
+    edges = spark.createDataFrame(pairs, "a long, b long").repartition(3)
+    assert {r.id: r.component for r in graphs.dense_components(edges).collect()} == {x: top(x) for x in root}
+    assert len(turns) > 1 or links > 1.2
+    named = edges.select(*[F.format_string("n%05d", c).alias(c) for c in "ab"])
+    assert {r.id: r.component for r in graphs.dense_components(named).collect()} == {f"n{x:05d}": f"n{top(x):05d}" for x in root}
+    assert graphs.dense_components(edges.where("a < 0")).count() == 0
+
+
+def test_edges_at_the_bar_are_added_up_in_order(spark):
+    rng, bar = random.Random(5), 0.1
+    odd = [[None], [0.2, None], [float("nan")], [float("inf"), -1.0], [float("inf"), float("-inf")], [float("-inf")], [5.0], [-5.0], [0.05, 0.05]]
+    close = [[*(one := [rng.uniform(-3, 3) for _ in range(6)]), math.exp(bar) - 1 - sum(one) + rng.randrange(-4, 5) * 2**-53] for _ in range(300)]
+    rows = [(f"a{i % 7}", f"m{i}", "hedge" if i % 5 else None, "user_analysis", "u", s, 90 * graph.DAY_US, k) for i, sizes in enumerate(odd + close) for k, s in enumerate(sizes)]
+    told = spark.createDataFrame(rows, SIGNALS + ", place int").repartition(3)
+    want = graph.edge_weights(told, 90 * graph.DAY_US, order="place").where(F.col("weight") > bar).select(*graph.EDGE)
+    got = graph.edges_above(told, 90 * graph.DAY_US, bar, order="place")
+    assert {tuple(r) for r in got.collect()} == (kept := {tuple(r) for r in want.collect()}) and got.count() == len(kept)
+    assert 100 < len(kept) < 250 and {"m1", "m3"} <= {b for _, b, _ in kept}
+    sure = told.where("market_b in ('m6', 'm7', 'm8')")
+    assert [r.market_b for r in graph.edges_above(sure, 90 * graph.DAY_US, bar).collect()] == ["m6"]
+
+
+@pytest.mark.parametrize("shift", [0, 9_999_900])
+def test_numbers_of_markets_stand_for_their_names(spark, sf_dir, tmp_path, shift):
+    tables.read(spark, sf_dir, "lineitem").withColumn("l_partkey", F.col("l_partkey") + shift).write.parquet(f"{tmp_path}/lineitem.parquet")
+    named, numbered = tables.edge_signals(spark, str(tmp_path)), tables.edge_signals(spark, str(tmp_path), numbered=True)
+    back = numbered.selectExpr(*[f"{tables.market_name(c)} AS {c}" for c in ("market_a", "market_b")], *numbered.columns[2:])
+    assert back.exceptAll(named).isEmpty() and named.exceptAll(back).isEmpty()
+
+
+def test_components_of_markets_below_zero(spark, sf_dir, tmp_path):
+    """Their names are no digits, and have another order than their numbers."""
+    lines = tables.read(spark, sf_dir, "lineitem").where("l_linenumber > 2").withColumn("l_partkey", F.col("l_partkey") - 150)
+    lines.coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
+    found = all_plans.QUERIES["connected_components"](spark, str(tmp_path))
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
+    want = c.execute(all_plans.ORACLES["connected_components"])
+    columns = [d[0] for d in want.description]
+    assert sorted(tuple(r) for r in found.select(*columns).collect()) == sorted(want.fetchall())
