@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidebook.functions.storage import discard, materialize, spread
+from tidebook.functions.storage import discard, materialize, reopened, spread, spread_session
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -40,15 +40,17 @@ def dense_components(edges: DataFrame) -> DataFrame:
     Each vertex first keeps the links to its smallest and largest neighbour alone, which
     stars settle. Then all links take their ends' components, and those between two
     components are the links of the next turn. Each turn joins every vertex that has a
-    link to another, so their number halves at least. Links are dealt by their number,
-    and joins hold only labels.
+    link to another, so their number halves at least. Links, and the few that go through
+    the stars, are dealt by their number, and joins hold only labels.
     """
-    links, labels = edges.where("a <> b").select("a", "b"), None
+    spark, links, labels = edges.sparkSession, edges.where("a <> b").select("a", "b"), None
     while True:
         rows = (edges if labels is None else links).count()
         both = links.select(F.col("a").alias("u"), F.col("b").alias("v")).union(links.select("b", "a"))
         ends = spread(both, ["u"], 2 * rows).groupBy("u").agg(F.min("v").alias("low"), F.max("v").alias("high"))
-        found = materialize(components(ends.select(F.col("u").alias("a"), F.explode(F.array("low", "high")).alias("b"))), "found")
+        few = materialize(ends.select(F.col("u").alias("a"), F.explode(F.array("low", "high")).alias("b")), "few")
+        found = reopened(materialize(components(reopened(few, spread_session(spark, few.count()))), "found"), spark)
+        discard(few)
         of = lambda end: found.select(F.col("id").alias(end), F.col("component").alias(f"in_{end}")).hint("shuffle_hash")  # noqa: E731, B023
         one = spread(links, ["a"], rows).join(of("a"), "a")
         two = spread(one.select("in_a", "b"), ["b"], rows).join(of("b"), "b")
