@@ -63,15 +63,28 @@ _TOKEN = regex.compile(rf"{MARK}*[\p{{L}}\p{{M}}]+|{MARK}*[^\p{{L}}\p{{M}}{MARK}
 _WORD = regex.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 
 
+def _file(path: str):
+    from sentencepiece import sentencepiece_model_pb2 as pb
+
+    proto = pb.ModelProto()
+    with open(path, "rb") as f:
+        proto.ParseFromString(f.read())
+    return proto
+
+
+@lru_cache(maxsize=2)
+def longest_piece(path: str = MODEL) -> int:
+    """``reach`` of a vocabulary, which is all that the driver needs of it."""
+    proto = _file(path)
+    kinds = proto.SentencePiece
+    return max(len(p.piece) for p in proto.pieces if p.type in (kinds.NORMAL, kinds.USER_DEFINED))
+
+
 class Vocabulary:
     """Pieces with scores, byte pieces, and the solver for strings."""
 
     def __init__(self, path: str = MODEL, scores: str = "rank"):
-        from sentencepiece import sentencepiece_model_pb2 as pb
-
-        proto = pb.ModelProto()
-        with open(path, "rb") as f:
-            proto.ParseFromString(f.read())
+        proto = _file(path)
         kinds = proto.SentencePiece
         self.ids = {p.piece: i for i, p in enumerate(proto.pieces) if p.type in (kinds.NORMAL, kinds.USER_DEFINED)}
         self.byte = {int(p.piece[3:5], 16): i for i, p in enumerate(proto.pieces) if p.type == kinds.BYTE}
@@ -299,7 +312,7 @@ def _fields(docs: DataFrame) -> str:
 
 def _encode_long(docs: DataFrame, text: str, path: str, scores: str, chunk: int, fan: int) -> DataFrame:
     """The scan over chunks. ``docs`` has a unique _row, and the texts in one column."""
-    k = vocabulary(path, scores).reach
+    k = longest_piece(path)
 
     def cut(batches):
         for pdf in batches:

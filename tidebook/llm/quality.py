@@ -95,7 +95,62 @@ def _sparse(batches):
         for a, b, x in _counts(pdf["text"]):
             rows, slots = np.nonzero(x)
             cuts = np.searchsorted(rows, np.arange(b - a + 1))
-            yield pd.DataFrame({"doc_id": pdf["doc_id"].iloc[a:b].to_numpy(), "quality": pdf["quality"].iloc[a:b].to_numpy(), "slots": [slots[i:j].astype(np.int32) for i, j in zip(cuts[:-1], cuts[1:], strict=True)], "counts": [x[r, slots[i:j]] for r, (i, j) in enumerate(zip(cuts[:-1], cuts[1:], strict=True))]})
+            each = list(zip(cuts[:-1], cuts[1:], strict=True))
+            yield pd.DataFrame({"doc_id": pdf["doc_id"].iloc[a:b].to_numpy(), "quality": pdf["quality"].iloc[a:b].to_numpy(), "slots": [slots[i:j].astype(np.uint16).tobytes() for i, j in each], "counts": [x[r, slots[i:j]].tobytes() for r, (i, j) in enumerate(each)]})
+
+
+class _Sample:
+    """Counts of the sampled rows as one flat array, of which ``PART`` rows at a
+    time become a matrix: the driver holds what isn't zero and one part."""
+
+    def __init__(self, slots: list[bytes], counts: list[bytes]):
+        self.cuts = np.cumsum([0, *(len(x) // 2 for x in slots)])
+        self.slots = np.frombuffer(b"".join(slots), np.uint16)
+        self.counts = np.frombuffer(b"".join(counts), np.float32)
+
+    def __len__(self) -> int:
+        return len(self.cuts) - 1
+
+    def parts(self, values: np.ndarray | None = None):
+        """(first row, end row, matrix) of the counts, or of other values in their places."""
+        values = self.counts if values is None else values
+        for a in range(0, len(self), PART):
+            b = min(len(self), a + PART)
+            i, j = self.cuts[a], self.cuts[b]
+            x = np.zeros((b - a, DIMS + 1), np.float32)
+            x[np.repeat(np.arange(b - a), np.diff(self.cuts[a : b + 1])), self.slots[i:j]] = values[i:j]
+            yield a, b, x
+
+    def idf(self) -> np.ndarray:
+        held = np.bincount(self.slots, minlength=DIMS + 1)[:DIMS]
+        return np.log((1 + len(self)) / (1 + held)).astype(np.float32) + 1
+
+    def weighted(self, idf: np.ndarray) -> np.ndarray:
+        """Log counts by ``idf``, each row of length one; zero for the share of repeated words."""
+        out = np.log1p(self.counts)
+        out *= np.append(idf, np.float32(0))[self.slots]
+        for a, b in zip(self.cuts[:-1], self.cuts[1:], strict=True):
+            out[a:b] /= max(np.linalg.norm(out[a:b]), 1e-9)
+        return out
+
+
+def _projection(sample: _Sample, idf: np.ndarray, seed: int) -> np.ndarray:
+    """The first right singular vectors of the weighted counts, by power iteration."""
+    values, k = sample.weighted(idf), min(LATENT, len(sample))
+
+    def to_rows(m: np.ndarray) -> np.ndarray:
+        return np.concatenate([x[:, :DIMS] @ m for _, _, x in sample.parts(values)])
+
+    def to_slots(m: np.ndarray) -> np.ndarray:
+        total = np.zeros((DIMS, m.shape[1]))
+        for a, b, x in sample.parts(values):
+            total += x[:, :DIMS].T @ m[a:b]
+        return total.astype(np.float32)
+
+    probe = to_rows(np.random.default_rng(seed).standard_normal((DIMS, k + 16), np.float32))
+    for _ in range(4):
+        probe = to_rows(to_slots(np.linalg.qr(probe)[0]))
+    return np.linalg.svd(to_slots(np.linalg.qr(probe)[0]).T, full_matrices=False)[2][:k].T.copy()
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, repeats: float = REPEATS, seed: int = 7) -> dict | None:
@@ -103,28 +158,17 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, repeats: float
     worker_imports(docs.sparkSession)
     known = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max("quality").cast("double").alias("quality"))
     chosen = F.broadcast(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample))
-    rows = docs.select("doc_id", "text").join(chosen, "doc_id").mapInPandas(_sparse, "doc_id long, quality double, slots array<int>, counts array<float>").toPandas()
-    if rows.empty:
+    rows = docs.select("doc_id", "text").join(chosen, "doc_id").mapInPandas(_sparse, "doc_id long, quality double, slots binary, counts binary").toArrow()
+    if not rows.num_rows:
         return None
-    rows = rows.sort_values("doc_id", kind="stable").drop_duplicates("doc_id")
-    full = np.zeros((len(rows), DIMS + 1), np.float32)
-    for i, (s, c) in enumerate(zip(rows["slots"], rows["counts"], strict=True)):
-        full[i, np.asarray(s, np.int64)] = c
-    del rows["slots"], rows["counts"]
-    idf = np.log((1 + len(full)) / (1 + (full[:, :DIMS] > 0).sum(0))).astype(np.float32) + 1
-    # in parts, so that the driver holds the counts and one matrix beside them
-    x = np.empty((len(full), DIMS), np.float32)
-    for a in range(0, len(x), PART):
-        x[a : a + PART] = _unit(np.log1p(full[a : a + PART, :DIMS]) * idf)
-    k = min(LATENT, len(x))
-    probe = x @ np.random.default_rng(seed).standard_normal((DIMS, k + 16), np.float32)
-    for _ in range(4):
-        probe = x @ (x.T @ np.linalg.qr(probe)[0])
-    q = np.linalg.qr(probe)[0]
-    base = np.linalg.svd(q.T @ x, full_matrices=False)[2][:k].T.copy()
-    del x
-    y = np.concatenate([_embed(full[a : a + PART], idf, base, repeats) for a in range(0, len(full), PART)])
-    label = rows["quality"].to_numpy(np.float32)
+    order = np.unique(rows["doc_id"].to_numpy(), return_index=True)[1]  # one row for each doc_id
+    full = _Sample(*([rows[c][i].as_py() for i in order] for c in ("slots", "counts")))
+    label = rows["quality"].to_numpy()[order].astype(np.float32)
+    del rows
+    pa.default_memory_pool().release_unused()
+    idf = full.idf()
+    base = _projection(full, idf, seed)
+    y = np.concatenate([_embed(x, idf, base, repeats) for _, _, x in full.parts()])
     return {"idf": idf, "base": base, "vectors": y.T.copy(), "labels": label, "prior": float(label.mean()), "repeats": repeats}
 
 
