@@ -10,6 +10,7 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 
 BLOCK = 1 << 18
 ROWS = 256
@@ -26,10 +27,12 @@ _powers: dict[int, np.ndarray] = {}
 
 def slices(batches, rows: int = ROWS):
     """Arrow batches in parts of few rows, so that few texts at a time become
-    Python strings."""
+    Python strings. What Arrow keeps of freed memory is given back after each batch,
+    as a worker outlives its task."""
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
+        pa.default_memory_pool().release_unused()
 
 
 def blocks(texts, size: int = BLOCK) -> Iterator[tuple[int, int, list[bytes]]]:
