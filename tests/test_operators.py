@@ -278,6 +278,65 @@ def test_cycles_in_passes(spark):
     assert not [*shared.glob("paths-*/*.parquet")]
 
 
+def cycles_by_hand(rows, lengths, below, min_weight=0.1):
+    """Cycle to length and sum, added as the SQL does: both halves from the least market on."""
+    link = {}
+    for a, b, kind, weight in rows:
+        if weight > min_weight:
+            w = (-abs(weight) if kind == "hedge" else weight, kind)
+            link[a, b] = link[b, a] = min(link.get((a, b), w), w)
+    near = {}
+    for a, b in link:
+        near.setdefault(a, set()).add(b)
+    found, paths = {}, [(m,) for m in near]
+    for n in range(2, max(lengths) + 1):
+        paths = [(*p, m) for p in paths for m in near[p[-1]] if m > p[0] and m not in p]
+        for p in paths if n in lengths else ():
+            if p[0] in near[p[-1]] and p[1] < p[-1]:
+                w = [link[e][0] for e in zip(p, (*p[1:], p[0]))]
+                half = n - n // 2
+                total = sum(w[1:half], w[0]) + sum(w[half:-1][::-1], w[-1])
+                hedges = sum(link[e][1] == "hedge" for e in zip(p, (*p[1:], p[0])))
+                if total < below:
+                    found["->".join(map(str, p))] = n, total, "hedge_loop" if hedges * 2 > n else "inverse_correlation"
+    return found
+
+
+def random_edges(seed, markets, links):
+    rng = random.Random(seed)
+    pairs = sorted({tuple(sorted(rng.sample(range(markets), 2))) for _ in range(links)})
+    # few weights, so that sums meet the bar up to rounding, and some pairs of several types
+    return [(a, b, rng.choice(["hedge", "correlation", "arbitrage"]), rng.choice([0.1, 0.2, 0.3, 0.5, 0.6, 0.7, 0.9])) for a, b in pairs for _ in range(rng.choice([1, 1, 2]))]
+
+
+@pytest.mark.parametrize(("blocks", "pass_links"), [(1, 10**9), (3, 1), (5, 1000)])
+def test_short_cycles_by_blocks(spark, blocks, pass_links):
+    """All cycles with the sums of the SQL to the last bit, by names and by numbers."""
+    rows = random_edges(5, 40, 260)
+    want = cycles_by_hand(rows, (3, 4), 0.0)
+    numbered = spark.createDataFrame(rows, "market_a long, market_b long, edge_type string, weight double")
+    got = graph.negative_cycles(numbered, 4, 0.1, blocks=blocks, pass_links=pass_links, name=lambda c: f"cast({c} AS string)")
+    assert {r.cycle: (r.n, r.total, r.kind) for r in got.collect()} == want and len(want) > 200 and got.count() == len(want)
+    # names whose order is not that of the numbers, and pairs in either order
+    rows = [(f"m{(a * 7) % 40}", f"m{(b * 7) % 40}", k, w) for a, b, k, w in rows]
+    want = cycles_by_hand(rows, (3, 4), 0.0)
+    named = spark.createDataFrame(rows, "market_a string, market_b string, edge_type string, weight double")
+    got = graph.negative_cycles(named, 4, 0.1, blocks=blocks, pass_links=pass_links)
+    assert {r.cycle: (r.n, r.total, r.kind) for r in got.collect()} == want and got.count() == len(want)
+
+
+def test_short_cycles_write_links_only(spark, monkeypatch):
+    """Hubs of 60 neighbours have 1,770 paths of two links each; none is written."""
+    written = []
+    put = graph.materialize
+    monkeypatch.setattr(graph, "materialize", lambda df, *a, **k: written.append(put(df, *a, **k)) or written[-1])
+    monkeypatch.setattr(graph, "discard", lambda df: None)
+    rows = [(f"h{h}", f"m{i:02}", "hedge" if i == h else "correlation", 0.2) for h in range(6) for i in range(60)]
+    edges = spark.createDataFrame(rows, "market_a string, market_b string, edge_type string, weight double")
+    got = graph.negative_cycles(edges, 4, 0.1, -0.1)
+    assert got.count() == 0 and max(df.count() for df in written) <= len(rows)
+
+
 def test_a_path_over_some_types(spark):
     rows = [("a", "b", "hedge", 1.0), ("b", "c", "causal", 1.0), ("a", "c", "arbitrage", 9.0), ("a", "c", "causal", 0.1)]
     edges = spark.createDataFrame(rows, "market_a string, market_b string, edge_type string, weight double")
