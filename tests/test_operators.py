@@ -337,6 +337,13 @@ def test_short_cycles_write_links_only(spark, monkeypatch):
     assert got.count() == 0 and max(df.count() for df in written) <= len(rows)
 
 
+def test_cycle_alerts_write_no_paths(spark, sf_dir, monkeypatch):
+    labels, put = [], graph.materialize
+    monkeypatch.setattr(graph, "materialize", lambda df, label="table", *a, **k: labels.append(label) or put(df, label, *a, **k))
+    assert all_plans.QUERIES["cycle_alerts"](spark, sf_dir).count() > 100_000
+    assert not [x for x in labels if x.startswith("paths")]
+
+
 def test_a_path_over_some_types(spark):
     rows = [("a", "b", "hedge", 1.0), ("b", "c", "causal", 1.0), ("a", "c", "arbitrage", 9.0), ("a", "c", "causal", 0.1)]
     edges = spark.createDataFrame(rows, "market_a string, market_b string, edge_type string, weight double")
