@@ -2,6 +2,8 @@
 
 import math
 import random
+from functools import reduce
+from operator import add
 
 import duckdb
 import numpy as np
@@ -295,7 +297,7 @@ def cycles_by_hand(rows, lengths, below, min_weight=0.1):
             if p[0] in near[p[-1]] and p[1] < p[-1]:
                 w = [link[e][0] for e in zip(p, (*p[1:], p[0]))]
                 half = n - n // 2
-                total = sum(w[1:half], w[0]) + sum(w[half:-1][::-1], w[-1])
+                total = reduce(add, w[:half]) + reduce(add, w[:half - 1:-1])
                 hedges = sum(link[e][1] == "hedge" for e in zip(p, (*p[1:], p[0])))
                 if total < below:
                     found["->".join(map(str, p))] = n, total, "hedge_loop" if hedges * 2 > n else "inverse_correlation"
@@ -344,6 +346,21 @@ def test_cycle_alerts_write_no_paths(spark, sf_dir, monkeypatch):
     assert not [x for x in labels if x.startswith("paths")]
 
 
+@pytest.mark.parametrize(("seed", "below", "pass_paths"), [(1, -1.0, 10**9), (2, -1.6, 60)])
+def test_deep_cycles(spark, monkeypatch, seed, below, pass_paths):
+    """Few links are below a low bar's mean: all cycles of five to seven, with the sums of the
+    SQL, without the half paths of all links."""
+    rng = random.Random(seed)
+    pairs = sorted({tuple(sorted(rng.sample(range(24), 2))) for _ in range(90)})
+    rows = [(f"m{a:02}", f"m{b:02}", *(("hedge", rng.uniform(0.8, 1.7)) if i % 9 == 0 else ("causal", rng.uniform(0.11, 0.6)))) for i, (a, b) in enumerate(pairs)]
+    want = cycles_by_hand(rows, (5, 6, 7), below)
+    monkeypatch.delattr(graph, "_half_paths")
+    edges = spark.createDataFrame(rows, "market_a string, market_b string, edge_type string, weight double")
+    got = graph.negative_cycles(edges, 7, 0.1, below, 5, pass_paths=pass_paths).collect()
+    assert {r.cycle: (r.n, r.total, r.kind) for r in got} == want and len(got) == len(want) > 20
+    assert {r.n for r in got} == {5, 6, 7}
+
+
 def test_a_path_over_some_types(spark):
     rows = [("a", "b", "hedge", 1.0), ("b", "c", "causal", 1.0), ("a", "c", "arbitrage", 9.0), ("a", "c", "causal", 0.1)]
     edges = spark.createDataFrame(rows, "market_a string, market_b string, edge_type string, weight double")
